@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runassay import schema as S
+from runassay.scale import ship_package
 
 SIMPLIFIED = "简体中文"
 TRADITIONAL = "繁体中文"
@@ -47,14 +48,19 @@ def named_language(column: str | Column) -> Column:
     return F.when(named == "", "N/A").otherwise(named)
 
 
-@F.pandas_udf("boolean")
-def _near_language_heading(words: pd.Series) -> pd.Series:
-    seen: dict[str, bool] = {}
-    for word in words.dropna().unique():
-        seen[word] = bool(
-            difflib.get_close_matches(word, S.LANGUAGE_HEADINGS, n=1, cutoff=S.FUZZY_CUTOFF)
-        )
-    return words.map(lambda w: seen.get(w, False))
+def _near_language_heading():
+    @F.pandas_udf("boolean")
+    def near(words: pd.Series) -> pd.Series:
+        seen: dict[str, bool] = {}
+        for word in words.dropna().unique():
+            seen[word] = bool(
+                difflib.get_close_matches(
+                    word, S.LANGUAGE_HEADINGS, n=1, cutoff=S.FUZZY_CUTOFF
+                )
+            )
+        return words.map(lambda w: seen.get(w, False))
+
+    return near
 
 
 def language_headings(cells: DataFrame, value: str = "value") -> DataFrame:
@@ -65,6 +71,8 @@ def language_headings(cells: DataFrame, value: str = "value") -> DataFrame:
     """
     from runassay.functions.text import cell
 
+    ship_package(cells.sparkSession)
+    near = _near_language_heading()
     words = cells.select(cell(value).alias("word")).where(F.col("word") != "").distinct()
     plain = F.col("word").isin(S.LANGUAGE_HEADINGS)
     for part in S.LANGUAGE_HEADING_PARTS:
@@ -78,7 +86,7 @@ def language_headings(cells: DataFrame, value: str = "value") -> DataFrame:
     return words.select(
         "word",
         F.when(plain, True)
-        .when(possible, _near_language_heading(F.when(~plain & possible, F.col("word"))))
+        .when(possible, near(F.when(~plain & possible, F.col("word"))))
         .otherwise(False)
         .alias("is_language"),
     )

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from runassay import schema as S
 from runassay.functions import flags
 from runassay.functions.text import ID_CELL, block, evaluation_line, excerpt, language_line
-from runassay.scale import first_rows
+from runassay.scale import first_rows, ship_package
 
 LINES_PER_CALL = 200
 
@@ -89,6 +89,7 @@ def ask_for_blocks(
     the issues of all parts merge when the ids are counted. A failed call
     yields a null reply.
     """
+    ship_package(lines.sparkSession)
     schema = T.StructType(
         lines.select(*S.RUN_KEYS).schema.fields
         + [T.StructField("part", T.LongType()), T.StructField("reply", T.StringType())]
@@ -119,7 +120,9 @@ def blocks_of(replies: DataFrame) -> DataFrame:
     return replies.select(*keys, F.inline(F.array(*ready)))
 
 
-@F.udtf(returnType="row_no int, kind string, first string, ids array<bigint>, texts array<string>")
+BLOCK_ROW = "row_no int, kind string, first string, ids array<bigint>, texts array<string>"
+
+
 class BlockRows:
     """Rows of one CSV block; ids split over several cells are merged."""
 
@@ -144,7 +147,9 @@ class BlockRows:
 
 def block_rows(blocks: DataFrame) -> DataFrame:
     """Parsed rows of all blocks, beside the columns of ``blocks``."""
-    return blocks.lateralJoin(BlockRows(F.col("text").outer()))
+    ship_package(blocks.sparkSession)
+    parse = F.udtf(BlockRows, returnType=BLOCK_ROW)
+    return blocks.lateralJoin(parse(F.col("text").outer()))
 
 
 def cluster_ids(rows: DataFrame) -> DataFrame:

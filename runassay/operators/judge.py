@@ -21,6 +21,7 @@ from runassay.functions.text import (
     judge_document,
     stripped,
 )
+from runassay.scale import ship_package
 
 ATTEMPTS = 3
 INPUTS = ["request", "document", "answer", "target_language"]
@@ -111,6 +112,7 @@ def ask(
     reply that fails is tried again after 2 and 4 seconds plus a jitter; a row
     that still fails keeps its last reply and error, the job goes on.
     """
+    ship_package(rows.sparkSession)
     schema = T.StructType(
         rows.select(*keys).schema.fields
         + [

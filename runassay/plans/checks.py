@@ -503,3 +503,13 @@ _STAND_INS = " UNION ALL ".join(
 CHECKS["x8_fallback"] = f"""SELECT conv_id, turn, CAST(block AS BIGINT) AS block, name, md5(CASE WHEN role <> 'user' THEN api
 WHEN block = 2 THEN regexp_replace(text, '^\\s+|\\s+$', '', 'g') ELSE parsing END) AS digest
 FROM conversations, ({_STAND_INS})"""
+
+# ---- streaming: what the batch says over the same rows ----
+CHECKS["t1_ingest"] = CHECKS["w2_latest"]
+CHECKS["t2_drain"] = CHECKS["a03_pass"]
+CHECKS["t3_stability"] = STABLE + "SELECT task_key, state, stable_poll, stable_ts FROM st WHERE state <> 'running'"
+CHECKS["t4_breaker"] = BREAKER + "SELECT run_date, trip_ts, trip_event_id FROM br WHERE tripped"
+CHECKS["t6_live_metrics"] = RESULTS + """SELECT CAST(run_date AS TIMESTAMP) AS window_start, env, count(*) AS total,
+count(*) FILTER (is_timeout) AS timeouts, count(*) FILTER (is_crash) AS crashes, count(*) FILTER (is_failed) AS failed,
+min(secs) AS fastest, max(secs) AS slowest FROM f GROUP BY run_date, env"""
+CHECKS["t7_dedupe"] = RESULTS + "SELECT run_date, env, label, event_id FROM f"

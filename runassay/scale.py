@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -23,6 +25,23 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers once per application."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="runassay-code-")
+    archive = shutil.make_archive(
+        os.path.join(folder, "runassay"), "zip", os.path.dirname(package), "runassay"
+    )
+    context.addPyFile(archive)
+    _SHIPPED.add(context.applicationId)
+
+
 def pin(df: DataFrame, name: str = "pinned") -> DataFrame:
     """Write ``df`` once to the shared folder and go on from the written table.
 

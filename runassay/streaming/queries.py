@@ -1,5 +1,163 @@
-"""Streaming operators over file streams of the derived tables."""
+"""Streaming operators over file streams that arrive in slices of time."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from runassay import schema as S
+from runassay.operators import metrics
+from runassay.plans import views as V
+from runassay.scale import scratch_dir
+from runassay.sources import results as RS
+from runassay.streaming import breaker, ingest, stability
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+RUN = S.RUN_KEYS
+SLICES = 2
+
+
+def query(fn: Callable[[SparkSession, str], DataFrame]):
+    QUERIES[fn.__name__] = fn
+    return fn
+
+
+def _slices(df: DataFrame) -> list[DataFrame]:
+    """``df`` cut by ``ts`` into slices of equal duration, none of its rows left out."""
+    lo, hi = df.agg(F.min("ts"), F.max("ts")).first()
+    step = (hi - lo) / SLICES
+    ends = [lo + step * i for i in range(1, SLICES)]
+    slices = []
+    for i in range(SLICES):
+        part = df
+        if i > 0:
+            part = part.where(F.col("ts") > F.lit(ends[i - 1]))
+        if i < SLICES - 1:
+            part = part.where(F.col("ts") <= F.lit(ends[i]))
+        slices.append(part)
+    return slices
+
+
+def _feed(
+    df: DataFrame,
+    start: Callable[[DataFrame, str], StreamingQuery],
+    repeat: int = 1,
+) -> None:
+    """Lands slice after slice and lets the query take up each one where it stopped."""
+    spark = df.sparkSession
+    arrivals, checkpoint = scratch_dir(spark, "arrivals"), scratch_dir(spark, "progress")
+    for part in _slices(df):
+        for _ in range(repeat):
+            part.write.mode("append").parquet(arrivals)
+            stream = spark.readStream.schema(df.schema).parquet(arrivals)
+            ingest.drain(start(stream, checkpoint))
+
+
+def _timed(df: DataFrame) -> DataFrame:
+    return df.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def _plain(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in columns})
+
+
+def _append(out: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
+    return (
+        out.writeStream.format("parquet")
+        .option("path", table)
+        .option("checkpointLocation", checkpoint)
+        .outputMode("append")
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def _result_rows(spark, sf, **views) -> DataFrame:
+    return _timed(V.results(spark, sf, labels=True, **views))
+
+
+@query
+def t1_ingest(spark, sf):
+    """Results as they arrive, every slice delivered twice."""
+    table = scratch_dir(spark, "results")
+    rows = _result_rows(spark, sf).select(*RUN, "label", "ts", "event_id", "evaluation")
+    _feed(rows, lambda s, c: ingest.ingest_results(s, table, c), repeat=2)
+    stored = RS.stored_results(spark, table, ["ts", "event_id"])
+    return stored.select(*RUN, "label", "event_id", "evaluation")
+
+
+@query
+def t2_drain(spark, sf):
+    """The report numbers once everything that arrived is drained."""
+    table = scratch_dir(spark, "results")
+    rows = _result_rows(spark, sf, ratings=True)
+    _feed(rows, lambda s, c: ingest.ingest_results(s, table, c))
+    return metrics.pass_counts(RS.stored_results(spark, table, ["ts", "event_id"]))
+
+
+@query
+def t3_stability(spark, sf):
+    """Tasks that became stable or used up their polls."""
+    out = scratch_dir(spark, "stable")
+    polls = _timed(V.polls(spark, sf))
+    _feed(
+        polls,
+        lambda s, c: _append(stability.stable_tasks(s, idle_seconds=10**8), out, c),
+    )
+    return _plain(spark.read.schema(stability.OUT).parquet(out), "stable_ts").select(
+        "task_key", "state", "stable_poll", "stable_ts"
+    )
+
+
+@query
+def t4_breaker(spark, sf):
+    out = scratch_dir(spark, "closes")
+    statuses = _timed(V.statuses(spark, sf))
+    _feed(statuses, lambda s, c: breaker.watch_closes(s, out, c))
+    return _plain(breaker.first_trips(spark, out), "trip_ts")
+
+
+@query
+def t5_task_timeout(spark, sf):
+    """The same watch with an idle limit of one day: silent tasks end as timeouts."""
+    out = scratch_dir(spark, "stable")
+    polls = _timed(V.polls(spark, sf))
+    _feed(
+        polls,
+        lambda s, c: _append(stability.stable_tasks(s, idle_seconds=86_400), out, c),
+    )
+    return _plain(spark.read.schema(stability.OUT).parquet(out), "stable_ts")
+
+
+@query
+def t6_live_metrics(spark, sf):
+    """Counters per day and environment: the newest update of each."""
+    table = scratch_dir(spark, "live")
+
+    def start(stream: DataFrame, checkpoint: str) -> StreamingQuery:
+        def land(batch: DataFrame, batch_id: int) -> None:
+            batch.write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
+
+        return (
+            ingest.live_metrics(stream).writeStream.outputMode("update").foreachBatch(land)
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        )
+
+    _feed(_timed(V.results(spark, sf, ratings=True)), start)
+    updates = spark.read.option("basePath", table).parquet(f"{table}/batch=*")
+    keys = ["window_start", "env"]
+    rest = [c for c in updates.columns if c not in (*keys, "batch")]
+    newest = updates.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_u"))
+    return _plain(newest.select(*keys, "_u.*"), "window_start")
+
+
+@query
+def t7_dedupe(spark, sf):
+    """Every slice delivered twice, every row emitted once."""
+    out = scratch_dir(spark, "once")
+    rows = _result_rows(spark, sf).select(*RUN, "label", "ts", "event_id")
+    _feed(rows, lambda s, c: _append(ingest.without_duplicates(s), out, c), repeat=2)
+    return spark.read.schema(rows.schema).parquet(out).select(*RUN, "label", "event_id")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from runassay import schema as S
+from runassay.scale import ship_package
 
 OUT = "task_key bigint, state string, stable_poll bigint, stable_ts timestamp, polls bigint"
 STATE = "last_len bigint, streak bigint, polls bigint"
@@ -68,11 +69,11 @@ def stable_tasks(
             both = batch if first is None else pd.concat([first, batch])
             first = both.sort_values(["ts", "event_id"]).head(max_polls - seen)
         done = None
-        newest = None
-        for ts, size in zip(first["ts"], first["len"]):
+        newest = 0
+        for ts, at_ms, size in zip(first["ts"], first["at_ms"], first["len"]):
             seen += 1
             run = run + 1 if size > 0 and size == last else 0
-            last, newest = int(size), ts
+            last, newest = int(size), int(at_ms)
             if run >= streak:
                 done = _row(key, "stable", seen, ts, seen)
                 break
@@ -81,14 +82,18 @@ def stable_tasks(
                 break
         # The mark stays until the timer so that later polls are not a new task.
         state.update((last, -1 if done is not None else run, seen))
-        moment = int(newest.timestamp() * 1000) if newest is not None else 0
-        state.setTimeoutTimestamp(max(moment, state.getCurrentWatermarkMs()) + idle_ms)
+        state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + idle_ms)
         if done is not None:
             yield done
 
+    ship_package(polls.sparkSession)
     trimmed = (
-        polls.select("task_key", "ts", "event_id", "len")
-        .mapInPandas(_earliest(max_polls), "task_key bigint, ts timestamp, event_id bigint, len bigint")
+        polls.select(
+            "task_key", "ts", "event_id", "len", F.unix_millis("ts").alias("at_ms")
+        ).mapInPandas(
+            _earliest(max_polls),
+            "task_key bigint, ts timestamp, event_id bigint, len bigint, at_ms bigint",
+        )
     )
     return (
         trimmed.withWatermark("ts", delay)
