@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runassay import schema as S
+from runassay.functions.text import cell, let
 from runassay.scale import ship_package
 
 SIMPLIFIED = "简体中文"
@@ -19,33 +20,45 @@ ENGLISH = "English"
 SIMPLIFIED_ONLY = "们这来国时说对会过还为个学与发经后样现从点问让应关没种结话义总传"
 TRADITIONAL_ONLY = "們這來國時說對會過還為個學與發經後樣現從點問讓應關沒種結話義總傳"
 
+HAN = "[一-鿿]"
+LATIN = "[A-Za-zÀ-ɏ]"
 MIX_SHARE = 0.2
 
 
 def _count(text: Column, pattern: str) -> Column:
-    return F.char_length(text) - F.char_length(F.regexp_replace(text, pattern, ""))
+    """Characters in runs of ``pattern``: what removing the runs takes away."""
+    return (F.char_length(text) - F.char_length(F.regexp_replace(text, pattern, ""))).cast(
+        "double"
+    )
 
 
 def named_language(column: str | Column) -> Column:
     """Language by script; scripts holding over a fifth of the letters join with ``+``."""
     text = F.col(column) if isinstance(column, str) else column
     text = F.coalesce(text, F.lit(""))
-    han = _count(text, r"[一-鿿]").cast("double")
-    latin = _count(text, r"[A-Za-zÀ-ɏ]").cast("double")
-    simplified = _count(text, f"[{SIMPLIFIED_ONLY}]").cast("double")
-    traditional = _count(text, f"[{TRADITIONAL_ONLY}]").cast("double")
-    letters, marked = han + latin, simplified + traditional
-    use_han = (letters > 0) & (han > letters * MIX_SHARE)
-    use_latin = (letters > 0) & (latin > letters * MIX_SHARE)
-    use_traditional = use_han & (traditional > marked * MIX_SHARE)
-    use_simplified = use_han & ((simplified > marked * MIX_SHARE) | (marked == 0))
-    named = F.concat_ws(
-        "+",
-        F.when(use_traditional, TRADITIONAL),
-        F.when(use_simplified, SIMPLIFIED),
-        F.when(use_latin, ENGLISH),
+    counts = F.struct(
+        _count(text, f"{HAN}+").alias("han"),
+        _count(text, f"{LATIN}+").alias("latin"),
+        _count(text, f"[{SIMPLIFIED_ONLY}]+").alias("simplified"),
+        _count(text, f"[{TRADITIONAL_ONLY}]+").alias("traditional"),
     )
-    return F.when(named == "", "N/A").otherwise(named)
+
+    def name(n: Column) -> Column:
+        least = (n.han + n.latin) * MIX_SHARE
+        marked = n.simplified + n.traditional
+        return F.concat_ws(
+            "+",
+            F.when((n.han > least) & (n.traditional > marked * MIX_SHARE), TRADITIONAL),
+            F.when(
+                (n.han > least) & ((n.simplified > marked * MIX_SHARE) | (marked == 0)),
+                SIMPLIFIED,
+            ),
+            F.when(n.latin > least, ENGLISH),
+        )
+
+    # Most texts hold no Han at all: one look decides them, nothing is counted.
+    mixed = let(let(counts, name), lambda v: F.when(v == "", "N/A").otherwise(v))
+    return F.when(text.rlike(HAN), mixed).when(text.rlike(LATIN), ENGLISH).otherwise("N/A")
 
 
 def _near_language_heading():
@@ -69,8 +82,6 @@ def language_headings(cells: DataFrame, value: str = "value") -> DataFrame:
     Only what neither equals nor contains a language word reaches Python, and
     each distinct text does so once.
     """
-    from runassay.functions.text import cell
-
     ship_package(cells.sparkSession)
     near = _near_language_heading()
     words = cells.select(cell(value).alias("word")).where(F.col("word") != "").distinct()

@@ -15,8 +15,16 @@ CITATION = r"\[\d+\]"
 ID_CELL = r'^[\d\s",]+$'
 # ---- end of fixed values ----
 
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    + "".join(chr(c) for c in range(0x2000, 0x200B))
+    + "\u2028\u2029\u202f\u205f\u3000"
+)
 NUMBER = r"(?i)^\s*[+-]?((\d+(\.\d*)?|\.\d+)(e[+-]?\d+)?|inf|infinity)\s*$"
-REFERENCE = r"(?i)(https?://|www\.|references?:|sources?:|参考|參考|来源|來源)"
+REFERENCE_WORDS = [
+    "http://", "https://", "www.", "reference:", "references:", "source:", "sources:",
+    "参考", "參考", "来源", "來源",
+]
 LEADING_DOTS_ONLY = r"^[.]+[^.]*$"
 
 
@@ -26,7 +34,7 @@ def _c(column: str | Column) -> Column:
 
 def stripped(column: str | Column) -> Column:
     """Both ends without white space of any kind."""
-    return F.regexp_replace(_c(column), r"(?U)^\s+|\s+$", "")
+    return F.trim(_c(column), F.lit(WHITE_SPACE))
 
 
 def cell(column: str | Column) -> Column:
@@ -70,7 +78,7 @@ def seconds(column: str | Column) -> Column:
     return F.when(bare.rlike(NUMBER), bare.try_cast("double"))
 
 
-def _let(value: Column, use) -> Column:
+def let(value: Column, use) -> Column:
     """``use(value)`` with ``value`` computed once, however often ``use`` names it."""
     return F.element_at(F.transform(F.array(value), use), 1)
 
@@ -93,7 +101,7 @@ def fixed_point(value: Column, digits: int) -> Column:
 
     def rounded(v: Column) -> Column:
         low = F.floor(v * float(scale))
-        return _let(
+        return let(
             _side_of_tie(v, low, 2.0 * scale),
             lambda side: F.when(side < 0, low)
             .when(side > 0, low + 1)
@@ -106,7 +114,7 @@ def fixed_point(value: Column, digits: int) -> Column:
         return F.concat(whole, F.lit("."), F.lpad(part, digits, "0"))
 
     sign = F.when(value < 0, "-").otherwise("")
-    return F.concat(sign, _let(_let(F.abs(value), rounded), text))
+    return F.concat(sign, let(let(F.abs(value), rounded), text))
 
 
 def share(count: str | Column, total: str | Column) -> Column:
@@ -120,9 +128,12 @@ def percent(count: str | Column, total: str | Column) -> Column:
 
 def json_body(column: str | Column) -> Column:
     """First ``{`` to last ``}``, or null where that is not one JSON object."""
-    body = F.regexp_extract(_c(column), JSON_BODY, 1)
-    listed = F.json_array_length(F.concat(F.lit("["), body, F.lit("]")))
-    return F.when((body != "") & (listed == 1), body)
+
+    def if_one(body: Column) -> Column:
+        listed = F.json_array_length(F.concat(F.lit("["), body, F.lit("]")))
+        return F.when((body != "") & (listed == 1), body)
+
+    return let(F.regexp_extract(_c(column), JSON_BODY, 1), if_one)
 
 
 def block(column: str | Column, number: int) -> Column:
@@ -159,7 +170,13 @@ def has_citation(column: str | Column) -> Column:
 
 
 def has_reference(column: str | Column) -> Column:
-    return F.coalesce(_c(column).rlike(REFERENCE), F.lit(False))
+    def any_of(text: Column) -> Column:
+        hit = F.lit(False)
+        for word in REFERENCE_WORDS:
+            hit = hit | text.contains(word)
+        return hit
+
+    return F.coalesce(let(F.lower(_c(column)), any_of), F.lit(False))
 
 
 def text_length(column: str | Column) -> Column:

@@ -10,6 +10,9 @@ from runassay.functions import flags
 from runassay.functions.text import seconds
 
 
+OUTCOMES = ["crash", "timeout", "failed", "pass"]
+
+
 def fan_out(tasks: DataFrame, envs: DataFrame, n: int = S.MAX_ENVIRONMENTS) -> DataFrame:
     """Each task once per environment, for the first ``n`` environments by ``pos``.
 
@@ -34,12 +37,8 @@ def compare_envs(results: DataFrame, env_a: str, env_b: str) -> DataFrame:
     outer join of two slices.
     """
     failed = flags.is_failed()
-    outcome = (
-        F.when(flags.is_crash(), "crash")
-        .when(flags.is_timeout(), "timeout")
-        .when(failed, "failed")
-        .otherwise("pass")
-    )
+    # As a number, so that the aggregation keeps fixed-width buffers and hashes.
+    outcome = F.when(flags.is_crash(), 1).when(flags.is_timeout(), 2).when(failed, 3).otherwise(4)
     t = seconds("completion_time")
     sides = results.where(F.col("env").isin(env_a, env_b)).select(
         "run_date", "label", "env", outcome.alias("_outcome"), t.alias("_seconds")
@@ -48,11 +47,17 @@ def compare_envs(results: DataFrame, env_a: str, env_b: str) -> DataFrame:
     def of(env: str, column: str):
         return F.max(F.when(F.col("env") == env, F.col(column)))
 
+    def name(code):
+        named = F.lit(None).cast("string")
+        for number, outcome in enumerate(OUTCOMES, start=1):
+            named = F.when(code == number, outcome).otherwise(named)
+        return named
+
     return (
         sides.groupBy("run_date", "label")
         .agg(
-            of(env_a, "_outcome").alias("outcome_a"),
-            of(env_b, "_outcome").alias("outcome_b"),
+            name(of(env_a, "_outcome")).alias("outcome_a"),
+            name(of(env_b, "_outcome")).alias("outcome_b"),
             of(env_a, "_seconds").alias("seconds_a"),
             of(env_b, "_seconds").alias("seconds_b"),
         )

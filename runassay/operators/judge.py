@@ -175,17 +175,18 @@ def parse_verdict(replies: DataFrame, reply: str = "reply") -> DataFrame:
         "reference_link": F.lit("N/A"),
         "document_contain_citations": F.lit("None"),
     }
-    parsed = replies.withColumn("_body", body).withColumn(
-        "_verdict", F.from_json("_body", S.VERDICT)
+    # One generator call reads all fields, so each reply is parsed once.
+    parsed = replies.withColumn("_body", body).select(
+        "*", F.json_tuple("_body", *S.VERDICT_FIELDS).alias(*[f"_{f}" for f in S.VERDICT_FIELDS])
     )
     return parsed.withColumns(
         {
             field: F.when(F.col("_body").isNull(), failed[field]).otherwise(
-                F.coalesce(F.col(f"_verdict.{field}"), F.lit(default))
+                F.coalesce(F.col(f"_{field}"), F.lit(default))
             )
             for field, default in S.VERDICT_FIELDS.items()
         }
-    ).drop("_body", "_verdict")
+    ).drop("_body", *[f"_{f}" for f in S.VERDICT_FIELDS])
 
 
 def judge(
