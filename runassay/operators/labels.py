@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runassay import schema as S
@@ -17,17 +17,26 @@ def crash_kinds(results: DataFrame, by=S.RUN_KEYS) -> DataFrame:
 
 def timeout_kinds(results: DataFrame, by=S.RUN_KEYS) -> DataFrame:
     """Long form (run, kind, label): a row may be both a total and a generation timeout."""
-    kinds = F.array_compact(
-        F.array(
-            F.when(~flags.is_timeout(), "no_timeout"),
-            F.when(flags.is_timeout(), "timeout"),
-            F.when(flags.is_total_timeout(), "total_timeout"),
-            F.when(flags.is_generation_timeout(), "gen_timeout"),
-        )
-    )
+    kinds = F.array_compact(F.array(*_timeouts()))
     return results.select(*by, F.explode(kinds).alias("kind"), "label")
 
 
+def _timeouts() -> list[Column]:
+    return [
+        F.when(~flags.is_timeout(), "no_timeout"),
+        F.when(flags.is_timeout(), "timeout"),
+        F.when(flags.is_total_timeout(), "total_timeout"),
+        F.when(flags.is_generation_timeout(), "gen_timeout"),
+    ]
+
+
+def listed_kinds(results: DataFrame, by=S.RUN_KEYS) -> DataFrame:
+    """Crash and timeout kinds together, one scan."""
+    return results.select(
+        *by, F.explode(F.array_compact(F.array(F.when(flags.is_crash(), "crash"), *_timeouts()))).alias("kind"), "label"
+    )
+
+
 def crash_split(results: DataFrame, by=S.RUN_KEYS) -> DataFrame:
     """Has/no crash counts with shares of all tests."""
     counted = results.groupBy(*by).agg(

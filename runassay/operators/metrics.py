@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runassay import schema as S
@@ -10,7 +10,7 @@ from runassay.functions import flags
 from runassay.functions.text import percent, seconds, share
 
 
-def _n(condition) -> F.Column:
+def _n(condition: Column) -> Column:
     return F.count_if(condition)
 
 
@@ -51,10 +51,10 @@ def pass_counts(results: DataFrame, by=S.RUN_KEYS) -> DataFrame:
     )
 
 
-def _over_valid(metrics: DataFrame, by, good: str, bad: str) -> DataFrame:
+def _over_valid(metrics: DataFrame, by, good: str, bad: str, *more: str) -> DataFrame:
     base = F.greatest(F.col("valid"), F.lit(1))
     return metrics.select(
-        *by, "valid", good, bad,
+        *by, "valid", good, bad, *more,
         share(F.col(good), base).alias(f"{good}_share"),
         percent(F.col(good), base).alias(f"{good}_pct"),
         percent(F.col(bad), base).alias(f"{bad}_pct"),
@@ -70,20 +70,13 @@ def reference_counts(results: DataFrame, by=S.RUN_KEYS) -> DataFrame:
 
     ``ref_passed_strict`` counts valid rows only.
     """
-    return _over_valid(run_metrics(results, by), by, "ref_passed", "ref_failed").join(
-        _strict(results, by, flags.is_reference_pass(), "ref_passed_strict"), list(by)
+    return _over_valid(
+        run_metrics(results, by), by, "ref_passed", "ref_failed", "ref_passed_strict"
     )
 
 
 def citation_counts(results: DataFrame, by=S.RUN_KEYS) -> DataFrame:
-    return _over_valid(run_metrics(results, by), by, "doc_passed", "doc_none").join(
-        _strict(results, by, flags.is_document_pass(), "doc_passed_strict"), list(by)
-    )
-
-
-def _strict(results: DataFrame, by, passed, name: str) -> DataFrame:
-    valid = ~flags.is_timeout() & ~flags.is_crash()
-    return results.groupBy(*by).agg(_n(passed & valid).alias(name))
+    return _over_valid(run_metrics(results, by), by, "doc_passed", "doc_none", "doc_passed_strict")
 
 
 def response_times(results: DataFrame, by=S.RUN_KEYS) -> DataFrame:
@@ -100,10 +93,11 @@ def response_times(results: DataFrame, by=S.RUN_KEYS) -> DataFrame:
     )
 
 
-def run_metrics(results: DataFrame, by=S.RUN_KEYS) -> DataFrame:
-    """Every number of the report in one pass over the results."""
+def run_metrics(results: DataFrame, by=S.RUN_KEYS, *more: Column) -> DataFrame:
+    """Every number of the report, and ``more`` aggregates, in one pass over the results."""
     t = seconds("completion_time")
     timeout, crash = flags.is_timeout(), flags.is_crash()
+    valid = ~timeout & ~crash
     zero = F.lit(0.0)
     counted = results.groupBy(*by).agg(
         F.count(F.lit(1)).alias("total"),
@@ -114,12 +108,15 @@ def run_metrics(results: DataFrame, by=S.RUN_KEYS) -> DataFrame:
         _n(flags.is_language_failed()).alias("lang_failed"),
         _n(flags.is_reference_pass()).alias("ref_passed"),
         _n(flags.is_document_pass()).alias("doc_passed"),
+        _n(flags.is_reference_pass() & valid).alias("ref_passed_strict"),
+        _n(flags.is_document_pass() & valid).alias("doc_passed_strict"),
         _n(flags.is_total_timeout()).alias("total_timeouts"),
         _n(flags.is_generation_timeout()).alias("gen_timeouts"),
         F.count(t).alias("timed"),
         F.coalesce(F.min(t), zero).alias("fastest"),
         F.coalesce(F.max(t), zero).alias("slowest"),
         F.coalesce(F.avg(t), zero).alias("mean"),
+        *more,
     )
     return counted.withColumn("valid", _valid()).withColumns(
         {

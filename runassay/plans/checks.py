@@ -401,6 +401,8 @@ CHECKS["a14_env_report"] = RESULTS + """, e0 AS (SELECT env, count(*) AS total,
 count(*) FILTER (is_crash) AS crashes, count(*) FILTER (is_timeout AND is_crash) AS overlap,
 count(*) FILTER (is_failed) AS failed, count(*) FILTER (is_lang_failed) AS lang_failed,
 count(*) FILTER (is_ref) AS ref_passed, count(*) FILTER (is_doc) AS doc_passed,
+count(*) FILTER (is_ref AND NOT is_timeout AND NOT is_crash) AS ref_passed_strict,
+count(*) FILTER (is_doc AND NOT is_timeout AND NOT is_crash) AS doc_passed_strict,
 count(*) FILTER (is_total) AS total_timeouts, count(*) FILTER (is_gen) AS gen_timeouts, count(secs) AS timed,
 coalesce(min(secs), 0) AS fastest, coalesce(max(secs), 0) AS slowest, round(coalesce(avg(secs), 0), 6) AS mean
 FROM f GROUP BY env), e1 AS (SELECT *, greatest(total - timeouts - crashes, 0) AS valid FROM e0)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runassay import schema as S
@@ -133,17 +133,19 @@ def _items(metrics: DataFrame, website: str, generated: str) -> DataFrame:
     return items.withColumn("pct", pct).drop("part", "whole")
 
 
-def _first_labels(results: DataFrame) -> DataFrame:
-    def least(condition):
-        return F.min(F.when(condition, F.col("label")))
+def _first_labels() -> list[Column]:
+    """The least label of every listed kind: it tells which line of a list is the first."""
 
-    return results.groupBy(*S.RUN_KEYS).agg(
-        least(flags.is_crash()).alias("crash_from"),
-        least(~flags.is_timeout()).alias("no_timeout_from"),
-        least(flags.is_timeout()).alias("timeout_from"),
-        least(flags.is_total_timeout()).alias("total_timeout_from"),
-        least(flags.is_generation_timeout()).alias("gen_timeout_from"),
-    )
+    def least(condition: Column, kind: str) -> Column:
+        return F.min(F.when(condition, F.col("label"))).alias(f"{kind}_from")
+
+    return [
+        least(flags.is_crash(), "crash"),
+        least(~flags.is_timeout(), "no_timeout"),
+        least(flags.is_timeout(), "timeout"),
+        least(flags.is_total_timeout(), "total_timeout"),
+        least(flags.is_generation_timeout(), "gen_timeout"),
+    ]
 
 
 def _finish(df: DataFrame) -> DataFrame:
@@ -170,7 +172,7 @@ def summary_report(
     """
     line_no = lambda c: F.floor(F.col(c) / IDS_PER_LINE).cast("bigint")
     # One row per run: written once, then read by the items and by the cluster shares.
-    metrics = pin(run_metrics(results).join(_first_labels(results), S.RUN_KEYS), "run-metrics")
+    metrics = pin(run_metrics(results, S.RUN_KEYS, *_first_labels()), "run-metrics")
     items = _items(metrics, website, generated).withColumn("sort_key", F.lit(""))
     listed = F.col("kind").isNotNull() & F.col("first_label").isNotNull()
     plain = items.where(~listed).withColumns(
@@ -182,11 +184,10 @@ def summary_report(
     heads = items.where(listed).select(
         *S.RUN_KEYS, "kind", line_no("first_label").alias("line"), "item", "value", "pct"
     )
-    kinds = labels.crash_kinds(results).unionByName(labels.timeout_kinds(results))
     place = {k: F.lit(v[0]) for k, v in LIST_PLACES.items()}
     order = {k: F.lit(v[1]) for k, v in LIST_PLACES.items()}
     lists = (
-        labels.label_lines(kinds)
+        labels.label_lines(labels.listed_kinds(results))
         .join(heads, [*S.RUN_KEYS, "kind", "line"], "left")
         .withColumns(
             {
@@ -226,15 +227,23 @@ def summary_report(
 
 
 def _cluster_rows(clusters: DataFrame, metrics: DataFrame, section: int) -> DataFrame:
-    counted = labels.cluster_counts(clusters, metrics)
+    """Label lines per issue; the counts come from the lines, not from another scan."""
     lines = labels.cluster_lines(clusters)
-    first = lines.groupBy(*S.RUN_KEYS, "issue").agg(F.min("line").alias("line"))
-    heads = counted.join(first, [*S.RUN_KEYS, "issue"]).select(
-        *S.RUN_KEYS, "issue", "line", F.col("issue").alias("item"),
-        F.col("n").cast("string").alias("value"), "pct",
+    issues = lines.groupBy(*S.RUN_KEYS, "issue").agg(
+        F.min("line").alias("_first"), F.sum("n").alias("_n")
     )
-    return lines.drop("n").join(heads, [*S.RUN_KEYS, "issue", "line"], "left").withColumns(
-        {"section_ord": F.lit(section), "ord": F.lit(3), "sort_key": F.col("issue")}
+    totals = metrics.select(*S.RUN_KEYS, "total")
+    counted = lines.join(issues.join(totals, S.RUN_KEYS), [*S.RUN_KEYS, "issue"])
+    head = F.col("line") == F.col("_first")
+    return counted.withColumns(
+        {
+            "item": F.when(head, F.col("issue")),
+            "value": F.when(head, F.col("_n").cast("string")),
+            "pct": F.when(head, percent("_n", "total")),
+            "section_ord": F.lit(section),
+            "ord": F.lit(3),
+            "sort_key": F.col("issue"),
+        }
     )
 
 

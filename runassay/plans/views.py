@@ -109,8 +109,12 @@ def results(
     texts: bool = False,
 ) -> DataFrame:
     """One result per event; joins and numbering only where a query needs them."""
-    events = table(spark, sf_dir, "events")
-    out = _rules(_rules(events, RUN_RULES), EVENT_RULES)
+    events = table(spark, sf_dir, "events").drop("props")
+    out = _rules(events, RUN_RULES)
+    if labels:
+        # Numbered while narrow: the texts are derived from what was written.
+        out = number_rows(out, ["run_date", "env"], ["ts", "event_id"], name="label")
+    out = _rules(out, EVENT_RULES)
     if ratings or language or texts:
         documents = table(spark, sf_dir, "documents")
         size = documents.select(F.count(F.lit(1))).scalar()
@@ -119,8 +123,6 @@ def results(
         marks = table(spark, sf_dir, "labels")
         out = out.join(marks, "doc_id", "left")
         out = _rules(out, {"tester_expectation": RATING_RULE}).drop("quality", "toxic")
-    if labels:
-        out = number_rows(out, ["run_date", "env"], ["ts", "event_id"], name="label")
     if language or texts:
         wanted = ["doc_id", *(["lang"] if language else []), *(["text"] if texts else [])]
         out = out.join(documents.select(*wanted), "doc_id")

@@ -36,51 +36,72 @@ def read_grid(spark, path: str) -> DataFrame:
     ).where(F.col("value").isNotNull())
 
 
+def sheet_rows(grid: DataFrame) -> DataFrame:
+    """One row per sheet row with its cells by column number.
+
+    Cells meet on (path, row_no), never on the path alone, so one large sheet
+    is spread like many small ones.
+    """
+    return grid.groupBy("path", "row_no").agg(
+        F.map_from_entries(F.collect_list(F.struct("col_no", "value"))).alias("cells")
+    )
+
+
 def infer_header(grid: DataFrame) -> DataFrame:
-    """One header row per sheet: the first row with a request or file heading."""
-    word = cell("value")
-    request = F.when(word == S.REQUEST_HEADING, F.col("col_no"))
-    file = F.when(word.isin(S.FILE_HEADINGS), F.col("col_no"))
-    agent = F.when(word == S.AGENT_HEADING, F.col("col_no"))
-    anchors = grid.where((word == S.REQUEST_HEADING) | word.isin(S.FILE_HEADINGS))
-    first = anchors.groupBy("path").agg(F.min("row_no").alias("row_no"))
-
-    heads = grid.join(first, ["path", "row_no"]).withColumn("word", word)
-    known = [S.REQUEST_HEADING, S.AGENT_HEADING, *S.FILE_HEADINGS]
-    other = heads.where((F.col("word") != "") & ~F.col("word").isin(known))
-    languages = (
-        other.join(language_headings(other).where("is_language"), "word", "left_semi")
-        .groupBy("path")
-        .agg(F.max("col_no").alias("lang_col"))
+    """One header row per sheet: the first row with a request or file heading.
+
+    The first anchored row travels with its cells through the aggregation, so
+    only header rows, one per sheet, are looked at cell by cell.
+    """
+    anchors = [S.REQUEST_HEADING, *S.FILE_HEADINGS]
+    anchored = sheet_rows(grid).where(
+        F.exists(F.map_values("cells"), lambda v: cell(v).isin(anchors))
     )
-    plain = heads.groupBy("path", "row_no").agg(
-        F.max(request).alias("req_col"),
-        F.max(file).alias("file_col"),
-        F.max(agent).alias("agent_col"),
+    first = anchored.groupBy("path").agg(
+        F.min("row_no").alias("row_no"), F.min_by("cells", "row_no").alias("cells")
+    )
+    heads = first.select("path", "row_no", F.explode("cells").alias("col_no", "value")).select(
+        "path", "row_no", "col_no", cell("value").alias("word")
+    )
+    known = [*anchors, S.AGENT_HEADING]
+    other = F.when((F.col("word") != "") & ~F.col("word").isin(known), F.col("word"))
+    languages = language_headings(heads.select(other.alias("value"))).where("is_language")
+    named = heads.join(
+        languages.withColumnRenamed("word", "_word"), other == F.col("_word"), "left"
+    )
+
+    def last(condition):
+        return F.max(F.when(condition, F.col("col_no")))
+
+    word = F.col("word")
+    return named.groupBy("path", "row_no").agg(
+        last(word == S.REQUEST_HEADING).alias("req_col"),
+        last(word.isin(S.FILE_HEADINGS)).alias("file_col"),
+        last(word == S.AGENT_HEADING).alias("agent_col"),
+        last(F.col("is_language")).alias("lang_col"),
     )
-    return plain.join(languages, "path", "left")
 
 
 def read_testcases(grid: DataFrame, header: DataFrame) -> DataFrame:
     """Stripped rows below the header that have a request or a file name."""
-    body = grid.join(
+    body = sheet_rows(grid).join(
         header.withColumnRenamed("row_no", "header_row"), "path"
     ).where(F.col("row_no") > F.col("header_row"))
 
     def at(column: str):
-        value = F.max(F.when(F.col("col_no") == F.col(column), stripped("value")))
-        return F.coalesce(value, F.lit(""))
-
-    return (
-        body.groupBy("path", "row_no")
-        .agg(
-            at("req_col").alias("request"),
-            at("file_col").alias("filename"),
-            at("agent_col").alias("agent"),
-            at("lang_col").alias("language"),
+        value = F.try_element_at("cells", F.col(column))
+        return F.when(F.col(column).isNull(), "").otherwise(
+            F.coalesce(stripped(value), F.lit(""))
         )
-        .where((F.col("request") != "") | (F.col("filename") != ""))
-    )
+
+    return body.select(
+        "path",
+        "row_no",
+        at("req_col").alias("request"),
+        at("file_col").alias("filename"),
+        at("agent_col").alias("agent"),
+        at("lang_col").alias("language"),
+    ).where((F.col("request") != "") | (F.col("filename") != ""))
 
 
 def assign_labels(testcases: DataFrame, by: str = "path", order: str = "row_no") -> DataFrame:
