@@ -80,11 +80,14 @@ def cluster_examples(results: DataFrame, rules: dict[str, str] = ISSUE_RULES) ->
 
 def ask_for_blocks(
     lines: DataFrame,
-    open_backend: Callable[[], Callable[[list[str]], str]],
+    open_backend: Callable[[], Callable[[str, list[str]], str]],
+    topic: str = "evaluations",
     lines_per_call: int = LINES_PER_CALL,
 ) -> DataFrame:
     """Reply per run and part: every line is sent, in parts of at most ``lines_per_call``.
 
+    The backend gets the topic (evaluations, languages or observations) and the lines.
+
     Parts follow the label, so a run of any size becomes many small groups;
     the issues of all parts merge when the ids are counted. A failed call
     yields a null reply.
@@ -98,7 +101,7 @@ def ask_for_blocks(
 
     def call(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         try:
-            reply = open_backend()(rows.sort_values("label")["text"].tolist())
+            reply = open_backend()(topic, rows.sort_values("label")["text"].tolist())
         except Exception:
             reply = None
         return pd.DataFrame([(*key, reply)], columns=schema.names)

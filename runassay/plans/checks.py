@@ -497,6 +497,19 @@ CHECKS["x6_examples"] = RESULTS + f""", hits AS ({RULE_HITS}) SELECT run_date, e
 FROM hits GROUP BY run_date, env, issue"""
 CHECKS["x7_blocks"] = RESULTS + """SELECT run_date, env, concat('Score ', substring(evaluation, 7)) AS issue, count(*) AS n
 FROM f WHERE is_evaluable GROUP BY ALL"""
+INSIGHT = RESULTS + f""", hits AS (
+SELECT run_date, env, 3 AS section_ord, concat('Score ', substring(evaluation, 7)) AS issue, label AS id FROM f WHERE is_evaluable
+UNION ALL SELECT run_date, env, 5, concat(input_language, ' to ', output_language), label FROM (
+  SELECT *, row_number() OVER (PARTITION BY run_date, env ORDER BY label) AS k FROM f WHERE lang_text AND NOT is_timeout) WHERE k <= 50),
+i0 AS ({_lines("hits", "run_date, env, section_ord, issue", "id")}),
+i1 AS (SELECT *, min(line) OVER (PARTITION BY run_date, env, section_ord, issue) AS first,
+  CAST(sum(n) OVER (PARTITION BY run_date, env, section_ord, issue) AS BIGINT) AS all_n FROM i0)
+"""
+CHECKS["x6_insight"] = INSIGHT + f"""SELECT i.run_date, i.env, section_ord, 3 AS ord, issue AS sort_key, line,
+CASE section_ord WHEN 3 THEN '{R.SECTIONS[3]}' ELSE '{R.SECTIONS[5]}' END AS section,
+CASE WHEN line = first THEN issue END AS item, CASE WHEN line = first THEN CAST(all_n AS STRING) END AS value,
+CASE WHEN line = first THEN {_pct('all_n', 'total')} END AS pct, ids
+FROM i1 i JOIN m ON m.run_date = i.run_date AND m.env = i.env"""
 _STAND_INS = " UNION ALL ".join(
     f"SELECT {n} AS block, '{name}' AS name, '{stand_in.format(API_FAILED)}' AS api, "
     f"'{stand_in.format(PARSING_FAILED)}' AS parsing"

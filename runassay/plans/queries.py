@@ -750,26 +750,46 @@ def x9_prompt(spark, sf):
     )
 
 
-def score_backend():
-    """A model stand-in: groups labelled lines by their score and replies in blocks."""
+def grouping_backend():
+    """A model stand-in: groups labelled lines by what they say and replies in blocks."""
     import re
 
-    def reply(lines: list[str]) -> str:
+    def table(number: int, title: str, heading: str, groups: dict[str, list[str]]) -> str:
+        rows = [f"{name},{', '.join(ids)},seen {name}" for name, ids in sorted(groups.items())]
+        body = "\n".join([f"{title},,,", f"{heading},Matching Test IDs,Example", *rows])
+        return f"---BLOCK{number}_START---\n{body}\n---BLOCK{number}_END---\n"
+
+    def reply(topic: str, lines: list[str]) -> str:
+        if topic == "observations":
+            rows = "\n".join(f"Observed,{line.replace(',', ';')}" for line in lines)
+            return f"---BLOCK3_START---\nKey Observations,,,\n{rows}\n---BLOCK3_END---"
         groups: dict[str, list[str]] = {}
         for line in lines:
-            found = re.match(r"\[Test ID: (\d+)\] Eval: score (\d+)", line)
-            groups.setdefault(f"Score {found[2]}", []).append(found[1])
-        rows = [f"{issue},{', '.join(ids)},seen {issue}" for issue, ids in sorted(groups.items())]
-        head = 'Failure Reason Breakdown,,,\n"One test, many issues",,,\n'
-        body = head + "Failure / Issue Type,Matching Test IDs,Example\n" + "\n".join(rows)
-        return f"---BLOCK1_START---\n{body}\n---BLOCK1_END---\n"
+            if topic == "evaluations":
+                found = re.match(r"\[Test ID: (\d+)\] Eval: score (\d+)", line)
+                groups.setdefault(f"Score {found[2]}", []).append(found[1])
+            else:
+                found = re.match(r"\[Test ID: (\d+)\] Input: (\w+), Output: (\S+)", line)
+                groups.setdefault(f"{found[2]} to {found[3]}", []).append(found[1])
+        if topic == "evaluations":
+            return table(1, "Failure Reason Breakdown", "Failure / Issue Type", groups)
+        return table(2, "Language Issue Breakdown", "Language Problem Type", groups)
 
     return reply
 
 
 def _replies(spark, sf) -> DataFrame:
     rows = V.results(spark, sf, labels=True).withColumn("answer", F.lit("an answer"))
-    return insight.ask_for_blocks(insight.evaluable(rows), score_backend)
+    return insight.ask_for_blocks(insight.evaluable(rows), grouping_backend)
+
+
+@query
+def x6_insight(spark, sf):
+    """The report whose issues, language problems and observations come from a model."""
+    rows = V.results(spark, sf, ratings=True, language=True, labels=True).withColumn(
+        "answer", F.lit("an answer")
+    )
+    return R.insight_report(rows, grouping_backend).where("section_ord IN (3, 5) AND ord = 3")
 
 
 @query

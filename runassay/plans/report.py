@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from runassay.functions import flags
 from runassay.functions.text import fixed_point, percent
 from runassay.operators import insight, labels
 from runassay.operators.metrics import run_metrics
-from runassay.scale import IDS_PER_LINE, pin
+from runassay.scale import IDS_PER_LINE, number_rows, pin
 from runassay.sources.reports import LINE_ORDER
 
 COLUMNS = [*S.RUN_KEYS, *LINE_ORDER, "section", "item", "value", "pct", "ids"]
@@ -162,11 +164,13 @@ def summary_report(
     observations: DataFrame | None = None,
     website: str = "",
     generated: str = "",
+    notes: dict[int, DataFrame] | None = None,
 ) -> DataFrame:
     """All sections of all runs, ordered by (section_ord, ord, sort_key, line).
 
     ``clusters`` and ``language_clusters`` are long (run, issue, id); without
-    the first the rules make it. ``observations`` is (run, item, value).
+    the first the rules make it. ``observations`` and ``notes`` per section are
+    (run, part, line, item, value).
     Label lists come in lines of bounded length: a list's first line carries
     item, count and share, further lines only labels.
     """
@@ -214,18 +218,23 @@ def summary_report(
     for section, found in ((3, clusters), (5, language_clusters)):
         if found is not None:
             parts.append(_cluster_rows(found, metrics, section))
+    notes = dict(notes or {})
     if observations is not None:
-        parts.append(
-            observations.select(
-                *S.RUN_KEYS, F.lit(10).alias("section_ord"), F.lit(3).alias("ord"),
-                F.col("item").alias("sort_key"), F.lit(0).cast("bigint").alias("line"),
-                "item", "value", F.lit(None).cast("string").alias("pct"),
-                F.lit(None).cast("string").alias("ids"),
-            )
-        )
+        notes[10] = observations
+    parts += [_note_rows(said, section) for section, said in notes.items()]
     return concat_sections(*parts)
 
 
+def _note_rows(notes: DataFrame, section: int) -> DataFrame:
+    none = F.lit(None).cast("string")
+    return notes.select(
+        *S.RUN_KEYS, F.lit(section).alias("section_ord"), F.lit(4).alias("ord"),
+        F.lpad(F.col("part").cast("string"), 12, "0").alias("sort_key"),
+        F.col("line").cast("bigint").alias("line"),
+        "item", "value", none.alias("pct"), none.alias("ids"),
+    )
+
+
 def _cluster_rows(clusters: DataFrame, metrics: DataFrame, section: int) -> DataFrame:
     """Label lines per issue; the counts come from the lines, not from another scan."""
     lines = labels.cluster_lines(clusters)
@@ -247,6 +256,47 @@ def _cluster_rows(clusters: DataFrame, metrics: DataFrame, section: int) -> Data
     )
 
 
+def insight_report(
+    results: DataFrame,
+    open_backend: Callable[[], Callable[[str, list[str]], str]],
+    website: str = "",
+    generated: str = "",
+) -> DataFrame:
+    """The report with issues, language problems and observations from a model.
+
+    Evaluations go out in parts of bounded size, language samples in one part
+    per run; the observations are asked for once the issues are counted.
+    Replies are written before they are read, so no step calls the model again.
+    """
+    evaluations = _replies(insight.evaluable(results), open_backend, "evaluations", 1)
+    languages = _replies(insight.language_samples(results), open_backend, "languages", 2)
+    clusters, problems = insight.cluster_ids(evaluations), insight.cluster_ids(languages)
+    counts = labels.cluster_counts(clusters, run_metrics(results))
+    text = F.concat_ws(" ", "issue", F.concat(F.col("n").cast("string"), F.lit(" of"),
+                                             F.lit(" "), F.col("total").cast("string")))
+    lines = number_rows(counts, S.RUN_KEYS, ["n", "issue"], name="label")
+    observed = _replies(lines.withColumn("text", text), open_backend, "observations", 3)
+    return summary_report(
+        results, clusters, problems, _notes(observed), website, generated,
+        notes={3: _notes(evaluations), 5: _notes(languages)},
+    )
+
+
+def _replies(lines: DataFrame, open_backend, topic: str, block: int) -> DataFrame:
+    replies = pin(insight.ask_for_blocks(lines, open_backend, topic), topic)
+    wanted = insight.blocks_of(replies).where(F.col("block") == block)
+    return insight.block_rows(wanted)
+
+
+def _notes(rows: DataFrame) -> DataFrame:
+    """Rows of a block that list no tests, without the block's own title."""
+    said = rows.where((F.col("kind") == "text") & (F.col("first") != F.col("name")))
+    return said.select(
+        *S.RUN_KEYS, "part", F.col("row_no").alias("line"), F.col("first").alias("item"),
+        F.rtrim(F.array_join("texts", ","), F.lit(",")).alias("value"),
+    )
+
+
 def concat_sections(*parts: DataFrame) -> DataFrame:
     """Sections under one another; their order is in the columns, not in the rows."""
     wanted = [c for c in COLUMNS if c != "section"]

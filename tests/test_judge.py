@@ -106,7 +106,7 @@ def test_replies_in_parts_cover_every_line(spark):
                                         F.col("id").alias("label"), F.concat(F.lit("line "), "id").alias("text"))
 
     def backend():
-        def reply(part):
+        def reply(topic, part):
             if "line 1" in part:
                 raise RuntimeError("down")
             ids = ",".join(x.split()[1] for x in part)

@@ -108,6 +108,25 @@ def test_long_lists_continue_on_further_lines(spark):
     assert [int(x) for r in got for x in r.ids.split(", ")] == list(range(1, 2501))
 
 
+def test_report_from_a_model(spark):
+    def backend():
+        def reply(topic, lines):
+            if topic == "observations":
+                return "---BLOCK3_START---\nKey Observations,,,\nCount," + str(len(lines)) + "\n---BLOCK3_END---"
+            if topic == "languages":
+                return "no blocks here"
+            return '---BLOCK1_START---\nIssue,Matching Test IDs,Example\nBad,"1, 3",x\nWorse,2,y\n---BLOCK1_END---'
+        return reply
+
+    df = rows(spark, {}, dict(language_status="Failed"), {})
+    got = R.insight_report(df, backend).where("ord > 2 AND section_ord IN (3, 5, 10)")
+    assert sorted((r.section_ord, r.item, r.value, r.ids) for r in got.collect()) == [
+        (3, "Bad", "2", "1, 3"), (3, "Worse", "1", "2"),
+        (5, "Common Language Problems", "", None), (5, "Error", "Parsing Failed", None),
+        (5, "Problem", "Example", None), (10, "Count", "2", None),
+    ]
+
+
 def test_cluster_counts(spark):
     ids = [("x", i) for i in (10, 2, 7, 2)] + [("y", 99)]
     clusters = spark.createDataFrame(ids, "issue string, id long").select(
