@@ -73,7 +73,8 @@ def _near_language_heading():
             )
         return words.map(lambda w: seen.get(w, False))
 
-    return near
+    # Else a filter on the result would be pushed below the distinct and call it again.
+    return near.asNondeterministic()
 
 
 def language_headings(cells: DataFrame, value: str = "value") -> DataFrame:

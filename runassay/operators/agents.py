@@ -83,7 +83,8 @@ def _nearest(names: list[str], cutoff: float):
         rows = [best.get(w, (None, None)) if w is not None else (None, None) for w in words]
         return pd.DataFrame(rows, columns=["ratio", "folded"])
 
-    return nearest
+    # Else a filter on the result would be pushed below the distinct and call it again.
+    return nearest.asNondeterministic()
 
 
 def fuzzy_names(

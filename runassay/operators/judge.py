@@ -8,7 +8,7 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,20 +35,23 @@ PARSE_ERROR_LANGUAGE = "Parse Error"
 Backend = Callable[[dict], str]
 
 
-def judge_prompt() -> F.Column:
+PROMPT_HEAD = (
+    "Judge the answer below. Name the language of the question and of the answer, "
+    "say whether they agree (Pass/Failed), rate the answer as one of "
+    + ", ".join(S.RATINGS)
+    + " (at most Poor if the languages disagree), comment in 50 to 100 characters, "
+    "and tell whether sources are listed (Pass/N/A) and whether the text carries "
+    "[n] marks (Pass/None). Reply with one JSON object with the keys "
+    + ", ".join(S.VERDICT_FIELDS)
+    + ".\nQuestion:\n"
+)
+
+
+def judge_prompt() -> Column:
     """One prompt text per row out of request, target_language, document and answer."""
     blank = lambda c: F.coalesce(F.col(c), F.lit(""))
     return F.concat(
-        F.lit(
-            "Judge the answer below. Name the language of the question and of the answer, "
-            "say whether they agree (Pass/Failed), rate the answer as one of "
-            + ", ".join(S.RATINGS)
-            + " (at most Poor if the languages disagree), comment in 50 to 100 characters, "
-            "and tell whether sources are listed (Pass/N/A) and whether the text carries "
-            "[n] marks (Pass/None). Reply with one JSON object with the keys "
-            + ", ".join(S.VERDICT_FIELDS)
-            + ".\nQuestion:\n"
-        ),
+        F.lit(PROMPT_HEAD),
         blank("request"),
         F.lit("\nTarget language:\n"),
         blank("target_language"),

@@ -263,6 +263,12 @@ CHECKS["a15_duplicates"] = PARTS + """SELECT e.en, e.entries, count(l.name) AS l
 SELECT p_brand AS en, p_name AS name FROM part UNION SELECT p_brand, concat(p_type, ' ', p_name) FROM part
 EXCEPT SELECT en, name FROM x) l ON l.en = e.en WHERE e.entries > 1 GROUP BY e.en, e.entries"""
 CHECKS["j3_exact"] = AGENTS + "SELECT raw, agent, how FROM res"
+# On these names the matching-block ratio equals (a + b - edits) / (a + b): one letter is missing.
+CHECKS["j4_fuzzy"] = AGENTS + """, near AS (SELECT raw, k, name, (length(raw) + length(k) - levenshtein(lower(raw), k))
+  / CAST(length(raw) + length(k) AS DOUBLE) AS ratio FROM res, folded WHERE how = 'none'),
+best AS (SELECT raw, arg_max(name, (ratio, k)) AS name, max(ratio) AS ratio FROM near WHERE ratio >= 0.6 GROUP BY raw)
+SELECT res.raw, coalesce(best.name, agent) AS agent, CASE WHEN best.name IS NOT NULL THEN 'fuzzy' ELSE how END AS how,
+best.ratio FROM res LEFT JOIN best ON best.raw = res.raw"""
 CHECKS["j5_candidates"] = AGENTS + "SELECT raw, agent, tc_candidates, en_candidates FROM cand"
 CHECKS["j5_resolved"] = AGENTS + """SELECT agent, is_tc, final_agent, how, state, candidates, count(*) AS n
 FROM rs GROUP BY ALL"""
@@ -492,6 +498,10 @@ CASE WHEN k = 0 THEN 'no answer from judge' END AS error,
 CASE WHEN k = 0 THEN 'Parse Error(Failed)' WHEN cites THEN 'Good' ELSE 'Pass' END AS tester_expectation,
 CASE WHEN k = 0 THEN '{judge.FAILURE_TEXT}no answer from judge{judge.FAILURE_REPLY}{judge.FAILURE_NO_REPLY}'
 ELSE concat(CAST(length(answer) AS STRING), ' characters') END AS evaluation FROM sz"""
+_HEAD = judge.PROMPT_HEAD.replace("\n", "' || chr(10) || '")
+CHECKS["x9_prompt"] = ANSWERS + f"""SELECT doc_id, length(p) AS chars, md5(p) AS digest FROM (SELECT doc_id, '{_HEAD}' || request
+|| chr(10) || 'Target language:' || chr(10) || chr(10) || 'Document:' || chr(10) || substring(document, 1, 50000)
+|| chr(10) || 'Answer:' || chr(10) || answer AS p FROM an)"""
 CHECKS["x6_cluster"] = RESULTS + f", hits AS ({RULE_HITS}) SELECT run_date, env, issue, count(*) AS n FROM hits GROUP BY ALL"
 CHECKS["x6_examples"] = RESULTS + f""", hits AS ({RULE_HITS}) SELECT run_date, env, issue, arg_min(evaluation, id) AS example
 FROM hits GROUP BY run_date, env, issue"""

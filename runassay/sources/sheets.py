@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from runassay import schema as S
 from runassay.functions.language import language_headings
 from runassay.functions.text import cell, stripped
-from runassay.scale import number_rows
+from runassay.scale import number_rows, pin
 
 
 def read_grid(spark, path: str) -> DataFrame:
@@ -50,18 +50,20 @@ def sheet_rows(grid: DataFrame) -> DataFrame:
 def infer_header(grid: DataFrame) -> DataFrame:
     """One header row per sheet: the first row with a request or file heading.
 
-    The first anchored row travels with its cells through the aggregation, so
-    only header rows, one per sheet, are looked at cell by cell.
+    Anchors are found by a filter and a minimum per sheet. Only the cells of
+    the header rows are kept, and written, for the look at their words.
     """
     anchors = [S.REQUEST_HEADING, *S.FILE_HEADINGS]
-    anchored = sheet_rows(grid).where(
-        F.exists(F.map_values("cells"), lambda v: cell(v).isin(anchors))
+    first = (
+        grid.where(cell("value").isin(anchors))
+        .groupBy("path")
+        .agg(F.min("row_no").alias("row_no"))
     )
-    first = anchored.groupBy("path").agg(
-        F.min("row_no").alias("row_no"), F.min_by("cells", "row_no").alias("cells")
-    )
-    heads = first.select("path", "row_no", F.explode("cells").alias("col_no", "value")).select(
-        "path", "row_no", "col_no", cell("value").alias("word")
+    heads = pin(
+        grid.join(first, ["path", "row_no"]).select(
+            "path", "row_no", "col_no", cell("value").alias("word")
+        ),
+        "headings",
     )
     known = [*anchors, S.AGENT_HEADING]
     other = F.when((F.col("word") != "") & ~F.col("word").isin(known), F.col("word"))
