@@ -55,27 +55,19 @@ def language_samples(results: DataFrame, n: int = S.LANGUAGE_SAMPLES) -> DataFra
 
 
 def cluster_by_rules(results: DataFrame, rules: dict[str, str] = ISSUE_RULES) -> DataFrame:
-    """Long (run, issue, id) clusters from patterns on the evaluation text."""
+    """Long (run, issue, id, example) clusters from patterns on the evaluation text."""
     hits = F.array_compact(
         F.array(*[F.when(F.col("evaluation").rlike(p), name) for name, p in rules.items()])
     )
     return results.where(flags.is_evaluable()).select(
-        *S.RUN_KEYS, F.explode(hits).alias("issue"), F.col("label").alias("id")
+        *S.RUN_KEYS, F.explode(hits).alias("issue"), F.col("label").alias("id"),
+        excerpt("evaluation").alias("example"),
     )
 
 
-def cluster_examples(results: DataFrame, rules: dict[str, str] = ISSUE_RULES) -> DataFrame:
-    """The evaluation of the first test of every issue."""
-    hits = F.array_compact(
-        F.array(*[F.when(F.col("evaluation").rlike(p), name) for name, p in rules.items()])
-    )
-    return (
-        results.where(flags.is_evaluable())
-        .select(*S.RUN_KEYS, F.explode(hits).alias("issue"), "label",
-                excerpt("evaluation").alias("text"))
-        .groupBy(*S.RUN_KEYS, "issue")
-        .agg(F.min_by("text", "label").alias("example"))
-    )
+def cluster_examples(clusters: DataFrame) -> DataFrame:
+    """The example of the first test of every issue."""
+    return clusters.groupBy(*S.RUN_KEYS, "issue").agg(F.min_by("example", "id").alias("example"))
 
 
 def ask_for_blocks(
@@ -156,7 +148,8 @@ def block_rows(blocks: DataFrame) -> DataFrame:
 
 
 def cluster_ids(rows: DataFrame) -> DataFrame:
-    """Long (run, issue, id) clusters out of parsed blocks."""
+    """Long (run, issue, id, example) clusters out of parsed blocks."""
     return rows.where(F.col("kind") == "ids").select(
-        *S.RUN_KEYS, F.col("first").alias("issue"), F.explode("ids").alias("id")
+        *S.RUN_KEYS, F.col("first").alias("issue"), F.explode("ids").alias("id"),
+        F.array_join("texts", ",").alias("example"),
     )

@@ -82,7 +82,9 @@ def cluster_counts(
 
 
 def cluster_lines(clusters: DataFrame, by=S.RUN_KEYS, issue: str = "issue") -> DataFrame:
-    return id_lines(clusters, [*by, issue], label="id")
+    """Label lines per issue, with the example of the line's first test if there is one."""
+    carry = "example" if "example" in clusters.columns else None
+    return id_lines(clusters, [*by, issue], label="id", carry=carry)
 
 
 def known_ids(clusters: DataFrame, results: DataFrame, by=S.RUN_KEYS) -> DataFrame:

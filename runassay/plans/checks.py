@@ -176,7 +176,7 @@ KINDS = """(SELECT run_date, env, 'crash' AS kind, label FROM f WHERE is_crash
  UNION ALL SELECT run_date, env, 'gen_timeout', label FROM f WHERE is_gen)"""
 
 RULE_HITS = " UNION ALL ".join(
-    f"SELECT run_date, env, '{name}' AS issue, label AS id, evaluation FROM f "
+    f"SELECT run_date, env, 3 AS section_ord, '{name}' AS issue, label AS id, evaluation FROM f "
     f"WHERE is_evaluable AND regexp_matches(evaluation, '{pattern}')"
     for name, pattern in ISSUE_RULES.items()
 )
@@ -330,71 +330,74 @@ FROM k JOIN m ON m.run_date = k.run_date AND m.env = k.env"""
 CHECKS["o2_cluster_ids"] = CLUSTERS + _lines("cl", "run_date, env, issue", "id")
 
 
-def _report_sql() -> str:
+def _report_sql(hits: str = RULE_HITS, more: list[str] | None = None) -> str:
     def lit(value):
         return "CAST(NULL AS STRING)" if value is None else "'" + value.replace("'", "''") + "'"
 
-    fixed = [(n, 0, t, None, None, None) for n, t in R.SECTIONS.items()]
-    fixed += [(n, 1, t, None, None, None) for n, t in R.SUBTITLES.items()]
-    fixed += [(n, 2, *h) for n, h in R.HEADINGS.items()]
+    fixed = [(n, 0, t, None, None, None, None) for n, t in R.SECTIONS.items()]
+    fixed += [(n, 1, t, None, None, None, None) for n, t in R.SUBTITLES.items()]
+    fixed += [(n, 2, *h, R.EXAMPLE_HEADING if n in (3, 5) else None) for n, h in R.HEADINGS.items()]
+    fixed += [(n, o, "", None, None, None, None) for n, o in R.BLANK_ROWS]
     fixed += [
-        (1, 2, "Login Website", "http://example.org/", None, None),
-        (1, 3, "Generation Time", "2024-01-31 00:00", None, None),
-        (6, 5, "Document Citation Status", None, None, None),
-        (6, 6, "Status", "Count", "Percentage", None),
+        (1, 2, "Login Website", "http://example.org/", None, None, None),
+        (1, 3, "Generation Time", "2024-01-31 00:00", None, None, None),
+        (6, 6, "Document Citation Status", None, None, None, None),
+        (6, 7, "Status", "Count", "Percentage", None, None),
     ]
     values = ", ".join(
-        f"({s}, {o}, {lit(i)}, {lit(v)}, {lit(p)}, {lit(d)})" for s, o, i, v, p, d in fixed
+        f"({s}, {o}, {lit(i)}, {lit(v)}, {lit(p)}, {lit(d)}, {lit(e)})" for s, o, i, v, p, d, e in fixed
     )
     parts = [
         "SELECT run_date, env, s AS section_ord, o AS ord, '' AS sort_key, CAST(0 AS BIGINT) AS line, i AS item, "
-        f"v AS value, p AS pct, d AS ids FROM m, (VALUES {values}) AS fx(s, o, i, v, p, d)"
+        f"v AS value, p AS pct, d AS ids, e AS example FROM m, (VALUES {values}) AS fx(s, o, i, v, p, d, e)"
     ]
 
-    def row(section, ord_, item, value, pct, ids="CAST(NULL AS STRING)", where="true"):
+    def row(section, ord_, item, value, pct, ids="NULL", where="true"):
         parts.append(
-            f"SELECT run_date, env, {section}, {ord_}, '', CAST(0 AS BIGINT), {lit(item)}, {value}, {pct}, {ids} "
+            f"SELECT run_date, env, {section}, {ord_}, '', CAST(0 AS BIGINT), {lit(item)}, {value}, {pct}, {ids}, NULL "
             f"FROM m WHERE {where}"
         )
 
     row(7, 3, "Fastest Response", "concat(CASE WHEN timed = 0 THEN '0' ELSE CAST(fastest AS STRING) END, 's')", "NULL")
     row(7, 4, "Slowest Response", "concat(CASE WHEN timed = 0 THEN '0' ELSE CAST(slowest AS STRING) END, 's')", "NULL")
     row(7, 5, "Average Loading Time", "concat('~', printf('%.1f', mean), 's')", "NULL")
-    lists = []
     for section, ord_, item, value, base, kind in R.LAYOUT:
         value, base = value.replace("valid_base", "vb"), base and base.replace("valid_base", "vb")
         pct = "'100%'" if item == "Total Tests" else _pct(value, base) if base else "'N/A'"
         text = f"CAST({value} AS STRING)"
         if kind in (None, "none"):
-            row(section, ord_, item, text, pct, "'None'" if kind else "CAST(NULL AS STRING)")
+            row(section, ord_, item, text, pct, "'None'" if kind else "NULL")
         else:
             row(section, ord_, item, text, pct, "'None'", where=f"{value} = 0")
-            lists.append(
+            parts.append(
                 f"SELECT l.run_date, l.env, {section}, {ord_}, '', l.line, CASE WHEN l.line = l.first THEN {lit(item)} END, "
-                f"CASE WHEN l.line = l.first THEN {text} END, CASE WHEN l.line = l.first THEN {pct} END, l.ids "
+                f"CASE WHEN l.line = l.first THEN {text} END, CASE WHEN l.line = l.first THEN {pct} END, l.ids, NULL "
                 f"FROM li l JOIN m ON m.run_date = l.run_date AND m.env = l.env WHERE l.kind = '{kind}'"
             )
-    parts += lists
     parts.append(
         "SELECT run_date, env, 8, 5, '', label, concat(' -> Test ID ', CAST(label AS STRING)), '1', 'N/A', "
-        "replace(crash, ',', ';') FROM f WHERE is_crash"
+        "replace(crash, ',', ';'), NULL FROM f WHERE is_crash"
     )
     parts.append(
-        "SELECT c.run_date, c.env, 3, 3, c.issue, c.line, CASE WHEN c.line = c.first THEN c.issue END, "
+        "SELECT c.run_date, c.env, c.section_ord, 3, c.issue, c.line, CASE WHEN c.line = c.first THEN c.issue END, "
         "CASE WHEN c.line = c.first THEN CAST(c.all_n AS STRING) END, "
-        f"CASE WHEN c.line = c.first THEN {_pct('c.all_n', 'total')} END, c.ids "
-        "FROM ci c JOIN m ON m.run_date = c.run_date AND m.env = c.env"
+        f"CASE WHEN c.line = c.first THEN {_pct('c.all_n', 'total')} END, c.ids, "
+        "CASE WHEN c.line = c.first THEN x.example END "
+        "FROM ci c JOIN m ON m.run_date = c.run_date AND m.env = c.env "
+        "JOIN ex x ON x.run_date = c.run_date AND x.env = c.env AND x.section_ord = c.section_ord AND x.issue = c.issue"
     )
+    parts += more or []
     sections = " ".join(f"WHEN {n} THEN {lit(t)}" for n, t in R.SECTIONS.items())
     return RESULTS + f""", l0 AS ({_lines(KINDS, "run_date, env, kind")}),
 li AS (SELECT *, min(line) OVER (PARTITION BY run_date, env, kind) AS first FROM l0),
-hits AS ({RULE_HITS}),
-c0 AS ({_lines("hits", "run_date, env, issue", "id")}),
-ci AS (SELECT *, min(line) OVER (PARTITION BY run_date, env, issue) AS first,
-  CAST(sum(n) OVER (PARTITION BY run_date, env, issue) AS BIGINT) AS all_n FROM c0),
+hits AS ({hits}),
+ex AS (SELECT run_date, env, section_ord, issue, arg_min(evaluation, id) AS example FROM hits GROUP BY ALL),
+c0 AS ({_lines("hits", "run_date, env, section_ord, issue", "id")}),
+ci AS (SELECT *, min(line) OVER (PARTITION BY run_date, env, section_ord, issue) AS first,
+  CAST(sum(n) OVER (PARTITION BY run_date, env, section_ord, issue) AS BIGINT) AS all_n FROM c0),
 rep AS ({" UNION ALL ".join(parts)}),
 report AS (SELECT run_date, env, section_ord, ord, sort_key, line, CASE section_ord {sections} END AS section,
-  item, value, pct, ids FROM rep)
+  item, value, pct, ids, example FROM rep)
 """
 
 
@@ -402,7 +405,8 @@ CHECKS["a13_report"] = _report_sql() + "SELECT * FROM report"
 CHECKS["s7_render"] = _report_sql() + """SELECT run_date, env, section_ord, ord, sort_key, line,
 concat(CASE WHEN section_ord = 1 AND ord = 0 AND line = 0 THEN chr(65279) ELSE '' END,
 concat_ws(',', coalesce(item, ''), coalesce(value, ''), coalesce(pct, ''),
-CASE WHEN ids IS NULL THEN '' ELSE concat('"', ids, '"') END)) AS text FROM report"""
+CASE WHEN ids IS NULL THEN '' ELSE concat('"', ids, '"') END,
+CASE WHEN example IS NOT NULL THEN concat('"', replace(example, '"', '""'), '"') END)) AS text FROM report"""
 CHECKS["a14_env_report"] = RESULTS + """, e0 AS (SELECT env, count(*) AS total, count(*) FILTER (is_timeout) AS timeouts,
 count(*) FILTER (is_crash) AS crashes, count(*) FILTER (is_timeout AND is_crash) AS overlap,
 count(*) FILTER (is_failed) AS failed, count(*) FILTER (is_lang_failed) AS lang_failed,
@@ -507,19 +511,16 @@ CHECKS["x6_examples"] = RESULTS + f""", hits AS ({RULE_HITS}) SELECT run_date, e
 FROM hits GROUP BY run_date, env, issue"""
 CHECKS["x7_blocks"] = RESULTS + """SELECT run_date, env, concat('Score ', substring(evaluation, 7)) AS issue, count(*) AS n
 FROM f WHERE is_evaluable GROUP BY ALL"""
-INSIGHT = RESULTS + f""", hits AS (
-SELECT run_date, env, 3 AS section_ord, concat('Score ', substring(evaluation, 7)) AS issue, label AS id FROM f WHERE is_evaluable
-UNION ALL SELECT run_date, env, 5, concat(input_language, ' to ', output_language), label FROM (
-  SELECT *, row_number() OVER (PARTITION BY run_date, env ORDER BY label) AS k FROM f WHERE lang_text AND NOT is_timeout) WHERE k <= 50),
-i0 AS ({_lines("hits", "run_date, env, section_ord, issue", "id")}),
-i1 AS (SELECT *, min(line) OVER (PARTITION BY run_date, env, section_ord, issue) AS first,
-  CAST(sum(n) OVER (PARTITION BY run_date, env, section_ord, issue) AS BIGINT) AS all_n FROM i0)
-"""
-CHECKS["x6_insight"] = INSIGHT + f"""SELECT i.run_date, i.env, section_ord, 3 AS ord, issue AS sort_key, line,
-CASE section_ord WHEN 3 THEN '{R.SECTIONS[3]}' ELSE '{R.SECTIONS[5]}' END AS section,
-CASE WHEN line = first THEN issue END AS item, CASE WHEN line = first THEN CAST(all_n AS STRING) END AS value,
-CASE WHEN line = first THEN {_pct('all_n', 'total')} END AS pct, ids
-FROM i1 i JOIN m ON m.run_date = i.run_date AND m.env = i.env"""
+INSIGHT_HITS = """SELECT run_date, env, 3 AS section_ord, concat('Score ', substring(evaluation, 7)) AS issue, label AS id,
+  concat('seen Score ', substring(evaluation, 7)) AS evaluation FROM f WHERE is_evaluable
+UNION ALL SELECT run_date, env, 5, concat(input_language, ' to ', output_language), label,
+  concat('seen ', input_language, ' to ', output_language) FROM (
+  SELECT *, row_number() OVER (PARTITION BY run_date, env ORDER BY label) AS k FROM f WHERE lang_text AND NOT is_timeout) WHERE k <= 50"""
+OBSERVED = """SELECT o.run_date, o.env, 10, 4, '000000000000', row_number() OVER (PARTITION BY o.run_date, o.env ORDER BY n, issue),
+'Observed', concat(issue, ' ', CAST(n AS STRING), ' of ', CAST(total AS STRING)), NULL, NULL, NULL
+FROM (SELECT run_date, env, issue, count(*) AS n FROM hits WHERE section_ord = 3 GROUP BY ALL) o
+JOIN m ON m.run_date = o.run_date AND m.env = o.env"""
+CHECKS["x6_insight"] = _report_sql(INSIGHT_HITS, [OBSERVED]) + "SELECT * FROM report"
 _STAND_INS = " UNION ALL ".join(
     f"SELECT {n} AS block, '{name}' AS name, '{stand_in.format(API_FAILED)}' AS api, "
     f"'{stand_in.format(PARSING_FAILED)}' AS parsing"

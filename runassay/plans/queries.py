@@ -789,7 +789,7 @@ def x6_insight(spark, sf):
     rows = V.results(spark, sf, ratings=True, language=True, labels=True).withColumn(
         "answer", F.lit("an answer")
     )
-    return R.insight_report(rows, grouping_backend).where("section_ord IN (3, 5) AND ord = 3")
+    return R.insight_report(rows, grouping_backend, "http://example.org/", "2024-01-31 00:00")
 
 
 @query
@@ -800,14 +800,14 @@ def x6_cluster(spark, sf):
 
 @query
 def x6_examples(spark, sf):
-    return insight.cluster_examples(V.results(spark, sf, labels=True))
+    return insight.cluster_examples(insight.cluster_by_rules(V.results(spark, sf, labels=True)))
 
 
 @query
 def x7_blocks(spark, sf):
     """Model replies in parts, parsed, merged and counted."""
     rows = insight.block_rows(insight.blocks_of(_replies(spark, sf)))
-    return _n(insight.cluster_ids(rows).distinct(), *RUN, "issue")
+    return _n(insight.cluster_ids(rows).select(*RUN, "issue", "id").distinct(), *RUN, "issue")
 
 
 @query

@@ -15,7 +15,7 @@ from runassay.operators.metrics import run_metrics
 from runassay.scale import IDS_PER_LINE, number_rows, pin
 from runassay.sources.reports import LINE_ORDER
 
-COLUMNS = [*S.RUN_KEYS, *LINE_ORDER, "section", "item", "value", "pct", "ids"]
+COLUMNS = [*S.RUN_KEYS, *LINE_ORDER, "section", "item", "value", "pct", "ids", "example"]
 
 # Section titles in report order, and their item texts.
 SECTIONS = {
@@ -41,6 +41,7 @@ HEADINGS = {
     9: ("Status", "Count", "Percentage", "Matching Test IDs"),
     10: ("Area", "Observation", None, None),
 }
+EXAMPLE_HEADING = "Example"  # fifth heading of the sections with examples
 SUBTITLES = {4: "Overall Language Status", 6: "Reference Output Status"}
 # kind -> (section, ord) of the rows that carry label lists
 LIST_PLACES = {
@@ -52,6 +53,8 @@ LIST_PLACES = {
 }
 
 
+# Empty rows: between the two parts of section 6, and after all sections but the last.
+BLANK_ROWS = [(6, 5), *((n, 10) for n in SECTIONS if n < max(SECTIONS))]
 # The rows of every run: (section, ord, item, value, count share of, list kind).
 # ``value`` is a SQL expression over the run metrics; the share is value / base.
 LAYOUT = [
@@ -63,8 +66,8 @@ LAYOUT = [
     (4, 4, "Failed", "lang_failed", "valid_base", None),
     (6, 3, "Pass", "ref_passed", "valid_base", None),
     (6, 4, "Failed", "ref_failed", "valid_base", None),
-    (6, 7, "Pass", "doc_passed", "valid_base", None),
-    (6, 8, "None", "doc_none", "valid_base", None),
+    (6, 8, "Pass", "doc_passed", "valid_base", None),
+    (6, 9, "None", "doc_none", "valid_base", None),
     (8, 3, "No Crash", "total - crashes", "total", "none"),
     (8, 4, "Has Crash", "crashes", "total", "crash"),
     (9, 3, "No Timeout", "total - timeouts", "total", "no_timeout"),
@@ -81,12 +84,12 @@ def _quoted(value: str | None) -> str:
 
 
 def _struct(section, ord_, item, value, pct=None, ids=None, part="NULL", whole="NULL",
-            kind=None, first="NULL") -> str:
+            kind=None, first="NULL", example=None) -> str:
     return (
         f"named_struct('section_ord', {section}, 'ord', {ord_}, 'item', {_quoted(item)}, "
         f"'value', {value}, 'pct', {_quoted(pct)}, 'ids', {_quoted(ids)}, "
         f"'part', CAST({part} AS BIGINT), 'whole', CAST({whole} AS BIGINT), "
-        f"'kind', {_quoted(kind)}, 'first_label', CAST({first} AS BIGINT))"
+        f"'example', {_quoted(example)}, 'kind', {_quoted(kind)}, 'first_label', CAST({first} AS BIGINT))"
     )
 
 
@@ -94,12 +97,16 @@ def _items(metrics: DataFrame, website: str, generated: str) -> DataFrame:
     """Every fixed row of the report, one inline over the run metrics."""
     rows = [_struct(n, 0, title, _quoted(None)) for n, title in SECTIONS.items()]
     rows += [_struct(n, 1, title, _quoted(None)) for n, title in SUBTITLES.items()]
-    rows += [_struct(n, 2, a, _quoted(b), c, d) for n, (a, b, c, d) in HEADINGS.items()]
+    rows += [
+        _struct(n, 2, a, _quoted(b), c, d, example=EXAMPLE_HEADING if n in (3, 5) else None)
+        for n, (a, b, c, d) in HEADINGS.items()
+    ]
+    rows += [_struct(n, o, "", _quoted(None)) for n, o in BLANK_ROWS]
     rows += [
         _struct(1, 2, "Login Website", _quoted(website)),
         _struct(1, 3, "Generation Time", _quoted(generated)),
-        _struct(6, 5, "Document Citation Status", _quoted(None)),
-        _struct(6, 6, "Status", _quoted("Count"), "Percentage"),
+        _struct(6, 6, "Document Citation Status", _quoted(None)),
+        _struct(6, 7, "Status", _quoted("Count"), "Percentage"),
         _struct(7, 3, "Fastest Response", "concat(fastest_text, 's')"),
         _struct(7, 4, "Slowest Response", "concat(slowest_text, 's')"),
         _struct(7, 5, "Average Loading Time", "concat('~', mean_text, 's')"),
@@ -202,6 +209,7 @@ def summary_report(
                     F.create_map(*[x for k in order for x in (F.lit(k), order[k])]), F.col("kind")
                 ),
                 "sort_key": F.lit(""),
+                "example": F.lit(None).cast("string"),
             }
         )
     )
@@ -211,6 +219,7 @@ def summary_report(
         F.col("label").alias("line"),
         F.concat(F.lit(" -> Test ID "), F.col("label").cast("string")).alias("item"),
         F.lit("1").alias("value"), F.lit("N/A").alias("pct"), F.col("reason").alias("ids"),
+        F.lit(None).cast("string").alias("example"),
     )
     parts = [plain, lists, crashes]
     if clusters is None:
@@ -231,7 +240,7 @@ def _note_rows(notes: DataFrame, section: int) -> DataFrame:
         *S.RUN_KEYS, F.lit(section).alias("section_ord"), F.lit(4).alias("ord"),
         F.lpad(F.col("part").cast("string"), 12, "0").alias("sort_key"),
         F.col("line").cast("bigint").alias("line"),
-        "item", "value", none.alias("pct"), none.alias("ids"),
+        "item", "value", none.alias("pct"), none.alias("ids"), none.alias("example"),
     )
 
 
@@ -249,6 +258,7 @@ def _cluster_rows(clusters: DataFrame, metrics: DataFrame, section: int) -> Data
             "item": F.when(head, F.col("issue")),
             "value": F.when(head, F.col("_n").cast("string")),
             "pct": F.when(head, percent("_n", "total")),
+            "example": F.when(head, F.col("example") if "example" in lines.columns else None),
             "section_ord": F.lit(section),
             "ord": F.lit(3),
             "sort_key": F.col("issue"),

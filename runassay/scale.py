@@ -65,7 +65,8 @@ def number_rows(
     Rows are range-partitioned on (by, order), so a group of any size is cut
     over many tasks. Each task numbers its own slice; the slice sizes (one row
     per slice and group) give the offsets. The slices are pinned because both
-    passes must see the same range bounds.
+    passes must see the same range bounds. Rows that agree in all of (by, order)
+    stay in one slice, so ``order`` should end in an id.
     """
     keys = [*by, *order]
     placed = pin(
@@ -124,21 +125,28 @@ def latest_row(
 
 
 def id_lines(
-    df: DataFrame, by: Sequence[str], label: str = "label", width: int = IDS_PER_LINE
+    df: DataFrame,
+    by: Sequence[str],
+    label: str = "label",
+    width: int = IDS_PER_LINE,
+    carry: str | None = None,
 ) -> DataFrame:
     """Sorted, de-duplicated label lists cut into lines of at most ``width`` labels.
 
     Line k holds the labels of ``[k * width, (k + 1) * width)``; no line is
-    dropped and none can outgrow ``width``.
+    dropped and none can outgrow ``width``. ``carry`` names a column whose
+    value at the least label of the line comes along.
     """
+    carried = [] if carry is None else [F.min_by(carry, label).alias(carry)]
     return (
         df.groupBy(*by, F.floor(F.col(label) / width).cast("bigint").alias("line"))
-        .agg(F.array_sort(F.collect_set(F.col(label))).alias("_ids"))
+        .agg(F.array_sort(F.collect_set(F.col(label))).alias("_ids"), *carried)
         .select(
             *by,
             "line",
             F.size("_ids").cast("bigint").alias("n"),
             F.array_join("_ids", ", ").alias("ids"),
+            *([] if carry is None else [carry]),
         )
     )
 

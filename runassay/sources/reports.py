@@ -11,12 +11,13 @@ LINE_ORDER = ["section_ord", "ord", "sort_key", "line"]
 
 
 def report_line(df: DataFrame) -> Column:
-    """One CSV line of a long report row; id lists are quoted."""
+    """One CSV line of a long report row; id lists and examples are quoted."""
     ids = F.when(F.col("ids").isNull(), "").otherwise(
         F.concat(F.lit('"'), F.col("ids"), F.lit('"'))
     )
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    return F.concat_ws(",", text("item"), text("value"), text("pct"), ids)
+    example = F.concat(F.lit('"'), F.replace("example", F.lit('"'), F.lit('""')), F.lit('"'))
+    return F.concat_ws(",", text("item"), text("value"), text("pct"), ids, example)
 
 
 def report_lines(report: DataFrame) -> DataFrame:
