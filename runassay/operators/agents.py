@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from runassay import schema as S
 from runassay.functions.flags import is_traditional_route, resolution_state
 from runassay.functions.text import stripped
-from runassay.scale import null_safe_key, ship_package
+from runassay.scale import null_safe_key, ship_package, spread
 
 # Names compared in one call; larger catalogs are cut into parts of about this size.
 NAMES_PER_PART = 20_000
@@ -103,7 +103,7 @@ def fuzzy_names(
     ship_package(words.sparkSession)
     names = folded.select("folded")
     head = [r.folded for r in names.limit(names_per_part + 1).collect()]
-    words = words.select("word").where(F.col("word").isNotNull()).distinct()
+    words = spread(words.select("word").where(F.col("word").isNotNull()).distinct(), "word")
     if len(head) <= names_per_part:
         scored = words.withColumn("_hit", _nearest(head, cutoff)("word"))
     else:

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from runassay import schema as S
 from runassay.functions import flags
 from runassay.functions.text import ID_CELL, block, evaluation_line, excerpt, language_line
-from runassay.scale import first_rows, ship_package
+from runassay.scale import first_rows, ship_package, spread
 
 LINES_PER_CALL = 200
 
@@ -98,7 +98,8 @@ def ask_for_blocks(
             reply = None
         return pd.DataFrame([(*key, reply)], columns=schema.names)
 
-    return parts.groupBy(*S.RUN_KEYS, "part").applyInPandas(call, schema)
+    keys = [*S.RUN_KEYS, "part"]
+    return spread(parts, *keys).groupBy(*keys).applyInPandas(call, schema)
 
 
 def blocks_of(replies: DataFrame) -> DataFrame:

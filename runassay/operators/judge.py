@@ -21,7 +21,7 @@ from runassay.functions.text import (
     judge_document,
     stripped,
 )
-from runassay.scale import ship_package
+from runassay.scale import ship_package, spread
 
 ATTEMPTS = 3
 INPUTS = ["request", "document", "answer", "target_language"]
@@ -111,7 +111,8 @@ def ask(
 ) -> DataFrame:
     """Calls the judge once per row: keys, reply, attempts, error.
 
-    Each task opens one backend and streams its rows through it. A call or
+    Rows are spread by key over ``partitions`` tasks (default: the shuffle
+    partitions). Each task opens one backend and streams its rows through it. A call or
     reply that fails is tried again after 2 and 4 seconds plus a jitter; a row
     that still fails keeps its last reply and error, the job goes on.
     """
@@ -155,9 +156,8 @@ def ask(
     asked = rows.select(*keys, *[c for c in INPUTS if c not in keys]).withColumn(
         "document", judge_document("document")
     )
-    if partitions:
-        asked = asked.repartition(partitions)
-    return asked.mapInPandas(score, schema)
+    placed = asked.repartition(partitions, *keys) if partitions else spread(asked, *keys)
+    return placed.mapInPandas(score, schema)
 
 
 def parse_verdict(replies: DataFrame, reply: str = "reply") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,55 +16,106 @@ def _n(condition: Column) -> Column:
     return F.count_if(condition)
 
 
-def run_counts(results: DataFrame, by=S.RUN_KEYS) -> DataFrame:
-    """Total, timeouts, crashes, both, and valid = total - timeouts - crashes, at least 0.
+def _is_valid() -> Column:
+    return ~flags.is_timeout() & ~flags.is_crash()
 
-    A row that is both a timeout and a crash is subtracted twice, as in the
-    established reports; ``overlap`` says how often that happened.
-    """
-    timeout, crash = flags.is_timeout(), flags.is_crash()
-    return (
-        results.groupBy(*by)
-        .agg(
-            F.count(F.lit(1)).alias("total"),
-            _n(timeout).alias("timeouts"),
-            _n(crash).alias("crashes"),
-            _n(timeout & crash).alias("overlap"),
-        )
-        .withColumn("valid", _valid())
+
+def _time(pick: Callable[[Column], Column], valid_only: bool = False) -> Column:
+    t = seconds("completion_time")
+    return F.coalesce(pick(F.when(_is_valid(), t) if valid_only else t), F.lit(0.0))
+
+
+# Every counted number; a report part names the ones it needs and no other column is read.
+AGGREGATES: dict[str, Callable[[], Column]] = {
+    "total": lambda: F.count(F.lit(1)),
+    "timeouts": lambda: _n(flags.is_timeout()),
+    "crashes": lambda: _n(flags.is_crash()),
+    "overlap": lambda: _n(flags.is_timeout() & flags.is_crash()),
+    "failed": lambda: _n(flags.is_failed()),
+    "lang_failed": lambda: _n(flags.is_language_failed()),
+    "ref_passed": lambda: _n(flags.is_reference_pass()),
+    "doc_passed": lambda: _n(flags.is_document_pass()),
+    "ref_passed_strict": lambda: _n(flags.is_reference_pass() & _is_valid()),
+    "doc_passed_strict": lambda: _n(flags.is_document_pass() & _is_valid()),
+    "total_timeouts": lambda: _n(flags.is_total_timeout()),
+    "gen_timeouts": lambda: _n(flags.is_generation_timeout()),
+    "timed": lambda: F.count(seconds("completion_time")),
+    "fastest": lambda: _time(F.min),
+    "slowest": lambda: _time(F.max),
+    "mean": lambda: _time(F.avg),
+    "mean_valid": lambda: _time(F.avg, valid_only=True),
+}
+
+# Numbers that follow from the counted ones. ``valid`` subtracts a row that is both a
+# timeout and a crash twice, as the established reports do; ``overlap`` says how often.
+DERIVED: dict[str, tuple[tuple[str, ...], Callable[..., Column]]] = {
+    "valid": (
+        ("total", "timeouts", "crashes"),
+        lambda n, t, c: F.greatest(n - t - c, F.lit(0)).cast("bigint"),
+    ),
+    "passed": (("valid", "failed"), lambda valid, bad: valid - bad),
+    "invalid": (("timeouts", "crashes"), lambda t, c: t + c),
+    "lang_passed": (("valid", "lang_failed"), lambda valid, bad: valid - bad),
+    "ref_failed": (("valid", "ref_passed"), lambda valid, good: valid - good),
+    "doc_none": (("valid", "doc_passed"), lambda valid, good: valid - good),
+}
+
+REPORT_NUMBERS = [n for n in (*AGGREGATES, *DERIVED) if n != "mean_valid"]
+
+
+def run_metrics(
+    results: DataFrame, by=S.RUN_KEYS, *more: Column, only: list[str] | None = None
+) -> DataFrame:
+    """The numbers of the report, or ``only`` some, and ``more`` aggregates, in one pass."""
+    wanted = list(only or REPORT_NUMBERS)
+    needed = list(wanted)
+    for name in reversed(DERIVED):
+        if name in needed:
+            needed += [n for n in DERIVED[name][0] if n not in needed]
+    counted = results.groupBy(*by).agg(
+        *[make().alias(name) for name, make in AGGREGATES.items() if name in needed], *more
     )
+    extra = [c for c in counted.columns if c not in AGGREGATES and c not in by]
+    for name, (inputs, rule) in DERIVED.items():
+        if name in needed:
+            counted = counted.withColumn(name, rule(*[F.col(c) for c in inputs]))
+    return counted.select(*by, *wanted, *extra)
 
 
-def _valid():
-    return F.greatest(
-        F.col("total") - F.col("timeouts") - F.col("crashes"), F.lit(0)
-    ).cast("bigint")
+def run_counts(results: DataFrame, by=S.RUN_KEYS) -> DataFrame:
+    """Total, timeouts, crashes, both, and valid = total - timeouts - crashes, at least 0."""
+    return run_metrics(
+        results, by, only=["total", "timeouts", "crashes", "overlap", "valid"]
+    )
 
 
 def pass_counts(results: DataFrame, by=S.RUN_KEYS) -> DataFrame:
     """Pass, failed and invalid with shares of all tests."""
-    out = run_metrics(results, by)
-    return out.select(
-        *by, "total", "passed", "failed", "invalid",
-        share("passed", "total").alias("passed_share"),
-        percent("passed", "total").alias("passed_pct"),
-        percent("failed", "total").alias("failed_pct"),
-        percent("invalid", "total").alias("invalid_pct"),
+    out = run_metrics(results, by, only=["total", "passed", "failed", "invalid"])
+    return out.withColumns(
+        {
+            "passed_share": share("passed", "total"),
+            "passed_pct": percent("passed", "total"),
+            "failed_pct": percent("failed", "total"),
+            "invalid_pct": percent("invalid", "total"),
+        }
     )
 
 
-def _over_valid(metrics: DataFrame, by, good: str, bad: str, *more: str) -> DataFrame:
+def _over_valid(results: DataFrame, by, good: str, bad: str, *more: str) -> DataFrame:
     base = F.greatest(F.col("valid"), F.lit(1))
-    return metrics.select(
-        *by, "valid", good, bad, *more,
-        share(F.col(good), base).alias(f"{good}_share"),
-        percent(F.col(good), base).alias(f"{good}_pct"),
-        percent(F.col(bad), base).alias(f"{bad}_pct"),
+    return run_metrics(results, by, only=["valid", good, bad, *more]).withColumns(
+        {
+            f"{good}_share": share(F.col(good), base),
+            f"{good}_pct": percent(F.col(good), base),
+            f"{bad}_pct": percent(F.col(bad), base),
+        }
     )
 
 
 def language_counts(results: DataFrame, by=S.RUN_KEYS) -> DataFrame:
-    return _over_valid(run_metrics(results, by), by, "lang_passed", "lang_failed")
+    """Language passes and failures with shares of the valid tests."""
+    return _over_valid(results, by, "lang_passed", "lang_failed")
 
 
 def reference_counts(results: DataFrame, by=S.RUN_KEYS) -> DataFrame:
@@ -70,60 +123,16 @@ def reference_counts(results: DataFrame, by=S.RUN_KEYS) -> DataFrame:
 
     ``ref_passed_strict`` counts valid rows only.
     """
-    return _over_valid(
-        run_metrics(results, by), by, "ref_passed", "ref_failed", "ref_passed_strict"
-    )
+    return _over_valid(results, by, "ref_passed", "ref_failed", "ref_passed_strict")
 
 
 def citation_counts(results: DataFrame, by=S.RUN_KEYS) -> DataFrame:
-    return _over_valid(run_metrics(results, by), by, "doc_passed", "doc_none", "doc_passed_strict")
+    """The same for citation marks."""
+    return _over_valid(results, by, "doc_passed", "doc_none", "doc_passed_strict")
 
 
 def response_times(results: DataFrame, by=S.RUN_KEYS) -> DataFrame:
-    """Fastest, slowest and mean seconds over all rows, and over valid rows."""
-    t = seconds("completion_time")
-    valid = F.when(~flags.is_timeout() & ~flags.is_crash(), t)
-    zero = F.lit(0.0)
-    return results.groupBy(*by).agg(
-        F.coalesce(F.min(t), zero).alias("fastest"),
-        F.coalesce(F.max(t), zero).alias("slowest"),
-        F.coalesce(F.avg(t), zero).alias("mean"),
-        F.count(t).alias("timed"),
-        F.coalesce(F.avg(valid), zero).alias("mean_valid"),
-    )
-
-
-def run_metrics(results: DataFrame, by=S.RUN_KEYS, *more: Column) -> DataFrame:
-    """Every number of the report, and ``more`` aggregates, in one pass over the results."""
-    t = seconds("completion_time")
-    timeout, crash = flags.is_timeout(), flags.is_crash()
-    valid = ~timeout & ~crash
-    zero = F.lit(0.0)
-    counted = results.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("total"),
-        _n(timeout).alias("timeouts"),
-        _n(crash).alias("crashes"),
-        _n(timeout & crash).alias("overlap"),
-        _n(flags.is_failed()).alias("failed"),
-        _n(flags.is_language_failed()).alias("lang_failed"),
-        _n(flags.is_reference_pass()).alias("ref_passed"),
-        _n(flags.is_document_pass()).alias("doc_passed"),
-        _n(flags.is_reference_pass() & valid).alias("ref_passed_strict"),
-        _n(flags.is_document_pass() & valid).alias("doc_passed_strict"),
-        _n(flags.is_total_timeout()).alias("total_timeouts"),
-        _n(flags.is_generation_timeout()).alias("gen_timeouts"),
-        F.count(t).alias("timed"),
-        F.coalesce(F.min(t), zero).alias("fastest"),
-        F.coalesce(F.max(t), zero).alias("slowest"),
-        F.coalesce(F.avg(t), zero).alias("mean"),
-        *more,
-    )
-    return counted.withColumn("valid", _valid()).withColumns(
-        {
-            "passed": F.col("valid") - F.col("failed"),
-            "invalid": F.col("timeouts") + F.col("crashes"),
-            "lang_passed": F.col("valid") - F.col("lang_failed"),
-            "ref_failed": F.col("valid") - F.col("ref_passed"),
-            "doc_none": F.col("valid") - F.col("doc_passed"),
-        }
+    """Fastest, slowest and mean seconds over all rows, and the mean over valid rows."""
+    return run_metrics(
+        results, by, only=["fastest", "slowest", "mean", "timed", "mean_valid"]
     )

@@ -418,17 +418,17 @@ def a03_pass(spark, sf):
 
 @query
 def a04_language(spark, sf):
-    return metrics.language_counts(V.results(spark, sf, ratings=True))
+    return metrics.language_counts(V.results(spark, sf))
 
 
 @query
 def a05_reference(spark, sf):
-    return metrics.reference_counts(V.results(spark, sf, ratings=True))
+    return metrics.reference_counts(V.results(spark, sf))
 
 
 @query
 def a06_citation(spark, sf):
-    return metrics.citation_counts(V.results(spark, sf, ratings=True))
+    return metrics.citation_counts(V.results(spark, sf))
 
 
 @query

@@ -42,6 +42,16 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(context.applicationId)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash partitions that stay apart however few bytes they hold.
+
+    For costly work on small rows: adaptive execution would merge such
+    partitions by size and leave the work to a few tasks.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys)
+
+
 def pin(df: DataFrame, name: str = "pinned") -> DataFrame:
     """Write ``df`` once to the shared folder and go on from the written table.
 
