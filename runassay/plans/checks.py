@@ -48,7 +48,7 @@ m AS (SELECT *, valid - failed AS passed, timeouts + crashes AS invalid, valid -
   valid - ref_passed AS ref_failed, valid - doc_passed AS doc_none, greatest(valid, 1) AS vb FROM m1)
 """
 
-TASKS = f"""WITH t AS (SELECT conv_id % 8 AS task_set,
+TASKS = f"""WITH t AS (SELECT conv_id, turn, conv_id % 8 AS task_set,
   row_number() OVER (PARTITION BY conv_id % 8 ORDER BY conv_id, turn) - 1 AS idx,
   {_cols(V.TASK_RULES)} FROM conversations WHERE role = 'user'),
 c AS (SELECT doc_id, {_cols(V.CORPUS_RULES)} FROM documents)
@@ -530,6 +530,39 @@ CHECKS["x8_fallback"] = f"""SELECT conv_id, turn, CAST(block AS BIGINT) AS block
 WHEN block = 2 THEN regexp_replace(text, '^\\s+|\\s+$', '', 'g') ELSE parsing END) AS digest
 FROM conversations, ({_STAND_INS})"""
 
+# ---- whole evaluation ----
+CHECKS["e1_evaluate"] = MATCHED + f""", cat AS (SELECT n_name AS en, concat('国', CAST(n_nationkey AS STRING)) AS tc FROM nation),
+cp AS (SELECT conv_id, turn - 1 AS turn, {_cols(V.CAPTURE_RULES)} FROM conversations WHERE role = 'assistant'),
+j0 AS (SELECT md.*, cat.en, cp.answer, cp.timeout_states AS ts0, cp.shared_link, cp.prep_time, cp.completion_time, cp.error,
+  coalesce(cp.stopped, false) AS stopped FROM md LEFT JOIN cat ON lower(cat.en) = lower(trim(md.agent))
+  LEFT JOIN cp ON cp.conv_id = md.conv_id AND cp.turn = md.turn),
+j1 AS (SELECT *, CASE WHEN stopped THEN 'STOPPED' WHEN skip_reason IS NOT NULL THEN 'SKIPPED'
+  WHEN error = 'No such window' THEN 'BROWSER_CLOSED' WHEN error IS NOT NULL THEN 'ERROR' ELSE 'SUCCESS' END AS status,
+  CASE WHEN answer = '{S.EMPTY_ANSWER}' THEN CASE WHEN ts0 = 'No' THEN '{S.GENERATION_TIMEOUT}'
+    ELSE concat(ts0, ' & {S.GENERATION_TIMEOUT}') END ELSE ts0 END AS state,
+  {_language_sql('request')} AS asked, {_language_sql("coalesce(answer, '')")} AS given FROM j0),
+j2 AS (SELECT *, status = 'SUCCESS' AND state = 'No' AS judged, status = 'SUCCESS' AND state <> 'No' AS late,
+  regexp_matches(answer, '\[\d+\]') AS cites, regexp_matches(answer, '{REFERENCE}') AS refers FROM j1
+  WHERE status NOT IN ('STOPPED', 'BROWSER_CLOSED') AND (skip_reason IS NOT NULL OR answer IS NOT NULL))
+SELECT conv_id, turn, idx + 1 AS label, md5(request) AS request, coalesce(nullif(trim(filename), ''), '') AS filename,
+CASE status WHEN 'SKIPPED' THEN skip_reason WHEN 'ERROR' THEN concat('{S.CRASH_PREFIX}', substring(error, 1, 150)) ELSE 'No' END AS crash,
+CASE WHEN NOT judged THEN 'Failed' WHEN trim(answer) = '' THEN 'Failed' WHEN asked <> given THEN 'Poor'
+  WHEN cites AND refers THEN 'Excellent' WHEN cites OR refers THEN 'Good' ELSE 'Pass' END AS tester_expectation,
+coalesce(nullif(trim(language), ''), 'N/A') AS selected_language,
+CASE WHEN judged THEN asked ELSE 'N/A' END AS input_language, CASE WHEN judged THEN given ELSE 'N/A' END AS output_language,
+CASE WHEN judged AND asked = given THEN 'Pass' ELSE 'Failed' END AS language_status,
+md5(CASE status WHEN 'SKIPPED' THEN '{S.SKIP_ANSWER}' WHEN 'ERROR' THEN '{S.CRASH_ANSWER}' ELSE answer END) AS answer,
+CASE WHEN status = 'SUCCESS' THEN shared_link ELSE 'N/A' END AS shared_link,
+CASE WHEN status = 'ERROR' THEN concat('{S.CRASH_PREFIX}', substring(error, 1, 150)) WHEN late THEN '{S.TIMEOUT_EVALUATION}'
+  WHEN judged THEN concat('rule check: ', asked, ' > ', given) ELSE 'Unknown' END AS evaluation,
+CASE WHEN status = 'SKIPPED' THEN '未指定' WHEN status = 'ERROR' THEN coalesce(nullif(trim(agent), ''), '未指定')
+  ELSE coalesce(en, '未指定') END AS agent_used,
+CASE WHEN judged AND refers THEN 'Pass' ELSE 'N/A' END AS reference_link,
+CASE WHEN judged AND cites THEN 'Pass' ELSE 'None' END AS document_contain,
+CASE WHEN status = 'SUCCESS' THEN prep_time ELSE 'N/A' END AS prep_time,
+CASE WHEN status = 'SUCCESS' THEN completion_time ELSE 'N/A' END AS completion_time,
+CASE status WHEN 'ERROR' THEN 'Crash (Error)' WHEN 'SKIPPED' THEN 'No' ELSE state END AS timeout_states FROM j2"""
+
 # ---- streaming: what the batch says over the same rows ----
 CHECKS["t1_ingest"] = CHECKS["w2_latest"]
 CHECKS["t2_drain"] = CHECKS["a03_pass"]

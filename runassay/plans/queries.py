@@ -12,6 +12,7 @@ from runassay.functions import flags, text
 from runassay.functions.language import language_headings, named_language
 from runassay.operators import agents, compare, insight, judge, labels, matching, metrics
 from runassay.operators import outcomes, windows
+from runassay.plans import evaluate as EV
 from runassay.plans import report as R
 from runassay.plans import views as V
 from runassay.scale import first_rows, latest_row, scratch_dir
@@ -365,6 +366,20 @@ def f9_language_col(spark, sf):
     return language_headings(cells)
 
 
+def _evaluated(spark, sf) -> DataFrame:
+    corpus = V.corpus(spark, sf).withColumnRenamed("answer", "text")
+    keys = ["conv_id", "turn"]
+    prepared = EV.prepare(V.tasks(spark, sf), corpus, V.catalog(spark, sf), keys)
+    return EV.evaluate(prepared, V.captures(spark, sf), corpus, keys)
+
+
+@query
+def e1_evaluate(spark, sf):
+    """Every conversation as a test case: matched, resolved, judged by rules, as sheet rows."""
+    rows = _evaluated(spark, sf)
+    return rows.withColumn("answer", F.md5("answer")).withColumn("request", F.md5("request"))
+
+
 # ---- fan-out and comparison ----
 
 

@@ -1,7 +1,7 @@
 """Evaluation tables derived from the generic test tables, for queries and checks.
 
-The column rules are plain SQL expressions, shared with the reference SQL of
-the checks; how rows are numbered is Spark's own way.
+The column rules are plain SQL expressions, shared with the SQL of the checks;
+how rows are numbered is Spark's own way.
 """
 
 from __future__ import annotations
@@ -54,6 +54,17 @@ TASK_RULES = {
     "agent": "CASE WHEN conv_id % 6 = 0 THEN '' ELSE concat('nation_', CAST(conv_id % 25 AS STRING)) END",
 }
 
+CAPTURE_RULES = {
+    "answer": "CASE WHEN conv_id % 10 = 3 THEN '提取文本失败/为空' ELSE text END",
+    "timeout_states": "CASE WHEN conv_id % 15 = 4 THEN 'yes (总时间超时)' ELSE 'No' END",
+    "shared_link": "concat('http://example.org/', CAST(conv_id AS STRING))",
+    "prep_time": "concat(CAST(conv_id % 7 AS STRING), 's')",
+    "completion_time": "concat(CAST(conv_id % 30 AS STRING), '.5s')",
+    "error": """CASE WHEN conv_id % 12 = 5 THEN 'No such window' WHEN conv_id % 12 = 7
+        THEN concat('element ', CAST(conv_id AS STRING), ' missing') END""",
+    "stopped": "conv_id % 40 = 9",
+}
+
 CORPUS_RULES = {
     "file_name": """concat('doc_', CAST(doc_id AS STRING), CASE WHEN doc_id % 3 = 0 THEN '.txt'
         WHEN doc_id % 3 = 1 THEN '.csv' ELSE '.docx' END)""",
@@ -150,7 +161,17 @@ def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     users = table(spark, sf_dir, "conversations").where("role = 'user'")
     keyed = _rules(users.withColumn("task_set", F.col("conv_id") % 8), TASK_RULES)
     numbered = number_rows(keyed, ["task_set"], ["conv_id", "turn"], name="idx", start=0)
-    return numbered.select("task_set", "idx", "request", "filename", "language", "agent")
+    return numbered.select(
+        "task_set", "idx", "request", "filename", "language", "agent", "conv_id", "turn"
+    )
+
+
+def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What came back for a user turn: the assistant's next turn, a timeout, or an error."""
+    replies = table(spark, sf_dir, "conversations").where("role = 'assistant'")
+    return _rules(replies.withColumn("turn", F.col("turn") - 1), CAPTURE_RULES).select(
+        "conv_id", "turn", *CAPTURE_RULES
+    )
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:

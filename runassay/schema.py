@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
 # ---- fixed values: they must equal the texts in existing sheets and verdicts ----
 
 # Sheet heading -> column name, in sheet order.
@@ -55,7 +53,6 @@ NA_TEXTS = [
 ]
 
 RATINGS = ["Excellent", "Good", "Pass", "Poor", "Failed"]
-LOW_RATINGS = ["Poor", "Failed"]
 FAILED_RATINGS = ["Poor", "Failed", "Parse Error(Failed)"]
 PARSE_ERROR_RATING = "Parse Error(Failed)"
 
@@ -115,22 +112,3 @@ LANGUAGE_SAMPLES = 50
 # ---- end of fixed values ----
 
 RUN_KEYS = ["run_date", "env"]
-
-TASK = T.StructType([
-    T.StructField("task_set", T.StringType()),
-    T.StructField("idx", T.LongType()),
-    T.StructField("request", T.StringType()),
-    T.StructField("agent", T.StringType()),
-    T.StructField("filename", T.StringType()),
-    T.StructField("language", T.StringType()),
-])
-
-RESULT = T.StructType(
-    [T.StructField("run_date", T.DateType()), T.StructField("env", T.StringType())]
-    + [
-        T.StructField(name, T.LongType() if name == "label" else T.StringType())
-        for name in RESULT_HEADINGS.values()
-    ]
-)
-
-VERDICT = T.StructType([T.StructField(f, T.StringType()) for f in VERDICT_FIELDS])
