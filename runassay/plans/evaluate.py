@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from runassay import schema as S
 from runassay.functions import flags
 from runassay.operators import agents, judge, matching, outcomes
+from runassay.scale import pin
 
 
 def prepare(tasks: DataFrame, corpus: DataFrame, catalog: DataFrame, keys: list[str]) -> DataFrame:
@@ -45,17 +46,11 @@ def evaluate(
         status.withColumns({"answer": answer, "timeout_states": state})
     )
 
-    asked = rows.where(done & F.col("needs_judge")).select(
-        *keys, "request", "answer", "timeout_states", "matched_file",
-        F.col("language").alias("target_language"),
-    )
-    texts = corpus.select(F.col("file_name").alias("matched_file"), F.col("text").alias("document"))
-    with_documents = asked.join(texts, "matched_file", "left").withColumn(
-        "document", F.coalesce("document", F.lit(S.NO_DOCUMENT))
-    )
-    verdicts = judge.judge(with_documents, keys, open_backend).select(
-        *keys, *[F.col(f).alias(f"_{f}") for f in S.VERDICT_FIELDS]
-    )
+    if open_backend is None:
+        judged = judge.rule_verdict(rows).withColumnsRenamed({f: f"_{f}" for f in S.VERDICT_FIELDS})
+    else:
+        judged = rows.join(_asked(rows.where(done & F.col("needs_judge")), corpus, keys, open_backend),
+                           keys, "left")
 
     skipped = F.col("status") == "SKIPPED"
     crash = F.concat(F.lit(S.CRASH_PREFIX), F.substring("error", 1, 150))
@@ -70,7 +65,9 @@ def evaluate(
             value = F.when(late, late_text).otherwise(value)
         return F.coalesce(value, F.lit(default))
 
-    used = F.when(F.col("final_agent") != "", F.col("final_agent")).otherwise(d["agent_used"])
+    # What the environment offered, where that was looked up; else the resolved name.
+    agent = "agent_used" if "agent_used" in prepared.columns else "final_agent"
+    used = flags.or_default(agent, d["agent_used"])
     columns = {
         "label": F.col("idx") + 1,
         "request": F.col("request"),
@@ -97,6 +94,22 @@ def evaluate(
         "completion_time": F.when(done, F.col("completion_time")).otherwise(d["completion_time"]),
         "timeout_states": F.when(crashed, S.CRASH_TIMEOUT_STATE).otherwise(F.col("timeout_states")),
     }
-    return rows.join(verdicts, keys, "left").select(
+    return judged.select(
         *keys, *[value.alias(name) for name, value in columns.items()]
     )
+
+
+def _asked(rows: DataFrame, corpus: DataFrame, keys: list[str], open_backend) -> DataFrame:
+    """Verdicts of a judge, written before they are used so that no row is asked twice."""
+    texts = corpus.select(F.col("file_name").alias("matched_file"), F.col("text").alias("document"))
+    asked = rows.select(
+        *keys, "request", "answer", "timeout_states", "matched_file",
+        F.col("language").alias("target_language"),
+    )
+    with_documents = asked.join(texts, "matched_file", "left").withColumn(
+        "document", F.coalesce("document", F.lit(S.NO_DOCUMENT))
+    )
+    verdicts = judge.judge(with_documents, keys, open_backend).select(
+        *keys, *[F.col(f).alias(f"_{f}") for f in S.VERDICT_FIELDS]
+    )
+    return pin(verdicts, "verdicts")

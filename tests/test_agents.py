@@ -26,6 +26,11 @@ def test_catalog_sets(catalog):
     assert [(r.en, r.entries, r.lost_names) for r in agents.duplicate_entries(catalog).collect()] == [("Cover Letter", 2, 1)]
 
 
+def test_catalog_file(spark, tmp_path):
+    (tmp_path / "catalog.json").write_text('{"en": "A", "tc": ["甲"], "pos": 1}\n', encoding="utf-8")
+    assert [tuple(r) for r in agents.read_catalog(spark, str(tmp_path)).collect()] == [("A", ["甲"], 1)]
+
+
 def test_resolution(spark, catalog):
     raw = ["Chat Helper", " chat helper ", "Chat Helpr", "聊天機器人", "zzzzzzzzzz", "", None, "market analysys"]
     tasks = spark.createDataFrame([(i, a, "zh-TW" if i % 2 else "match") for i, a in enumerate(raw)], "k int, agent string, language string")

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from runassay import schema as S
 from runassay.operators import insight, judge, outcomes
+from runassay.plans import evaluate
 
 DAY = datetime.date(2024, 1, 1)
 
@@ -78,6 +79,36 @@ def test_outcomes(spark):
     assert got == [(S.CRASH_PREFIX + "e" * 150, "未指定", S.CRASH_TIMEOUT_STATE), (S.CRASH_PREFIX + "e", "B", S.CRASH_TIMEOUT_STATE)]
 
 
+def test_evaluation_with_a_judge(spark):
+    tasks = spark.createDataFrame(
+        [(0, "ask", "A.txt", "chat", "tc"), (1, "ask", "none.pdf", "", ""), (2, "", "", "", ""), (3, "ask", "", "x", ""),
+         (4, "ask", "", "", ""), (5, "ask", "", "", "")],
+        "idx long, request string, filename string, agent string, language string")
+    captures = spark.createDataFrame(
+        [(0, "fine", "No", "u0", "1s", "2s", None, False), (1, S.EMPTY_ANSWER, "No", "u1", "1s", "2s", None, False),
+         (3, "", "No", "u3", "1s", "2s", "boom, bang", False), (4, "", "No", "u", "1s", "2s", "No Such Window", False),
+         (5, "half", "No", "u", "1s", "2s", None, True)],
+        "idx long, answer string, timeout_states string, shared_link string, prep_time string, completion_time string, "
+        "error string, stopped boolean")
+    corpus = spark.createDataFrame([("a.TXT", "the document")], "file_name string, text string")
+    catalog = spark.createDataFrame([("Chat", ["聊天"], 0)], "en string, tc array<string>, pos long")
+
+    def backend():
+        return lambda row: '{"tester_expectation": "Excellent", "evaluation": "%s"}' % row["document"]
+
+    prepared = evaluate.prepare(tasks, corpus, catalog, ["idx"])
+    got = {r.idx: r for r in evaluate.evaluate(prepared, captures, corpus, ["idx"], backend).collect()}
+    assert sorted(got) == [0, 1, 2, 3]
+    assert set(S.RESULT_HEADINGS.values()) <= set(got[0].asDict())
+    pick = lambda r: (r.label, r.crash, r.tester_expectation, r.evaluation, r.agent_used, r.timeout_states, r.shared_link)
+    assert pick(got[0]) == (1, "No", "Excellent", "the document", "Chat", "No", "u0")
+    assert pick(got[1]) == (2, "No", "Failed", S.TIMEOUT_EVALUATION, "未指定", S.GENERATION_TIMEOUT, "u1")
+    assert pick(got[2]) == (3, S.SKIP_EMPTY, "Failed", "Unknown", "未指定", "No", "N/A")
+    crash = S.CRASH_PREFIX + "boom, bang"
+    assert pick(got[3]) == (4, crash, "Failed", crash, "x", S.CRASH_TIMEOUT_STATE, "N/A")
+    assert (got[2].answer, got[3].answer, got[0].selected_language) == (S.SKIP_ANSWER, S.CRASH_ANSWER, "tc")
+
+
 BLOCK = """Failure Reason Breakdown,,,
 "One test, many issues",,,
 Failure / Issue Type,Matching Test IDs,Example
