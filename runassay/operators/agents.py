@@ -19,6 +19,7 @@ from runassay.scale import null_safe_key, ship_package, spread
 
 # Names compared in one call; larger catalogs are cut into parts of about this size.
 NAMES_PER_PART = 20_000
+WORDS_PER_GROUP = 10_000
 
 
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
@@ -97,8 +98,8 @@ def fuzzy_names(
 
     Compared in Python on distinct words only; pairs are never rows. A catalog
     of at most ``names_per_part`` names travels with the function. A larger one
-    is cut by hash, each part is compared the same way, and the best of the
-    parts wins, which gives the same answer.
+    is cut by hash into parts, every word meets every part in a group of
+    bounded size, and the best of the parts wins, which gives the same answer.
     """
     ship_package(words.sparkSession)
     names = folded.select("folded")
@@ -107,13 +108,7 @@ def fuzzy_names(
     if len(head) <= names_per_part:
         scored = words.withColumn("_hit", _nearest(head, cutoff)("word"))
     else:
-        parts = -(-names.count() // (names_per_part // 2))
-        cut = names.withColumn("_part", F.pmod(F.xxhash64("folded"), F.lit(parts)))
-        scored = None
-        for part in range(parts):
-            some = [r.folded for r in cut.where(F.col("_part") == part).collect()]
-            one = words.withColumn("_hit", _nearest(some, cutoff)("word"))
-            scored = one if scored is None else scored.unionByName(one)
+        scored = _nearest_in_parts(words, names, cutoff, names_per_part // 2)
     best = (
         scored.where(F.col("_hit.folded").isNotNull())
         .groupBy("word")
@@ -122,6 +117,43 @@ def fuzzy_names(
     return best.select("word", "_hit.ratio", "_hit.folded")
 
 
+def _nearest_in_parts(
+    words: DataFrame, names: DataFrame, cutoff: float, names_per_part: int
+) -> DataFrame:
+    """(word, _hit) per word and catalog part; groups hold bounded words and names."""
+    parts = -(-names.count() // names_per_part)
+    salts = max(1, -(-words.count() // WORDS_PER_GROUP))
+
+    def upto(n: int):
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    asked = words.select("word", upto(parts).alias("part")).withColumn(
+        "salt", F.pmod(F.xxhash64("word"), F.lit(salts)).cast("int")
+    )
+    offered = names.select(
+        "folded",
+        F.pmod(F.xxhash64("folded"), F.lit(parts)).cast("int").alias("part"),
+        upto(salts).alias("salt"),
+    )
+
+    def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        known, hits = right["folded"].tolist(), []
+        for word in left["word"]:
+            near = difflib.get_close_matches(word, known, n=1, cutoff=cutoff)
+            if near:
+                ratio = difflib.SequenceMatcher(a=near[0], b=word).ratio()
+                hits.append((word, ratio, near[0]))
+        return pd.DataFrame(hits, columns=["word", "ratio", "folded"])
+
+    keys = ["part", "salt"]
+    hits = (
+        asked.groupBy(*keys)
+        .cogroup(offered.groupBy(*keys))
+        .applyInPandas(compare, "word string, ratio double, folded string")
+    )
+    return hits.select("word", F.struct("ratio", "folded").alias("_hit"))
+
+
 def resolve_names(
     names: DataFrame,
     catalog: DataFrame,

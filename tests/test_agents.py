@@ -47,7 +47,8 @@ def test_resolution(spark, catalog):
 
 
 @pytest.mark.parametrize("names_per_part", [20_000, 16])
-def test_fuzzy_equals_difflib(spark, names_per_part):
+def test_fuzzy_equals_difflib(spark, monkeypatch, names_per_part):
+    monkeypatch.setattr(agents, "WORDS_PER_GROUP", 50)
     rng = random.Random(7)
     names = sorted({"".join(rng.choice("abcd ") for _ in range(rng.randint(3, 12))).strip() for _ in range(60)} - {""})
     words = sorted({"".join(rng.choice("abcde ") for _ in range(rng.randint(1, 14))) for _ in range(120)})
