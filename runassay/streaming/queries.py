@@ -57,11 +57,17 @@ def _feed(
 
 
 def _timed(df: DataFrame) -> DataFrame:
-    return df.withColumn("ts", F.col("ts").cast("timestamp"))
+    """``ts`` as an instant, read as UTC whatever the session's time zone."""
+    micros = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)")
+    return df.withColumn("ts", F.timestamp_micros(micros))
 
 
 def _plain(df: DataFrame, *columns: str) -> DataFrame:
-    return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in columns})
+    """Instants back as plain UTC timestamps."""
+    epoch = "TIMESTAMP_NTZ '1970-01-01 00:00:00'"
+    return df.withColumns(
+        {c: F.expr(f"timestampadd(MICROSECOND, unix_micros({c}), {epoch})") for c in columns}
+    )
 
 
 def _append(out: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
