@@ -542,7 +542,7 @@ j1 AS (SELECT *, CASE WHEN stopped THEN 'STOPPED' WHEN skip_reason IS NOT NULL T
     ELSE concat(ts0, ' & {S.GENERATION_TIMEOUT}') END ELSE ts0 END AS state,
   {_language_sql('request')} AS asked, {_language_sql("coalesce(answer, '')")} AS given FROM j0),
 j2 AS (SELECT *, status = 'SUCCESS' AND state = 'No' AS judged, status = 'SUCCESS' AND state <> 'No' AS late,
-  regexp_matches(answer, '\[\d+\]') AS cites, regexp_matches(answer, '{REFERENCE}') AS refers FROM j1
+  regexp_matches(answer, '\\[\\d+\\]') AS cites, regexp_matches(answer, '{REFERENCE}') AS refers FROM j1
   WHERE status NOT IN ('STOPPED', 'BROWSER_CLOSED') AND (skip_reason IS NOT NULL OR answer IS NOT NULL))
 SELECT conv_id, turn, idx + 1 AS label, md5(request) AS request, coalesce(nullif(trim(filename), ''), '') AS filename,
 CASE status WHEN 'SKIPPED' THEN skip_reason WHEN 'ERROR' THEN concat('{S.CRASH_PREFIX}', substring(error, 1, 150)) ELSE 'No' END AS crash,
