@@ -7,6 +7,7 @@ import zlib
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,8 +29,8 @@ def slices(
     """
     for batch in batches:
         col = batch.column(batch.schema.get_field_index(column))
-        ends = pa.compute.cumulative_sum(
-            pa.compute.fill_null(pa.compute.binary_length(col), 0).cast(pa.int64())
+        ends = pc.cumulative_sum(
+            pc.fill_null(pc.binary_length(col), 0).cast(pa.int64())
         ).to_pylist()
         first, done = 0, 0
         for i, end in enumerate(ends):

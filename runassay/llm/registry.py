@@ -6,18 +6,33 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from runassay.llm import binary, packing, quality, secrets
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def op7_min_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from runassay.llm.packing import pack_min_slack
+def op3_packed_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return binary.pack_matrices(_table(spark, sf_dir, "documents"))
+
+
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(_table(spark, sf_dir, "documents"))
 
-    return pack_min_slack(_table(spark, sf_dir, "documents"))
+
+def op6_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge_quality(_table(spark, sf_dir, "documents")).drop("host", "n_lines")
+
+
+def op7_min_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_min_slack(_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_packed_matrices": op3_packed_matrices,
+    "op5_secret_scan": op5_secret_scan,
+    "op6_host_quality": op6_host_quality,
     "op7_min_bin_slack": op7_min_bin_slack,
 }
 
