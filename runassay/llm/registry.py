@@ -5,14 +5,23 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from runassay.llm import binary, packing, quality, secrets
+from runassay.llm import binary, language, packing, quality, secrets, toxicity
+from runassay.llm.common import crc_fold
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    model = toxicity.fit_toxicity(documents, _table(spark, sf_dir, "labels"))
+    held = F.coalesce(crc_fold(F.col("doc_id"), 5) == 0, F.lit(False))
+    return toxicity.score_toxicity(documents, model).withColumn("held_out", held)
+
+
 def op3_packed_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary.pack_matrices(_table(spark, sf_dir, "documents"))
 
@@ -29,11 +38,17 @@ def op7_min_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_min_slack(_table(spark, sf_dir, "documents"))
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op3_packed_matrices": op3_packed_matrices,
     "op5_secret_scan": op5_secret_scan,
     "op6_host_quality": op6_host_quality,
     "op7_min_bin_slack": op7_min_bin_slack,
+    "op9_language": op9_language,
 }
 
 
