@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runassay.llm import binary, language, packing, quality, secrets, toxicity
+from runassay.llm import binary, language, packing, privacy, quality, secrets, toxicity
 from runassay.llm.common import crc_fold
 
 
@@ -42,6 +42,10 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(_table(spark, sf_dir, "documents"))
 
 
+def op10_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return privacy.find_personal(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op3_packed_matrices": op3_packed_matrices,
@@ -49,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_host_quality": op6_host_quality,
     "op7_min_bin_slack": op7_min_bin_slack,
     "op9_language": op9_language,
+    "op10_disclosure": op10_disclosure,
 }
 
 
