@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runassay.llm import binary, language, packing, privacy, quality, secrets, toxicity
+from runassay.llm import binary, language, near_dups, packing, privacy, quality, secrets, toxicity
 from runassay.llm.common import crc_fold
 
 
@@ -46,12 +46,17 @@ def op10_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return privacy.find_personal(_table(spark, sf_dir, "documents"))
 
 
+def op8_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op3_packed_matrices": op3_packed_matrices,
     "op5_secret_scan": op5_secret_scan,
     "op6_host_quality": op6_host_quality,
     "op7_min_bin_slack": op7_min_bin_slack,
+    "op8_near_dups": op8_near_dups,
     "op9_language": op9_language,
     "op10_disclosure": op10_disclosure,
 }
