@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runassay.llm import binary, language, near_dups, packing, privacy, quality, secrets, toxicity
+from runassay.llm import binary, language, mixing, near_dups, neighbours, packing, privacy, quality, secrets, toxicity
 from runassay.llm.common import crc_fold
 
 
@@ -22,10 +22,18 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(documents, model).withColumn("held_out", held)
 
 
+def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(_table(spark, sf_dir, "embeddings"))
+
+
 def op3_packed_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary.pack_matrices(_table(spark, sf_dir, "documents"))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents"))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(_table(spark, sf_dir, "documents"))
 
@@ -52,7 +60,9 @@ def op8_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_neighbours": op2_neighbours,
     "op3_packed_matrices": op3_packed_matrices,
+    "op4_mixing": op4_mixing,
     "op5_secret_scan": op5_secret_scan,
     "op6_host_quality": op6_host_quality,
     "op7_min_bin_slack": op7_min_bin_slack,
@@ -67,4 +77,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_mixing": mixing.mix_sql()}
