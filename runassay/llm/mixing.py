@@ -14,7 +14,7 @@ DIMENSIONS = ("source", "lang", "topic")
 TEMPER = {"source": 0.5, "lang": 0.7, "topic": 0.7}
 SWEEPS = 6
 #: Expected tokens of the sample, as a share of all tokens.
-BUDGET = 0.5
+BUDGET = 1.0
 WORD_RE = r"[^\x20\x09-\x0D]+"
 SYMBOL_RE = r"[#*$%&|<>]"
 

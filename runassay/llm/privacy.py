@@ -329,12 +329,20 @@ def _sanitise(batches, names: list[str]) -> Iterator[pa.RecordBatch]:
         columns = (batch.column(c).to_pylist() for c in ("_text", "_removed", "_generalised"))
         texts = [sanitised_text(t, r, g) for t, r, g in zip(*columns, strict=True)]
         row = batch.column("_row")
-        parts = [row.field(i) if n != "text" else pa.array(texts, row.type[i].type) for i, n in enumerate(names)]
+        parts = [row.field(i) for i in range(len(names))]
+        if "n_chars" in names:
+            i = names.index("n_chars")
+            old = zip(batch.column("_text").to_pylist(), texts, parts[i].to_pylist(), strict=True)
+            parts[i] = pa.array([n if a == b else len(b) for a, b, n in old], row.type[i].type)
+        parts[names.index("text")] = pa.array(texts, row.type[names.index("text")].type)
         yield pa.RecordBatch.from_pydict({"_row": pa.StructArray.from_arrays(parts, fields=list(row.type))})
 
 
 def sanitise(documents: DataFrame) -> DataFrame:
-    """The documents with personal data and revealing terms replaced in their text."""
+    """The documents with personal data and revealing terms replaced in their text.
+
+    A column ``n_chars``, if there is one, is counted anew where the text changed.
+    """
     terms = term_places(*revealing_terms(documents, scanned(documents)))
     text = F.col("text").cast("string")
     marked = documents.select(
