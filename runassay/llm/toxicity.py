@@ -26,13 +26,14 @@ FALSE_PATTERN = 0.01
 PREFIXES = range(4, 9)
 
 # Letters of other scripts that look like a Latin one, and substituted signs.
-LOOKALIKES = dict(
-    zip(
-        "авеԁһіјκкӏмոοорсѕтυхуѵԝαβεηιρτχγωłøđıɑɡʟ",
-        "abedhijkklmnooopcstuxyvwabeniptxywlodiagl",
-        strict=False,
-    )
-)
+LOOKALIKES = {
+    pair[0]: pair[1]
+    for pair in (
+        "аa вb сc ԁd еe һh іi јj кk ӏl мm нh оo рp ԛq ѕs тt уy ѵv ԝw хx "
+        "αa βb εe ηn ιi κk νv οo ρp τt υu χx γy ωw "
+        "ɑa ɡg ıi łl øo đd ʟl ɴn ʀr"
+    ).split()
+}
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g"}
 SIGNS = {"@": "a", "$": "s", "!": "i", "|": "l", "€": "e"}
 
