@@ -9,8 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runassay.llm.common import mapped
-from runassay.llm.packing import CAPACITY, Plan, assigned, token_pieces
+from runassay.llm.common import mapped, slices
+from runassay.llm.packing import CAPACITY, END_ID, Plan
+from runassay.llm.tokens import default_vocabulary, tokenizer
 
 #: Id in the unused end of a row.
 PAD_ID = 0
@@ -21,6 +22,21 @@ ROW = (
 )
 
 
+ARROW_ROW = pa.schema(
+    [
+        ("sequence_id", pa.int64()),
+        ("n_tokens", pa.int32()),
+        ("input_ids", pa.binary()),
+        ("cu_seqlens", pa.list_(pa.int32())),
+        ("position_resets", pa.list_(pa.int32())),
+        ("doc_ids", pa.list_(pa.int64())),
+        ("starts", pa.list_(pa.int64())),
+    ]
+)
+#: Tokens that a task holds and packs together.
+BLOCK_TOKENS = 8 << 20
+
+
 class RoomTree:
     """Segment tree over residual room 0..capacity that finds the least room that suffices."""
 
@@ -96,51 +112,75 @@ def pack_matrices(
 ) -> DataFrame:
     """Rows of packed id matrices, best fit decreasing, overlong documents split losslessly.
 
-    ``input_ids`` holds ``capacity`` little-endian unsigned ids of 16 bits (32 for a larger
-    vocabulary), unused ones ``PAD_ID``. Segment k lies between ``cu_seqlens[k]`` and
-    ``cu_seqlens[k + 1]``; positions restart at each of ``position_resets``; ``doc_ids`` and
-    ``starts`` say which part of which document it is, so the documents can be put together
-    again. A null text counts as empty (end id alone), repeated rows are packed each, null
-    ids stay null, other columns are ignored, an empty table gives no rows.
+    Each task packs its own documents, a block of about ``BLOCK_TOKENS`` at a time, so ids
+    are neither shuffled nor written before they are packed; a block leaves one row that is
+    not full. ``input_ids`` holds ``capacity`` little-endian unsigned ids of 16 bits (32 for
+    a larger vocabulary), unused ones ``PAD_ID``. Segment k lies between ``cu_seqlens[k]``
+    and ``cu_seqlens[k + 1]``; positions restart at each of ``position_resets``; ``doc_ids``
+    and ``starts`` say which part of which document it is, so the documents can be put
+    together again. A null text counts as empty (end id alone), repeated rows are packed
+    each, null ids stay null, other columns are ignored, an empty table gives no rows.
     """
-    pieces = token_pieces(documents, capacity, vocabulary, keep_ids=True)
-    placed = assigned(pieces.drop("piece", "ids_crc32"), best_fit_plan, capacity)
-    rows = placed.groupBy("sequence_id").agg(
-        F.sort_array(F.collect_list(F.struct("offset", "length", "doc_id", "start", "ids"))).alias("parts")
+    docs = documents.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.col("text").cast("string").alias("text"),
+        F.spark_partition_id().cast("long").alias("part"),
     )
-    return mapped(rows, _rows, ROW, capacity)
-
-
-def _rows(batches, capacity: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for k in range(0, batch.num_rows, 256):
-            out: dict[str, list] = {c.split()[0]: [] for c in ROW.split(", ")}
-            for row in batch.slice(k, 256).to_pylist():
-                parts = row["parts"]
-                width = len(parts[0]["ids"]) // parts[0]["length"]
-                ids = b"".join([p["ids"] for p in parts])
-                used = len(ids) // width
-                out["sequence_id"].append(row["sequence_id"])
-                out["n_tokens"].append(used)
-                out["input_ids"].append(ids + PAD_ID.to_bytes(width, "little") * (capacity - used))
-                out["cu_seqlens"].append([p["offset"] for p in parts] + [used])
-                out["position_resets"].append([p["offset"] for p in parts])
-                out["doc_ids"].append([p["doc_id"] for p in parts])
-                out["starts"].append([p["start"] for p in parts])
-            yield pa.RecordBatch.from_pydict(
-                out,
-                pa.schema(
-                    [
-                        ("sequence_id", pa.int64()),
-                        ("n_tokens", pa.int32()),
-                        ("input_ids", pa.binary()),
-                        ("cu_seqlens", pa.list_(pa.int32())),
-                        ("position_resets", pa.list_(pa.int32())),
-                        ("doc_ids", pa.list_(pa.int64())),
-                        ("starts", pa.list_(pa.int64())),
-                    ]
-                ),
-            )
+    return mapped(docs, _pack, ROW, vocabulary or default_vocabulary(), capacity)
+
+
+def _pack(batches, path: str, capacity: int) -> Iterator[pa.RecordBatch]:
+    own = tokenizer(path)
+    kind = "<u2" if own.full.get_vocab_size() <= 1 << 16 else "<u4"
+    block: list[tuple[int | None, int, np.ndarray]] = []
+    tokens, sequence = 0, 0
+    for batch in slices(batches):
+        ids, ends = own.encode([t or "" for t in batch.column("text").to_pylist()])
+        ids = ids.astype(kind)
+        part = batch.column("part")[0].as_py()
+        begin = 0
+        for doc, end in zip(batch.column("doc_id").to_pylist(), ends.tolist(), strict=True):
+            whole = np.append(ids[begin:end], ids.dtype.type(END_ID))
+            begin = end
+            for start in range(0, len(whole), capacity):
+                block.append((doc, start, whole[start : start + capacity]))
+            tokens += len(whole)
+            if tokens >= BLOCK_TOKENS:
+                for rows in _rows(block, capacity, (part << 40) + sequence):
+                    sequence += rows.num_rows
+                    yield rows
+                block, tokens = [], 0
+    if block:
+        yield from _rows(block, capacity, (part << 40) + sequence)
+
+
+def _rows(block: list[tuple], capacity: int, first: int) -> Iterator[pa.RecordBatch]:
+    """The block's pieces in rows, numbered from ``first``."""
+    by_length: dict[int, list[tuple]] = {}
+    for piece in block:
+        by_length.setdefault(len(piece[2]), []).append(piece)
+    plan = best_fit_plan({v: len(x) for v, x in by_length.items()}, capacity)
+    places: list[list[tuple]] = [[] for _ in range(plan.sequences)]
+    for length, rank, count, sequence, offset in plan.rows:
+        for k in range(count):
+            places[sequence + k].append((offset, by_length[length][rank + k]))
+    for k in range(0, len(places), 256):
+        out: dict[str, list] = {f.name: [] for f in ARROW_ROW}
+        for n, parts in enumerate(places[k : k + 256], start=first + k):
+            parts.sort(key=lambda p: p[0])
+            used = parts[-1][0] + len(parts[-1][1][2])
+            ids = np.full(capacity, PAD_ID, parts[0][1][2].dtype)
+            for offset, (_, _, own) in parts:
+                ids[offset : offset + len(own)] = own
+            starts = [offset for offset, _ in parts]
+            out["sequence_id"].append(n)
+            out["n_tokens"].append(used)
+            out["input_ids"].append(ids.tobytes())
+            out["cu_seqlens"].append([*starts, used])
+            out["position_resets"].append(starts)
+            out["doc_ids"].append([doc for _, (doc, _, _) in parts])
+            out["starts"].append([start for _, (_, start, _) in parts])
+        yield pa.RecordBatch.from_pydict(out, ARROW_ROW)
 
 
 def write_matrices(packed: DataFrame, path: str) -> None:

@@ -34,32 +34,28 @@ def token_pieces(
     documents: DataFrame,
     capacity: int = CAPACITY,
     vocabulary: str | None = None,
-    keep_ids: bool = False,
 ) -> DataFrame:
     """Cut each document's ids, with the end id, into pieces of at most ``capacity``.
 
     Only longer documents are cut; a null text counts as empty and has the end id alone.
-    ``part`` and ``part_rank`` number the pieces of a length within a task. With
-    ``keep_ids``, ``ids`` holds them as unsigned little-endian 16-bit numbers (32-bit for a
-    larger vocabulary). The result is written once, since both passes over it must agree.
+    ``part`` and ``part_rank`` number the pieces of a length within a task. The result is
+    written once, since both passes over it must agree.
     """
     path = vocabulary or default_vocabulary()
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     docs = docs.withColumn("part", F.spark_partition_id().cast("long"))
-    schema = PIECE + (", ids binary" if keep_ids else "")
-    return pin(mapped(docs, _pieces, schema, path, capacity, keep_ids), "pieces")
+    return pin(mapped(docs, _pieces, PIECE, path, capacity), "pieces")
 
 
-def _pieces(batches, path: str, capacity: int, keep_ids: bool) -> Iterator[pa.RecordBatch]:
+def _pieces(batches, path: str, capacity: int) -> Iterator[pa.RecordBatch]:
     own = tokenizer(path)
-    kind = "<u2" if own.full.get_vocab_size() <= 1 << 16 else "<u4"
     ranks = np.zeros(capacity + 1, np.int64)
     for batch in slices(batches):
         texts = [t or "" for t in batch.column("text").to_pylist()]
         docs = batch.column("doc_id").to_pylist()
         part = batch.column("part")[0].as_py()
         ids, ends = own.encode(texts)
-        rows: dict[str, list] = {c: [] for c in ("doc_id", "piece", "start", "length", "ids_crc32", "part_rank", "ids")}
+        rows: dict[str, list] = {c: [] for c in ("doc_id", "piece", "start", "length", "ids_crc32", "part_rank")}
         begin = 0
         for doc, end in zip(docs, ends.tolist(), strict=True):
             whole = np.append(ids[begin:end], np.uint32(END_ID)).astype("<u4")
@@ -72,8 +68,6 @@ def _pieces(batches, path: str, capacity: int, keep_ids: bool) -> Iterator[pa.Re
                 rows["length"].append(len(cut))
                 rows["ids_crc32"].append(zlib.crc32(cut.tobytes()))
                 rows["part_rank"].append(int(ranks[len(cut)]))
-                if keep_ids:
-                    rows["ids"].append(cut.astype(kind).tobytes())
                 ranks[len(cut)] += 1
         n = len(rows["piece"])
         out = {
@@ -83,8 +77,6 @@ def _pieces(batches, path: str, capacity: int, keep_ids: bool) -> Iterator[pa.Re
             "part": pa.array([part] * n, pa.int64()),
             "part_rank": pa.array(rows["part_rank"], pa.int64()),
         }
-        if keep_ids:
-            out["ids"] = pa.array(rows["ids"], pa.binary())
         yield pa.RecordBatch.from_pydict(out)
 
 
