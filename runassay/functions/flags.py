@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from runassay import schema as S
+from runassay.functions.text import stripped
 
 
 def _has(column: str, word: str) -> Column:
@@ -50,7 +51,7 @@ def is_generation_timeout(column: str = "timeout_states") -> Column:
 
 
 def is_evaluable() -> Column:
-    text = F.trim(F.coalesce(F.col("evaluation"), F.lit("")))
+    text = stripped(F.coalesce(F.col("evaluation"), F.lit("")))
     return ~is_timeout() & ~is_crash() & ~text.isin("", "Unknown", "nan")
 
 
@@ -75,7 +76,7 @@ def is_traditional_route(column: str = "language") -> Column:
 
 def resolution_state(agent: str | Column) -> Column:
     agent = F.col(agent) if isinstance(agent, str) else agent
-    return F.when(F.trim(F.coalesce(agent, F.lit(""))) != "", F.lit("4")).otherwise("2")
+    return F.when(stripped(F.coalesce(agent, F.lit(""))) != "", F.lit("4")).otherwise("2")
 
 
 def error_kind(column: str) -> Column:
@@ -89,6 +90,6 @@ def error_kind(column: str) -> Column:
 def or_default(column: str, default: str) -> Column:
     """The column, or ``default`` where it is null or blank."""
     value = F.col(column)
-    return F.when(F.coalesce(F.trim(value), F.lit("")) == "", F.lit(default)).otherwise(
+    return F.when(F.coalesce(stripped(value), F.lit("")) == "", F.lit(default)).otherwise(
         value
     )

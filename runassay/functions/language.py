@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import difflib
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runassay import schema as S
+from runassay.functions.similarity import nearest
 from runassay.functions.text import cell, let
-from runassay.scale import ship_package
 
 SIMPLIFIED = "简体中文"
 TRADITIONAL = "繁体中文"
@@ -61,44 +58,18 @@ def named_language(column: str | Column) -> Column:
     return F.when(text.rlike(HAN), mixed).when(text.rlike(LATIN), ENGLISH).otherwise("N/A")
 
 
-def _near_language_heading():
-    @F.pandas_udf("boolean")
-    def near(words: pd.Series) -> pd.Series:
-        seen: dict[str, bool] = {}
-        for word in words.dropna().unique():
-            seen[word] = bool(
-                difflib.get_close_matches(
-                    word, S.LANGUAGE_HEADINGS, n=1, cutoff=S.FUZZY_CUTOFF
-                )
-            )
-        return words.map(lambda w: seen.get(w, False))
-
-    # Else a filter on the result would be pushed below the distinct and call it again.
-    return near.asNondeterministic()
-
-
 def language_headings(cells: DataFrame, value: str = "value") -> DataFrame:
     """Distinct normalised cells with ``is_language``; plain text tests come first.
 
-    Only what neither equals nor contains a language word reaches Python, and
-    each distinct text does so once.
+    Only what neither equals nor contains a language word is compared with the headings,
+    each distinct text once.
     """
-    ship_package(cells.sparkSession)
-    near = _near_language_heading()
     words = cells.select(cell(value).alias("word")).where(F.col("word") != "").distinct()
     plain = F.col("word").isin(S.LANGUAGE_HEADINGS)
     for part in S.LANGUAGE_HEADING_PARTS:
         plain = plain | F.col("word").contains(part)
-    # A ratio of 0.6 needs 2 * min / (a + b) >= 0.6, so far longer cells cannot match.
-    shortest = min(len(h) for h in S.LANGUAGE_HEADINGS)
-    longest = max(len(h) for h in S.LANGUAGE_HEADINGS)
-    limit = (2 - S.FUZZY_CUTOFF) / S.FUZZY_CUTOFF
-    size = F.char_length("word")
-    possible = (size * limit >= shortest) & (size <= longest * limit)
-    return words.select(
-        "word",
-        F.when(plain, True)
-        .when(possible, near(F.when(~plain & possible, F.col("word"))))
-        .otherwise(False)
-        .alias("is_language"),
+    names = cells.sparkSession.createDataFrame([(h,) for h in S.LANGUAGE_HEADINGS], "name string")
+    near = nearest(words.where(~plain), names, S.FUZZY_CUTOFF).select("word", F.lit(True).alias("_near"))
+    return words.join(near, "word", "left").select(
+        "word", (plain | F.coalesce("_near", F.lit(False))).alias("is_language")
     )

@@ -55,13 +55,17 @@ def extension(column: str | Column) -> Column:
     )
 
 
-def excerpt(column: str | Column, one_line: bool = True) -> Column:
-    head = F.substring(_c(column), 1, S.EXCERPT_CHARS)
+def excerpt(
+    column: str | Column, one_line: bool = True, chars: int | None = S.EXCERPT_CHARS
+) -> Column:
+    """The first ``chars`` characters (None: all), on one line if so wished."""
+    head = _c(column) if chars is None else F.substring(_c(column), 1, chars)
     return F.translate(head, "\n", " ") if one_line else head
 
 
-def judge_document(column: str | Column) -> Column:
-    return F.substring(_c(column), 1, S.DOCUMENT_CHARS)
+def judge_document(column: str | Column, chars: int | None = S.DOCUMENT_CHARS) -> Column:
+    """The first ``chars`` characters of a document; None leaves it whole."""
+    return _c(column) if chars is None else F.substring(_c(column), 1, chars)
 
 
 def clean_text(column: str | Column) -> Column:
@@ -144,9 +148,9 @@ def block(column: str | Column, number: int) -> Column:
 
 
 def numbers(column: str | Column) -> Column:
-    return F.transform(
-        F.regexp_extract_all(_c(column), F.lit(r"(\d+)"), 1), lambda x: x.cast("bigint")
-    )
+    """Numbers in a text; digit runs too long for a label are none."""
+    found = F.regexp_extract_all(_c(column), F.lit(r"(\d+)"), 1)
+    return F.array_compact(F.transform(found, lambda x: x.try_cast("bigint")))
 
 
 def is_id_cell(column: str | Column) -> Column:
@@ -183,19 +187,19 @@ def text_length(column: str | Column) -> Column:
     return F.char_length(stripped(column)).cast("bigint")
 
 
-def evaluation_line(label: str = "label") -> Column:
+def evaluation_line(label: str = "label", chars: int | None = S.EXCERPT_CHARS) -> Column:
     return F.concat(
         F.lit("[Test ID: "), F.col(label).cast("string"), F.lit("] Eval: "),
         stripped("evaluation"), F.lit(" | Ans: "),
-        excerpt(stripped(F.coalesce(F.col("answer"), F.lit("nan")))),
+        excerpt(stripped(F.coalesce(F.col("answer"), F.lit("nan"))), chars=chars),
     )
 
 
-def language_line(label: str = "label") -> Column:
+def language_line(label: str = "label", chars: int | None = S.EXCERPT_CHARS) -> Column:
     return F.concat(
         F.lit("[Test ID: "), F.col(label).cast("string"), F.lit("] Input: "),
         F.col("input_language"), F.lit(", Output: "), F.col("output_language"),
-        F.lit(" | Answer: "), excerpt("answer", one_line=False),
+        F.lit(" | Answer: "), excerpt("answer", one_line=False, chars=chars),
     )
 
 

@@ -6,20 +6,14 @@ one row per written entry; ``pos`` is the writing order.
 
 from __future__ import annotations
 
-import difflib
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runassay import schema as S
 from runassay.functions.flags import is_traditional_route, resolution_state
+from runassay.functions.similarity import nearest
 from runassay.functions.text import stripped
-from runassay.scale import null_safe_key, ship_package, spread
-
-# Names compared in one call; larger catalogs are cut into parts of about this size.
-NAMES_PER_PART = 20_000
-WORDS_PER_GROUP = 10_000
+from runassay.scale import null_safe_key
 
 
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
@@ -70,88 +64,11 @@ def english_names(catalog: DataFrame) -> DataFrame:
     )
 
 
-def _nearest(names: list[str], cutoff: float):
-    """Arrow function: word -> (ratio, best name); each distinct word is compared once."""
-
-    @F.pandas_udf("ratio double, folded string")
-    def nearest(words: pd.Series) -> pd.DataFrame:
-        best: dict[str, tuple] = {None: (None, None)}
-        for word in words.dropna().unique():
-            hit = difflib.get_close_matches(word, names, n=1, cutoff=cutoff)
-            if hit:
-                ratio = difflib.SequenceMatcher(a=hit[0], b=word).ratio()
-                best[word] = (ratio, hit[0])
-        rows = [best.get(w, (None, None)) if w is not None else (None, None) for w in words]
-        return pd.DataFrame(rows, columns=["ratio", "folded"])
-
-    # Else a filter on the result would be pushed below the distinct and call it again.
-    return nearest.asNondeterministic()
-
-
-def fuzzy_names(
-    words: DataFrame,
-    folded: DataFrame,
-    cutoff: float = S.FUZZY_CUTOFF,
-    names_per_part: int = NAMES_PER_PART,
-) -> DataFrame:
-    """Best catalog name per distinct ``word`` by matching-block ratio, ties to the greatest.
-
-    Compared in Python on distinct words only; pairs are never rows. A catalog
-    of at most ``names_per_part`` names travels with the function. A larger one
-    is cut by hash into parts, every word meets every part in a group of
-    bounded size, and the best of the parts wins, which gives the same answer.
-    """
-    ship_package(words.sparkSession)
-    names = folded.select("folded")
-    head = [r.folded for r in names.limit(names_per_part + 1).collect()]
-    words = spread(words.select("word").where(F.col("word").isNotNull()).distinct(), "word")
-    if len(head) <= names_per_part:
-        scored = words.withColumn("_hit", _nearest(head, cutoff)("word"))
-    else:
-        scored = _nearest_in_parts(words, names, cutoff, names_per_part // 2)
-    best = (
-        scored.where(F.col("_hit.folded").isNotNull())
-        .groupBy("word")
-        .agg(F.max("_hit").alias("_hit"))
-    )
-    return best.select("word", "_hit.ratio", "_hit.folded")
-
-
-def _nearest_in_parts(
-    words: DataFrame, names: DataFrame, cutoff: float, names_per_part: int
-) -> DataFrame:
-    """(word, _hit) per word and catalog part; groups hold bounded words and names."""
-    parts = -(-names.count() // names_per_part)
-    salts = max(1, -(-words.count() // WORDS_PER_GROUP))
-
-    def upto(n: int):
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-
-    asked = words.select("word", upto(parts).alias("part")).withColumn(
-        "salt", F.pmod(F.xxhash64("word"), F.lit(salts)).cast("int")
-    )
-    offered = names.select(
-        "folded",
-        F.pmod(F.xxhash64("folded"), F.lit(parts)).cast("int").alias("part"),
-        upto(salts).alias("salt"),
-    )
-
-    def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        known, hits = right["folded"].tolist(), []
-        for word in left["word"]:
-            near = difflib.get_close_matches(word, known, n=1, cutoff=cutoff)
-            if near:
-                ratio = difflib.SequenceMatcher(a=near[0], b=word).ratio()
-                hits.append((word, ratio, near[0]))
-        return pd.DataFrame(hits, columns=["word", "ratio", "folded"])
-
-    keys = ["part", "salt"]
-    hits = (
-        asked.groupBy(*keys)
-        .cogroup(offered.groupBy(*keys))
-        .applyInPandas(compare, "word string, ratio double, folded string")
-    )
-    return hits.select("word", F.struct("ratio", "folded").alias("_hit"))
+def fuzzy_names(words: DataFrame, folded: DataFrame, cutoff: float = S.FUZZY_CUTOFF) -> DataFrame:
+    """Best catalog name per distinct ``word`` by matching-block ratio, ties to the greatest."""
+    asked = words.select("word").where(F.col("word").isNotNull()).distinct()
+    names = folded.select(F.col("folded").alias("name")).distinct()
+    return nearest(asked, names, cutoff).withColumnRenamed("name", "folded")
 
 
 def resolve_names(
@@ -266,33 +183,28 @@ def first_offered(tasks: DataFrame, offered: DataFrame, keys: list[str]) -> Data
     """First candidate contained in a title the environment offers.
 
     In: tasks(keys, env, final_agent, candidates), offered(env, title). Rather
-    than test every candidate against every title, titles are exploded into
-    their distinct substrings once, and candidates meet them by an equi-join.
+    than test every candidate against every title, titles are cut into their
+    substrings of the lengths that candidates have, and candidates meet them by
+    an equi-join: a title's work is its length times the number of such lengths.
     """
     title = F.lower(stripped("title"))
-    starts = F.sequence(F.lit(1), F.char_length("t"))
-    parts = F.flatten(
-        F.transform(
-            starts,
-            lambda i: F.transform(
-                F.sequence(F.lit(1), F.char_length("t") - i + 1),
-                lambda n: F.substring(F.col("t"), i, n),
-            ),
-        )
-    )
+    # Tasks share few (env, candidates) pairs: look each pair up once.
+    asked = tasks.select("env", "candidates").distinct()
+    tried = asked.select(
+        "env", "candidates", F.posexplode("candidates").alias("pos", "candidate")
+    ).withColumn("piece", F.lower(stripped("candidate")))
+    sizes = tried.select("env", F.char_length("piece").alias("_n")).where("_n > 0").distinct()
+    starts = F.sequence(F.lit(1), F.char_length("t") - F.col("_n") + 1)
     pieces = (
         offered.select("env", title.alias("t"))
-        .where(F.char_length("t") > 0)
         .distinct()
-        .select("env", F.explode(F.array_distinct(parts)).alias("piece"))
+        .join(sizes, "env")
+        .where(F.char_length("t") >= F.col("_n"))
+        .select("env", F.explode(F.transform(starts, lambda i: F.substring(F.col("t"), i, F.col("_n")))).alias("piece"))
         .distinct()
     )
-    # Tasks share few (env, candidates) pairs: look each pair up once.
-    asked = tasks.select("env", "candidates").distinct()
-    tried = asked.select("env", "candidates", F.posexplode("candidates").alias("pos", "candidate"))
     hits = (
-        tried.withColumn("piece", F.lower(stripped("candidate")))
-        .join(pieces, ["env", "piece"], "left_semi")
+        tried.join(pieces, ["env", "piece"], "left_semi")
         .groupBy("env", "candidates")
         .agg(F.min_by("candidate", "pos").alias("picked"))
     )

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runassay import schema as S
 from runassay.functions import flags
 from runassay.functions.text import seconds
 
@@ -13,13 +12,14 @@ from runassay.functions.text import seconds
 OUTCOMES = ["crash", "timeout", "failed", "pass"]
 
 
-def fan_out(tasks: DataFrame, envs: DataFrame, n: int = S.MAX_ENVIRONMENTS) -> DataFrame:
-    """Each task once per environment, for the first ``n`` environments by ``pos``.
+def fan_out(tasks: DataFrame, envs: DataFrame, n: int | None = None) -> DataFrame:
+    """Each task once per environment, or for the first ``n`` environments by ``pos``.
 
-    The ``n`` names are read ahead (a configuration of at most ``n`` rows) and
-    exploded in place, so the tasks are neither shuffled nor joined.
+    The names are read ahead (the list of environments is a configuration) and exploded in
+    place, so the tasks are neither shuffled nor joined.
     """
-    names = [r.env for r in envs.orderBy("pos").limit(n).select("env").collect()]
+    first = envs.orderBy("pos") if n is None else envs.orderBy("pos").limit(n)
+    names = [r.env for r in first.select("env").collect()]
     if not names:
         return tasks.withColumn("env", F.lit(None).cast("string")).where(F.lit(False))
     return tasks.withColumn("env", F.explode(F.array(*[F.lit(x) for x in names])))

@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
-import csv
-import io
-import re
-from collections.abc import Callable
+import time
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from runassay import schema as S
 from runassay.functions import flags
-from runassay.functions.text import ID_CELL, block, evaluation_line, excerpt, language_line
+from runassay.functions.text import (
+    block,
+    evaluation_line,
+    is_id_cell,
+    language_line,
+    numbers,
+    stripped,
+)
+from runassay.operators.judge import ATTEMPTS, attempt
 from runassay.scale import first_rows, ship_package, spread
 
 LINES_PER_CALL = 200
@@ -39,19 +45,25 @@ ISSUE_RULES = {
 }
 
 
-def evaluable(results: DataFrame) -> DataFrame:
-    """Rows worth clustering as labelled lines."""
+def evaluable(results: DataFrame, chars: int | None = None) -> DataFrame:
+    """Rows worth clustering as labelled lines, answers whole unless ``chars`` bounds them."""
     return results.where(flags.is_evaluable()).select(
-        *S.RUN_KEYS, "label", evaluation_line().alias("text")
+        *S.run_keys(results), "label", evaluation_line(chars=chars).alias("text")
     )
 
 
-def language_samples(results: DataFrame, n: int = S.LANGUAGE_SAMPLES) -> DataFrame:
-    """First ``n`` language failures per run as labelled lines."""
-    wanted = results.where(flags.is_language_sample())
-    return first_rows(wanted, S.RUN_KEYS, ["label"], n).select(
-        *S.RUN_KEYS, "label", language_line().alias("text")
+def language_samples(
+    results: DataFrame, n: int | None = S.LANGUAGE_SAMPLES, chars: int | None = S.EXCERPT_CHARS
+) -> DataFrame:
+    """First ``n`` language failures per run (None: all) as labelled lines.
+
+    Lines are made, and cut to ``chars`` of the answer, before the ranking moves them.
+    """
+    runs = S.run_keys(results)
+    lines = results.where(flags.is_language_sample()).select(
+        *runs, "label", language_line(chars=chars).alias("text")
     )
+    return lines if n is None else first_rows(lines, runs, ["label"], n, salts=16)
 
 
 def cluster_by_rules(results: DataFrame, rules: dict[str, str] = ISSUE_RULES) -> DataFrame:
@@ -60,14 +72,14 @@ def cluster_by_rules(results: DataFrame, rules: dict[str, str] = ISSUE_RULES) ->
         F.array(*[F.when(F.col("evaluation").rlike(p), name) for name, p in rules.items()])
     )
     return results.where(flags.is_evaluable()).select(
-        *S.RUN_KEYS, F.explode(hits).alias("issue"), F.col("label").alias("id"),
-        excerpt("evaluation").alias("example"),
+        *S.run_keys(results), F.explode(hits).alias("issue"), F.col("label").alias("id"),
+        F.translate("evaluation", "\n", " ").alias("example"),
     )
 
 
 def cluster_examples(clusters: DataFrame) -> DataFrame:
     """The example of the first test of every issue."""
-    return clusters.groupBy(*S.RUN_KEYS, "issue").agg(F.min_by("example", "id").alias("example"))
+    return clusters.groupBy(*S.run_keys(clusters), "issue").agg(F.min_by("example", "id").alias("example"))
 
 
 def ask_for_blocks(
@@ -75,31 +87,48 @@ def ask_for_blocks(
     open_backend: Callable[[], Callable[[str, list[str]], str]],
     topic: str = "evaluations",
     lines_per_call: int = LINES_PER_CALL,
+    attempts: int = ATTEMPTS,
+    wait: Callable[[float], None] = time.sleep,
 ) -> DataFrame:
     """Reply per run and part: every line is sent, in parts of at most ``lines_per_call``.
 
-    The backend gets the topic (evaluations, languages or observations) and the lines.
-
-    Parts follow the label, so a run of any size becomes many small groups;
-    the issues of all parts merge when the ids are counted. A failed call
-    yields a null reply.
+    The backend gets the topic (evaluations, languages or observations) and the lines; a
+    task opens one. Parts follow the label, so a run of any size becomes many small groups;
+    the issues of all parts merge when the ids are counted. A call that fails is tried
+    again like a judge's; one that fails for good yields a null reply.
     """
     ship_package(lines.sparkSession)
+    keys = [*S.run_keys(lines), "part"]
+    parts = (
+        lines.withColumn("part", F.floor(F.col("label") / lines_per_call).cast("bigint"))
+        .groupBy(*keys)
+        .agg(F.sort_array(F.collect_list(F.struct("label", "text")))["text"].alias("_lines"))
+    )
     schema = T.StructType(
-        lines.select(*S.RUN_KEYS).schema.fields
-        + [T.StructField("part", T.LongType()), T.StructField("reply", T.StringType())]
+        [*parts.select(*keys).schema.fields, T.StructField("reply", T.StringType())]
     )
-    parts = lines.withColumn("part", F.floor(F.col("label") / lines_per_call).cast("bigint"))
 
-    def call(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        try:
-            reply = open_backend()(topic, rows.sort_values("label")["text"].tolist())
-        except Exception:
-            reply = None
-        return pd.DataFrame([(*key, reply)], columns=schema.names)
+    def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        backend = None
+        for batch in batches:
+            replies = []
+            for texts in batch["_lines"]:
+                def once(texts=texts) -> str:
+                    nonlocal backend
+                    if backend is None:
+                        backend = open_backend()
+                    return backend(topic, list(texts))
+
+                reply, _, error = attempt(once, _is_text, attempts, wait)
+                replies.append(reply if error is None else None)
+            yield batch[keys].assign(reply=pd.Series(replies, index=batch.index, dtype=object))
+
+    return spread(parts, *keys).mapInPandas(call, schema)
+
 
-    keys = [*S.RUN_KEYS, "part"]
-    return spread(parts, *keys).groupBy(*keys).applyInPandas(call, schema)
+def _is_text(reply: object) -> None:
+    if not isinstance(reply, str):
+        raise TypeError("no text in reply")
 
 
 def blocks_of(replies: DataFrame) -> DataFrame:
@@ -116,41 +145,78 @@ def blocks_of(replies: DataFrame) -> DataFrame:
     return replies.select(*keys, F.inline(F.array(*ready)))
 
 
-BLOCK_ROW = "row_no int, kind string, first string, ids array<bigint>, texts array<string>"
+# One cell with the comma or line end behind it; line ends and commas may be quoted.
+_CELL = r'(?:"[^"]*(?:""[^"]*)*"|[^,\n"]*)[^,\n]*[,\n]'
+# Stand-ins for quoted line ends and commas while a text is cut into rows and cells.
+_HELD = "\ue000\ue001"
 
 
-class BlockRows:
-    """Rows of one CSV block; ids split over several cells are merged."""
+def _cells_by_row(text: Column) -> Column:
+    """Rows of cells of a CSV text, quotes taken off."""
+    plain = F.concat(F.replace(stripped(F.coalesce(text, F.lit(""))), F.lit("\r\n"), F.lit("\n")), F.lit("\n"))
+    held = F.transform(
+        F.regexp_extract_all(plain, F.lit(_CELL), 0),
+        lambda c: F.concat(
+            F.translate(F.substring(c, F.lit(1), F.char_length(c) - 1), "\n,", _HELD), F.right(c, F.lit(1))
+        ),
+    )
+    rows = F.split(F.regexp_replace(F.array_join(held, ""), "\n$", ""), "\n")
+
+    def bare(cell: Column) -> Column:
+        inner = F.regexp_replace(cell, r'(?s)^"([^"]*(?:""[^"]*)*)"', "$1")
+        inner = F.when(cell.startswith('"'), F.replace(inner, F.lit('""'), F.lit('"'))).otherwise(cell)
+        return F.translate(inner, _HELD, "\n,")
 
-    def eval(self, text: str):
-        counting = False
-        for no, cells in enumerate(csv.reader(io.StringIO((text or "").strip()))):
-            if not any(c.strip() for c in cells):
-                counting = False
-                continue
-            first, rest = cells[0], cells[1:]
-            if ID_HEADING in cells:
-                counting = True
-                yield no, "heading", first, None, rest
-                continue
-            id_cells = [c for c in rest if c.strip() and re.match(ID_CELL, c.strip())]
-            ids = [int(n) for c in id_cells for n in re.findall(r"\d+", c)]
-            if counting and ids:
-                yield no, "ids", first, sorted(set(ids)), [c for c in rest if c not in id_cells]
-            else:
-                yield no, "text", first, None, rest
+    return F.transform(rows, lambda r: F.transform(F.split(r, ","), bare))
 
 
 def block_rows(blocks: DataFrame) -> DataFrame:
-    """Parsed rows of all blocks, beside the columns of ``blocks``."""
-    ship_package(blocks.sparkSession)
-    parse = F.udtf(BlockRows, returnType=BLOCK_ROW)
-    return blocks.lateralJoin(parse(F.col("text").outer()))
+    """Rows of all blocks beside the columns of ``blocks``: row_no, kind, first, ids, texts.
+
+    A row with the id heading opens a table that the next blank row ends; so a row is in a
+    table if the last heading before it comes after the last blank one. There, cells of
+    digits are one list of ids, however many cells it was spread over.
+    """
+    rows = F.transform(
+        _cells_by_row(F.col("text")),
+        lambda cells, i: F.struct(
+            i.alias("no"),
+            cells.alias("cells"),
+            (stripped(F.array_join(cells, "")) == "").alias("blank"),
+            F.array_contains(cells, ID_HEADING).alias("heading"),
+        ),
+    )
+    places = lambda kind: F.transform(F.filter("_rows", lambda r: r[kind]), lambda r: r["no"])
+    marked = (
+        blocks.withColumn("_rows", rows)
+        .withColumns({"_heads": places("heading"), "_gaps": places("blank")})
+        .withColumn("_r", F.explode("_rows"))
+        .where(~F.col("_r.blank"))
+    )
+    no, cells = F.col("_r.no"), F.col("_r.cells")
+    last = lambda c: F.coalesce(F.array_max(F.filter(c, lambda i: i < no)), F.lit(-1))
+    rest = F.slice(cells, 2, F.greatest(F.size(cells) - 1, F.lit(0)))
+    is_ids = lambda c: is_id_cell(c) & (stripped(c) != "")
+    ids = F.array_sort(F.array_distinct(F.flatten(F.transform(F.filter(rest, is_ids), numbers))))
+    kind = (
+        F.when(F.col("_r.heading"), "heading")
+        .when((last("_heads") > last("_gaps")) & (F.size(ids) > 0), "ids")
+        .otherwise("text")
+    )
+    texts = F.when(F.col("kind") == "ids", F.filter(rest, lambda c: ~is_ids(c))).otherwise(rest)
+    return marked.withColumn("kind", kind).select(
+        *blocks.columns,
+        no.alias("row_no"),
+        "kind",
+        cells[0].alias("first"),
+        F.when(F.col("kind") == "ids", ids).alias("ids"),
+        texts.alias("texts"),
+    )
 
 
 def cluster_ids(rows: DataFrame) -> DataFrame:
     """Long (run, issue, id, example) clusters out of parsed blocks."""
     return rows.where(F.col("kind") == "ids").select(
-        *S.RUN_KEYS, F.col("first").alias("issue"), F.explode("ids").alias("id"),
+        *S.run_keys(rows), F.col("first").alias("issue"), F.explode("ids").alias("id"),
         F.array_join("texts", ",").alias("example"),
     )

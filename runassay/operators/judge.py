@@ -6,6 +6,7 @@ import json
 import random
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -47,8 +48,11 @@ PROMPT_HEAD = (
 )
 
 
-def judge_prompt() -> Column:
-    """One prompt text per row out of request, target_language, document and answer."""
+def judge_prompt(document_chars: int | None = None) -> Column:
+    """One prompt text per row out of request, target_language, document and answer.
+
+    The document goes in whole unless ``document_chars`` bounds it.
+    """
     blank = lambda c: F.coalesce(F.col(c), F.lit(""))
     return F.concat(
         F.lit(PROMPT_HEAD),
@@ -56,7 +60,7 @@ def judge_prompt() -> Column:
         F.lit("\nTarget language:\n"),
         blank("target_language"),
         F.lit("\nDocument:\n"),
-        judge_document(F.coalesce(F.col("document"), F.lit(S.NO_DOCUMENT))),
+        judge_document(F.coalesce(F.col("document"), F.lit(S.NO_DOCUMENT)), document_chars),
         F.lit("\nAnswer:\n"),
         blank("answer"),
     )
@@ -101,6 +105,29 @@ def _one_object(reply: str) -> str:
     return body
 
 
+def attempt(
+    call: Callable[[], str],
+    check: Callable[[str], object],
+    attempts: int = ATTEMPTS,
+    wait: Callable[[float], None] = time.sleep,
+) -> tuple[str | None, int, str | None]:
+    """Last reply, number of tries and last error of a call whose reply must pass ``check``.
+
+    Between tries it waits 2, then 4 seconds and so on, plus a jitter.
+    """
+    reply, error = None, None
+    for tried in range(1, attempts + 1):
+        try:
+            reply = call()
+            check(reply)
+            return reply, tried, None
+        except Exception as e:
+            error = str(e)
+            if tried < attempts:
+                wait(2**tried + random.uniform(0.5, 2.0))
+    return reply, attempts, error
+
+
 def ask(
     rows: DataFrame,
     open_backend: Callable[[], Backend],
@@ -108,13 +135,15 @@ def ask(
     partitions: int | None = None,
     attempts: int = ATTEMPTS,
     wait: Callable[[float], None] = time.sleep,
+    in_flight: int = 8,
+    document_chars: int | None = None,
 ) -> DataFrame:
     """Calls the judge once per row: keys, reply, attempts, error.
 
     Rows are spread by key over ``partitions`` tasks (default: the shuffle
-    partitions). Each task opens one backend and streams its rows through it. A call or
-    reply that fails is tried again after 2 and 4 seconds plus a jitter; a row
-    that still fails keeps its last reply and error, the job goes on.
+    partitions). Each task opens one backend and streams its rows through it,
+    ``in_flight`` calls at a time. A call or reply that fails is tried again; a
+    row that still fails keeps its last reply and error, the job goes on.
     """
     ship_package(rows.sparkSession)
     schema = T.StructType(
@@ -128,33 +157,23 @@ def ask(
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         backend = open_backend()
-        for batch in batches:
-            out = []
-            for row in batch[INPUTS].to_dict("records"):
-                reply, error, tried = None, None, 0
-                while tried < attempts:
-                    tried += 1
-                    try:
-                        reply = None
-                        reply = backend(row)
-                        _one_object(reply)
-                        error = None
-                        break
-                    except Exception as e:
-                        error = str(e)
-                        if tried < attempts:
-                            wait(2**tried + random.uniform(0.5, 2.0))
-                out.append((reply, tried, error))
-            yield pd.concat(
-                [
-                    batch[keys].reset_index(drop=True),
-                    pd.DataFrame(out, columns=["reply", "attempts", "error"]),
-                ],
-                axis=1,
-            )
+
+        def one(row: dict) -> tuple:
+            return attempt(lambda: backend(row), _one_object, attempts, wait)
+
+        with ThreadPoolExecutor(in_flight) as calls:
+            for batch in batches:
+                out = list(calls.map(one, batch[INPUTS].to_dict("records")))
+                yield pd.concat(
+                    [
+                        batch[keys].reset_index(drop=True),
+                        pd.DataFrame(out, columns=["reply", "attempts", "error"]),
+                    ],
+                    axis=1,
+                )
 
     asked = rows.select(*keys, *[c for c in INPUTS if c not in keys]).withColumn(
-        "document", judge_document("document")
+        "document", judge_document("document", document_chars)
     )
     placed = asked.repartition(partitions, *keys) if partitions else spread(asked, *keys)
     return placed.mapInPandas(score, schema)

@@ -64,9 +64,10 @@ REPORT_NUMBERS = [n for n in (*AGGREGATES, *DERIVED) if n != "mean_valid"]
 
 
 def run_metrics(
-    results: DataFrame, by=S.RUN_KEYS, *more: Column, only: list[str] | None = None
+    results: DataFrame, by=None, *more: Column, only: list[str] | None = None
 ) -> DataFrame:
     """The numbers of the report, or ``only`` some, and ``more`` aggregates, in one pass."""
+    by = list(by or S.run_keys(results))
     wanted = list(only or REPORT_NUMBERS)
     needed = list(wanted)
     for name in reversed(DERIVED):
@@ -82,14 +83,14 @@ def run_metrics(
     return counted.select(*by, *wanted, *extra)
 
 
-def run_counts(results: DataFrame, by=S.RUN_KEYS) -> DataFrame:
+def run_counts(results: DataFrame, by=None) -> DataFrame:
     """Total, timeouts, crashes, both, and valid = total - timeouts - crashes, at least 0."""
     return run_metrics(
         results, by, only=["total", "timeouts", "crashes", "overlap", "valid"]
     )
 
 
-def pass_counts(results: DataFrame, by=S.RUN_KEYS) -> DataFrame:
+def pass_counts(results: DataFrame, by=None) -> DataFrame:
     """Pass, failed and invalid with shares of all tests."""
     out = run_metrics(results, by, only=["total", "passed", "failed", "invalid"])
     return out.withColumns(
@@ -113,12 +114,12 @@ def _over_valid(results: DataFrame, by, good: str, bad: str, *more: str) -> Data
     )
 
 
-def language_counts(results: DataFrame, by=S.RUN_KEYS) -> DataFrame:
+def language_counts(results: DataFrame, by=None) -> DataFrame:
     """Language passes and failures with shares of the valid tests."""
     return _over_valid(results, by, "lang_passed", "lang_failed")
 
 
-def reference_counts(results: DataFrame, by=S.RUN_KEYS) -> DataFrame:
+def reference_counts(results: DataFrame, by=None) -> DataFrame:
     """Reference passes over all rows; ``ref_failed`` may go below 0 by that rule.
 
     ``ref_passed_strict`` counts valid rows only.
@@ -126,12 +127,12 @@ def reference_counts(results: DataFrame, by=S.RUN_KEYS) -> DataFrame:
     return _over_valid(results, by, "ref_passed", "ref_failed", "ref_passed_strict")
 
 
-def citation_counts(results: DataFrame, by=S.RUN_KEYS) -> DataFrame:
+def citation_counts(results: DataFrame, by=None) -> DataFrame:
     """The same for citation marks."""
     return _over_valid(results, by, "doc_passed", "doc_none", "doc_passed_strict")
 
 
-def response_times(results: DataFrame, by=S.RUN_KEYS) -> DataFrame:
+def response_times(results: DataFrame, by=None) -> DataFrame:
     """Fastest, slowest and mean seconds over all rows, and the mean over valid rows."""
     return run_metrics(
         results, by, only=["fastest", "slowest", "mean", "timed", "mean_valid"]

@@ -27,7 +27,7 @@ def stable_at(
     """
     w = Window.partitionBy(key).orderBy(*order)
     so_far = w.rowsBetween(Window.unboundedPreceding, 0)
-    seen = first_rows(polls.select(key, *order, length), [key], list(order), max_polls)
+    seen = first_rows(polls.select(key, *order, length), [key], list(order), max_polls, salts=16)
     same = (F.col(length) > 0) & (
         F.col(length) == F.coalesce(F.lag(length).over(w), F.lit(0))
     )
@@ -55,9 +55,9 @@ def stable_at(
 
 def breaker(
     statuses: DataFrame,
-    by: tuple[str, ...] = ("run_date",),
+    by: tuple[str, ...] = tuple(S.RUN_KEYS),
     order: tuple[str, ...] = ("ts", "event_id"),
-    limit: int = S.MAX_ENVIRONMENTS,
+    limit: int = S.BREAKER_LIMIT,
 ) -> DataFrame:
     """First moment per run at which ``limit`` windows closed in a row.
 

@@ -106,9 +106,15 @@ res AS (SELECT d.raw, CASE WHEN n.name IS NOT NULL THEN d.raw ELSE coalesce(f.na
   CASE WHEN n.name IS NOT NULL THEN 'exact' WHEN f.name IS NOT NULL THEN 'case' ELSE 'none' END AS how
   FROM (SELECT DISTINCT trim(agent) AS raw FROM ra) d
   LEFT JOIN names n ON n.name = d.raw LEFT JOIN folded f ON f.k = lower(d.raw)),
-cand AS (SELECT res.*, CASE WHEN res.agent = '' THEN '' ELSE coalesce(a.tc, res.agent) END AS tc_candidates,
-  CASE WHEN res.agent = '' THEN '' ELSE coalesce(b.en, res.agent) END AS en_candidates
-  FROM res LEFT JOIN cat a ON a.en = res.agent LEFT JOIN cat b ON b.tc = res.agent),
+-- On these names the matching-block ratio equals (a + b - edits) / (a + b): one letter is missing.
+near AS (SELECT raw, k, name, (length(raw) + length(k) - levenshtein(lower(raw), k))
+  / CAST(length(raw) + length(k) AS DOUBLE) AS ratio FROM res, folded WHERE how = 'none'),
+best AS (SELECT raw, arg_max(name, (ratio, k)) AS name, max(ratio) AS ratio FROM near WHERE ratio >= 0.6 GROUP BY raw),
+rz AS (SELECT res.raw, coalesce(best.name, agent) AS agent, CASE WHEN best.name IS NOT NULL THEN 'fuzzy' ELSE how END AS how,
+  best.ratio FROM res LEFT JOIN best ON best.raw = res.raw),
+cand AS (SELECT rz.*, CASE WHEN rz.agent = '' THEN '' ELSE coalesce(a.tc, rz.agent) END AS tc_candidates,
+  CASE WHEN rz.agent = '' THEN '' ELSE coalesce(b.en, rz.agent) END AS en_candidates
+  FROM rz LEFT JOIN cat a ON a.en = rz.agent LEFT JOIN cat b ON b.tc = rz.agent),
 rs AS (SELECT ra.*, cand.agent AS final_agent, how, CASE WHEN cand.agent <> '' THEN '4' ELSE '2' END AS state,
   CASE WHEN is_tc THEN tc_candidates ELSE en_candidates END AS candidates
   FROM ra JOIN cand ON cand.raw = trim(ra.agent))
@@ -187,9 +193,10 @@ CHECKS["s2_testcases"] = GRID + "SELECT * FROM tc WHERE request <> '' OR filenam
 CHECKS["w1_label"] = GRID + """SELECT path, row_no, row_number() OVER (PARTITION BY path ORDER BY row_no) - 1 AS idx,
 row_number() OVER (PARTITION BY path ORDER BY row_no) AS label FROM tc WHERE request <> '' OR filename <> ''"""
 CHECKS["s3_results"] = RESULTS + """SELECT env, run_date, count(*) AS n, CAST(sum(label) AS BIGINT) AS label_sum,
-count(*) FILTER (reference_link <> 'N/A') AS references, count(*) FILTER (document_contain <> 'None') AS citations,
+count(*) FILTER (reference_link <> 'N/A' AND env = 'env_a') AS references, count(*) FILTER (document_contain <> 'None') AS citations,
 count(*) FILTER (completion_time <> 'N/A') AS times, count(*) FILTER (evaluation <> '') AS evaluations,
-CAST(0 AS BIGINT) AS filenames, count(*) AS answers FROM f GROUP BY env, run_date"""
+CAST(0 AS BIGINT) AS filenames, count(*) AS answers, CAST(sum(length(answer)) AS BIGINT) AS answer_chars,
+CAST(sum(10 + least(40, length(answer))) AS BIGINT) AS request_chars FROM f GROUP BY env, run_date"""
 CHECKS["s4_corpus"] = """SELECT lang, '.txt' AS ext,
 CAST(sum(1 + length(text) - length(replace(text, chr(10), ''))) AS BIGINT) AS lines,
 CAST(sum(1 + length(text)) AS BIGINT) AS chars FROM documents GROUP BY lang"""
@@ -212,7 +219,9 @@ EVAL_LINE = """concat('[Test ID: ', CAST(label AS STRING), '] Eval: ', trim(eval
 replace(substring(regexp_replace(answer, '^\\s+|\\s+$', '', 'g'), 1, 300), chr(10), ' '))"""
 LANG_LINE = """concat('[Test ID: ', CAST(label AS STRING), '] Input: ', input_language, ', Output: ',
 output_language, ' | Answer: ', substring(answer, 1, 300))"""
-CHECKS["p09_evaluable"] = RESULTS + f"SELECT run_date, env, label, {EVAL_LINE} AS text FROM f WHERE is_evaluable"
+CHECKS["p09_evaluable"] = RESULTS + """SELECT run_date, env, label, md5(concat('[Test ID: ', CAST(label AS STRING), '] Eval: ',
+trim(evaluation), ' | Ans: ', replace(regexp_replace(answer, '^\\s+|\\s+$', '', 'g'), chr(10), ' '))) AS text
+FROM f WHERE is_evaluable"""
 CHECKS["p10_lang_samples"] = RESULTS + f"""SELECT run_date, env, label, {LANG_LINE} AS text FROM (
 SELECT *, row_number() OVER (PARTITION BY run_date, env ORDER BY label) AS k FROM f WHERE lang_text AND NOT is_timeout) WHERE k <= 50"""
 CHECKS["o1_samples"] = RESULTS + """SELECT run_date, env, label, event_id FROM (
@@ -263,12 +272,7 @@ CHECKS["a15_duplicates"] = PARTS + """SELECT e.en, e.entries, count(l.name) AS l
 SELECT p_brand AS en, p_name AS name FROM part UNION SELECT p_brand, concat(p_type, ' ', p_name) FROM part
 EXCEPT SELECT en, name FROM x) l ON l.en = e.en WHERE e.entries > 1 GROUP BY e.en, e.entries"""
 CHECKS["j3_exact"] = AGENTS + "SELECT raw, agent, how FROM res"
-# On these names the matching-block ratio equals (a + b - edits) / (a + b): one letter is missing.
-CHECKS["j4_fuzzy"] = AGENTS + """, near AS (SELECT raw, k, name, (length(raw) + length(k) - levenshtein(lower(raw), k))
-  / CAST(length(raw) + length(k) AS DOUBLE) AS ratio FROM res, folded WHERE how = 'none'),
-best AS (SELECT raw, arg_max(name, (ratio, k)) AS name, max(ratio) AS ratio FROM near WHERE ratio >= 0.6 GROUP BY raw)
-SELECT res.raw, coalesce(best.name, agent) AS agent, CASE WHEN best.name IS NOT NULL THEN 'fuzzy' ELSE how END AS how,
-best.ratio FROM res LEFT JOIN best ON best.raw = res.raw"""
+CHECKS["j4_fuzzy"] = AGENTS + "SELECT raw, agent, how, ratio FROM rz"
 CHECKS["j5_candidates"] = AGENTS + "SELECT raw, agent, tc_candidates, en_candidates FROM cand"
 CHECKS["j5_resolved"] = AGENTS + """SELECT agent, is_tc, final_agent, how, state, candidates, count(*) AS n
 FROM rs GROUP BY ALL"""
@@ -281,9 +285,7 @@ CASE WHEN candidates = '' OR found THEN final_agent ELSE concat(final_agent, '{S
 CASE WHEN found THEN '4' ELSE '2' END AS state FROM hit"""
 
 # ---- fan-out and comparison ----
-FAN = TASKS + ", p AS (SELECT task_set, idx, request, r_name AS env FROM t, region WHERE r_regionkey < 3)"
-CHECKS["j7_fanout"] = FAN + "SELECT task_set, idx, env FROM p"
-CHECKS["j8_unwritten"] = FAN + "SELECT task_set, idx, env FROM p WHERE request = ''"
+CHECKS["j7_fanout"] = TASKS + "SELECT task_set, idx, r_name AS env FROM t, region"
 CLUSTERS = RESULTS + """, cl AS (SELECT DISTINCT run_date, env, event_type AS issue, event_id % 97 AS id
 FROM run WHERE value > 150)"""
 CHECKS["j9_unknown_ids"] = CLUSTERS + """SELECT c.run_date, c.env, f.label IS NOT NULL AS known, count(*) AS n
@@ -303,7 +305,6 @@ CHECKS["a02_valid"] = RESULTS + "SELECT run_date, env, overlap, valid FROM m"
 CHECKS["a03_pass"] = RESULTS + f"""SELECT run_date, env, total, passed, failed, invalid,
 {_share('passed', 'total')} AS passed_share, {_pct('passed', 'total')} AS passed_pct,
 {_pct('failed', 'total')} AS failed_pct, {_pct('invalid', 'total')} AS invalid_pct FROM m"""
-CHECKS["s9_recover"] = CHECKS["a03_pass"]
 CHECKS["a04_language"] = RESULTS + f"""SELECT run_date, env, valid, lang_passed, lang_failed,
 {_share('lang_passed', 'vb')} AS lang_passed_share, {_pct('lang_passed', 'vb')} AS lang_passed_pct,
 {_pct('lang_failed', 'vb')} AS lang_failed_pct FROM m"""
@@ -402,22 +403,15 @@ report AS (SELECT run_date, env, section_ord, ord, sort_key, line, CASE section_
 
 
 CHECKS["a13_report"] = _report_sql() + "SELECT * FROM report"
+CHECKS["s9_recover"] = CHECKS["a13_report"]
 CHECKS["s7_render"] = _report_sql() + """SELECT run_date, env, section_ord, ord, sort_key, line,
 concat(CASE WHEN section_ord = 1 AND ord = 0 AND line = 0 THEN chr(65279) ELSE '' END,
 concat_ws(',', coalesce(item, ''), coalesce(value, ''), coalesce(pct, ''),
 CASE WHEN ids IS NULL THEN '' ELSE concat('"', ids, '"') END,
 CASE WHEN example IS NOT NULL THEN concat('"', replace(example, '"', '""'), '"') END)) AS text FROM report"""
-CHECKS["a14_env_report"] = RESULTS + """, e0 AS (SELECT env, count(*) AS total, count(*) FILTER (is_timeout) AS timeouts,
-count(*) FILTER (is_crash) AS crashes, count(*) FILTER (is_timeout AND is_crash) AS overlap,
-count(*) FILTER (is_failed) AS failed, count(*) FILTER (is_lang_failed) AS lang_failed,
-count(*) FILTER (is_ref) AS ref_passed, count(*) FILTER (is_doc) AS doc_passed,
-count(*) FILTER (is_ref AND NOT is_timeout AND NOT is_crash) AS ref_passed_strict,
-count(*) FILTER (is_doc AND NOT is_timeout AND NOT is_crash) AS doc_passed_strict,
-count(*) FILTER (is_total) AS total_timeouts, count(*) FILTER (is_gen) AS gen_timeouts, count(secs) AS timed,
-coalesce(min(secs), 0) AS fastest, coalesce(max(secs), 0) AS slowest, round(coalesce(avg(secs), 0), 6) AS mean
-FROM f GROUP BY env), e1 AS (SELECT *, greatest(total - timeouts - crashes, 0) AS valid FROM e0)
-SELECT *, valid - failed AS passed, timeouts + crashes AS invalid, valid - lang_failed AS lang_passed,
-valid - ref_passed AS ref_failed, valid - doc_passed AS doc_none FROM e1"""
+CHECKS["s7_written"] = f"SELECT run_date, env, replace(text, chr(65279), '') AS text FROM ({CHECKS['s7_render']})"
+CHECKS["a14_env_report"] = _report_sql() + """SELECT * FROM report WHERE (env, run_date) IN (
+SELECT env, max(run_date) FROM f GROUP BY env)"""
 
 # ---- windows ----
 CHECKS["w3_first_match"] = f"""SELECT lang, source, file_name, doc_id FROM (SELECT lang, source, doc_id,
@@ -434,14 +428,15 @@ st AS (SELECT *, CASE WHEN stable_poll IS NOT NULL THEN 'stable' WHEN polls >= 3
 ELSE 'running' END AS state FROM p)
 """
 CHECKS["w4_stability"] = STABLE + "SELECT task_key, stable_poll, stable_ts, polls, state FROM st"
-BREAKER = f"""WITH s0 AS (SELECT CAST(ts AS DATE) AS run_date, ts, event_id, {V.STATUS_RULE} AS status FROM events),
-s1 AS (SELECT *, CAST(sum(CASE WHEN status IN ('SUCCESS', 'ERROR') THEN 1 ELSE 0 END) OVER (PARTITION BY run_date
+BREAKER = f"""WITH s0 AS (SELECT {_cols(V.RUN_RULES)}, ts, event_id, {V.STATUS_RULE} AS status FROM events),
+s1 AS (SELECT *, CAST(sum(CASE WHEN status IN ('SUCCESS', 'ERROR') THEN 1 ELSE 0 END) OVER (PARTITION BY run_date, env
 ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS island FROM s0),
-s2 AS (SELECT *, sum(CASE WHEN status = 'BROWSER_CLOSED' THEN 1 ELSE 0 END) OVER (PARTITION BY run_date, island
+s2 AS (SELECT *, sum(CASE WHEN status = 'BROWSER_CLOSED' THEN 1 ELSE 0 END) OVER (PARTITION BY run_date, env, island
 ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS streak FROM s1),
-br AS (SELECT run_date, count(*) FILTER (status = 'BROWSER_CLOSED') AS closes, coalesce(bool_or(streak >= 3), false) AS tripped,
+br AS (SELECT run_date, env, count(*) FILTER (status = 'BROWSER_CLOSED') AS closes,
+coalesce(bool_or(streak >= 3), false) AS tripped,
 min(ts) FILTER (streak >= 3) AS trip_ts, arg_min(event_id, ts) FILTER (streak >= 3) AS trip_event_id
-FROM s2 WHERE status IN ('BROWSER_CLOSED', 'SUCCESS', 'ERROR') GROUP BY run_date)
+FROM s2 WHERE status IN ('BROWSER_CLOSED', 'SUCCESS', 'ERROR') GROUP BY run_date, env)
 """
 CHECKS["w5_breaker"] = BREAKER + "SELECT * FROM br"
 CHECKS["o4_last_text"] = """SELECT conv_id, turn, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id
@@ -496,15 +491,16 @@ CHECKS["x1_judge"] = ANSWERS + """SELECT doc_id, CASE WHEN cites THEN 'Good' ELS
 'Unknown' AS input_language, 'Unknown' AS output_language, 'Unknown' AS language_status,
 concat(CAST(length(answer) AS STRING), ' characters') AS evaluation, 'N/A' AS reference_link,
 CASE WHEN cites THEN 'Pass' ELSE 'None' END AS document_contain_citations FROM an WHERE doc_id % 9 <> 0"""
-CHECKS["x2_retry"] = ANSWERS + f""", sz AS (SELECT *, length(substring(document, 1, 50000)) % 5 AS k FROM an)
-SELECT doc_id, CASE k WHEN 0 THEN 3 WHEN 1 THEN 2 ELSE 1 END::BIGINT AS attempts,
-CASE WHEN k = 0 THEN 'no answer from judge' END AS error,
-CASE WHEN k = 0 THEN 'Parse Error(Failed)' WHEN cites THEN 'Good' ELSE 'Pass' END AS tester_expectation,
+CHECKS["x2_retry"] = ANSWERS + f""", sz AS (SELECT *, length(document) % 5 AS k FROM an)
+SELECT doc_id, CASE k WHEN 0 THEN 3 WHEN 1 THEN 2 WHEN 2 THEN 3 ELSE 1 END::BIGINT AS attempts,
+CASE WHEN k IN (0, 2) THEN 'no answer from judge' END AS error,
+CASE WHEN k IN (0, 2) THEN 'Parse Error(Failed)' WHEN cites THEN 'Good' ELSE 'Pass' END AS tester_expectation,
 CASE WHEN k = 0 THEN '{judge.FAILURE_TEXT}no answer from judge{judge.FAILURE_REPLY}{judge.FAILURE_NO_REPLY}'
+WHEN k = 2 THEN '{judge.FAILURE_TEXT}no answer from judge{judge.FAILURE_REPLY}busy 2'
 ELSE concat(CAST(length(answer) AS STRING), ' characters') END AS evaluation FROM sz"""
 _HEAD = judge.PROMPT_HEAD.replace("\n", "' || chr(10) || '")
 CHECKS["x9_prompt"] = ANSWERS + f"""SELECT doc_id, length(p) AS chars, md5(p) AS digest FROM (SELECT doc_id, '{_HEAD}' || request
-|| chr(10) || 'Target language:' || chr(10) || chr(10) || 'Document:' || chr(10) || substring(document, 1, 50000)
+|| chr(10) || 'Target language:' || chr(10) || chr(10) || 'Document:' || chr(10) || document
 || chr(10) || 'Answer:' || chr(10) || answer AS p FROM an)"""
 CHECKS["x6_cluster"] = RESULTS + f", hits AS ({RULE_HITS}) SELECT run_date, env, issue, count(*) AS n FROM hits GROUP BY ALL"
 CHECKS["x6_examples"] = RESULTS + f""", hits AS ({RULE_HITS}) SELECT run_date, env, issue, arg_min(evaluation, id) AS example
@@ -514,8 +510,7 @@ FROM f WHERE is_evaluable GROUP BY ALL"""
 INSIGHT_HITS = """SELECT run_date, env, 3 AS section_ord, concat('Score ', substring(evaluation, 7)) AS issue, label AS id,
   concat('seen Score ', substring(evaluation, 7)) AS evaluation FROM f WHERE is_evaluable
 UNION ALL SELECT run_date, env, 5, concat(input_language, ' to ', output_language), label,
-  concat('seen ', input_language, ' to ', output_language) FROM (
-  SELECT *, row_number() OVER (PARTITION BY run_date, env ORDER BY label) AS k FROM f WHERE lang_text AND NOT is_timeout) WHERE k <= 50"""
+  concat('seen ', input_language, ' to ', output_language) FROM f WHERE lang_text AND NOT is_timeout"""
 OBSERVED = """SELECT o.run_date, o.env, 10, 4, '000000000000', row_number() OVER (PARTITION BY o.run_date, o.env ORDER BY n, issue),
 'Observed', concat(issue, ' ', CAST(n AS STRING), ' of ', CAST(total AS STRING)), NULL, NULL, NULL
 FROM (SELECT run_date, env, issue, count(*) AS n FROM hits WHERE section_ord = 3 GROUP BY ALL) o
@@ -531,7 +526,7 @@ WHEN block = 2 THEN regexp_replace(text, '^\\s+|\\s+$', '', 'g') ELSE parsing EN
 FROM conversations, ({_STAND_INS})"""
 
 # ---- whole evaluation ----
-CHECKS["e1_evaluate"] = MATCHED + f""", cat AS (SELECT n_name AS en, concat('国', CAST(n_nationkey AS STRING)) AS tc FROM nation),
+EVALUATED = MATCHED + f""", cat AS (SELECT n_name AS en, concat('国', CAST(n_nationkey AS STRING)) AS tc FROM nation),
 cp AS (SELECT conv_id, turn - 1 AS turn, {_cols(V.CAPTURE_RULES)} FROM conversations WHERE role = 'assistant'),
 j0 AS (SELECT md.*, cat.en, cp.answer, cp.timeout_states AS ts0, cp.shared_link, cp.prep_time, cp.completion_time, cp.error,
   coalesce(cp.stopped, false) AS stopped FROM md LEFT JOIN cat ON lower(cat.en) = lower(trim(md.agent))
@@ -543,8 +538,11 @@ j1 AS (SELECT *, CASE WHEN stopped THEN 'STOPPED' WHEN skip_reason IS NOT NULL T
   {_language_sql('request')} AS asked, {_language_sql("coalesce(answer, '')")} AS given FROM j0),
 j2 AS (SELECT *, status = 'SUCCESS' AND state = 'No' AS judged, status = 'SUCCESS' AND state <> 'No' AS late,
   regexp_matches(answer, '\\[\\d+\\]') AS cites, regexp_matches(answer, '{REFERENCE}') AS refers FROM j1
-  WHERE status NOT IN ('STOPPED', 'BROWSER_CLOSED') AND (skip_reason IS NOT NULL OR answer IS NOT NULL))
-SELECT conv_id, turn, idx + 1 AS label, md5(request) AS request, coalesce(nullif(trim(filename), ''), '') AS filename,
+  WHERE status NOT IN ('STOPPED', 'BROWSER_CLOSED')
+    AND (skip_reason IS NOT NULL OR answer IS NOT NULL OR error IS NOT NULL))
+"""
+CHECKS["j8_unwritten"] = EVALUATED + "SELECT conv_id, turn FROM md EXCEPT SELECT conv_id, turn FROM j2"
+CHECKS["e1_evaluate"] = EVALUATED + f"""SELECT conv_id, turn, idx + 1 AS label, md5(request) AS request, coalesce(nullif(trim(filename), ''), '') AS filename,
 CASE status WHEN 'SKIPPED' THEN skip_reason WHEN 'ERROR' THEN concat('{S.CRASH_PREFIX}', substring(error, 1, 150)) ELSE 'No' END AS crash,
 CASE WHEN NOT judged THEN 'Failed' WHEN trim(answer) = '' THEN 'Failed' WHEN asked <> given THEN 'Poor'
   WHEN cites AND refers THEN 'Excellent' WHEN cites OR refers THEN 'Good' ELSE 'Pass' END AS tester_expectation,
@@ -552,23 +550,24 @@ coalesce(nullif(trim(language), ''), 'N/A') AS selected_language,
 CASE WHEN judged THEN asked ELSE 'N/A' END AS input_language, CASE WHEN judged THEN given ELSE 'N/A' END AS output_language,
 CASE WHEN judged AND asked = given THEN 'Pass' ELSE 'Failed' END AS language_status,
 md5(CASE status WHEN 'SKIPPED' THEN '{S.SKIP_ANSWER}' WHEN 'ERROR' THEN '{S.CRASH_ANSWER}' ELSE answer END) AS answer,
-CASE WHEN status = 'SUCCESS' THEN shared_link ELSE 'N/A' END AS shared_link,
+CASE WHEN status = 'SUCCESS' OR status = 'ERROR' THEN shared_link ELSE 'N/A' END AS shared_link,
 CASE WHEN status = 'ERROR' THEN concat('{S.CRASH_PREFIX}', substring(error, 1, 150)) WHEN late THEN '{S.TIMEOUT_EVALUATION}'
   WHEN judged THEN concat('rule check: ', asked, ' > ', given) ELSE 'Unknown' END AS evaluation,
 CASE WHEN status = 'SKIPPED' THEN '未指定' WHEN status = 'ERROR' THEN coalesce(nullif(trim(agent), ''), '未指定')
   ELSE coalesce(en, '未指定') END AS agent_used,
 CASE WHEN judged AND refers THEN 'Pass' ELSE 'N/A' END AS reference_link,
 CASE WHEN judged AND cites THEN 'Pass' ELSE 'None' END AS document_contain,
-CASE WHEN status = 'SUCCESS' THEN prep_time ELSE 'N/A' END AS prep_time,
-CASE WHEN status = 'SUCCESS' THEN completion_time ELSE 'N/A' END AS completion_time,
+CASE WHEN status IN ('SUCCESS', 'ERROR') THEN prep_time ELSE 'N/A' END AS prep_time,
+CASE WHEN status IN ('SUCCESS', 'ERROR') THEN completion_time ELSE 'N/A' END AS completion_time,
 CASE status WHEN 'ERROR' THEN 'Crash (Error)' WHEN 'SKIPPED' THEN 'No' ELSE state END AS timeout_states FROM j2"""
 
 # ---- streaming: what the batch says over the same rows ----
 CHECKS["t1_ingest"] = CHECKS["w2_latest"]
-CHECKS["t2_drain"] = CHECKS["a03_pass"]
+CHECKS["t2_drain"] = CHECKS["a13_report"]
 CHECKS["t3_stability"] = STABLE + "SELECT task_key, state, stable_poll, stable_ts FROM st WHERE state <> 'running'"
-CHECKS["t4_breaker"] = BREAKER + "SELECT run_date, trip_ts, trip_event_id FROM br WHERE tripped"
+CHECKS["t4_breaker"] = BREAKER + "SELECT run_date, env, trip_ts, trip_event_id FROM br WHERE tripped"
 CHECKS["t6_live_metrics"] = RESULTS + """SELECT CAST(run_date AS TIMESTAMP) AS window_start, env, count(*) AS total,
 count(*) FILTER (is_timeout) AS timeouts, count(*) FILTER (is_crash) AS crashes, count(*) FILTER (is_failed) AS failed,
-min(secs) AS fastest, max(secs) AS slowest FROM f GROUP BY run_date, env"""
+count(*) FILTER (is_lang_failed) AS lang_failed, count(*) FILTER (is_ref) AS ref_passed, count(*) FILTER (is_doc) AS doc_passed,
+count(secs) AS timed, min(secs) AS fastest, max(secs) AS slowest, round(avg(secs), 6) AS mean FROM f GROUP BY run_date, env"""
 CHECKS["t7_dedupe"] = RESULTS + "SELECT run_date, env, label, event_id FROM f"

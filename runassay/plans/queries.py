@@ -22,6 +22,7 @@ from runassay.sources import results as RS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 RUN = S.RUN_KEYS
+R_SITE, R_TIME = "http://example.org/", "2024-01-31 00:00"
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]):
@@ -63,7 +64,14 @@ def s3_results(spark, sf):
     sheet = V.sheet_results(spark, sf).select(
         "env", "run_date", *[F.col(c).alias(h) for h, c in S.RESULT_HEADINGS.items()]
     )
-    sheet.write.partitionBy("env", "run_date").option("header", True).option("escape", '"').csv(path)
+    # Sheets of the second environment have their columns in another order, and one less.
+    turned = [c for c in reversed(sheet.columns) if c != "Reference Link"]
+    for part in (sheet.where("env = 'env_a'"), sheet.where("env = 'env_b'").select(*turned)):
+        (
+            part.write.mode("append").partitionBy("env", "run_date").option("header", True)
+            .option("escape", '"').option("ignoreLeadingWhiteSpace", False)
+            .option("ignoreTrailingWhiteSpace", False).csv(path)
+        )
     read = RS.read_results(spark, path, fmt="csv")
     return read.groupBy("env", "run_date").agg(
         F.count(F.lit(1)).alias("n"),
@@ -74,6 +82,8 @@ def s3_results(spark, sf):
         F.count("evaluation").alias("evaluations"),
         F.count("filename").alias("filenames"),
         F.count("answer").alias("answers"),
+        F.sum(F.char_length("answer")).cast("bigint").alias("answer_chars"),
+        F.sum(F.char_length("request")).cast("bigint").alias("request_chars"),
     ).withColumn("run_date", F.col("run_date").cast("date"))
 
 
@@ -145,6 +155,18 @@ def s7_render(spark, sf):
     return reports.report_lines(_report(spark, sf))
 
 
+@query
+def s7_written(spark, sf):
+    """Reports of two environments, written one after the other, read back as text."""
+    path = scratch_dir(spark, "reports")
+    report = _report(spark, sf)
+    for env in ("env_a", "env_b"):
+        reports.write_report(report.where(F.col("env") == env), path)
+    lines = spark.read.text(path)
+    text = F.replace("value", F.lit("\ufeff"), F.lit(""))
+    return lines.select(F.col("run_date").cast("date").alias("run_date"), "env", text.alias("text"))
+
+
 @query
 def s8_layout(spark, sf):
     path = scratch_dir(spark, "runs")
@@ -155,11 +177,12 @@ def s8_layout(spark, sf):
 
 @query
 def s9_recover(spark, sf):
-    """The counts of whatever had landed, read back from the landing table."""
+    """The report on whatever had landed, read back from the landing table."""
     table = scratch_dir(spark, "results")
     rows = V.results(spark, sf, ratings=True, labels=True)
     RS.upsert_results(rows, table, 0)
-    return metrics.pass_counts(RS.stored_results(spark, table, ["ts", "event_id"]))
+    stored = RS.stored_results(spark, table, ["ts", "event_id"])
+    return R.summary_report(stored, website=R_SITE, generated=R_TIME)
 
 
 # ---- predicates ----
@@ -186,8 +209,10 @@ _flag_query("p08_gen_timeout", flags.is_generation_timeout)
 
 @query
 def p09_evaluable(spark, sf):
+    """Evaluable rows as lines with their whole answers."""
     rows = V.results(spark, sf, labels=True, texts=True)
-    return insight.evaluable(rows)
+    lines = insight.evaluable(rows)
+    return lines.withColumn("text", F.md5("text"))
 
 
 @query
@@ -232,9 +257,9 @@ def a12_reconcile(spark, sf):
 
 @query
 def p13_capture(spark, sf):
-    rows = V.results(spark, sf).withColumn(
+    rows = V.results(spark, sf, texts=True).withColumn(
         "answer",
-        F.when(F.col("event_id") % 23 == 0, S.EMPTY_ANSWER).otherwise("an answer"),
+        F.when(F.col("event_id") % 23 == 0, S.EMPTY_ANSWER).otherwise(F.col("answer")),
     )
     return _n(
         outcomes.after_capture(rows),
@@ -327,7 +352,7 @@ def j4_fuzzy(spark, sf):
 
 @query
 def j5_candidates(spark, sf):
-    resolved = agents.resolve_names(V.raw_agents(spark, sf), V.catalog(spark, sf), fuzzy=False)
+    resolved = agents.resolve_names(V.raw_agents(spark, sf), V.catalog(spark, sf))
     return agents.with_candidates(resolved, V.catalog(spark, sf)).select(
         "raw", "agent",
         F.array_join("tc_candidates", "|").alias("tc_candidates"),
@@ -338,9 +363,7 @@ def j5_candidates(spark, sf):
 @query
 def j5_resolved(spark, sf):
     """Whole resolution per task, counted by its outcome."""
-    resolved = agents.resolve_agents(
-        V.raw_agents(spark, sf), V.catalog(spark, sf), ["task_key"], fuzzy=False
-    )
+    resolved = agents.resolve_agents(V.raw_agents(spark, sf), V.catalog(spark, sf), ["task_key"])
     return _n(
         resolved.withColumn("candidates", F.array_join("candidates", "|")),
         "agent", "is_tc", "final_agent", "how", "state", "candidates",
@@ -349,9 +372,7 @@ def j5_resolved(spark, sf):
 
 @query
 def j6_first_available(spark, sf):
-    resolved = agents.resolve_agents(
-        V.raw_agents(spark, sf), V.catalog(spark, sf), ["task_key"], fuzzy=False
-    )
+    resolved = agents.resolve_agents(V.raw_agents(spark, sf), V.catalog(spark, sf), ["task_key"])
     return agents.first_offered(resolved, V.offered(spark, sf), ["task_key"])
 
 
@@ -376,29 +397,44 @@ def _evaluated(spark, sf) -> DataFrame:
 @query
 def e1_evaluate(spark, sf):
     """Every conversation as a test case: matched, resolved, judged by rules, as sheet rows."""
-    rows = _evaluated(spark, sf)
+    rows = _evaluated(spark, sf).drop("task_set")
     return rows.withColumn("answer", F.md5("answer")).withColumn("request", F.md5("request"))
 
 
-# ---- fan-out and comparison ----
+@query
+def e2_chain(spark, sf):
+    """Test cases in two environments: offered agents, evaluation, landing, report per test set."""
+    corpus = V.corpus(spark, sf).withColumnRenamed("answer", "text")
+    envs = spark.range(2).selectExpr("concat('env_', chr(97 + CAST(id AS INT))) AS env", "id AS pos")
+    keys = ["conv_id", "turn", "env"]
+    tasks = compare.fan_out(V.tasks(spark, sf), envs).withColumn("run_date", F.lit("2024-01-31").cast("date"))
+    tasks = tasks.withColumn("task_set", F.col("task_set").cast("string"))
+    prepared = EV.prepare(tasks, corpus, V.catalog(spark, sf), keys, V.offered(spark, sf))
+    captures = compare.fan_out(V.captures(spark, sf), envs)
+    rows = EV.evaluate(prepared, captures, corpus, keys)
+    table = scratch_dir(spark, "results")
+    RS.upsert_results(rows, table, 0)
+    stored = RS.stored_results(spark, table, ["conv_id", "turn"])
+    return R.summary_report(stored, website=R_SITE, generated=R_TIME)
 
 
-def _planned(spark, sf) -> DataFrame:
-    envs = V.table(spark, sf, "region").selectExpr("r_name AS env", "r_regionkey AS pos")
-    return compare.fan_out(V.tasks(spark, sf).select("task_set", "idx", "request"), envs)
+# ---- fan-out and comparison ----
 
 
 @query
 def j7_fanout(spark, sf):
-    return _planned(spark, sf).drop("request")
+    """Every test case in every region."""
+    envs = V.table(spark, sf, "region").selectExpr("r_name AS env", "r_regionkey AS pos")
+    return compare.fan_out(V.tasks(spark, sf).select("task_set", "idx"), envs)
 
 
 @query
 def j8_unwritten(spark, sf):
-    """Planned runs of which only those with a request were written."""
-    planned = _planned(spark, sf)
-    written = planned.where("request <> ''")
-    return compare.unwritten_tasks(planned, written, ["task_set", "idx", "env"]).drop("request")
+    """Test cases that left no row in the result table: stopped ones and closed windows."""
+    table = scratch_dir(spark, "results")
+    _evaluated(spark, sf).write.parquet(table)
+    planned = V.tasks(spark, sf).select("conv_id", "turn")
+    return compare.unwritten_tasks(planned, spark.read.parquet(table), ["conv_id", "turn"])
 
 
 @query
@@ -456,9 +492,7 @@ def a07_times(spark, sf):
 
 @query
 def a08_crash_ids(spark, sf):
-    rows = V.results(spark, sf, labels=True)
-    lines = labels.label_lines(labels.crash_kinds(rows))
-    return lines.join(labels.crash_split(rows), RUN, "right")
+    return labels.crash_split(V.results(spark, sf, labels=True))
 
 
 @query
@@ -484,7 +518,7 @@ def o2_cluster_ids(spark, sf):
 
 def _report(spark, sf) -> DataFrame:
     rows = V.results(spark, sf, ratings=True, labels=True)
-    return R.summary_report(rows, website="http://example.org/", generated="2024-01-31 00:00")
+    return R.summary_report(rows, website=R_SITE, generated=R_TIME)
 
 
 @query
@@ -494,8 +528,9 @@ def a13_report(spark, sf):
 
 @query
 def a14_env_report(spark, sf):
-    out = R.environment_metrics(V.results(spark, sf, ratings=True))
-    return out.withColumn("mean", F.round("mean", 6))
+    """The newest run of each environment in full."""
+    rows = V.results(spark, sf, ratings=True, labels=True)
+    return R.environment_report(rows, website=R_SITE, generated=R_TIME)
 
 
 # ---- windows ----
@@ -725,7 +760,7 @@ def marks_backend():
 
 
 def failing_backend():
-    """The same judge behind a service that fails: now and then, or for good."""
+    """The same judge behind a service that fails: now and then, late, or for good."""
     good = marks_backend()
     tries: dict[str, int] = {}
 
@@ -737,6 +772,10 @@ def failing_backend():
             raise TimeoutError("no answer from judge")
         if size % 5 == 1 and tries[key] % 2 == 1:
             return "busy, try later"
+        if size % 5 == 2:  # replies that are no verdict, and none at last
+            if tries[key] % 3 == 0:
+                raise TimeoutError("no answer from judge")
+            return f"busy {tries[key] % 3}"
         return good(row)
 
     return reply
@@ -749,7 +788,10 @@ def x1_judge(spark, sf):
 
 @query
 def x2_retry(spark, sf):
-    replies = judge.ask(_judge_rows(spark, sf), failing_backend, ["doc_id"], wait=lambda s: None)
+    # The backend counts its calls, so they come one at a time.
+    replies = judge.ask(
+        _judge_rows(spark, sf), failing_backend, ["doc_id"], wait=lambda s: None, in_flight=1
+    )
     return judge.parse_verdict(replies).select(
         "doc_id", F.col("attempts").cast("bigint").alias("attempts"), "error",
         "tester_expectation", "evaluation",
@@ -794,17 +836,15 @@ def grouping_backend():
 
 
 def _replies(spark, sf) -> DataFrame:
-    rows = V.results(spark, sf, labels=True).withColumn("answer", F.lit("an answer"))
+    rows = V.results(spark, sf, labels=True, texts=True)
     return insight.ask_for_blocks(insight.evaluable(rows), grouping_backend)
 
 
 @query
 def x6_insight(spark, sf):
     """The report whose issues, language problems and observations come from a model."""
-    rows = V.results(spark, sf, ratings=True, language=True, labels=True).withColumn(
-        "answer", F.lit("an answer")
-    )
-    return R.insight_report(rows, grouping_backend, "http://example.org/", "2024-01-31 00:00")
+    rows = V.results(spark, sf, ratings=True, language=True, labels=True, texts=True)
+    return R.insight_report(rows, grouping_backend, R_SITE, R_TIME)
 
 
 @query

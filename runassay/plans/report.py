@@ -15,7 +15,12 @@ from runassay.operators.metrics import run_metrics
 from runassay.scale import IDS_PER_LINE, number_rows, pin
 from runassay.sources.reports import LINE_ORDER
 
-COLUMNS = [*S.RUN_KEYS, *LINE_ORDER, "section", "item", "value", "pct", "ids", "example"]
+COLUMNS = [*LINE_ORDER, "section", "item", "value", "pct", "ids", "example"]
+# What the report reads of a result; texts of questions and answers stay behind.
+READ = [
+    "label", "crash", "timeout_states", "tester_expectation", "language_status", "completion_time",
+    "reference_link", "document_contain", "evaluation",
+]
 
 # Section titles in report order, and their item texts.
 SECTIONS = {
@@ -133,7 +138,7 @@ def _items(metrics: DataFrame, website: str, generated: str) -> DataFrame:
             "mean_text": fixed_point(F.col("mean"), 1),
         }
     )
-    items = ready.select(*S.RUN_KEYS, F.expr(f"inline(array({', '.join(rows)}))"))
+    items = ready.select(*S.run_keys(metrics), F.expr(f"inline(array({', '.join(rows)}))"))
     pct = (
         F.when((F.col("item") == "Total Tests"), "100%")
         .when(F.col("whole").isNotNull(), percent("part", "whole"))
@@ -161,7 +166,7 @@ def _finish(df: DataFrame) -> DataFrame:
     titles = F.element_at(
         F.create_map(*[F.lit(x) for pair in SECTIONS.items() for x in pair]), F.col("section_ord")
     )
-    return df.withColumn("section", titles).select(*COLUMNS)
+    return df.withColumn("section", titles).select(*S.run_keys(df), *COLUMNS)
 
 
 def summary_report(
@@ -182,8 +187,10 @@ def summary_report(
     item, count and share, further lines only labels.
     """
     line_no = lambda c: F.floor(F.col(c) / IDS_PER_LINE).cast("bigint")
-    # One row per run: written once, then read by the items and by the cluster shares.
-    metrics = pin(run_metrics(results, S.RUN_KEYS, *_first_labels()), "run-metrics")
+    runs = S.run_keys(results)
+    # One pass over the results: numbers, lists, crashes and rules read the narrow copy.
+    results = pin(results.select(*runs, *READ), "report-input")
+    metrics = pin(run_metrics(results, runs, *_first_labels()), "run-metrics")
     items = _items(metrics, website, generated).withColumn("sort_key", F.lit(""))
     listed = F.col("kind").isNotNull() & F.col("first_label").isNotNull()
     plain = items.where(~listed).withColumns(
@@ -193,13 +200,13 @@ def summary_report(
         }
     )
     heads = items.where(listed).select(
-        *S.RUN_KEYS, "kind", line_no("first_label").alias("line"), "item", "value", "pct"
+        *runs, "kind", line_no("first_label").alias("line"), "item", "value", "pct"
     )
     place = {k: F.lit(v[0]) for k, v in LIST_PLACES.items()}
     order = {k: F.lit(v[1]) for k, v in LIST_PLACES.items()}
     lists = (
         labels.label_lines(labels.listed_kinds(results))
-        .join(heads, [*S.RUN_KEYS, "kind", "line"], "left")
+        .join(heads, [*runs, "kind", "line"], "left")
         .withColumns(
             {
                 "section_ord": F.element_at(
@@ -214,7 +221,7 @@ def summary_report(
         )
     )
     crashes = labels.crash_rows(results).select(
-        *S.RUN_KEYS,
+        *runs,
         F.lit(8).alias("section_ord"), F.lit(5).alias("ord"), F.lit("").alias("sort_key"),
         F.col("label").alias("line"),
         F.concat(F.lit(" -> Test ID "), F.col("label").cast("string")).alias("item"),
@@ -237,7 +244,7 @@ def summary_report(
 def _note_rows(notes: DataFrame, section: int) -> DataFrame:
     none = F.lit(None).cast("string")
     return notes.select(
-        *S.RUN_KEYS, F.lit(section).alias("section_ord"), F.lit(4).alias("ord"),
+        *S.run_keys(notes), F.lit(section).alias("section_ord"), F.lit(4).alias("ord"),
         F.lpad(F.col("part").cast("string"), 12, "0").alias("sort_key"),
         F.col("line").cast("bigint").alias("line"),
         "item", "value", none.alias("pct"), none.alias("ids"), none.alias("example"),
@@ -247,11 +254,12 @@ def _note_rows(notes: DataFrame, section: int) -> DataFrame:
 def _cluster_rows(clusters: DataFrame, metrics: DataFrame, section: int) -> DataFrame:
     """Label lines per issue; the counts come from the lines, not from another scan."""
     lines = labels.cluster_lines(clusters)
-    issues = lines.groupBy(*S.RUN_KEYS, "issue").agg(
+    runs = S.run_keys(metrics)
+    issues = lines.groupBy(*runs, "issue").agg(
         F.min("line").alias("_first"), F.sum("n").alias("_n")
     )
-    totals = metrics.select(*S.RUN_KEYS, "total")
-    counted = lines.join(issues.join(totals, S.RUN_KEYS), [*S.RUN_KEYS, "issue"])
+    totals = metrics.select(*runs, "total")
+    counted = lines.join(issues.join(totals, runs), [*runs, "issue"])
     head = F.col("line") == F.col("_first")
     return counted.withColumns(
         {
@@ -274,17 +282,19 @@ def insight_report(
 ) -> DataFrame:
     """The report with issues, language problems and observations from a model.
 
-    Evaluations go out in parts of bounded size, language samples in one part
-    per run; the observations are asked for once the issues are counted.
-    Replies are written before they are read, so no step calls the model again.
+    Evaluations and language failures all go out, in parts of bounded size; the
+    observations are asked for once the issues are counted. Replies are written
+    before they are read, so no step calls the model again.
     """
     evaluations = _replies(insight.evaluable(results), open_backend, "evaluations", 1)
-    languages = _replies(insight.language_samples(results), open_backend, "languages", 2)
+    languages = _replies(
+        insight.language_samples(results, n=None, chars=None), open_backend, "languages", 2
+    )
     clusters, problems = insight.cluster_ids(evaluations), insight.cluster_ids(languages)
     counts = labels.cluster_counts(clusters, run_metrics(results))
     text = F.concat_ws(" ", "issue", F.concat(F.col("n").cast("string"), F.lit(" of"),
                                              F.lit(" "), F.col("total").cast("string")))
-    lines = number_rows(counts, S.RUN_KEYS, ["n", "issue"], name="label")
+    lines = number_rows(counts, S.run_keys(results), ["n", "issue"], name="label")
     observed = _replies(lines.withColumn("text", text), open_backend, "observations", 3)
     return summary_report(
         results, clusters, problems, _notes(observed), website, generated,
@@ -302,20 +312,22 @@ def _notes(rows: DataFrame) -> DataFrame:
     """Rows of a block that list no tests, without the block's own title."""
     said = rows.where((F.col("kind") == "text") & (F.col("first") != F.col("name")))
     return said.select(
-        *S.RUN_KEYS, "part", F.col("row_no").alias("line"), F.col("first").alias("item"),
+        *S.run_keys(said), "part", F.col("row_no").alias("line"), F.col("first").alias("item"),
         F.rtrim(F.array_join("texts", ","), F.lit(",")).alias("value"),
     )
 
 
 def concat_sections(*parts: DataFrame) -> DataFrame:
     """Sections under one another; their order is in the columns, not in the rows."""
-    wanted = [c for c in COLUMNS if c != "section"]
+    wanted = [*S.run_keys(parts[0]), *[c for c in COLUMNS if c != "section"]]
     out = parts[0].select(*wanted)
     for part in parts[1:]:
         out = out.unionByName(part.select(*wanted))
     return _finish(out)
 
 
-def environment_metrics(results: DataFrame) -> DataFrame:
-    """The report numbers once per environment."""
-    return run_metrics(results, ["env"])
+def environment_report(results: DataFrame, **options) -> DataFrame:
+    """The full report of the newest run of each environment."""
+    newest = results.groupBy(F.col("env").alias("_env")).agg(F.max("run_date").alias("_date"))
+    last = (F.col("env") == F.col("_env")) & (F.col("run_date") == F.col("_date"))
+    return summary_report(results.join(newest, last, "left_semi"), **options)

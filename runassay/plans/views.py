@@ -55,7 +55,8 @@ TASK_RULES = {
 }
 
 CAPTURE_RULES = {
-    "answer": "CASE WHEN conv_id % 10 = 3 THEN '提取文本失败/为空' ELSE text END",
+    "answer": """CASE WHEN conv_id % 10 = 3 THEN '提取文本失败/为空' WHEN conv_id % 24 = 7 THEN NULL
+        ELSE text END""",
     "timeout_states": "CASE WHEN conv_id % 15 = 4 THEN 'yes (总时间超时)' ELSE 'No' END",
     "shared_link": "concat('http://example.org/', CAST(conv_id AS STRING))",
     "prep_time": "concat(CAST(conv_id % 7 AS STRING), 's')",
@@ -145,13 +146,12 @@ def results(
 
 
 def sheet_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Results with every sheet column."""
-    full = results(spark, sf_dir, ratings=True, language=True, labels=True)
+    """Results with every sheet column; texts are the documents', with quotes and line ends."""
+    full = results(spark, sf_dir, ratings=True, language=True, labels=True, texts=True)
     return full.withColumns(
         {
-            "request": F.concat(F.lit("request "), F.col("event_id").cast("string")),
+            "request": F.concat(F.lit('"'), F.substring("answer", 1, 40), F.lit('", please')),
             "filename": F.lit(""),
-            "answer": F.concat(F.lit("answer "), F.col("event_id").cast("string")),
             "selected_language": F.col("input_language"),
         }
     )
@@ -249,7 +249,8 @@ def polls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").selectExpr(
-        "CAST(ts AS DATE) AS run_date", "ts", "event_id", f"{STATUS_RULE} AS status"
+        *[f"{rule} AS {name}" for name, rule in RUN_RULES.items()],
+        "ts", "event_id", f"{STATUS_RULE} AS status",
     )
 
 

@@ -15,11 +15,18 @@ IDS_PER_LINE = 1000
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below the shared folder of ``spark.checkpoint.dir``."""
+    """A new folder below the shared folder of ``spark.checkpoint.dir``.
+
+    Where that is unset, a single machine uses a temporary folder; a cluster must set it,
+    since its executors would write to folders of their own.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="runassay-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -59,7 +66,7 @@ def pin(df: DataFrame, name: str = "pinned") -> DataFrame:
     that have already been read.
     """
     path = scratch_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -110,9 +117,17 @@ def number_rows(
 
 
 def first_rows(
-    df: DataFrame, by: Sequence[str], order: Sequence[str | Column], n: int
+    df: DataFrame, by: Sequence[str], order: Sequence[str | Column], n: int, salts: int = 0
 ) -> DataFrame:
-    """First ``n`` rows per group; each map task already drops what is behind them."""
+    """First ``n`` rows per group; each map task already drops what is behind them.
+
+    A large ``n`` over many map tasks still brings n rows of each to one task of a group.
+    With ``salts``, a group is first cut in that many parts by a hash of ``order``.
+    """
+    if salts:
+        salt = F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int")
+        parts = first_rows(df.withColumn("_salt", salt), [*by, "_salt"], order, n)
+        return first_rows(parts.drop("_salt"), by, order, n)
     w = Window.partitionBy(*by).orderBy(*order)
     return (
         df.withColumn("_rank", F.row_number().over(w))
@@ -134,6 +149,11 @@ def latest_row(
     )
 
 
+def line_of(label: str, width: int = IDS_PER_LINE) -> Column:
+    """The line of a list that a label belongs to."""
+    return F.floor(F.col(label) / width).cast("bigint")
+
+
 def id_lines(
     df: DataFrame,
     by: Sequence[str],
@@ -149,7 +169,7 @@ def id_lines(
     """
     carried = [] if carry is None else [F.min_by(carry, label).alias(carry)]
     return (
-        df.groupBy(*by, F.floor(F.col(label) / width).cast("bigint").alias("line"))
+        df.groupBy(*by, line_of(label, width).alias("line"))
         .agg(F.array_sort(F.collect_set(F.col(label))).alias("_ids"), *carried)
         .select(
             *by,

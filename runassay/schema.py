@@ -102,6 +102,7 @@ VERDICT_FIELDS = {
 
 FUZZY_CUTOFF = 0.6
 MAX_ENVIRONMENTS = 3
+BREAKER_LIMIT = 3
 STABLE_POLLS = 5
 MAX_POLLS = 300
 WARM_UP_SECONDS = 5
@@ -112,3 +113,10 @@ LANGUAGE_SAMPLES = 50
 # ---- end of fixed values ----
 
 RUN_KEYS = ["run_date", "env"]
+# A table may tell runs apart further: by run and by set of test cases.
+MORE_RUN_KEYS = ["run_id", "task_set"]
+
+
+def run_keys(df) -> list[str]:
+    """The columns of ``df`` that together name a run."""
+    return [c for c in (*RUN_KEYS, *MORE_RUN_KEYS) if c in df.columns]

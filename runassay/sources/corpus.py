@@ -32,9 +32,8 @@ def _java_charsets(spark: SparkSession):
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
-    listed = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    )
+    # The folder itself (or its partition folders); what lies deeper is not listed.
+    listed = spark.read.format("binaryFile").load(path)
     pattern = rf"[.]({'|'.join(S.CORPUS_EXTENSIONS)})$"
     return listed.where(F.lower("path").rlike(pattern)).withColumn(
         "file_name", F.regexp_extract("path", r"([^/]*)$", 1)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from runassay import schema as S
 from runassay.functions.text import clean_text
-from runassay.scale import latest_row
+from runassay.scale import pin
 
 # Columns a sheet may lack, with what then stands in for them.
 OPTIONAL = {"timeout_states": "No", "crash": "No", "evaluation": ""}
@@ -39,16 +39,65 @@ def normalise_results(raw: DataFrame) -> DataFrame:
 def read_results(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """Results below ``path``; ``run_date`` and ``env`` may be partition folders.
 
-    CSV sheets are read by their heading line, never by a scan that infers types.
+    CSV sheets are read by their own heading line each, never by a scan that infers types.
     """
-    reader = spark.read.option("basePath", path)
     if fmt == "csv":
-        reader = reader.option("header", True).option("multiLine", True).option("escape", '"')
-    raw = reader.format(fmt).load(path)
+        raw = _read_sheets(spark, path)
+    else:
+        raw = spark.read.option("basePath", path).format(fmt).load(path)
     raw = normalise_results(raw)
     return raw.withColumn("label", F.col("label").cast("bigint"))
 
 
+def _read_sheets(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of all CSV sheets by heading, whatever the order and number of their columns.
+
+    One pass over the lines finds each file's heading line and the greatest width. Rows then
+    meet their file's headings (one short row per file) and pick their cells by name. A
+    column that a sheet lacks gets its stand-in; a sheet without a required one is an error.
+    """
+    lines = spark.read.option("basePath", path).text(path).select(
+        F.col("_metadata.file_path").alias("_file"),
+        F.struct(
+            F.col("_metadata.file_block_start"), F.monotonically_increasing_id().alias("at")
+        ).alias("_at"),
+        "value",
+    )
+    heads = pin(
+        lines.groupBy("_file").agg(F.min_by("value", "_at").alias("_line")), "sheet-headings"
+    )
+    width = heads.agg(F.max(F.size(F.split("_line", ",")))).first()[0] or 1
+    names = [f"_c{i}" for i in range(width)]
+    cells = ", ".join(f"{c} string" for c in names)
+    clean = lambda c: F.translate(c, "\ufeff", "")
+    parsed = F.from_csv(clean(F.col("_line")), cells, {"escape": '"'})
+    heads = heads.select(
+        "_file", F.array(*[F.coalesce(parsed[c], F.lit("")) for c in names]).alias("_head")
+    )
+    wanted = S.RESULT_HEADINGS
+    lacking = heads.select(
+        F.explode(F.array_except(F.array(*[F.lit(h) for h, c in wanted.items() if c in REQUIRED]), "_head"))
+    ).distinct().collect()  # at most as many as there are required headings
+    if lacking:
+        raise ValueError(f"result table lacks columns: {', '.join(sorted(r[0] for r in lacking))}")
+    rows = (
+        spark.read.schema(cells).option("basePath", path).option("multiLine", True)
+        .option("escape", '"').option("maxColumns", max(20_480, width + 1)).csv(path)
+        .withColumn("_file", F.col("_metadata.file_path"))
+    )
+    runs = [c for c in rows.columns if c not in (*names, "_file")]
+    own = F.array(*[F.coalesce(clean(F.col(c)), F.lit("")) for c in names])
+    joined = rows.join(heads, "_file").where(own != F.col("_head"))
+    row = F.array(*[F.col(c) for c in names])
+
+    def by_name(heading: str, name: str):
+        at = F.array_position("_head", heading)
+        absent = F.lit(OPTIONAL.get(name)).cast("string")
+        return F.when(at > 0, F.get(row, (at - 1).cast("int"))).otherwise(absent).alias(heading)
+
+    return joined.select(*runs, *[by_name(h, c) for h, c in wanted.items()])
+
+
 def clean_results(results: DataFrame) -> DataFrame:
     """Text columns without the control characters a sheet cannot hold."""
     texts = [f.name for f in results.schema if f.dataType.simpleString() == "string"]
@@ -56,8 +105,20 @@ def clean_results(results: DataFrame) -> DataFrame:
 
 
 def latest_results(results: DataFrame, order: list[str]) -> DataFrame:
-    """The last write per run and label."""
-    return latest_row(results, [*S.RUN_KEYS, "label"], order)
+    """The last write per run and label.
+
+    The winner is found on the narrow columns; whole rows are then picked by a semi-join.
+    """
+    keys = [*S.run_keys(results), "label"]
+    winners = results.groupBy(*keys).agg(F.max(F.struct(*order)).alias("_last"))
+    winners = winners.select(
+        *[F.col(c).alias(f"_of_{c}") for c in keys],
+        *[F.col(f"_last.{c}").alias(f"_of_{c}") for c in order],
+    )
+    same = F.lit(True)
+    for c in (*keys, *order):
+        same = same & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    return results.join(winners, same, "left_semi").dropDuplicates([*keys, *order])
 
 
 def upsert_results(batch: DataFrame, table: str, batch_id: int) -> None:
@@ -66,24 +127,33 @@ def upsert_results(batch: DataFrame, table: str, batch_id: int) -> None:
     Nothing already written is rewritten, however large the run it belongs to:
     ``stored_results`` lets the last write win, ``publish_results`` compacts.
     """
-    clean_results(batch).write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
+    clean_results(batch).write.mode("overwrite").partitionBy(*S.run_keys(batch)).parquet(
+        f"{table}/batch={batch_id}"
+    )
 
 
 def stored_results(spark: SparkSession, table: str, order: list[str]) -> DataFrame:
     """Landed batches with the last write per run and label."""
-    landed = spark.read.option("basePath", table).parquet(f"{table}/batch=*")
+    landed = _typed_runs(spark.read.option("basePath", table).parquet(f"{table}/batch=*"))
     return latest_results(landed, [*order, "batch"]).drop("batch")
 
 
+def _typed_runs(df: DataFrame) -> DataFrame:
+    """Folder names back as what they were: a date, and texts."""
+    kinds = {"run_date": "date", "env": "string", "run_id": "string", "task_set": "string"}
+    return df.withColumns({c: F.col(c).cast(kinds[c]) for c in S.run_keys(df)})
+
+
 def publish_results(results: DataFrame, path: str) -> None:
-    """Write runs to their (env, run_date) folders, replacing only runs in ``results``.
+    """Write runs to their folders by environment, date and so on, replacing only those.
 
     The rebalance hint cuts a large run over several files and merges small ones.
     """
+    keys = sorted(S.run_keys(results))
     (
-        results.hint("rebalance", "env", "run_date")
+        results.hint("rebalance", *keys)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("env", "run_date")
+        .partitionBy(*keys)
         .parquet(path)
     )

@@ -12,15 +12,19 @@ from runassay.scale import number_rows, pin
 
 
 def read_grid(spark, path: str) -> DataFrame:
-    """CSV sheets of up to 64 columns as ``grid(path, row_no, col_no, value)``.
+    """CSV sheets of any width as ``grid(path, row_no, col_no, value)``.
 
-    Rows are located by their byte order in the file, so sheets keep one file each.
+    A first pass over the lines finds the greatest width (quoted commas only make it
+    larger). Rows are located by their byte order in the file, so a sheet is read by one
+    task, as cells may hold line ends; very large input should come as a grid table.
     """
-    columns = [f"c{i}" for i in range(1, 65)]
+    width = spark.read.text(path).agg(F.max(F.size(F.split("value", ",")))).first()[0] or 1
+    columns = [f"c{i}" for i in range(1, width + 1)]
     sheet = (
         spark.read.schema(", ".join(f"{c} string" for c in columns))
         .option("multiLine", True)
         .option("escape", '"')
+        .option("maxColumns", max(20_480, width + 1))
         .csv(path)
         .select(
             F.col("_metadata.file_path").alias("path"),
@@ -36,17 +40,6 @@ def read_grid(spark, path: str) -> DataFrame:
     ).where(F.col("value").isNotNull())
 
 
-def sheet_rows(grid: DataFrame) -> DataFrame:
-    """One row per sheet row with its cells by column number.
-
-    Cells meet on (path, row_no), never on the path alone, so one large sheet
-    is spread like many small ones.
-    """
-    return grid.groupBy("path", "row_no").agg(
-        F.map_from_entries(F.collect_list(F.struct("col_no", "value"))).alias("cells")
-    )
-
-
 def infer_header(grid: DataFrame) -> DataFrame:
     """One header row per sheet: the first row with a request or file heading.
 
@@ -85,25 +78,29 @@ def infer_header(grid: DataFrame) -> DataFrame:
 
 
 def read_testcases(grid: DataFrame, header: DataFrame) -> DataFrame:
-    """Stripped rows below the header that have a request or a file name."""
-    body = sheet_rows(grid).join(
-        header.withColumnRenamed("row_no", "header_row"), "path"
-    ).where(F.col("row_no") > F.col("header_row"))
+    """Stripped rows below the header that have a request or a file name.
+
+    Cells meet on (path, row_no), never on the path alone, so one large sheet is spread
+    like many small ones. Of a cell that is given twice the greatest text counts.
+    """
+    body = grid.join(header.withColumnRenamed("row_no", "header_row"), "path").where(
+        F.col("row_no") > F.col("header_row")
+    )
 
     def at(column: str):
-        value = F.try_element_at("cells", F.col(column))
-        return F.when(F.col(column).isNull(), "").otherwise(
-            F.coalesce(stripped(value), F.lit(""))
+        value = F.max(F.when(F.col("col_no") == F.col(column), stripped("value")))
+        return F.coalesce(value, F.lit(""))
+
+    return (
+        body.groupBy("path", "row_no")
+        .agg(
+            at("req_col").alias("request"),
+            at("file_col").alias("filename"),
+            at("agent_col").alias("agent"),
+            at("lang_col").alias("language"),
         )
-
-    return body.select(
-        "path",
-        "row_no",
-        at("req_col").alias("request"),
-        at("file_col").alias("filename"),
-        at("agent_col").alias("agent"),
-        at("lang_col").alias("language"),
-    ).where((F.col("request") != "") | (F.col("filename") != ""))
+        .where((F.col("request") != "") | (F.col("filename") != ""))
+    )
 
 
 def assign_labels(testcases: DataFrame, by: str = "path", order: str = "row_no") -> DataFrame:

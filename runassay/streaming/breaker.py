@@ -10,33 +10,45 @@ from runassay import schema as S
 from runassay.operators.windows import breaker
 from runassay.scale import first_rows
 
-KEPT = ["run_date", "ts", "event_id", "status"]
+KEPT = [*S.RUN_KEYS, "ts", "event_id", "status"]
+DELAY_SECONDS = 3600
 
 
 def watch_closes(
-    stream: DataFrame, table: str, checkpoint: str, limit: int = S.MAX_ENVIRONMENTS
+    stream: DataFrame,
+    table: str,
+    checkpoint: str,
+    limit: int = S.BREAKER_LIMIT,
+    delay_seconds: int = DELAY_SECONDS,
 ) -> StreamingQuery:
     """Writes the trips of every micro-batch to ``table/trips``.
 
-    What a batch has to know of the past is the last ``limit - 1`` counted
-    rows per run; they are the carry. A batch is searched by the same job as
-    a table, so a run may hold any share of it.
+    Rows may arrive out of order by up to ``delay_seconds`` of event time. So only rows that
+    old, measured from the newest row seen, are searched; their trips stand. What a later
+    batch needs is carried on: all newer rows, and of each run the last ``limit - 1`` rows
+    behind them. A batch is searched by the same job as a table, so a run may hold any share
+    of it.
     """
 
     def search(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        rows = batch.select(*KEPT).where(
+        rows = batch.select(*KEPT, F.lit(False).alias("sealed")).where(
             F.col("status").isin("BROWSER_CLOSED", "SUCCESS", "ERROR")
         )
         if batch_id > 0:
             rows = rows.unionByName(_carry(spark, table, batch_id - 1))
-        breaker(rows, limit=limit).where("tripped").drop("closes", "tripped").write.mode(
+        newest = rows.agg(F.max("ts")).first()[0]
+        delay = F.expr(f"INTERVAL {int(delay_seconds)} SECONDS")
+        seal = F.lit(False) if newest is None else F.col("ts") <= F.lit(newest) - delay
+        old = rows.where(F.col("sealed") | seal)
+        breaker(old.select(*KEPT), limit=limit).where("tripped").drop("closes", "tripped").write.mode(
             "overwrite"
         ).parquet(f"{table}/trips/batch={batch_id}")
-        newest = [F.col("ts").desc(), F.col("event_id").desc()]
-        first_rows(rows, ["run_date"], newest, max(limit - 1, 1)).select(*KEPT).write.mode(
-            "overwrite"
-        ).parquet(f"{table}/carry/batch={batch_id}")
+        last = [F.col("ts").desc(), F.col("event_id").desc()]
+        behind = first_rows(old, S.RUN_KEYS, last, max(limit - 1, 1)).withColumn("sealed", F.lit(True))
+        rows.where(~(F.col("sealed") | seal)).unionByName(behind).write.mode("overwrite").parquet(
+            f"{table}/carry/batch={batch_id}"
+        )
 
     return (
         stream.writeStream.foreachBatch(search)
@@ -48,13 +60,20 @@ def watch_closes(
 
 def _carry(spark: SparkSession, table: str, batch_id: int) -> DataFrame:
     return spark.read.schema(
-        "run_date date, ts timestamp, event_id bigint, status string"
+        "run_date date, env string, ts timestamp, event_id bigint, status string, sealed boolean"
     ).parquet(f"{table}/carry/batch={batch_id}")
 
 
-def first_trips(spark: SparkSession, table: str) -> DataFrame:
-    """First trip per run over all batches written so far."""
+def first_trips(spark: SparkSession, table: str, limit: int = S.BREAKER_LIMIT) -> DataFrame:
+    """First trip per run so far: those that stand, and what the newest rows say as they are."""
     trips = spark.read.option("basePath", f"{table}/trips").parquet(f"{table}/trips/batch=*")
-    return trips.groupBy("run_date").agg(
-        F.min(F.struct("trip_ts", "trip_event_id")).alias("_trip")
-    ).select("run_date", "_trip.trip_ts", "_trip.trip_event_id")
+    carried = spark.read.option("basePath", f"{table}/carry").parquet(f"{table}/carry/batch=*")
+    last = carried.agg(F.max("batch")).first()[0] or 0
+    newest = breaker(_carry(spark, table, last).select(*KEPT), limit=limit).where("tripped")
+    return (
+        trips.drop("batch")
+        .unionByName(newest.drop("closes", "tripped"))
+        .groupBy(*S.RUN_KEYS)
+        .agg(F.min(F.struct("trip_ts", "trip_event_id")).alias("_trip"))
+        .select(*S.RUN_KEYS, "_trip.trip_ts", "_trip.trip_event_id")
+    )

@@ -34,7 +34,7 @@ def drain(query: StreamingQuery) -> None:
 def without_duplicates(stream: DataFrame, delay: str = "1 day") -> DataFrame:
     """First delivery per run and label within the watermark."""
     return stream.withWatermark("ts", delay).dropDuplicatesWithinWatermark(
-        [*S.RUN_KEYS, "label"]
+        [*S.run_keys(stream), "label"]
     )
 
 
@@ -49,9 +49,15 @@ def live_metrics(stream: DataFrame, delay: str = "1 hour", width: str = "1 day")
             F.count_if(flags.is_timeout()).alias("timeouts"),
             F.count_if(flags.is_crash()).alias("crashes"),
             F.count_if(flags.is_failed()).alias("failed"),
+            F.count_if(flags.is_language_failed()).alias("lang_failed"),
+            F.count_if(flags.is_reference_pass()).alias("ref_passed"),
+            F.count_if(flags.is_document_pass()).alias("doc_passed"),
+            F.count(t).alias("timed"),
             F.min(t).alias("fastest"),
             F.max(t).alias("slowest"),
+            F.avg(t).alias("mean"),
         )
         .select(F.col("w.start").alias("window_start"), "env", "total", "timeouts",
-                "crashes", "failed", "fastest", "slowest")
+                "crashes", "failed", "lang_failed", "ref_passed", "doc_passed", "timed",
+                "fastest", "slowest", "mean")
     )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from runassay import schema as S
-from runassay.operators import metrics
+from runassay.plans import report as R
 from runassay.plans import views as V
 from runassay.scale import scratch_dir
 from runassay.sources import results as RS
@@ -97,11 +97,12 @@ def t1_ingest(spark, sf):
 
 @query
 def t2_drain(spark, sf):
-    """The report numbers once everything that arrived is drained."""
+    """The report once everything that arrived is drained."""
     table = scratch_dir(spark, "results")
     rows = _result_rows(spark, sf, ratings=True)
     _feed(rows, lambda s, c: ingest.ingest_results(s, table, c))
-    return metrics.pass_counts(RS.stored_results(spark, table, ["ts", "event_id"]))
+    stored = RS.stored_results(spark, table, ["ts", "event_id"])
+    return R.summary_report(stored, website="http://example.org/", generated="2024-01-31 00:00")
 
 
 @query
@@ -157,7 +158,8 @@ def t6_live_metrics(spark, sf):
     keys = ["window_start", "env"]
     rest = [c for c in updates.columns if c not in (*keys, "batch")]
     newest = updates.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_u"))
-    return _plain(newest.select(*keys, "_u.*"), "window_start")
+    newest = newest.select(*keys, "_u.*").withColumn("mean", F.round("mean", 6))
+    return _plain(newest, "window_start")
 
 
 @query

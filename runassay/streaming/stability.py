@@ -17,17 +17,15 @@ STATE = "last_len bigint, streak bigint, polls bigint"
 
 
 def _earliest(max_polls: int):
-    """Per input partition, the polls that can still be among a task's first ``max_polls``."""
+    """Of each Arrow batch, the polls that can still be among a task's first ``max_polls``.
+
+    Batches are cut one by one, so a task holds no more than one of them.
+    """
 
     def trim(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept = None
         for batch in batches:
-            both = batch if kept is None else pd.concat([kept, batch])
-            kept = both.sort_values(["task_key", "ts", "event_id"]).groupby("task_key").head(
-                max_polls
-            )
-        if kept is not None:
-            yield kept
+            ordered = batch.sort_values(["task_key", "ts", "event_id"])
+            yield ordered.groupby("task_key").head(max_polls)
 
     return trim
 
@@ -42,9 +40,8 @@ def stable_tasks(
     """Tasks as they become stable or run into a limit.
 
     In: stream of task_key, ts, event_id, len. Input tasks first drop polls
-    behind the first ``max_polls`` of a task, so that not even a task with a
-    third of all polls sends more than that many rows per input task to its
-    state. A task without polls for ``idle_seconds`` of event time ends as a
+    behind the first ``max_polls`` of a task in each Arrow batch, so that a task
+    with a third of all polls sends a small part of them to its state. A task without polls for ``idle_seconds`` of event time ends as a
     total timeout as well (default: warm-up plus one second per allowed poll).
     """
     idle_ms = 1000 * (idle_seconds or S.WARM_UP_SECONDS + max_polls)
