@@ -1,8 +1,8 @@
 """Near-duplicate documents by circulant MinHash, banding and exact Jaccard checks.
 
 Exact copies (equal shingle sets) are one node. Nodes that agree in a band form a bucket.
-A bucket's members are first compared with its least member only; that joins nearly all
-that belong together. What is still apart in a bucket is then compared block by block, so
+A bucket's members are first compared with one of them only, the one that shares most
+buckets with others; that joins nearly all that belong together. What is still apart in a bucket is then compared block by block, so
 no link is lost and no bucket is expanded into all its pairs.
 """
 
@@ -28,7 +28,8 @@ BANDS, ROWS = 32, 6
 COORDINATES = BANDS * ROWS
 #: Least share of equal coordinates for an exact check, five standard deviations below 0.85.
 LEAST_EQUAL = 0.72
-LEFT_BLOCK, RIGHT_BLOCK = 256, 4096
+#: Rows, and shingles, on either side of a block pair.
+LEFT_BLOCK, RIGHT_BLOCK, SHINGLES_PER_BLOCK = 256, 4096, 1 << 20
 
 _WORDS = re.compile(WORD)
 _FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -169,21 +170,24 @@ def _linked(batches) -> Iterator[pa.RecordBatch]:
         yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, sketched: bool) -> DataFrame:
-    """Edges among ``pairs (a, b)``: by sketch first (unless done), then by the full sets.
+def _sets_of(ids: DataFrame, texts: DataFrame) -> DataFrame:
+    """``(id, shingles)`` of the documents in ``ids (doc_id)`` only, written once."""
+    needed = pin(ids.distinct(), "needed")
+    return pin(
+        mapped(texts.join(needed, "doc_id", "left_semi"), _sets, "id long, shingles binary").distinct(), "sets"
+    )
 
-    Sets are built only of the documents that such a pair needs.
-    """
-    if not sketched:
-        own = nodes.select("id", "n_shingles", "sketch")
-        pairs = mapped(
-            pairs.join(own.toDF("a", "n_a", "sketch_a"), "a").join(own.toDF("b", "n_b", "sketch_b"), "b"),
-            _alike,
-            "a long, b long",
-        )
-    pairs = pin(pairs.distinct(), "pairs")
-    needed = pin(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "needed")
-    sets = pin(mapped(texts.join(needed, "doc_id", "left_semi"), _sets, "id long, shingles binary").distinct(), "sets")
+
+def _star_links(stars: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Edges among the pairs ``(a, b)``: by sketch first, then by the full sets."""
+    own = nodes.select("id", "n_shingles", "sketch")
+    alike = mapped(
+        stars.join(own.toDF("a", "n_a", "sketch_a"), "a").join(own.toDF("b", "n_b", "sketch_b"), "b"),
+        _alike,
+        "a long, b long",
+    )
+    pairs = pin(alike.distinct(), "pairs")
+    sets = _sets_of(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")), texts)
     full = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
     return pin(mapped(full, _linked, "a long, b long").distinct(), "links")
 
@@ -193,7 +197,7 @@ def _block_pairs(batches) -> Iterator[pa.RecordBatch]:
     held: list[pa.RecordBatch] = []
     for batch in batches:
         held.append(batch)
-        if sum(b.num_rows for b in held) < 1 << 14 and batch.num_rows:
+        if sum(b.nbytes for b in held) < 32 << 20:
             continue
         table = pa.Table.from_batches(held).combine_chunks()
         blocks = _block_numbers(table)
@@ -218,49 +222,76 @@ def _block_numbers(table: pa.Table) -> np.ndarray:
 
 
 def _compare(table: pa.Table, blocks: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Links between left and right rows of a block pair, checked on the full sets.
+
+    A pair that shares several bands is compared in the first of them only.
+    """
     if not table.num_rows:
         return
-    ids, comps, sizes = (table.column(c).to_numpy() for c in ("id", "component", "n_shingles"))
+    ids, comps, sizes, bands = (
+        table.column(c).to_numpy() for c in ("id", "component", "n_shingles", "band")
+    )
     left = table.column("is_left").to_numpy(zero_copy_only=False)
     sketch = _matrix(table.column("sketch").combine_chunks())
+    sets = table.column("shingles").combine_chunks()
     edges = np.flatnonzero(np.diff(blocks, prepend=-1, append=blocks[-1] + 1))
-    out_a, out_b = [], []
+    links: set[tuple[int, int]] = set()
     for begin, end in zip(edges[:-1], edges[1:], strict=True):
         rows = np.arange(begin, end)
         right = rows[~left[begin:end]]
         for i in rows[left[begin:end]]:
             fit = right[(comps[right] != comps[i]) & _sizes_fit(sizes[right], sizes[i])]
-            if len(fit):
-                near = fit[(sketch[fit] == sketch[i]).sum(axis=1) >= LEAST_EQUAL * COORDINATES]
-                out_a.append(np.maximum(ids[near], ids[i]))
-                out_b.append(np.minimum(ids[near], ids[i]))
-    a = np.concatenate(out_a) if out_a else np.zeros(0, np.int64)
-    b = np.concatenate(out_b) if out_b else np.zeros(0, np.int64)
-    yield pa.RecordBatch.from_pydict({"a": pa.array(a), "b": pa.array(b)})
+            same = sketch[fit] == sketch[i]
+            near = same.sum(axis=1) >= LEAST_EQUAL * COORDINATES
+            first = same[near].reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1)
+            x = np.frombuffer(sets[int(i)].as_py(), np.uint64) if near.any() else None
+            for j in fit[near][first == bands[i]]:
+                y = np.frombuffer(sets[int(j)].as_py(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if 100 * both >= PERCENT * (len(x) + len(y) - both):
+                    links.add((int(max(ids[i], ids[j])), int(min(ids[i], ids[j]))))
+    found = sorted(links)
+    yield pa.RecordBatch.from_pydict(
+        {"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())}
+    )
 
 
-def _remaining(members: DataFrame, found: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs that share a bucket, lie in different components so far and have like sketches.
+def _remaining_links(members: DataFrame, found: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Edges between members of a bucket that lie in different components so far.
 
     A bucket's most frequent component is compared with the members of all others, and
-    those among each other, in blocks of bounded size.
+    those among each other, in blocks of bounded size. Rows carry their sets, so only links
+    come out of a block, however many pairs it looks at.
     """
     placed = (
-        members.select("key", "id")
+        members.select("band", "key", "id")
         .join(found, "id", "left")
         .withColumn("component", F.coalesce("component", "id"))
     )
     open_ = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"))
     placed = pin(placed.join(open_.where("x <> y").select("key"), "key", "left_semi"), "open")
-    sizes = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-    sizes = sizes.groupBy("key").agg(
-        F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("n_main")
-    )
-    rows = placed.join(sizes, "key").join(nodes.select("id", "n_shingles", "sketch"), "id")
-    n_left = F.ceil((F.col("n") - F.col("n_main")) / LEFT_BLOCK).cast("int")
-    n_right = F.ceil(F.col("n") / RIGHT_BLOCK).cast("int")
+    sets = _sets_of(placed.select(F.col("id").alias("doc_id")), texts)
+    own = nodes.select("id", "n_shingles", "sketch")
+    sizes = (
+        placed.join(own.select("id", "n_shingles"), "id")
+        .groupBy("key", "component")
+        .agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("s"))
+        .groupBy("key")
+        .agg(
+            F.max_by("component", F.struct("n", "component")).alias("main"),
+            F.sum("n").alias("n"), F.max("n").alias("n_main"), F.sum("s").alias("s"),
+            (F.sum("s") - F.max_by("s", F.struct("n", "component"))).alias("s_left"),
+        )
+    )
+    rows = placed.join(sizes, "key").join(own, "id").join(sets, "id")
+
+    def blocks(n, s, rows_each: int, shingles_each: int):
+        return F.greatest(F.ceil(n / rows_each), F.ceil(s / shingles_each)).cast("int")
+
+    n_left = blocks(F.col("n") - F.col("n_main"), F.col("s_left"), LEFT_BLOCK, SHINGLES_PER_BLOCK)
+    n_right = blocks(F.col("n"), F.col("s"), RIGHT_BLOCK, SHINGLES_PER_BLOCK)
     slot = F.xxhash64("id")
-    columns = ["key", "id", "component", "n_shingles", "sketch"]
+    columns = ["band", "key", "id", "component", "n_shingles", "sketch", "shingles"]
     left = rows.where(F.col("component") != F.col("main")).select(
         *columns, F.lit(True).alias("is_left"),
         F.pmod(slot, n_left).cast("int").alias("left_block"),
@@ -272,9 +303,10 @@ def _remaining(members: DataFrame, found: DataFrame, nodes: DataFrame) -> DataFr
         F.pmod(slot, n_right).cast("int").alias("right_block"),
     )
     block = ["key", "left_block", "right_block"]
-    return mapped(
+    compared = mapped(
         left.unionByName(right).repartition(*block).sortWithinPartitions(*block), _block_pairs, "a long, b long"
     )
+    return pin(compared.distinct(), "more-links")
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
@@ -303,16 +335,21 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
         F.sequence(F.lit(0), F.lit(BANDS - 1)),
         lambda b: F.xxhash64(b, F.substring(F.col("sketch"), b * ROWS + 1, F.lit(ROWS))),
     )
-    keyed = nodes.select("id", F.explode(bands).alias("key"))
-    buckets = pin(
-        keyed.groupBy("key").agg(F.min("id").alias("centre"), F.max("id").alias("_last")).where("centre <> _last").drop("_last"),
-        "buckets",
+    keyed = nodes.select("id", F.posexplode(bands).alias("band", "key"))
+    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    placed = pin(keyed.join(sizes, "key"), "placed")
+    # The text that others were made from shares most bands with most of them.
+    shared = placed.groupBy("id").agg(F.sum("n").alias("shared"))
+    centres = placed.join(shared, "id").groupBy("key").agg(
+        F.max_by("id", F.struct("shared", -F.col("id"))).alias("centre")
     )
-    members = pin(keyed.join(buckets, "key").where("id <> centre"), "members")
-    stars = members.select(F.col("id").alias("a"), F.col("centre").alias("b")).distinct()
-    links = _verified(stars, nodes, texts, sketched=False)
+    members = pin(placed.join(centres, "key").where("id <> centre"), "members")
+    stars = members.select(
+        F.greatest("id", "centre").alias("a"), F.least("id", "centre").alias("b")
+    ).distinct()
+    links = _star_links(stars, nodes, texts)
     found = pin(components(links), "components")
-    more = _verified(_remaining(members, found, nodes), nodes, texts, sketched=True)
+    more = _remaining_links(members, found, nodes, texts)
     found = components(links.unionByName(more))
     groups = (
         nodes.select("hi", "lo", "id", "copies")

@@ -103,25 +103,32 @@ def test_links_equal_brute_force(spark):
     assert near_dups.near_duplicates(table.limit(0)).count() == 0
 
 
-def test_blocks_lose_no_pair(spark, monkeypatch):
+def test_blocks_lose_no_link(spark, monkeypatch):
     """What the first comparison leaves apart is found by blocks, however small they are."""
     monkeypatch.setattr(near_dups, "LEFT_BLOCK", 2)
     monkeypatch.setattr(near_dups, "RIGHT_BLOCK", 3)
-    rng = np.random.default_rng(3)
-    base = rng.integers(0, 256, near_dups.COORDINATES).astype(np.uint8)
-    nodes = []
-    for i in range(30):
-        row = base.copy()
-        row[rng.choice(near_dups.COORDINATES, 30, replace=False)] = rng.integers(0, 256, 30)
-        nodes.append((i, 100, bytearray(row.tobytes())))
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(150)]
+    rows = [(i, edited(words, rng, rng.choice([0, 1, 2, 4, 9]))) for i in range(30)]
+    texts = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = near_dups.shingle_sets([t for _, t in rows])
+    sketches = near_dups.circulant_minhash(sets)
+    nodes = [(i, len(sets[i]), bytearray(sketches[i].tobytes())) for i in range(30)]
     table = spark.createDataFrame(nodes, "id long, n_shingles long, sketch binary")
-    members = spark.range(30).select(F.lit(1).cast("long").alias("key"), "id")
+    # Every shared band is a bucket, as in the operator, and no pair was compared before.
+    members = [
+        (b, b * 1000 + int.from_bytes(sketches[i][b * 6 : b * 6 + 2].tobytes(), "big"), i)
+        for i in range(30)
+        for b in range(near_dups.BANDS)
+    ]
+    members = spark.createDataFrame(members, "band int, key long, id long")
     found = spark.createDataFrame([(i, i % 4) for i in range(30)], "id long, component long")
-    got = {(r["a"], r["b"]) for r in near_dups._remaining(members, found, table).collect()}
-    want = set()
-    for i in range(30):
-        for j in range(i):
-            same = (np.frombuffer(nodes[i][2], np.uint8) == np.frombuffer(nodes[j][2], np.uint8)).sum()
-            if i % 4 != j % 4 and same >= near_dups.LEAST_EQUAL * near_dups.COORDINATES:
-                want.add((i, j))
+    got = {(r["a"], r["b"]) for r in near_dups._remaining_links(members, found, table, texts).collect()}
+    plain = [plain_set(t) for _, t in rows]
+    want = {
+        (i, j)
+        for i in range(30)
+        for j in range(i)
+        if i % 4 != j % 4 and 100 * len(plain[i] & plain[j]) >= 85 * len(plain[i] | plain[j])
+    }
     assert got == want and want
