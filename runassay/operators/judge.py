@@ -217,6 +217,7 @@ def judge(
     open_backend: Callable[[], Backend] | None = None,
     partitions: int | None = None,
     wait: Callable[[float], None] = time.sleep,
+    document_chars: int | None = None,
 ) -> DataFrame:
     """Verdict per row that needs one; timed-out rows are never sent.
 
@@ -229,7 +230,8 @@ def judge(
     fields = [*keys, *S.VERDICT_FIELDS]
     if open_backend is None:
         return rule_verdict(live).select(*fields)
-    return parse_verdict(ask(live, open_backend, keys, partitions, wait=wait)).select(*fields)
+    replies = ask(live, open_backend, keys, partitions, wait=wait, document_chars=document_chars)
+    return parse_verdict(replies).select(*fields)
 
 
 def audit_verdicts(verdicts: DataFrame, by: list[str]) -> DataFrame:

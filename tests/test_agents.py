@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from runassay import schema as S
+from runassay.functions import similarity
 from runassay.functions.language import language_headings, named_language
 from runassay.operators import agents, matching
 
@@ -46,14 +47,12 @@ def test_resolution(spark, catalog):
     assert got[3] == ["Chat Helper"] and got[0] == ["Chat Helper"]
 
 
-@pytest.mark.parametrize("names_per_part", [20_000, 16])
-def test_fuzzy_equals_difflib(spark, monkeypatch, names_per_part):
-    monkeypatch.setattr(agents, "WORDS_PER_GROUP", 50)
+def test_fuzzy_equals_difflib(spark):
     rng = random.Random(7)
     names = sorted({"".join(rng.choice("abcd ") for _ in range(rng.randint(3, 12))).strip() for _ in range(60)} - {""})
     words = sorted({"".join(rng.choice("abcde ") for _ in range(rng.randint(1, 14))) for _ in range(120)})
     folded = spark.createDataFrame([(n, n) for n in names], "folded string, name string")
-    found = agents.fuzzy_names(spark.createDataFrame([(w,) for w in words], "word string"), folded, names_per_part=names_per_part)
+    found = agents.fuzzy_names(spark.createDataFrame([(w,) for w in words], "word string"), folded)
     want = {}
     for w in words:
         hit = difflib.get_close_matches(w, names, n=1, cutoff=0.6)
@@ -62,6 +61,41 @@ def test_fuzzy_equals_difflib(spark, monkeypatch, names_per_part):
     assert len(want) > 20 and {r.word: r.folded for r in found.collect()} == want
 
 
+def test_ratio_equals_difflib():
+    rng = random.Random(5)
+    for size in (0, 1, 7, 30, 260):
+        for _ in range(40):
+            a = "".join(rng.choice("abc é") for _ in range(rng.randint(0, size)))
+            b = "".join(rng.choice("abcd é") for _ in range(rng.randint(0, size)))
+            assert similarity.ratio(a, b) == difflib.SequenceMatcher(a=a, b=b).ratio(), (a, b)
+
+
+def test_fuzzy_over_part_names(spark):
+    """Long names of several words, misspelt in several ways."""
+    parts = [r[0] for r in spark.read.parquet("/root/testdata/sf0.001/part.parquet").select("p_name").distinct().collect()]
+    rng = random.Random(9)
+    words = set()
+    for name in rng.sample(sorted(parts), 40):
+        cut = list(name)
+        for _ in range(rng.randint(1, 9)):
+            cut.pop(rng.randrange(len(cut)))
+        words.add("".join(cut))
+    folded = spark.createDataFrame([(n,) for n in parts], "folded string")
+    found = agents.fuzzy_names(spark.createDataFrame([(w,) for w in words], "word string"), folded)
+    want = {}
+    for w in words:
+        hit = difflib.get_close_matches(w, parts, n=1, cutoff=0.6)
+        if hit:
+            want[w] = hit[0]
+    assert {r.word: r.folded for r in found.collect()} == want and want
+
+
+def test_long_titles_are_cheap(spark):
+    tasks = spark.createDataFrame([(1, "a", "X", ["needle"])], "k int, env string, final_agent string, candidates array<string>")
+    offered = spark.createDataFrame([("a", "x" * 3000 + "Needle" + "y" * 3000)], "env string, title string")
+    assert agents.first_offered(tasks, offered, ["k"]).first().picked == "needle"
+
+
 def test_language_heading_test(spark):
     words = ["change", "lane", "Language", "UI Lang ", "ui语言", "語言x", "price", "x" * 40, "notes", "selectd languge"]
     got = {r.word: r.is_language for r in language_headings(spark.createDataFrame([(w,) for w in words], "value string")).collect()}

@@ -49,13 +49,30 @@ def test_timeouts_are_never_sent(spark):
     assert [r.id for r in judge.judge(rows, ["id"]).collect()] == [3]
 
 
-def test_documents_are_cut_for_the_judge(spark):
+def test_documents_go_whole_unless_bounded(spark):
     rows = asked(spark, 1).withColumn("document", F.expr("repeat('x', 60000)"))
 
     def size():
         return lambda row: '{"evaluation": "%d"}' % len(row["document"])
 
-    assert judge.judge(rows, ["id"], size).first().evaluation == "50000"
+    assert judge.judge(rows, ["id"], size).first().evaluation == "60000"
+    assert judge.judge(rows, ["id"], size, document_chars=50_000).first().evaluation == "50000"
+
+
+def test_last_reply_is_kept(spark):
+    def backend():
+        tries = []
+
+        def reply(row):
+            tries.append(1)
+            if len(tries) == 3:
+                raise RuntimeError("down")
+            return f"busy {len(tries)}"
+
+        return reply
+
+    got = judge.ask(asked(spark, 1), backend, ["id"], wait=lambda s: None).first()
+    assert (got.reply, got.attempts, got.error) == ("busy 2", 3, "down")
 
 
 def test_audit(spark):
@@ -86,7 +103,7 @@ def test_evaluation_with_a_judge(spark):
         "idx long, request string, filename string, agent string, language string")
     captures = spark.createDataFrame(
         [(0, "fine", "No", "u0", "1s", "2s", None, False), (1, S.EMPTY_ANSWER, "No", "u1", "1s", "2s", None, False),
-         (3, "", "No", "u3", "1s", "2s", "boom, bang", False), (4, "", "No", "u", "1s", "2s", "No Such Window", False),
+         (3, None, "No", "u3", "1s", "2s", "boom, bang", False), (4, "", "No", "u", "1s", "2s", "No Such Window", False),
          (5, "half", "No", "u", "1s", "2s", None, True)],
         "idx long, answer string, timeout_states string, shared_link string, prep_time string, completion_time string, "
         "error string, stopped boolean")
@@ -105,7 +122,7 @@ def test_evaluation_with_a_judge(spark):
     assert pick(got[1]) == (2, "No", "Failed", S.TIMEOUT_EVALUATION, "未指定", S.GENERATION_TIMEOUT, "u1")
     assert pick(got[2]) == (3, S.SKIP_EMPTY, "Failed", "Unknown", "未指定", "No", "N/A")
     crash = S.CRASH_PREFIX + "boom, bang"
-    assert pick(got[3]) == (4, crash, "Failed", crash, "x", S.CRASH_TIMEOUT_STATE, "N/A")
+    assert pick(got[3]) == (4, crash, "Failed", crash, "x", S.CRASH_TIMEOUT_STATE, "u3")
     assert (got[2].answer, got[3].answer, got[0].selected_language) == (S.SKIP_ANSWER, S.CRASH_ANSWER, "tc")
 
 
@@ -144,7 +161,7 @@ def test_replies_in_parts_cover_every_line(spark):
             return f"---BLOCK1_START---\nIssue,Matching Test IDs,Example\nAll,\"{ids}\",x\n---BLOCK1_END---"
         return reply
 
-    replies = insight.ask_for_blocks(lines, backend, lines_per_call=100).collect()
+    replies = insight.ask_for_blocks(lines, backend, lines_per_call=100, wait=lambda s: None).collect()
     assert len(replies) == 11 and sum(r.reply is None for r in replies) == 1
     blocks = insight.blocks_of(spark.createDataFrame(replies))
     ids = insight.cluster_ids(insight.block_rows(blocks))
@@ -153,3 +170,38 @@ def test_replies_in_parts_cover_every_line(spark):
     assert texts == {(1, "Error,API Failed,,"), (2, "Error,API Failed,,"), (3, "Error,API Failed,,")}
     later = {r.block: r.text for r in blocks.where("part = 1").collect()}
     assert "Parsing Failed" in later[3] and later[1].startswith("Issue")
+
+
+def test_repeated_file_names_double_nothing(spark):
+    calls = spark.sparkContext.accumulator(0)
+    tasks = spark.createDataFrame([(0, "ask", "a.txt", "", ""), (1, "ask", "", "", "")],
+                                  "idx long, request string, filename string, agent string, language string")
+    captures = spark.createDataFrame([(0, "fine", "No"), (1, "fine", "No")], "idx long, answer string, timeout_states string")
+    for c in ("shared_link", "prep_time", "completion_time", "error"):
+        captures = captures.withColumn(c, F.lit(None).cast("string"))
+    captures = captures.withColumn("stopped", F.lit(False))
+    corpus = spark.createDataFrame([("/x/a.txt", "a.txt", "first"), ("/y/a.txt", "a.txt", "second")],
+                                   "path string, file_name string, text string")
+    catalog = spark.createDataFrame([("Chat", ["聊天"], 0)], "en string, tc array<string>, pos long")
+
+    def backend(calls=calls):
+        def reply(row):
+            calls.add(1)
+            return '{"evaluation": "%s"}' % row["document"]
+        return reply
+
+    prepared = evaluate.prepare(tasks, corpus, catalog, ["idx"])
+    got = {r.idx: r.evaluation for r in evaluate.evaluate(prepared, captures, corpus, ["idx"], backend).collect()}
+    assert got == {0: "first", 1: S.NO_DOCUMENT} and calls.value == 2
+
+
+def test_block_cells(spark):
+    text = '\n"Quoted ""x"", with\nline end",Matching Test IDs\r\n"a ""b""","1,\n2",3,text 4\nlong,12345678901234567890123,7\n\nx,1'
+    df = spark.createDataFrame([(DAY, "a", text), (DAY, "a", None)], "run_date date, env string, text string")
+    got = [(r.kind, r["first"], r.ids, r.texts) for r in insight.block_rows(df).orderBy("row_no").collect()]
+    assert got == [
+        ("heading", 'Quoted "x", with\nline end', None, ["Matching Test IDs"]),
+        ("ids", 'a "b"', [1, 2, 3], ["text 4"]),
+        ("ids", "long", [7], []),
+        ("text", "x", None, ["1"]),
+    ]

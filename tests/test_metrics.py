@@ -101,6 +101,17 @@ def test_report_text(spark):
     assert [x.split(",")[0].strip("﻿") for x in lines if x.split(",")[0].strip("﻿") in titles] == titles
 
 
+def test_reports_of_other_runs_stay(spark):
+    path = scratch_dir(spark, "report")
+    for env, issue in (("a", 'one, "two"'), ("b", "plain")):
+        df = rows(spark, {}).withColumn("env", F.lit(env))
+        found = df.select("run_date", "env", F.lit(issue).alias("issue"), F.col("label").alias("id"))
+        reports.write_report(R.summary_report(df, clusters=found), path)
+    lines = {r.value for r in spark.read.text(path).where("env = 'a'").collect()}
+    assert '"one, ""two""",1,100.00%,"1"' in lines
+    assert spark.read.text(path).where("env = 'b'").count() > 20
+
+
 def test_long_lists_continue_on_further_lines(spark):
     df = rows(spark, {}).drop("label").crossJoin(spark.range(1, 2501).withColumnRenamed("id", "label"))
     got = R.summary_report(df).where("item = 'No Timeout' OR (section_ord = 9 AND ord = 3)").orderBy("line").collect()

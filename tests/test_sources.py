@@ -1,5 +1,7 @@
 import datetime
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from runassay.scale import scratch_dir
@@ -96,3 +98,70 @@ def test_publish_replaces_only_its_runs(spark):
     results.publish_results(both.where("env = 'a'").withColumn("evaluation", F.lit("z")), path)
     got = {(r.env, r.evaluation) for r in spark.read.parquet(path).collect()}
     assert got == {("a", "z"), ("b", "y")}
+
+
+def test_sheets_wider_than_usual(spark, tmp_path):
+    blank = "," * 70
+    (tmp_path / "wide.csv").write_text(f"{blank}Request,Language\n{blank}ask,EN\n", encoding="utf-8")
+    g = sheets.read_grid(spark, str(tmp_path))
+    got = sheets.read_testcases(g, sheets.infer_header(g)).collect()
+    assert [(r.request, r.language) for r in got] == [("ask", "EN")]
+
+
+def test_repeated_cells_do_not_fail(spark):
+    g = grid(spark, ("a", 1, 1, "Request"), ("a", 2, 1, "ask"), ("a", 2, 1, "again"))
+    assert [r.request for r in sheets.read_testcases(g, sheets.infer_header(g)).collect()] == ["ask"]
+
+
+def test_listing_is_of_the_folder_only(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("x")
+    (tmp_path / "deep").mkdir()
+    (tmp_path / "deep" / "a.txt").write_text("y")
+    assert [r.text for r in corpus.read_corpus(spark, str(tmp_path)).collect()] == ["x"]
+
+
+def test_csv_sheets_are_read_by_their_own_headings(spark, tmp_path):
+    head = ["label", "Language Overall Status", "Tester Expectation", "Completion Time", "Input Language", "Output Language", "answer", "Crash"]
+    (tmp_path / "one.csv").write_text(",".join(head) + '\n1,Pass,Good,3s,en,en,"a, ""b""\nc",No\n', encoding="utf-8")
+    (tmp_path / "two.csv").write_text("\ufeff" + ",".join(head[6::-1]) + ",Timeout_States\nans,en,fr,4s,Poor,Failed,2,yes\n", encoding="utf-8")
+    got = {r.label: r for r in results.read_results(spark, str(tmp_path), fmt="csv").collect()}
+    assert sorted(got) == [1, 2]
+    assert (got[1].answer, got[1].crash, got[1].timeout_states) == ('a, "b"\nc', "No", "No")
+    assert (got[2].answer, got[2].output_language, got[2].input_language, got[2].tester_expectation) == ("ans", "en", "fr", "Poor")
+    assert (got[2].crash, got[2].timeout_states, got[2].reference_link) == ("No", "yes", None)
+    (tmp_path / "three.csv").write_text("label,answer\n3,x\n", encoding="utf-8")
+    with pytest.raises(ValueError, match="Completion Time"):
+        results.read_results(spark, str(tmp_path), fmt="csv")
+
+
+def test_runs_of_one_day_stay_apart(spark):
+    """Two runs and two test sets on one day, with equal labels."""
+    schema = RESULT + ", run_id string, task_set string"
+    rows = [(*result(1, 1, f"{run}{part}"), run, part) for run in ("r1", "r2") for part in ("s1", "s2")]
+    table = scratch_dir(spark, "results")
+    results.upsert_results(spark.createDataFrame(rows, schema), table, 0)
+    stored = results.stored_results(spark, table, ["ts"])
+    assert sorted(r.evaluation for r in stored.collect()) == ["r1s1", "r1s2", "r2s1", "r2s2"]
+    path = scratch_dir(spark, "runs")
+    results.publish_results(stored, path)
+    results.publish_results(stored.where("run_id = 'r1'").withColumn("evaluation", F.lit("new")), path)
+    assert sorted(r.evaluation for r in spark.read.parquet(path).collect()) == ["new", "new", "r2s1", "r2s2"]
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            @staticmethod
+            def get(key, default):
+                return default
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch_dir(Session(), "x")

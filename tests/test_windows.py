@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from runassay import schema as S
 from runassay.operators import compare, windows
-from runassay.streaming import ingest, queries, stability
+from runassay.streaming import breaker, ingest, queries, stability
 from runassay.scale import scratch_dir
 
 START = datetime.datetime(2024, 1, 1)
@@ -77,16 +77,17 @@ def test_breaker(spark, monkeypatch, block):
                 want.setdefault(run, i)
     rng.shuffle(rows)
     df = spark.createDataFrame(rows, "run_date int, ts timestamp, event_id long, status string")
-    got = {r.run_date: r.trip_event_id for r in windows.breaker(df).collect() if r.tripped}
+    got = {r.run_date: r.trip_event_id for r in windows.breaker(df, by=("run_date",)).collect() if r.tripped}
     assert got == want
-    closes = {r.run_date: r.closes for r in windows.breaker(df).collect()}
+    closes = {r.run_date: r.closes for r in windows.breaker(df, by=("run_date",)).collect()}
     assert closes == {r: sum(1 for x in rows if x[0] == r and x[3] == kinds[0]) for r in closes}
 
 
 def test_fan_out_and_unwritten(spark):
     tasks = spark.createDataFrame([(0, 1), (0, 2)], "task_set int, idx int")
     envs = spark.createDataFrame([("x", 3), ("y", 1), ("z", 2), ("q", 9)], "env string, pos int")
-    planned = compare.fan_out(tasks, envs)
+    assert compare.fan_out(tasks, envs).count() == 8
+    planned = compare.fan_out(tasks, envs, 3)
     assert {(r.idx, r.env) for r in planned.collect()} == {(i, e) for i in (1, 2) for e in "xyz"}
     left = compare.unwritten_tasks(planned, planned.where("env <> 'x'"), ["task_set", "idx", "env"])
     assert {r.env for r in left.collect()} == {"x"}
@@ -95,6 +96,27 @@ def test_fan_out_and_unwritten(spark):
 
 def test_live_metrics_are_lazy(spark):
     stream = spark.readStream.format("rate").load().withColumn("ts", F.col("timestamp"))
-    for c in ("env", "timeout_states", "crash", "language_status", "tester_expectation", "completion_time"):
+    for c in ("env", "timeout_states", "crash", "language_status", "tester_expectation", "completion_time", "reference_link", "document_contain"):
         stream = stream.withColumn(c, F.lit("x"))
     assert ingest.live_metrics(stream).isStreaming
+
+
+def test_late_reset_prevents_a_trip(spark):
+    """A reset that arrives one batch late still stands between the closes."""
+    def row(second, status, env="a"):
+        return (START.date(), env, START + datetime.timedelta(seconds=second), second, status)
+
+    schema = "run_date date, env string, ts timestamp, event_id long, status string"
+    closed = "BROWSER_CLOSED"
+    batches = [
+        [row(0, closed), row(10, closed), row(30, closed)] + [row(i, closed, "b") for i in (1, 2, 3)],
+        [row(20, "SUCCESS"), row(9000, "SUCCESS")],
+        [row(9001, closed), row(9002, closed), row(9003, closed)],
+    ]
+    table, arrivals, checkpoint = (scratch_dir(spark, n) for n in ("closes", "arrivals", "progress"))
+    for rows in batches:
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(arrivals)
+        stream = spark.readStream.schema(schema).parquet(arrivals)
+        ingest.drain(breaker.watch_closes(stream, table, checkpoint))
+    got = {(r.env, r.trip_event_id) for r in breaker.first_trips(spark, table).collect()}
+    assert got == {("b", 3), ("a", 9003)}
