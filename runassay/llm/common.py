@@ -18,6 +18,8 @@ __all__ = ["crc_fold", "mapped", "pin", "scratch_dir", "ship_package", "slices"]
 #: Fixed value: a word is a run of anything but blanks and the five ASCII line and tab controls.
 WORD = r"[^\x20\x09-\x0D]+"
 
+ARROW_ROWS, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+
 
 def slices(
     batches: Iterable[pa.RecordBatch], column: str = "text", most: int = 4 << 20
@@ -42,8 +44,14 @@ def slices(
 
 
 def mapped(df: DataFrame, function, schema: str, *args) -> DataFrame:
-    """``mapInArrow`` of ``function(batches, *args)`` with the package sent to the workers."""
-    ship_package(df.sparkSession)
+    """``mapInArrow`` of ``function(batches, *args)`` with the package sent to the workers.
+
+    Texts may be long, so the session's Arrow batches are held to ``BATCH_ROWS`` rows.
+    """
+    spark = df.sparkSession
+    ship_package(spark)
+    if int(spark.conf.get(ARROW_ROWS, "10000")) > BATCH_ROWS:
+        spark.conf.set(ARROW_ROWS, BATCH_ROWS)
     return df.mapInArrow(functools.partial(_call, function, args), schema)
 
 
