@@ -22,7 +22,7 @@ ARROW_ROWS, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 
 
 def slices(
-    batches: Iterable[pa.RecordBatch], column: str = "text", most: int = 4 << 20
+    batches: Iterable[pa.RecordBatch], column: str = "text", most: int = 2 << 20
 ) -> Iterator[pa.RecordBatch]:
     """Cut batches into slices of at most ``most`` bytes of ``column`` (one row at least).
 

@@ -197,7 +197,7 @@ def _block_pairs(batches) -> Iterator[pa.RecordBatch]:
     held: list[pa.RecordBatch] = []
     for batch in batches:
         held.append(batch)
-        if sum(b.nbytes for b in held) < 32 << 20:
+        if sum(b.nbytes for b in held) < 8 << 20:
             continue
         table = pa.Table.from_batches(held).combine_chunks()
         blocks = _block_numbers(table)

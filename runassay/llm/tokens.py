@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 
 #: Words kept per worker; the store starts anew beyond that. It only saves time.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 250_000
 
 
 def default_vocabulary() -> str:
