@@ -15,6 +15,7 @@ from runassay.operators import outcomes, windows
 from runassay.plans import evaluate as EV
 from runassay.plans import report as R
 from runassay.plans import views as V
+from runassay.plans.stand_ins import failing_backend, grouping_backend, marks_backend
 from runassay.scale import first_rows, latest_row, scratch_dir
 from runassay.sources import corpus as C
 from runassay.sources import reports, sheets
@@ -742,45 +743,6 @@ def _judge_rows(spark, sf) -> DataFrame:
     )
 
 
-def marks_backend():
-    """A judge that needs no service: it reports the marks it sees in the answer."""
-    import json
-    import re
-
-    def reply(row: dict) -> str:
-        cites = bool(re.search(r"\[\d+\]", row["answer"]))
-        verdict = {
-            "tester_expectation": "Good" if cites else "Pass",
-            "document_contain_citations": "Pass" if cites else "None",
-            "evaluation": f"{len(row['answer'])} characters",
-        }
-        return f"verdict: {json.dumps(verdict)}"
-
-    return reply
-
-
-def failing_backend():
-    """The same judge behind a service that fails: now and then, late, or for good."""
-    good = marks_backend()
-    tries: dict[str, int] = {}
-
-    def reply(row: dict) -> str:
-        key = row["document"]
-        tries[key] = tries.get(key, 0) + 1
-        size = len(key)
-        if size % 5 == 0:
-            raise TimeoutError("no answer from judge")
-        if size % 5 == 1 and tries[key] % 2 == 1:
-            return "busy, try later"
-        if size % 5 == 2:  # replies that are no verdict, and none at last
-            if tries[key] % 3 == 0:
-                raise TimeoutError("no answer from judge")
-            return f"busy {tries[key] % 3}"
-        return good(row)
-
-    return reply
-
-
 @query
 def x1_judge(spark, sf):
     return judge.judge(_judge_rows(spark, sf), ["doc_id"], marks_backend)
@@ -807,34 +769,6 @@ def x9_prompt(spark, sf):
     )
 
 
-def grouping_backend():
-    """A model stand-in: groups labelled lines by what they say and replies in blocks."""
-    import re
-
-    def table(number: int, title: str, heading: str, groups: dict[str, list[str]]) -> str:
-        rows = [f"{name},{', '.join(ids)},seen {name}" for name, ids in sorted(groups.items())]
-        body = "\n".join([f"{title},,,", f"{heading},Matching Test IDs,Example", *rows])
-        return f"---BLOCK{number}_START---\n{body}\n---BLOCK{number}_END---\n"
-
-    def reply(topic: str, lines: list[str]) -> str:
-        if topic == "observations":
-            rows = "\n".join(f"Observed,{line.replace(',', ';')}" for line in lines)
-            return f"---BLOCK3_START---\nKey Observations,,,\n{rows}\n---BLOCK3_END---"
-        groups: dict[str, list[str]] = {}
-        for line in lines:
-            if topic == "evaluations":
-                found = re.match(r"\[Test ID: (\d+)\] Eval: score (\d+)", line)
-                groups.setdefault(f"Score {found[2]}", []).append(found[1])
-            else:
-                found = re.match(r"\[Test ID: (\d+)\] Input: (\w+), Output: (\S+)", line)
-                groups.setdefault(f"{found[2]} to {found[3]}", []).append(found[1])
-        if topic == "evaluations":
-            return table(1, "Failure Reason Breakdown", "Failure / Issue Type", groups)
-        return table(2, "Language Issue Breakdown", "Language Problem Type", groups)
-
-    return reply
-
-
 def _replies(spark, sf) -> DataFrame:
     rows = V.results(spark, sf, labels=True, texts=True)
     return insight.ask_for_blocks(insight.evaluable(rows), grouping_backend)
