@@ -8,6 +8,7 @@ not much farther than the nearest one.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,12 +24,14 @@ TOP = 5
 QUERY_STEP = 50
 #: Bounds of the fit: vectors that centroids are fitted on, and centroids.
 SAMPLE = 20_000
-MOST_CENTROIDS = 4096
+MOST_CENTROIDS = 512
 LIST_TARGET = 256
 #: A vector goes to up to REPLICAS lists within this ratio of its least distance.
 REPLICAS, REPLICA_RATIO = 4, 1.15
-#: A query reads up to PROBES lists within this ratio, and at least PROBE_ROWS entries.
-PROBES, PROBE_RATIO, PROBE_ROWS = 48, 1.3, 512
+#: A query reads lists within this ratio, and at least PROBE_ROWS entries; of many lists up to
+#: this share, and PROBES if that is more. Vectors without clusters lie within the ratio of
+#: nearly all lists, so a number that did not grow with the lists would lose recall.
+PROBES, PROBE_SHARE, PROBE_RATIO, PROBE_ROWS = 48, 1 / 4, 1.3, 512
 CHUNK, QUERY_CHUNK = 4096, 1024
 LINKS, FAR_LINKS, BEAM = 16, 4, 64
 
@@ -132,6 +135,17 @@ class CentroidGraph:
         order = np.argsort(-sims, axis=1, kind="stable")[:, : min(top, sims.shape[1])]
         return found[rows, order], sims[rows, order]
 
+    def scan(self, x: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
+        """The same without the graph and exact, for a share of all centroids."""
+        sims = x @ self.centroids.T
+        order = np.argsort(-sims, axis=1, kind="stable")[:, :top]
+        return order, np.take_along_axis(sims, order, axis=1)
+
+
+def most_probes(lists: int) -> int:
+    """Lists that a query may read."""
+    return max(PROBES, math.ceil(PROBE_SHARE * lists))
+
 
 def _distance(sims: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(2 - 2 * sims, 0))
@@ -182,10 +196,11 @@ def _assign(batches, shared, kind: str) -> Iterator[pa.RecordBatch]:
 def _probe(batches, shared, kind: str, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Lists of each query: by distance ratio, and on until enough entries are met."""
     graph: CentroidGraph = shared.value
+    most = most_probes(len(sizes))
     for batch in batches:
         for k in range(0, batch.num_rows, 1024):
             part = batch.slice(k, 1024)
-            found, sims = graph.search(unit_rows(_matrix(part.column("vector"), kind)), PROBES)
+            found, sims = graph.scan(unit_rows(_matrix(part.column("vector"), kind)), most)
             far = _distance(sims)
             met = np.cumsum(sizes[found], axis=1) - sizes[found]
             row, col = np.nonzero((far <= PROBE_RATIO * far[:, :1] + 1e-12) | (met < PROBE_ROWS))

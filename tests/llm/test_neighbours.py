@@ -68,3 +68,16 @@ def test_parts_are_balanced():
     sizes = np.bincount((x @ centroids.T).argmax(axis=1), minlength=len(centroids))
     assert 20 <= len(centroids) <= 120 and sizes.max() <= 500
     assert len(neighbours.balanced_centroids(np.repeat(x[:1], 50, axis=0), 10)) >= 1
+
+
+def test_recall_without_clusters_and_with_many_lists(spark, monkeypatch):
+    """Lists so small that a fixed number of them would be a small part of the vectors."""
+    monkeypatch.setattr(neighbours, "LIST_TARGET", 24)
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(9000, 64)).astype(np.float32)
+    rows = list(enumerate(x.tolist()))
+    want, _ = exact(rows, 5, 50)
+    got = {}
+    for r in neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    assert sum(len(got[q] & set(want[q])) for q in want) >= 0.9 * 5 * len(want)
