@@ -13,12 +13,12 @@ from pyspark.sql import functions as F
 
 from runassay.llm.common import crc_fold, mapped, slices
 
-#: Bounds of the labelled sample that a model is fitted on: about this many texts per
-#: language, and of each at most this many characters, so a model does not grow with the
-#: corpus. Languages have equal amounts, as longer models would parse in fewer phrases.
+#: Bounds of the labelled sample that a model is fitted on: about this many distinct texts
+#: per language (all, if there are fewer) and about this many characters, to which each text
+#: gives an equal share in EXCERPTS parts spread over it. A model does not grow with the corpus.
 TEXTS_PER_LANGUAGE = 150
-CHARS_PER_TEXT = 1000
 CHARS_PER_LANGUAGE = 40_000
+EXCERPTS = 4
 UNKNOWN = "und"
 #: Texts are parsed in blocks of this many characters side by side; a phrase ends at a
 #: block's end for every language alike.
@@ -99,14 +99,20 @@ class LanguageModel:
     bits: np.ndarray
 
     @classmethod
-    def of(cls, samples: dict[str, list[str]]) -> LanguageModel:
+    def of(cls, samples: dict[str, list[str]], equal: bool = True) -> LanguageModel:
+        """Fit on texts by language, all cut to the least amount if ``equal``.
+
+        Otherwise all is learnt, and ``bits`` make up for unequal amounts: a phrase costs the
+        choice of a place in the model, and a spelt-out symbol at least.
+        """
         table, width = symbol_table([t for ts in samples.values() for t in ts])
         names = sorted(samples)
         least = min([sum(map(len, samples[n])) for n in names], default=0)
         rows, roots, bits = [], [], []
         for name in names:
             symbols, _ = _folded([t + " " for t in samples[name]], table)
-            symbols = symbols[: min(least, CHARS_PER_LANGUAGE)]
+            if equal:
+                symbols = symbols[: min(least, CHARS_PER_LANGUAGE)]
             moves = suffix_automaton(symbols.tolist())
             base = sum(len(r) for r in rows)
             own = np.full((len(moves), width), -1, np.int64)
@@ -118,7 +124,7 @@ class LanguageModel:
             own = np.where(ended, start[None, :], own)
             rows.append((((own + base) * width) << 1) | ended)
             roots.append(base * width)
-            bits.append(math.log2(len(symbols) + 1))
+            bits.append(math.log2(max(len(symbols) + 1, 2 * width)))
         steps = np.concatenate(rows).ravel().astype(np.int32) if rows else np.zeros(0, np.int32)
         return cls(names, table, width, steps, np.array(roots, np.int64), np.array(bits))
 
@@ -165,27 +171,38 @@ class LanguageModel:
 def fit_languages(documents: DataFrame, learn: Column) -> LanguageModel:
     """Fit on a bounded sample of the rows with ``learn`` and a language and text.
 
-    The share of each language's rows that is taken follows from its count; rows are chosen
-    by a hash of the text, and equal texts count once.
+    The share of each language's texts that is taken follows from the number of distinct
+    ones; they are chosen by a hash, and a language of few gives all.
     """
-    rows = documents.where(learn & F.col("lang").isNotNull())
-    # Languages are few; the counts read no text.
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    rows = documents.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    # Languages are few; their distinct texts are counted by sketches, within about 2 percent.
+    distinct = F.approx_count_distinct(F.xxhash64("text"), 0.02)
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(distinct.alias("n")).collect()}
     scale = 1 << 40
-    share = F.lit(0)
+    share, size = F.lit(0), F.lit(1)
     for lang, n in sizes.items():
         want = min(scale, scale * TEXTS_PER_LANGUAGE // max(n, 1))
+        part = CHARS_PER_LANGUAGE // max(1, min(n, TEXTS_PER_LANGUAGE)) // EXCERPTS
         share = F.when(F.col("lang") == lang, F.lit(want)).otherwise(share)
+        size = F.when(F.col("lang") == lang, F.lit(part)).otherwise(size)
     hashed = F.pmod(F.xxhash64("text"), F.lit(scale))
     chosen = (
-        rows.where(F.col("text").isNotNull() & (hashed < share))
-        .select("lang", F.xxhash64("text").alias("h"), F.substring("text", 1, CHARS_PER_TEXT).alias("text"))
+        rows.where(hashed < share)
+        .select("lang", F.xxhash64("text").alias("h"), excerpts(F.col("text"), size).alias("text"))
         .dropDuplicates(["lang", "h"])
     )
     samples: dict[str, list[str]] = {}
     for row in sorted(chosen.collect()):
         samples.setdefault(row["lang"], []).append(row["text"])
-    return LanguageModel.of({k: v for k, v in samples.items() if any(map(str.isalpha, "".join(v)))})
+    samples = {k: v for k, v in samples.items() if any(map(str.isalpha, "".join(v)))}
+    return LanguageModel.of(samples, equal=False)
+
+
+def excerpts(text: Column, size: Column) -> Column:
+    """EXCERPTS parts of ``size`` characters from the text's start to its end; short texts whole."""
+    room = F.length(text) - size
+    parts = [text.substr((room * k / (EXCERPTS - 1)).cast("int") + 1, size) for k in range(EXCERPTS)]
+    return F.when(F.length(text) <= EXCERPTS * size, text).otherwise(F.concat_ws(" ", *parts))
 
 
 def identify(documents: DataFrame, folds: int = 4, held: int = 2) -> DataFrame:

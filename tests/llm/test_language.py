@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from runassay.llm import language
 
@@ -89,3 +90,35 @@ def test_odd_rows(spark):
     assert language.identify(table.limit(0)).count() == 0
     bare = table.where("doc_id >= 500").withColumn("lang", table.lang.substr(99, 1)).where("lang = 'none'")
     assert bare.count() == 0
+
+
+def worded(rng, letters, n):
+    """Texts of invented words over some letters."""
+    words = ["".join(rng.choice(letters) for _ in range(rng.randint(3, 8))) for _ in range(60)]
+    return [" ".join(rng.choice(words) for _ in range(80)) for _ in range(n)]
+
+
+def test_a_tiny_language_costs_the_others_nothing(spark):
+    rng = random.Random(5)
+    texts = {"aa": worded(rng, "abcdefgh", 200), "bb": worded(rng, "abcdefgh", 200)}
+    rows = [(i, t, lang) for lang, ts in texts.items() for i, t in enumerate(ts)]
+    rows += [(1000, "habe cafe dabei fade", "cc"), (1001, "a", "dd")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit_languages(table.where("doc_id >= 50"), F.lit(True))
+    assert model.languages == ["aa", "bb", "cc", "dd"]
+    for lang, ts in texts.items():
+        assert model.predict([t[:200] for t in ts[:50]])[0] == [lang] * 50
+
+
+def test_a_language_of_few_texts_is_learnt_whole(spark):
+    rng = random.Random(6)
+    few, many = worded(rng, "abcdefgh", 10), worded(rng, "abcdefgh", 300)
+    rows = [(i, few[i % 10], "aa") for i in range(3000)] + [(i, t, "bb") for i, t in enumerate(many)]
+    model = language.fit_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
+    assert model.predict(few + many[:20])[0] == ["aa"] * 10 + ["bb"] * 20
+
+
+def test_excerpts_reach_the_end(spark):
+    table = spark.createDataFrame([("a" * 5000 + "b" * 4000 + "the end",), ("short",)], "text string")
+    got = [r[0] for r in table.select(language.excerpts(F.col("text"), F.lit(100))).collect()]
+    assert len(got[0]) == 403 and got[0].startswith("a" * 100) and got[0].endswith("the end") and got[1] == "short"
