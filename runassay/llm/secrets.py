@@ -28,8 +28,15 @@ BASE = KINDS[:3]
 
 _TOKEN = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{8,}+)\.([A-Za-z0-9_-]{2,}+)\.([A-Za-z0-9_-]*+)")
 _PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----((?:(?!-----)[\s\S])*+)-----END \1-----")
-_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}+={0,2}")
-_LONG_HEX = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{64,}+")
+# The shortest base secret has 14 bytes (token= and eight characters): 19 base64 characters, 28 hex digits.
+_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{19,}+={0,2}")
+_LONG_HEX = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{28,}+")
+_WRAPPED = re.compile(
+    r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:[\x20\t]*+\r?\n[\x20\t]*+[A-Za-z0-9+/_-]++)++={0,2}"
+)
+_LINE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
+#: Encodings within encodings that are opened.
+DEPTH = 3
 
 Span = tuple[str, int, int]
 
@@ -164,8 +171,53 @@ def signed_token(header: str, payload: str, signature: str) -> bool:
     return size == SIGNATURES[alg] if SIGNATURES[alg] else size >= 128
 
 
-def structural_spans(text: str) -> list[Span]:
-    """Candidates that decode and parse as what they seem to be."""
+def plain_text(data: bytes | None) -> str | None:
+    """Decoded bytes as text, if all of it is printable or line and tab controls."""
+    try:
+        text = (data or b"").decode()
+    except UnicodeDecodeError:
+        return None
+    return text if text.translate(_BLANKS).isprintable() else None
+
+
+_BLANKS = {9: " ", 10: " ", 13: " "}
+
+
+def wrapped_runs(text: str) -> Iterator[tuple[int, int]]:
+    """Encoded values that run over lines of one length, with a shorter last line or without."""
+    for m in _WRAPPED.finditer(text):
+        lines = [(x.start(), x.end()) for x in _LINE.finditer(text, m.start(), m.end())]
+        i = 0
+        while i < len(lines):
+            size = lines[i][1] - lines[i][0]
+            j = i + 1
+            while j < len(lines) and lines[j][1] - lines[j][0] == size:
+                j += 1
+            if size >= 16:
+                if j < len(lines) and lines[j][1] - lines[j][0] < size:
+                    yield lines[i][0], lines[j][1]
+                if j > i + 1:
+                    yield lines[i][0], lines[j - 1][1]
+            i = j
+
+
+def decoded_kind(text: str, depth: int) -> str | None:
+    """``key`` or ``nested`` if the text encodes a private key, or text that holds a secret."""
+    for decode in (decode64, _from_hex):
+        data = decode(text)
+        if private_key(data):
+            return "key"
+        plain = plain_text(data)
+        if plain and (base_spans(plain) or depth and structural_spans(plain, depth - 1)):
+            return "nested"
+    return None
+
+
+def structural_spans(text: str, depth: int = DEPTH) -> list[Span]:
+    """Candidates that decode and parse as what they seem to be.
+
+    What decodes to text is searched in turn, ``depth`` encodings deep.
+    """
     found: list[Span] = []
     if "." in text and "eyJ" in text:
         found += [("jwt", m.start(), m.end()) for m in _TOKEN.finditer(text) if signed_token(*m.groups())]
@@ -177,20 +229,23 @@ def structural_spans(text: str) -> list[Span]:
             if private_key(body) or locked and body and len(body) % 8 == 0:
                 found.append(("pem", m.start(), m.end()))
     inside = [(a, b) for kind, a, b in found]
-    for pattern, decode in ((_BASE64, decode64), (_LONG_HEX, _from_hex)):
-        for m in pattern.finditer(text):
-            if any(a <= m.start() < b for a, b in inside):
-                continue
-            data = decode(m[0])
-            if private_key(data):
-                found.append(("key", m.start(), m.end()))
-            elif data and data.isascii() and base_spans(plain := data.decode()) and plain.isprintable():
-                found.append(("nested", m.start(), m.end()))
+    runs = list(wrapped_runs(text))
+    single = [(m.start(), m.end()) for p in (_BASE64, _LONG_HEX) for m in p.finditer(text)]
+    for start, end in runs + single:
+        if any(a <= start < b for a, b in inside):
+            continue
+        kind = decoded_kind(text[start:end], depth)
+        if kind:
+            found.append((kind, start, end))
+            inside.append((start, end))
     return found
 
 
 def _from_hex(text: str) -> bytes | None:
-    return bytes.fromhex(text) if len(text) % 2 == 0 else None
+    try:
+        return bytes.fromhex(text)
+    except ValueError:
+        return None
 
 
 def listed(spans: list[Span], kinds: tuple[str, ...] = KINDS) -> str:
@@ -209,7 +264,8 @@ def find_secrets(documents: DataFrame) -> DataFrame:
 
     Base spans are ``assign``, ``access`` and ``hex``. Confirmed spans are added: ``jwt``
     (signed tokens), ``pem`` (private key blocks), ``key`` (base64 or hex that parses as a
-    private key) and ``nested`` (base64 or hex that decodes to text with a base secret).
+    private key) and ``nested`` (base64 or hex that decodes to text with a base or confirmed
+    secret, up to ``DEPTH`` encodings deep). Values may be wrapped over lines of one length.
     Null and empty texts have none; repeated rows are reported each; null ids stay null;
     other columns are ignored; an empty table gives no rows.
     """
