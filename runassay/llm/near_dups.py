@@ -8,8 +8,10 @@ no link is lost and no bucket is expanded into all its pairs.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -23,14 +25,43 @@ from runassay.llm.graph import components
 
 SHINGLE = 5
 PERCENT = 85
-#: Bands of rows. At similarity 0.85 a pair shares no band with probability 3e-7.
-BANDS, ROWS = 32, 6
-COORDINATES = BANDS * ROWS
-#: Least share of equal coordinates for an exact check, five standard deviations below 0.85.
-LEAST_EQUAL = 0.72
+COORDINATES = 192
+#: Chance at most that a pair just at the threshold shares no band.
+MISSED = 3e-7
 #: Rows, and shingles, on either side of a block pair.
 LEFT_BLOCK, RIGHT_BLOCK, SHINGLES_PER_BLOCK = 256, 4096, 1 << 20
 
+
+
+@dataclass(frozen=True)
+class Rule:
+    """A threshold in percent with its bands of rows and the sketch bound before exact checks."""
+
+    percent: int
+    bands: int
+    rows: int
+    least_equal: float
+
+    @classmethod
+    def of(cls, percent: int) -> Rule:
+        """The longest bands of which the coordinates hold enough for ``MISSED``.
+
+        The bound on equal coordinates lies five standard deviations below the threshold.
+        """
+        t = percent / 100
+        for rows in range(COORDINATES, 0, -1):
+            agree = t**rows
+            bands = math.ceil(math.log(MISSED) / math.log1p(-agree)) if 0 < agree < 1 else 1
+            if bands * rows <= COORDINATES:
+                break
+        else:
+            raise ValueError(f"no bands for a threshold of {percent} percent")
+        return cls(percent, bands, rows, math.floor(100 * (t - 5 * math.sqrt(t * (1 - t) / COORDINATES))) / 100)
+
+
+RULE = Rule.of(PERCENT)
+BANDS, ROWS = RULE.bands, RULE.rows
+
 _WORDS = re.compile(WORD)
 _FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -142,12 +173,12 @@ def _sets(batches) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _alike(batches) -> Iterator[pa.RecordBatch]:
+def _alike(batches, rule: Rule) -> Iterator[pa.RecordBatch]:
     """Pairs whose sketches and sizes allow the similarity."""
     for batch in batches:
         a, b = (_matrix(batch.column(c)) for c in ("sketch_a", "sketch_b"))
         n, m = (batch.column(c).to_numpy() for c in ("n_a", "n_b"))
-        keep = ((a == b).sum(axis=1) >= LEAST_EQUAL * COORDINATES) & _sizes_fit(n, m)
+        keep = ((a == b).sum(axis=1) >= rule.least_equal * COORDINATES) & _sizes_fit(n, m, rule)
         yield batch.filter(pa.array(keep)).select(["a", "b"])
 
 
@@ -155,18 +186,18 @@ def _matrix(sketches: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(sketches.to_pylist()), np.uint8).reshape(-1, COORDINATES)
 
 
-def _sizes_fit(n, m):
-    return 100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m)
+def _sizes_fit(n, m, rule: Rule):
+    return 100 * np.minimum(n, m) >= rule.percent * np.maximum(n, m)
 
 
-def _linked(batches) -> Iterator[pa.RecordBatch]:
+def _linked(batches, rule: Rule) -> Iterator[pa.RecordBatch]:
     """Pairs that pass on the full sets."""
     for batch in slices(batches, "set_a"):
         keep = []
         for a, b in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist(), strict=True):
             x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
             both = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))
+            keep.append(100 * both >= rule.percent * (len(x) + len(y) - both))
         yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
 
@@ -178,21 +209,22 @@ def _sets_of(ids: DataFrame, texts: DataFrame) -> DataFrame:
     )
 
 
-def _star_links(stars: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+def _star_links(stars: DataFrame, nodes: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
     """Edges among the pairs ``(a, b)``: by sketch first, then by the full sets."""
     own = nodes.select("id", "n_shingles", "sketch")
     alike = mapped(
         stars.join(own.toDF("a", "n_a", "sketch_a"), "a").join(own.toDF("b", "n_b", "sketch_b"), "b"),
         _alike,
         "a long, b long",
+        rule,
     )
     pairs = pin(alike.distinct(), "pairs")
     sets = _sets_of(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")), texts)
     full = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
-    return pin(mapped(full, _linked, "a long, b long").distinct(), "links")
+    return pin(mapped(full, _linked, "a long, b long", rule).distinct(), "links")
 
 
-def _block_pairs(batches) -> Iterator[pa.RecordBatch]:
+def _block_pairs(batches, rule: Rule) -> Iterator[pa.RecordBatch]:
     """Compare left and right rows of each block pair; rows come sorted by block pair."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
@@ -203,13 +235,13 @@ def _block_pairs(batches) -> Iterator[pa.RecordBatch]:
         blocks = _block_numbers(table)
         last = int(np.searchsorted(blocks, blocks[-1])) if len(blocks) else 0
         if last:
-            yield from _compare(table.slice(0, last), blocks[:last])
+            yield from _compare(table.slice(0, last), blocks[:last], rule)
             held = table.slice(last).combine_chunks().to_batches()
         else:
             held = table.to_batches()
     if held:
         table = pa.Table.from_batches(held).combine_chunks()
-        yield from _compare(table, _block_numbers(table))
+        yield from _compare(table, _block_numbers(table), rule)
 
 
 def _block_numbers(table: pa.Table) -> np.ndarray:
@@ -221,7 +253,7 @@ def _block_numbers(table: pa.Table) -> np.ndarray:
     return np.cumsum(new)
 
 
-def _compare(table: pa.Table, blocks: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _compare(table: pa.Table, blocks: np.ndarray, rule: Rule) -> Iterator[pa.RecordBatch]:
     """Links between left and right rows of a block pair, checked on the full sets.
 
     A pair that shares several bands is compared in the first of them only.
@@ -240,15 +272,16 @@ def _compare(table: pa.Table, blocks: np.ndarray) -> Iterator[pa.RecordBatch]:
         rows = np.arange(begin, end)
         right = rows[~left[begin:end]]
         for i in rows[left[begin:end]]:
-            fit = right[(comps[right] != comps[i]) & _sizes_fit(sizes[right], sizes[i])]
+            fit = right[(comps[right] != comps[i]) & _sizes_fit(sizes[right], sizes[i], rule)]
             same = sketch[fit] == sketch[i]
-            near = same.sum(axis=1) >= LEAST_EQUAL * COORDINATES
-            first = same[near].reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1)
+            near = same.sum(axis=1) >= rule.least_equal * COORDINATES
+            banded = same[near][:, : rule.bands * rule.rows]
+            first = banded.reshape(-1, rule.bands, rule.rows).all(axis=2).argmax(axis=1)
             x = np.frombuffer(sets[int(i)].as_py(), np.uint64) if near.any() else None
             for j in fit[near][first == bands[i]]:
                 y = np.frombuffer(sets[int(j)].as_py(), np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * both >= PERCENT * (len(x) + len(y) - both):
+                if 100 * both >= rule.percent * (len(x) + len(y) - both):
                     links.add((int(max(ids[i], ids[j])), int(min(ids[i], ids[j]))))
     found = sorted(links)
     yield pa.RecordBatch.from_pydict(
@@ -256,7 +289,9 @@ def _compare(table: pa.Table, blocks: np.ndarray) -> Iterator[pa.RecordBatch]:
     )
 
 
-def _remaining_links(members: DataFrame, found: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+def _remaining_links(
+    members: DataFrame, found: DataFrame, nodes: DataFrame, texts: DataFrame, rule: Rule = RULE
+) -> DataFrame:
     """Edges between members of a bucket that lie in different components so far.
 
     A bucket's most frequent component is compared with the members of all others, and
@@ -304,20 +339,23 @@ def _remaining_links(members: DataFrame, found: DataFrame, nodes: DataFrame, tex
     )
     block = ["key", "left_block", "right_block"]
     compared = mapped(
-        left.unionByName(right).repartition(*block).sortWithinPartitions(*block), _block_pairs, "a long, b long"
+        left.unionByName(right).repartition(*block).sortWithinPartitions(*block), _block_pairs, "a long, b long", rule
     )
     return pin(compared.distinct(), "more-links")
 
 
-def near_duplicates(documents: DataFrame) -> DataFrame:
+def near_duplicates(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id`` and ``kept`` of each document.
 
+    Documents whose shingle sets share ``percent`` of their union are linked.
+
     Texts without a word have an empty set and are linked with nothing; null texts likewise.
     Repeated rows share a component. A row without an id belongs to its copies' component
     and is kept only if it has no copies with an id. Several rows of one id count as one
     document if that id is the least of their copies. Other columns are ignored; an empty
     table gives no rows.
     """
+    rule = Rule.of(percent)
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = pin(mapped(texts, _features, f"doc_id long, {FEATURES}"), "features")
     nodes = pin(
@@ -332,8 +370,8 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
         "nodes",
     )
     bands = F.transform(
-        F.sequence(F.lit(0), F.lit(BANDS - 1)),
-        lambda b: F.xxhash64(b, F.substring(F.col("sketch"), b * ROWS + 1, F.lit(ROWS))),
+        F.sequence(F.lit(0), F.lit(rule.bands - 1)),
+        lambda b: F.xxhash64(b, F.substring(F.col("sketch"), b * rule.rows + 1, F.lit(rule.rows))),
     )
     keyed = nodes.select("id", F.posexplode(bands).alias("band", "key"))
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -347,9 +385,9 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     stars = members.select(
         F.greatest("id", "centre").alias("a"), F.least("id", "centre").alias("b")
     ).distinct()
-    links = _star_links(stars, nodes, texts)
+    links = _star_links(stars, nodes, texts, rule)
     found = pin(components(links), "components")
-    more = _remaining_links(members, found, nodes, texts)
+    more = _remaining_links(members, found, nodes, texts, rule)
     found = components(links.unionByName(more))
     groups = (
         nodes.select("hi", "lo", "id", "copies")
@@ -370,8 +408,8 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     )
 
 
-def drop_near_duplicates(documents: DataFrame) -> DataFrame:
+def drop_near_duplicates(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The documents without those that a smaller id of their component stands for."""
-    verdicts = near_duplicates(documents)
+    verdicts = near_duplicates(documents, percent)
     drop = pin(verdicts.where(~F.col("kept")).select(F.col("doc_id").alias("_id")).distinct(), "dropped")
     return documents.join(drop, F.col("doc_id").cast("long") == F.col("_id"), "left_anti")

@@ -132,3 +132,23 @@ def test_blocks_lose_no_link(spark, monkeypatch):
         if i % 4 != j % 4 and 100 * len(plain[i] & plain[j]) >= 85 * len(plain[i] | plain[j])
     }
     assert got == want and want
+
+
+def test_the_pipeline_drops_pairs_from_80_percent_on(spark):
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    rows, shares = [], []
+    for k, size in enumerate((118, 118, 118, 84)):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(size)]
+        other = list(words)
+        for at in (20, 60)[: 2 if size == 84 else 1]:
+            other[at : at + 8 - 2 * k] = [f"n{rng.randrange(10**6)}" for _ in range(8 - 2 * k)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+        a, b = plain_set(rows[-2][1]), plain_set(rows[-1][1])
+        shares.append(len(a & b) / len(a | b))
+    assert [80 <= 100 * x < 85 for x in shares] == [True, True, False, False] and shares[2] > 0.85 and shares[3] < 0.8
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    ids = lambda df: sorted(r["doc_id"] for r in df.collect())
+    assert ids(corpus_pipeline.one_of_each(spark, table, "")) == [0, 2, 4, 6, 7]
+    assert ids(near_dups.drop_near_duplicates(table)) == [0, 1, 2, 3, 4, 6, 7]
