@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import bisect
 import hashlib
 import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,9 +23,9 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
 
-#: Words on each side of an entity that count as its context.
+#: Words on each side of an entity by which the tests' texts are made; the count takes whole texts.
 NEAR = 5
-#: A pair counts from this many different contexts on, so that copies prove nothing.
+#: A pair counts from this many different texts on, so that copies prove nothing.
 LEAST_CONTEXTS = 3
 #: Least information in bits that a term gives on an entity, and the chances of the
 #: entity given the term from which on the term is generalised, or removed.
@@ -108,34 +106,12 @@ def terms_of(text: Column) -> Column:
     return F.array_distinct(F.transform(words, lambda w: F.btrim(w, F.lit(PUNCTUATION))))
 
 
-def contexts_of(text: str, spans: list[Span]) -> list[tuple[str, str, int, int, int]]:
-    """(entity, term, context, first of pair, first of term) around each span.
-
-    An empty term stands for the entity itself. The two marks are 1 once per pair and once
-    per term of this text, so their sums count texts.
-    """
-    if not spans:
-        return []
+def free_terms(text: str, spans: list[Span]) -> list[str]:
+    """Distinct terms of the words outside all spans."""
     words = [(m.start(), m.end()) for m in _WORDS.finditer(text)]
-    taken = sorted((a, b) for _, a, b in spans)
-    free = _free(words, taken)
-    rows, pairs, terms = [], set(), set()
-    starts = [s for s, _ in words]
-    for kind, a, b in spans:
-        entity = entity_of(kind, text[a:b])
-        left = bisect.bisect_left(starts, a)
-        right = bisect.bisect_left(starts, b)
-        before = [k for k in range(max(0, left - NEAR), left) if free[k]]
-        after = [k for k in range(right, min(len(words), right + NEAR)) if free[k]]
-        around = [term_of(text[slice(*words[k])]) for k in before + after]
-        context = xxhash.xxh64_intdigest("\x00".join(around).encode("utf-8", "surrogatepass")) - (1 << 63)
-        for term in dict.fromkeys(["", *around]):
-            if len(term) in (1, 2):
-                continue
-            rows.append((entity, term, context, int((entity, term) not in pairs), int(term not in terms)))
-            pairs.add((entity, term))
-            terms.add(term)
-    return rows
+    free = _free(words, sorted((a, b) for _, a, b in spans))
+    terms = dict.fromkeys(term_of(text[a:b]) for (a, b), own in zip(words, free, strict=True) if own)
+    return [t for t in terms if t]
 
 
 def _free(words: list[tuple[int, int]], taken: list[tuple[int, int]]) -> list[bool]:
@@ -151,27 +127,20 @@ def _free(words: list[tuple[int, int]], taken: list[tuple[int, int]]) -> list[bo
 
 BASE_SCHEMA = (
     "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, "
-    "contexts array<struct<entity:string,term:string,context:bigint,pair:int,first:int>>"
-)
-_CONTEXT = pa.list_(
-    pa.struct(
-        [("entity", pa.string()), ("term", pa.string()), ("context", pa.int64()), ("pair", pa.int32()), ("first", pa.int32())]
-    )
+    "entities array<string>"
 )
 
 
 def _base(batches) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
-        out: dict[str, list] = {c: [] for c in ("sha", "base", "contexts", *BASE)}
+        out: dict[str, list] = {c: [] for c in ("sha", "base", "entities", *BASE)}
         for text in batch.column("text").to_pylist():
             spans = base_spans(text or "")
             for k in BASE:
                 out[k].append(sum([s[0] == k for s in spans]))
             out["base"].append(listed(spans))
             out["sha"].append(hashlib.sha256(out["base"][-1].encode()).hexdigest())
-            out["contexts"].append(
-                [dict(zip(("entity", "term", "context", "pair", "first"), r, strict=True)) for r in contexts_of(text or "", spans)]
-            )
+            out["entities"].append(list(dict.fromkeys(entity_of(k, text[a:b]) for k, a, b in spans)))
         yield pa.RecordBatch.from_pydict(
             {
                 "doc_id": batch.column("doc_id"),
@@ -179,13 +148,26 @@ def _base(batches) -> Iterator[pa.RecordBatch]:
                 **{f"n_{k}": pa.array(out[k], pa.int64()) for k in BASE},
                 "base_sha256": pa.array(out["sha"], pa.string()),
                 "base": pa.array(out["base"], pa.string()),
-                "contexts": pa.array(out["contexts"], _CONTEXT),
+                "entities": pa.array(out["entities"], pa.list_(pa.string())),
             }
         )
 
 
+def _free_terms(batches) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches):
+        out: tuple[list, list, list] = ([], [], [])
+        for row in batch.to_pylist():
+            terms = free_terms(row["text"], base_spans(row["text"]))
+            out[0].extend([row["text_key"]] * len(terms))
+            out[1].extend([row["n"]] * len(terms))
+            out[2].extend(terms)
+        yield pa.RecordBatch.from_pydict(
+            {"text_key": pa.array(out[0], pa.int64()), "n": pa.array(out[1], pa.int64()), "term": pa.array(out[2], pa.string())}
+        )
+
+
 def scanned(documents: DataFrame) -> DataFrame:
-    """Base spans and contexts of each whole text, written once."""
+    """Base spans and entities of each whole text, written once."""
     docs = documents.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     docs = docs.withColumn("text_key", F.xxhash64("text"))
     key = docs.schema["doc_id"].dataType.simpleString()
@@ -195,26 +177,51 @@ def scanned(documents: DataFrame) -> DataFrame:
 def revealing_terms(documents: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Terms that reveal entities, and the candidate terms' places ``(text_key, term)``.
 
-    ``chance`` is the share of the documents with the term that have the entity nearby, and
+    ``chance`` is the share of the documents with the term that hold the entity anywhere, and
     ``bits`` the gain over the entity's share of all documents, both over the whole corpus.
-    Only pairs that can still reach the thresholds are counted corpus-wide: documents in
-    which a term stands near any entity are a lower bound of all that have it.
+    A pair needs ``LEAST_CONTEXTS`` different texts. Only what can still reach the thresholds
+    is counted on: an entity in too few texts, or in so many documents that no term can add
+    ``LEAST_BITS``, has no pair; documents with a term and such an entity are a lower bound of
+    all with the term, and an entity's documents an upper bound of those of its pairs.
     """
     n_docs = found.count()
-    rows = found.select(F.explode("contexts").alias("c")).select("c.*")
-    pairs = (
-        rows.groupBy("entity", "term", "context")
-        .agg(F.sum("pair").alias("pair"))
-        .groupBy("entity", "term")
-        .agg(F.sum("pair").alias("n_both"), F.count(F.lit(1)).alias("n_contexts"))
+    texts = found.where(F.size("entities") > 0).groupBy("text_key").agg(
+        F.count(F.lit(1)).alias("n"), F.first("entities").alias("entities")
+    )
+    holders = pin(texts.select("text_key", "n", F.explode("entities").alias("entity")), "holders")
+    entities = pin(
+        holders.groupBy("entity")
+        .agg(F.sum("n").alias("n_entity"), F.count(F.lit(1)).alias("n_texts"))
+        .where((F.col("n_texts") >= LEAST_CONTEXTS) & (F.col("n_entity") * 2.0**LEAST_BITS <= n_docs * (1 + 1e-9)))
+        .drop("n_texts"),
+        "entities",
+    )
+    held = pin(holders.join(entities, "entity"), "held")
+    most = entities.agg(F.max("n_entity")).first()[0] or 0
+    own = held.groupBy("text_key").agg(F.first("n").alias("n"))
+    plain = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    words = (
+        documents.select(F.xxhash64(plain).alias("text_key"), plain.alias("text"))
+        .join(own, "text_key")
+        .dropDuplicates(["text_key"])
+    )
+    words = pin(mapped(words, _free_terms, "text_key long, n long, term string"), "free-terms")
+    near = pin(
+        words.groupBy("term")
+        .agg(F.sum("n").alias("n_near"), F.count(F.lit(1)).alias("n_texts"))
+        .where((F.col("n_texts") >= LEAST_CONTEXTS) & (GENERALISE * F.col("n_near") <= most))
+        .drop("n_texts"),
+        "near",
     )
-    entities = pairs.where(F.col("term") == "").select("entity", F.col("n_both").alias("n_entity"))
-    near = rows.where(F.col("term") != "").groupBy("term").agg(F.sum("first").alias("n_near"))
-    likely = pairs.where((F.col("term") != "") & (F.col("n_contexts") >= LEAST_CONTEXTS))
-    likely = pin(
-        likely.join(near, "term").where(F.col("n_both") >= GENERALISE * F.col("n_near")).join(entities, "entity"),
-        "likely",
+    likely = (
+        words.join(near, "term")
+        .join(held.drop("n"), "text_key")
+        .where(GENERALISE * F.col("n_near") <= F.col("n_entity"))
+        .groupBy("entity", "term", "n_near", "n_entity")
+        .agg(F.sum("n").alias("n_both"), F.count(F.lit(1)).alias("n_contexts"))
+        .where((F.col("n_contexts") >= LEAST_CONTEXTS) & (F.col("n_both") >= GENERALISE * F.col("n_near")))
     )
+    likely = pin(likely, "likely")
     terms = pin(likely.select("term").distinct(), "terms")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     places = pin(

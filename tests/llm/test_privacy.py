@@ -130,3 +130,16 @@ def test_overlaps_are_cut_once():
     assert privacy.sanitised_text("at 1.2.3.4@host.org now", None, None) == "at [EMAIL] now"
     assert privacy.sanitised_text("a secretword b", ["secretword"], ["b"]) == "a  [TERM]"
     assert privacy.sanitised_text("a (secretword), b", [], ["secretword"]) == "a ([TERM]), b"
+
+
+def test_whole_documents_count(spark):
+    """A name far from the address, in another sentence, or of two letters reveals it as well."""
+    far = " ".join(FILL)
+    rows = [(i, f"\u6797\u8587 met Marigold{i % 2 * '.'} {far} n{i}. {far} Write to ann@acme.org.") for i in range(6)]
+    rows += [(10 + i, f"{far} plain {i}") for i in range(60)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    terms, _ = privacy.revealing_terms(table, privacy.scanned(table))
+    got = {r["term"]: r["chance"] for r in terms.collect()}
+    assert got == {t: 1.0 for t in ("\u6797\u8587", "met", "marigold", "write", "to")}
+    clean = {r["doc_id"]: r["text"] for r in privacy.sanitise(table).collect()}
+    assert "Marigold" not in clean[0] and "\u6797\u8587" not in clean[0] and far in clean[0]
