@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runassay.llm import binary, language, mixing, near_dups, neighbours, packing, privacy, quality, secrets, toxicity
+from runassay.llm import binary, centroids, language, mixing, near_dups, neighbours, packing, prefixes, privacy
+from runassay.llm import quality, secrets, toxicity, warc
 from runassay.llm.common import crc_fold
 
 
@@ -58,6 +59,18 @@ def op8_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixes.prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_web_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived_pages(_table(spark, sf_dir, "pages"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -75,6 +88,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_dups": op8_near_dups,
     "op9_language": op9_language,
     "op10_disclosure": op10_disclosure,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_centroids": op12_centroids,
+    "op13_web_archive": op13_web_archive,
     "pipeline": pipeline,
 }
 
@@ -84,4 +100,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": mixing.mix_sql()}
+    return {
+        "op4_mixing": mixing.mix_sql(),
+        "op11_prefix_trie": prefixes.prefix_trie_sql(),
+        "op12_centroids": centroids.cluster_sql(),
+        "op13_web_archive": warc.archived_pages_sql(),
+    }
