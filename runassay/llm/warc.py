@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runassay.llm.common import mapped, pin, scratch_dir, slices
+from runassay.scale import spread
 
 #: A payload of at least this many bytes that occurred before becomes a revisit record.
 LEAST_REVISIT = 0
@@ -398,11 +399,12 @@ def read_packages(packages: DataFrame, payload: bool = False, block: int = INDEX
     """
     kinds = "package string, name string, start long, size long"
     found = pin(mapped(packages.select("package"), _members, kinds), "members")
-    indexes = found.where(F.col("name").startswith("indexes/") & (F.col("size") > 0)).select(
+    blocks = found.where(F.col("name").startswith("indexes/") & (F.col("size") > 0)).select(
         "package", "start", "size", F.lit(block).cast("long").alias("width"),
         F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("size") / block) - 1)).alias("block"),
-    ).repartition("package", "block")
-    lines = mapped(indexes, _index_lines, "package string, file string, offset long, length long")
+    )
+    # Few bytes stand for much reading, so the blocks stay apart.
+    lines = mapped(spread(blocks, "package", "block"), _index_lines, "package string, file string, offset long, length long")
     archives = found.where(F.col("name").startswith("archive/")).select(
         F.col("package").alias("_package"), F.col("name").alias("_name"), F.col("start").alias("_start"),
         F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"),
