@@ -61,13 +61,42 @@ def test_fuzzy_equals_difflib(spark):
     assert len(want) > 20 and {r.word: r.folded for r in found.collect()} == want
 
 
-def test_ratio_equals_difflib():
-    rng = random.Random(5)
-    for size in (0, 1, 7, 30, 260):
-        for _ in range(40):
-            a = "".join(rng.choice("abc é") for _ in range(rng.randint(0, size)))
-            b = "".join(rng.choice("abcd é") for _ in range(rng.randint(0, size)))
-            assert similarity.ratio(a, b) == difflib.SequenceMatcher(a=a, b=b).ratio(), (a, b)
+@pytest.mark.parametrize("cutoff,letters", [(0.6, "abcé "), (0.6, "abcdefghijklmnop"), (0.85, "abcdef"), (0.3, "abcdefghijk")])
+def test_no_near_pair_is_lost(spark, cutoff, letters):
+    rng = random.Random(len(letters))
+
+    def text():
+        return "".join(rng.choice(letters) for _ in range(rng.choice((1, 2, 3, 5, 8, 13, 26))))
+
+    words, names = sorted({text() for _ in range(90)}), sorted({text() for _ in range(110)} | {"x" * 90, "y" * 300})
+    w, n = (spark.createDataFrame([(x,) for x in t], f"{c} string") for t, c in ((words, "word"), (names, "name")))
+    met = {tuple(r) for r in similarity.candidates(w, n, cutoff).collect()}
+    near = {(a, b): difflib.SequenceMatcher(a=b, b=a).ratio() for a in words for b in names}
+    assert {p for p, r in near.items() if r >= cutoff} <= met
+    got = {r.word: (r.ratio, r.name) for r in similarity.nearest(w, n, cutoff).collect()}
+    best = {a: max((near[a, b], b) for b in names) for a in words}
+    assert got == {a: x for a, x in best.items() if x[0] >= cutoff}
+    empty = w.limit(0)
+    assert similarity.nearest(empty, n, cutoff).count() == similarity.nearest(w, n.limit(0), cutoff).count() == 0
+
+
+def test_fewer_pairs_meet_than_lengths_allow(spark):
+    rng = random.Random(2)
+    parts = ["ma", "ker", "pro", "fin", "data", "plan", "er", "lo", "gis", "tic", "sales", "desk", "re", "qu", "iz", "vy", "hr", "ops"]
+    names = sorted({"".join(rng.choice(parts) for _ in range(rng.randint(2, 4))) for _ in range(1200)})
+    words = rng.sample(names, 150)
+    w, n = (spark.createDataFrame([(x,) for x in t], f"{c} string") for t, c in ((words, "word"), (names, "name")))
+    fitting = sum(len(b) <= len(a) * 7 / 3 and len(a) <= len(b) * 7 / 3 for a in words for b in names)
+    assert similarity.candidates(w, n, 0.6).count() * 2.5 < fitting
+
+
+def test_language_query_equals_difflib(spark):
+    """Every distinct cell of the language query, headings and part names, against the library."""
+    from runassay.plans import queries
+
+    for r in queries.f9_language_col(spark, "/root/testdata/sf0.001").collect():
+        plain = r.word in S.LANGUAGE_HEADINGS or any(p in r.word for p in S.LANGUAGE_HEADING_PARTS)
+        assert r.is_language is (plain or bool(difflib.get_close_matches(r.word, S.LANGUAGE_HEADINGS, n=1, cutoff=0.6))), r.word
 
 
 def test_fuzzy_over_part_names(spark):
