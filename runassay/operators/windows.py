@@ -18,16 +18,21 @@ def stable_at(
     length: str = "len",
     streak: int = S.STABLE_POLLS,
     max_polls: int = S.MAX_POLLS,
+    warm_up: int = S.WARM_UP_SECONDS,
 ) -> DataFrame:
     """Per task: how many polls it took until the length stood still, or a total timeout.
 
-    A poll extends the streak if its length is over 0 and equals the one
-    before; the task is done at ``streak``. Only the first ``max_polls`` polls
-    of a task count, and map tasks drop the others before the shuffle.
+    Polls of a task's first ``warm_up`` seconds do not count. A poll extends the streak if
+    its length is over 0 and equals the one before; the task is done at ``streak``. Only the
+    first ``max_polls`` polls after the warm-up count, and map tasks drop the others before
+    the shuffle. A task whose polls all fall into the warm-up is still running.
     """
     w = Window.partitionBy(key).orderBy(*order)
     so_far = w.rowsBetween(Window.unboundedPreceding, 0)
-    seen = first_rows(polls.select(key, *order, length), [key], list(order), max_polls, salts=16)
+    starts = polls.groupBy(key).agg(F.min(order[0]).alias("_start")).withColumnRenamed(key, "_task")
+    begun = polls.select(key, *order, length).join(starts, F.col(key) == F.col("_task"))
+    counted = F.col(order[0]) >= F.col("_start") + F.expr(f"INTERVAL {int(warm_up)} SECONDS")
+    seen = first_rows(begun.where(counted).select(key, *order, length), [key], list(order), max_polls, salts=16)
     same = (F.col(length) > 0) & (
         F.col(length) == F.coalesce(F.lag(length).over(w), F.lit(0))
     )
@@ -37,13 +42,19 @@ def stable_at(
         .withColumn("_streak", F.col("_poll") - F.coalesce("_last_break", F.lit(0)))
     )
     done = F.col("_streak") >= streak
-    return (
+    ends = (
         runs.groupBy(key)
         .agg(
             F.min(F.when(done, F.col("_poll"))).cast("bigint").alias("stable_poll"),
             F.min(F.when(done, F.col(order[0]))).alias("stable_ts"),
             F.count(F.lit(1)).alias("polls"),
         )
+    )
+    polls_of = F.coalesce("polls", F.lit(0))
+    return (
+        starts.select(F.col("_task").alias(key))
+        .join(ends, key, "left")
+        .withColumn("polls", polls_of)
         .withColumn(
             "state",
             F.when(F.col("stable_poll").isNotNull(), "stable")

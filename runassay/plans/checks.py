@@ -417,13 +417,16 @@ SELECT env, max(run_date) FROM f GROUP BY env)"""
 CHECKS["w3_first_match"] = f"""SELECT lang, source, file_name, doc_id FROM (SELECT lang, source, doc_id,
 {V.CORPUS_RULES['file_name']} AS file_name, row_number() OVER (PARTITION BY lang, source
 ORDER BY {V.CORPUS_RULES['file_name']}) AS k FROM documents) WHERE k = 1"""
-STABLE = """WITH p0 AS (SELECT user_id AS task_key, ts, event_id, 1 + CAST(floor(value / 60) AS BIGINT) AS len,
-row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+STABLE = """WITH v AS (SELECT *, min(ts) OVER (PARTITION BY user_id) AS start FROM events),
+p0 AS (SELECT user_id AS task_key, ts, event_id, 1 + CAST(floor(value / 60) AS BIGINT) AS len,
+row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM v WHERE ts >= start + INTERVAL 5 SECONDS),
 p1 AS (SELECT *, len > 0 AND len = coalesce(lag(len) OVER (PARTITION BY task_key ORDER BY k), 0) AS same FROM p0 WHERE k <= 300),
 p2 AS (SELECT *, k - coalesce(max(CASE WHEN NOT same THEN k END) OVER (PARTITION BY task_key ORDER BY k
 ROWS UNBOUNDED PRECEDING), 0) AS streak FROM p1),
-p AS (SELECT task_key, min(CASE WHEN streak >= 5 THEN k END) AS stable_poll, min(CASE WHEN streak >= 5 THEN ts END) AS stable_ts,
+p3 AS (SELECT task_key, min(CASE WHEN streak >= 5 THEN k END) AS stable_poll, min(CASE WHEN streak >= 5 THEN ts END) AS stable_ts,
 count(*) AS polls FROM p2 GROUP BY task_key),
+p AS (SELECT t.task_key, stable_poll, stable_ts, coalesce(polls, 0) AS polls FROM (SELECT DISTINCT user_id AS task_key FROM events) t
+LEFT JOIN p3 ON p3.task_key = t.task_key),
 st AS (SELECT *, CASE WHEN stable_poll IS NOT NULL THEN 'stable' WHEN polls >= 300 THEN 'yes (总时间超时)'
 ELSE 'running' END AS state FROM p)
 """
@@ -565,9 +568,35 @@ CASE status WHEN 'ERROR' THEN 'Crash (Error)' WHEN 'SKIPPED' THEN 'No' ELSE stat
 CHECKS["t1_ingest"] = CHECKS["w2_latest"]
 CHECKS["t2_drain"] = CHECKS["a13_report"]
 CHECKS["t3_stability"] = STABLE + "SELECT task_key, state, stable_poll, stable_ts FROM st WHERE state <> 'running'"
+CHECKS["t5_task_timeout"] = """WITH g AS (SELECT user_id AS task_key, ts, event_id,
+  CASE WHEN event_type = 'error' THEN 0 ELSE 1 + CAST(floor(value / 60) AS BIGINT) END AS len,
+  min(ts) OVER w AS start, lag(ts) OVER w AS before FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+-- polls before the first silence of over a day
+h AS (SELECT *, max(CASE WHEN ts - before > INTERVAL 1 DAY THEN 1 ELSE 0 END) OVER (PARTITION BY task_key ORDER BY ts, event_id
+  ROWS UNBOUNDED PRECEDING) AS cut FROM g),
+q AS (SELECT *, row_number() OVER (PARTITION BY task_key ORDER BY ts, event_id) AS k FROM h
+  WHERE cut = 0 AND ts >= start + INTERVAL 5 SECONDS),
+same AS (SELECT *, len > 0 AND len = coalesce(lag(len) OVER (PARTITION BY task_key ORDER BY k), 0) AS same FROM q),
+runs AS (SELECT *, k - coalesce(max(CASE WHEN NOT same THEN k END) OVER (PARTITION BY task_key ORDER BY k
+  ROWS UNBOUNDED PRECEDING), 0) AS streak FROM same),
+done AS (SELECT task_key, max(ts) AS seen, (SELECT min(k) FROM runs r WHERE r.task_key = h.task_key AND streak >= 5 AND k <= 300) AS stable_poll
+  FROM h WHERE cut = 0 GROUP BY task_key),
+ends AS (SELECT d.task_key, d.seen, d.stable_poll, s.ts AS stable_ts, coalesce(d.stable_poll, 300) AS generated,
+  (SELECT min(k) FROM runs r WHERE r.task_key = d.task_key AND r.k > coalesce(d.stable_poll, 300)
+    AND r.k <= coalesce(d.stable_poll, 300) + 3 AND r.len > 0) AS answer,
+  (SELECT count(*) FROM runs r WHERE r.task_key = d.task_key) AS all_polls
+  FROM done d LEFT JOIN runs s ON s.task_key = d.task_key AND s.k = d.stable_poll)
+SELECT e.task_key, e.stable_poll, e.stable_ts, least(all_polls, generated) AS polls,
+  greatest(least(coalesce(answer, generated + 3), all_polls) - generated, 0) AS reads,
+  coalesce(nullif(concat_ws(' & ', CASE WHEN stable_poll IS NULL THEN 'yes (总时间超时)' END,
+    CASE WHEN answer IS NULL THEN 'yes (生成超时)' END), ''), 'No') AS timeout_states,
+  coalesce(x.ts, e.seen + INTERVAL 1 DAY) AS ended_ts
+FROM ends e LEFT JOIN runs x ON x.task_key = e.task_key AND x.k = coalesce(answer, generated + 3)"""
+CHECKS["t8_unwritten"] = CHECKS["j8_unwritten"]
 CHECKS["t4_breaker"] = BREAKER + "SELECT run_date, env, trip_ts, trip_event_id FROM br WHERE tripped"
 CHECKS["t6_live_metrics"] = RESULTS + """SELECT CAST(run_date AS TIMESTAMP) AS window_start, env, count(*) AS total,
 count(*) FILTER (is_timeout) AS timeouts, count(*) FILTER (is_crash) AS crashes, count(*) FILTER (is_failed) AS failed,
 count(*) FILTER (is_lang_failed) AS lang_failed, count(*) FILTER (is_ref) AS ref_passed, count(*) FILTER (is_doc) AS doc_passed,
 count(secs) AS timed, min(secs) AS fastest, max(secs) AS slowest, round(avg(secs), 6) AS mean FROM f GROUP BY run_date, env"""
 CHECKS["t7_dedupe"] = RESULTS + "SELECT run_date, env, label, event_id FROM f"
+CHECKS["t6_after_t7"] = CHECKS["t6_live_metrics"].replace("round(avg(secs), 6)", "round(avg(secs), 4)")

@@ -105,6 +105,7 @@ MAX_ENVIRONMENTS = 3
 BREAKER_LIMIT = 3
 STABLE_POLLS = 5
 MAX_POLLS = 300
+MAX_READS = 60
 WARM_UP_SECONDS = 5
 DOCUMENT_CHARS = 50000
 EXCERPT_CHARS = 300
