@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runassay.llm.common import mapped, slices
-from runassay.llm.packing import CAPACITY, END_ID, Plan
+from runassay.llm.packing import CAPACITY, Plan, cut_whole
 from runassay.llm.tokens import default_vocabulary, tokenizer
 
 #: Id in the unused end of a row.
@@ -135,17 +135,17 @@ def _pack(batches, path: str, capacity: int) -> Iterator[pa.RecordBatch]:
     block: list[tuple[int | None, int, np.ndarray]] = []
     tokens, sequence = 0, 0
     for batch in slices(batches):
-        ids, ends = own.encode([t or "" for t in batch.column("text").to_pylist()])
-        ids = ids.astype(kind)
+        ids, ends = own.encode(batch.column("text"))
+        whole, text, number, start, end = cut_whole(ids, ends, capacity)
+        whole = whole.astype(kind)
         part = batch.column("part")[0].as_py()
-        begin = 0
-        for doc, end in zip(batch.column("doc_id").to_pylist(), ends.tolist(), strict=True):
-            whole = np.append(ids[begin:end], ids.dtype.type(END_ID))
-            begin = end
-            for start in range(0, len(whole), capacity):
-                block.append((doc, start, whole[start : start + capacity]))
-            tokens += len(whole)
-            if tokens >= BLOCK_TOKENS:
+        docs = batch.column("doc_id").to_pylist()
+        last = np.searchsorted(text, np.arange(len(docs)), side="right").tolist()
+        pieces = zip(text.tolist(), (number * capacity).tolist(), start.tolist(), end.tolist(), strict=True)
+        for k, (doc, own_start, a, b) in enumerate(pieces, start=1):
+            block.append((docs[doc], own_start, whole[a:b]))
+            tokens += b - a
+            if tokens >= BLOCK_TOKENS and k == last[doc]:
                 for rows in _rows(block, capacity, (part << 40) + sequence):
                     sequence += rows.num_rows
                     yield rows

@@ -47,35 +47,46 @@ def token_pieces(
     return pin(mapped(docs, _pieces, PIECE, path, capacity), "pieces")
 
 
+def cut_whole(ids: np.ndarray, ends: np.ndarray, capacity: int) -> tuple[np.ndarray, ...]:
+    """Ids with the end id behind each text, and each piece's text, number, begin and end."""
+    n = len(ends)
+    last = ends + np.arange(n)  # where the end ids go
+    whole = np.full(len(ids) + n, END_ID, "<u4")
+    inside = np.ones(len(whole), bool)
+    inside[last] = False
+    whole[inside] = ids
+    begins = np.concatenate([[0], last[:-1] + 1])
+    lengths = last + 1 - begins
+    pieces = -(-lengths // capacity)
+    text = np.repeat(np.arange(n), pieces)
+    number = np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    start = begins[text] + number * capacity
+    return whole, text, number, start, np.minimum(start + capacity, last[text] + 1)
+
+
 def _pieces(batches, path: str, capacity: int) -> Iterator[pa.RecordBatch]:
     own = tokenizer(path)
     ranks = np.zeros(capacity + 1, np.int64)
     for batch in slices(batches):
-        texts = [t or "" for t in batch.column("text").to_pylist()]
-        docs = batch.column("doc_id").to_pylist()
-        part = batch.column("part")[0].as_py()
-        ids, ends = own.encode(texts)
-        rows: dict[str, list] = {c: [] for c in ("doc_id", "piece", "start", "length", "ids_crc32", "part_rank")}
-        begin = 0
-        for doc, end in zip(docs, ends.tolist(), strict=True):
-            whole = np.append(ids[begin:end], np.uint32(END_ID)).astype("<u4")
-            begin = end
-            for k, start in enumerate(range(0, len(whole), capacity)):
-                cut = whole[start : start + capacity]
-                rows["doc_id"].append(doc)
-                rows["piece"].append(k)
-                rows["start"].append(start)
-                rows["length"].append(len(cut))
-                rows["ids_crc32"].append(zlib.crc32(cut.tobytes()))
-                rows["part_rank"].append(int(ranks[len(cut)]))
-                ranks[len(cut)] += 1
-        n = len(rows["piece"])
+        ids, ends = own.encode(batch.column("text"))
+        whole, text, number, start, end = cut_whole(ids, ends, capacity)
+        length = end - start
+        data = memoryview(whole)
+        crcs = [zlib.crc32(data[a:b]) for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+        # Pieces of a length are numbered on from the ranks of earlier batches.
+        order = np.argsort(length, kind="stable")
+        run = length[order]
+        rank = np.empty(len(run), np.int64)
+        rank[order] = np.arange(len(run)) - np.searchsorted(run, run) + ranks[run]
+        ranks += np.bincount(length, minlength=capacity + 1)
         out = {
-            "doc_id": pa.array(rows["doc_id"], pa.int64()),
-            "piece": pa.array(rows["piece"], pa.int32()),
-            **{c: pa.array(rows[c], pa.int64()) for c in ("start", "length", "ids_crc32")},
-            "part": pa.array([part] * n, pa.int64()),
-            "part_rank": pa.array(rows["part_rank"], pa.int64()),
+            "doc_id": batch.column("doc_id").take(pa.array(text)),
+            "piece": pa.array(number, pa.int32()),
+            "start": pa.array(number * capacity, pa.int64()),
+            "length": pa.array(length, pa.int64()),
+            "ids_crc32": pa.array(crcs, pa.int64()),
+            "part": batch.column("part").take(pa.array(text)),
+            "part_rank": pa.array(rank, pa.int64()),
         }
         yield pa.RecordBatch.from_pydict(out)
 

@@ -4,7 +4,10 @@ import random
 import zlib
 
 import numpy as np
+import public_tokenizers
+import pyarrow as pa
 import pytest
+from tokenizers import Tokenizer
 
 from runassay.llm import binary, packing
 from runassay.llm.tokens import default_vocabulary, tokenizer
@@ -22,9 +25,12 @@ ROWS = [
 ]
 
 
+LIBRARY = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+SPECIAL = ["<|endoftext|>", "a<|endoftext|>b, <|startoftext|>", "x <|ENDOFTEXT|> \t<|endoftext|>\n", "<|endoftext|>" * 50, "<| endoftext |>"]
+
+
 def library_ids(text):
-    full = tokenizer(default_vocabulary()).full
-    return full.encode(text or "", add_special_tokens=False).ids
+    return LIBRARY.encode(text or "", add_special_tokens=False).ids
 
 
 @pytest.fixture(scope="module")
@@ -34,11 +40,17 @@ def table(spark):
 
 def test_ids_equal_the_library(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()
-    texts = [r["text"] for r in docs] + [r[1] or "" for r in ROWS]
-    ids, ends = tokenizer(default_vocabulary()).encode(texts)
+    texts = [r["text"] for r in docs] + [r[1] for r in ROWS] + SPECIAL
+    rng = random.Random(4)
+    kinds = "abcXYZéÀßµªº÷×0129²¼.,;:!?#$%&*()<>|[]{}_-+=@'\"~`^/\\ \t\x1c\x85\xa0İ漢"
+    texts += ["".join(rng.choice(kinds) for _ in range(rng.randint(1, 12))) for _ in range(4000)]
+    texts += ["it's I'm we'LL x'y 'tis", "a<|b", "<|>", "@@@###", "x" * 3000 + "#" * 3000]
+    texts += ["", " ", "\n", "  a  b ", "\u3000wide\u00a0 blanks", "a\r\nb", "ÀÉ. ß, ǅ"]
+    ids, ends = tokenizer(default_vocabulary()).encode(pa.array(texts, pa.string()))
+    assert 49407 in ids and 49406 in ids
     begin = 0
     for text, end in zip(texts, ends.tolist(), strict=True):
-        assert ids[begin:end].tolist() == library_ids(text), text[:80]
+        assert ids[begin:end].tolist() == library_ids(text), (text or "")[:80]
         begin = end
 
 
