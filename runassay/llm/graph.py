@@ -36,7 +36,9 @@ def components(edges: DataFrame) -> DataFrame:
     """``(id, component)`` of each node of ``edges (a, b)``; the component is its least node.
 
     Large and small stars alternate until nothing changes, which takes a number of rounds
-    in the logarithm of the nodes. Every round is written to the shared folder.
+    in the logarithm of the nodes. Every round is written to the shared folder. Edges with a
+    null end or with equal ends are left out, repeated ones count once, other columns are
+    ignored, and a table without edges has no nodes.
     """
     a, b = F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
     now = pin(edges.select(a, b).where(F.col("a") != F.col("b")).distinct(), "edges")

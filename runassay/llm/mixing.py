@@ -13,8 +13,11 @@ DIMENSIONS = ("source", "lang", "topic")
 #: A margin's target is its share of all tokens to this power, normalised.
 TEMPER = {"source": 0.5, "lang": 0.7, "topic": 0.7}
 SWEEPS = 6
-#: Expected tokens of the sample, as a share of all tokens.
+#: Expected tokens of the mixture, as a share of all tokens.
 BUDGET = 1.0
+#: A sample takes no document twice: sweeps, largest relative gap of a margin, and by how much
+#: and how often the budget is lowered until the gap is met.
+SAMPLE_SWEEPS, MOST_GAP, LOWERED, LOWERINGS = 10, 0.02, 0.9, 12
 WORD_RE = r"[^\x20\x09-\x0D]+"
 SYMBOL_RE = r"[#*$%&|<>]"
 
@@ -55,14 +58,21 @@ def tempered_targets(cells: DataFrame, powers: Mapping[str, float]) -> dict[str,
     return out
 
 
-def rake(cells: DataFrame, targets: Mapping[str, DataFrame], sweeps: int = SWEEPS) -> DataFrame:
+def rake(
+    cells: DataFrame,
+    targets: Mapping[str, DataFrame],
+    sweeps: int = SWEEPS,
+    budget: float = 1.0,
+    most: float | None = None,
+) -> DataFrame:
     """``weight`` of each cell: tokens scaled so that every margin meets its target shares.
 
-    Each step multiplies the weights of a value by target over present sum. The weights add
-    up to all tokens. A value without a target gets none. Sums are aggregated before they are
-    shuffled, and each sweep is written, so that a lost executor repeats one sweep at most.
+    Each step multiplies the weights of a value by target over present sum, and holds a cell
+    to ``most`` times its tokens, if that is given. The weights add up to ``budget`` times all
+    tokens. A value without a target gets none. Sums are aggregated before they are shuffled,
+    and each sweep is written, so that a lost executor repeats one sweep at most.
     """
-    total = float(cells.agg(F.sum("n_tokens")).first()[0] or 0)
+    total = budget * float(cells.agg(F.sum("n_tokens")).first()[0] or 0)
     out = cells.withColumn("weight", F.col("n_tokens").cast("double"))
     for _ in range(sweeps):
         for c, target in targets.items():
@@ -73,11 +83,43 @@ def rake(cells: DataFrame, targets: Mapping[str, DataFrame], sweeps: int = SWEEP
                 .otherwise(0.0)
                 .alias("factor"),
             )
-            out = out.join(factor, c).withColumn("weight", F.col("weight") * F.col("factor")).drop("factor")
+            weight = F.col("weight") * F.col("factor")
+            if most is not None:
+                weight = F.least(weight, F.col("n_tokens") * F.lit(float(most)))
+            out = out.join(factor, c).withColumn("weight", weight).drop("factor")
         out = pin(out, "raked")
     return out
 
 
+def margin_shares(cells: DataFrame, targets: Mapping[str, DataFrame], column: str) -> DataFrame:
+    """``dimension, value, share, goal``: each value's share of ``column`` beside its target."""
+    whole = float(cells.agg(F.sum(column)).first()[0] or 0) or 1.0
+    out = None
+    for c, target in targets.items():
+        sums = cells.groupBy(c).agg((F.sum(column) / whole).alias("share")).join(target, c)
+        rows = sums.select(F.lit(c).alias("dimension"), F.col(c).alias("value"), "share", "goal")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def calibrated(cells: DataFrame, targets: Mapping[str, DataFrame]) -> tuple[DataFrame, float]:
+    """Weights of which none exceeds its cell's tokens, and the largest gap to a target share.
+
+    The budget is the largest with which each value alone can meet its target. If the values
+    together cannot, to within ``MOST_GAP`` of a target, it is lowered step by step.
+    """
+    first = margin_shares(cells, targets, "n_tokens").where("goal > 0").agg(F.min(F.col("share") / F.col("goal"))).first()[0]
+    budget = min(1.0, first or 1.0)
+    for _ in range(LOWERINGS):
+        raked = rake(cells, targets, SAMPLE_SWEEPS, budget, most=1.0)
+        off = F.abs(F.col("share") / F.col("goal") - 1)
+        gap = margin_shares(raked, targets, "weight").where("goal > 0").agg(F.max(off)).first()[0] or 0.0
+        if gap <= MOST_GAP:
+            break
+        budget *= LOWERED
+    return raked, gap
+
+
 def probabilities(
     documents: DataFrame,
     targets: Mapping[str, DataFrame] | None = None,
@@ -125,13 +167,21 @@ def mix(documents: DataFrame, **options) -> DataFrame:
     )
 
 
-def sampled(documents: DataFrame, **options) -> DataFrame:
-    """The documents that are drawn, each once: rates above 1 count as 1."""
-    rates = probabilities(documents, **options).select(*[F.col(c).alias(f"_m_{c}") for c in (*DIMENSIONS, "rate")])
-    margins = dict(zip((*DIMENSIONS, "n_tokens"), with_margins(documents), strict=True))
-    same = [margins[c] == F.col(f"_m_{c}") for c in DIMENSIONS]
-    on = same[0] & same[1] & same[2]
-    return documents.join(rates, on).where(draw(F.col("doc_id")) < F.col("_m_rate")).select(documents.columns)
+def sampled(documents: DataFrame, targets: Mapping[str, DataFrame] | None = None) -> DataFrame:
+    """The documents that are drawn, each once at most, so that the margins meet their targets.
+
+    No rate exceeds 1, so what is kept has the target shares, as far as draws allow; its size
+    follows from the value that is scarcest against its target. Documents without tokens are
+    kept. A null source or language is a value of its own; repeated rows are drawn alike; null
+    ids share a draw; all columns are kept, whatever their names; an empty table stays empty.
+    """
+    margins = with_margins(documents)
+    cells = pin(documents.select(*margins).groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("n_tokens")), "cells")
+    raked, _ = calibrated(cells, targets or tempered_targets(cells, TEMPER))
+    rate = F.when(F.col("n_tokens") > 0, F.col("weight") / F.col("n_tokens")).otherwise(F.lit(1.0))
+    rates = pin(raked.select(*DIMENSIONS, rate.alias("rate")), "rates")
+    rows = documents.select(F.struct("*").alias("row"), draw(F.col("doc_id")).alias("draw"), *margins[:3])
+    return rows.join(rates, list(DIMENSIONS)).where("draw < rate").select("row.*")
 
 
 def mix_sql(sweeps: int = SWEEPS, budget: float = BUDGET, powers: Mapping[str, float] = TEMPER) -> str:

@@ -409,7 +409,13 @@ def near_duplicates(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def drop_near_duplicates(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The documents without those that a smaller id of their component stands for."""
+    """The documents without those that a smaller id of their component stands for.
+
+    Texts that are null, empty or without words are all kept; of repeated rows with one id all
+    stay if that id does; a row without id stays unless a copy has one; a tie is a link from
+    ``percent`` on; all columns are kept, whatever their names; an empty table stays empty.
+    """
     verdicts = near_duplicates(documents, percent)
-    drop = pin(verdicts.where(~F.col("kept")).select(F.col("doc_id").alias("_id")).distinct(), "dropped")
-    return documents.join(drop, F.col("doc_id").cast("long") == F.col("_id"), "left_anti")
+    drop = pin(verdicts.where(~F.col("kept")).select(F.col("doc_id").alias("id")).distinct(), "dropped")
+    rows = documents.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"))
+    return rows.join(drop, "id", "left_anti").select("row.*")

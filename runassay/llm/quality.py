@@ -155,7 +155,9 @@ def keep_good(documents: DataFrame, host: str = "source") -> DataFrame:
     """The documents that :func:`judge_quality` keeps, with their columns.
 
     The verdict on a row depends on its text and host alone, so texts are counted where
-    they lie and never shuffled.
+    they lie and never shuffled. Null and empty texts have no words and go; long ones are
+    counted whole; repeated rows stay or go together; a null host is a host of its own; all
+    columns are kept; an empty table stays empty.
     """
     verdicts = pin(
         host_rates(document_counts(documents, host)).select(F.col("host").alias("_host"), "host_rejected"),

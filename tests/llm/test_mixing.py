@@ -17,28 +17,57 @@ def plain_topic(text):
     return "contact" if "@" in text else "brief" if n < 150 else "article" if n < 1000 else "longform"
 
 
-def plain_rates(rows):
+def plain_cells(rows):
     cells = {}
     for _, text, source, lang in rows:
         key = (source or "", lang or "", plain_topic(text or ""))
         cells[key] = cells.get(key, 0) + len(re.findall(mixing.WORD_RE, text or ""))
-    total = sum(cells.values())
     goals = []
     for d, c in enumerate(mixing.DIMENSIONS):
-        sums = {}
-        for key, n in cells.items():
-            sums[key[d]] = sums.get(key[d], 0) + n
-        powered = {v: s ** mixing.TEMPER[c] for v, s in sums.items()}
+        powered = {v: s ** mixing.TEMPER[c] for v, s in plain_margin(cells, d).items()}
         goals.append({v: p / sum(powered.values()) for v, p in powered.items()})
+    return cells, goals, sum(cells.values())
+
+
+def plain_rates(rows):
+    cells, goals, total = plain_cells(rows)
     weight = {k: float(n) for k, n in cells.items()}
     for _, d in itertools.product(range(mixing.SWEEPS), range(3)):
-        now = {}
-        for key, w in weight.items():
-            now[key[d]] = now.get(key[d], 0) + w
+        now = plain_margin(weight, d)
         weight = {k: w * goals[d][k[d]] * total / now[k[d]] if now[k[d]] else 0.0 for k, w in weight.items()}
     return {k: mixing.BUDGET * weight[k] / n if n else mixing.BUDGET for k, n in cells.items()}
 
 
+def plain_draw(doc):
+    return int(hashlib.md5(("" if doc is None else str(doc)).encode()).hexdigest()[:8], 16) / 2**32
+
+
+def plain_sample_rates(rows):
+    """Bounded raking: no weight above the cell's tokens, a lower budget until the margins fit."""
+    cells, goals, total = plain_cells(rows)
+    now = [plain_margin(cells, d) for d in range(3)]
+    budget = min([1.0] + [now[d][v] / total / g for d in range(3) for v, g in goals[d].items() if g])
+    for _ in range(mixing.LOWERINGS):
+        weight = {k: float(n) for k, n in cells.items()}
+        for _, d in itertools.product(range(mixing.SAMPLE_SWEEPS), range(3)):
+            have = plain_margin(weight, d)
+            weight = {
+                k: min(cells[k], w * goals[d][k[d]] * total * budget / have[k[d]]) if have[k[d]] else 0.0 for k, w in weight.items()
+            }
+        whole = sum(weight.values())
+        if all(abs(w / whole / goals[d][v] - 1) <= mixing.MOST_GAP for d in range(3) for v, w in plain_margin(weight, d).items() if goals[d][v]):
+            break
+        budget *= mixing.LOWERED
+    return {k: weight[k] / n if n else 1.0 for k, n in cells.items()}
+
+
+def plain_margin(cells, d):
+    out = {}
+    for key, n in cells.items():
+        out[key[d]] = out.get(key[d], 0) + n
+    return out
+
+
 def table(spark):
     rng = random.Random(2)
     rows = []
@@ -63,7 +92,9 @@ def test_rates_and_copies(spark):
         assert r["copies"] == int(rate) + (int(head, 16) / 2**32 < rate - int(rate))
     drawn = mixing.sampled(docs)
     assert drawn.columns == docs.columns
-    want = [r["doc_id"] for r in got if r["copies"] > 0]
+    rates = plain_sample_rates(rows)
+    assert max(rates.values()) <= 1
+    want = [d for d, text, source, lang in rows if plain_draw(d) < rates[source or "", lang or "", plain_topic(text or "")]]
     assert sorted(map(str, want)) == sorted(str(r["doc_id"]) for r in drawn.collect())
     assert mixing.mix(docs.limit(0)).count() == 0 == mixing.sampled(docs.limit(0)).count()
 
@@ -87,3 +118,25 @@ def test_plan_has_no_python(spark):
     _, docs = table(spark)
     plan = mixing.mix(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_kept_tokens_have_the_target_shares(spark):
+    """A hot source, a rare language and a rare topic; columns with the names of the join."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(6000):
+        source = rng.choices(["hot", "b", "c"], (20, 3, 2))[0]
+        text = "word " * rng.choices([60, 300], (2, 5))[0] + ("a@b.c" if rng.random() < 0.05 else "")
+        rows.append((i, text, source, rng.choices(["en", "de"], (9, 1))[0], 1.0, "x", "y"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, _m_rate double, rate string, row string")
+    kept = mixing.sampled(docs)
+    assert kept.columns == docs.columns
+    kept = [tuple(r)[:4] for r in kept.collect()]
+    before, goals, total = plain_cells([r[:4] for r in rows])
+    after = plain_cells(kept)[0]
+    whole = sum(after.values())
+    for d in range(3):
+        was, now = plain_margin(before, d), plain_margin(after, d)
+        for v, goal in goals[d].items():
+            assert now[v] / whole == pytest.approx(goal, rel=0.1), (v, was[v] / total)
+    assert whole > 0.3 * total

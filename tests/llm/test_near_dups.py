@@ -41,13 +41,13 @@ def plain_set(text):
     return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} if len(words) >= 5 else {tuple(words)} - {()}
 
 
-def plain_components(rows):
+def plain_components(rows, percent=85):
     sets = [(d, plain_set(t)) for d, t in rows if d is not None]
     edges = [
         (a, b)
         for i, (a, x) in enumerate(sets)
         for b, y in sets[:i]
-        if x and y and 100 * len(x & y) >= 85 * len(x | y)
+        if x and y and 100 * len(x & y) >= percent * len(x | y)
     ]
     return roots({d for d, _ in sets}, edges)
 
@@ -152,3 +152,12 @@ def test_the_pipeline_drops_pairs_from_80_percent_on(spark):
     ids = lambda df: sorted(r["doc_id"] for r in df.collect())
     assert ids(corpus_pipeline.one_of_each(spark, table, "")) == [0, 2, 4, 6, 7]
     assert ids(near_dups.drop_near_duplicates(table)) == [0, 1, 2, 3, 4, 6, 7]
+
+
+def test_dropping_keeps_columns_of_any_name(spark):
+    words = " ".join(f"w{i}" for i in range(40))
+    rows = [(2, words, "x", 1, None), (1, words, "y", 2, "r"), (3, None, "z", 3, "r"), (None, "", "z", 3, "r"), (3, None, "z", 3, "r")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _id string, id int, row string")
+    kept = near_dups.drop_near_duplicates(docs, 80)
+    assert kept.columns == docs.columns
+    assert sorted(map(str, kept.collect())) == sorted(str(r) for r in docs.collect() if r["doc_id"] != 2)
