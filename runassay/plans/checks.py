@@ -204,6 +204,8 @@ CHECKS["s5_listing"] = """SELECT lang, '.txt' AS ext, CAST(sum(1 + strlen(text))
 FROM documents GROUP BY lang"""
 CHECKS["w2_latest"] = RESULTS + "SELECT run_date, env, label, event_id, evaluation FROM f"
 CHECKS["s6_upsert"] = CHECKS["w2_latest"]
+CHECKS["s6_merge"] = CHECKS["w2_latest"]
+CHECKS["t1_merge"] = CHECKS["w2_latest"]
 CHECKS["s8_layout"] = RESULTS + "SELECT env, run_date, count(*) AS n FROM f GROUP BY env, run_date"
 
 # ---- predicates ----

@@ -150,6 +150,17 @@ def s6_upsert(spark, sf):
     return stored.select(*RUN, "label", "event_id", "evaluation")
 
 
+@query
+def s6_merge(spark, sf):
+    """Batches merged into the slices they touch: attempts in two parts, results, attempts again."""
+    table = scratch_dir(spark, "merged")
+    rows = _replays(spark, sf)
+    early, final = rows.where("evaluation = 'earlier attempt'"), rows.where("evaluation <> 'earlier attempt'")
+    for i, batch in enumerate([early.where("label % 2 = 0"), final, early, final.where("env = 'env_a'")]):
+        RS.merge_results(batch, table, i, ["ts", "event_id"])
+    return RS.merged_results(spark, table).select(*RUN, "label", "event_id", "evaluation")
+
+
 @query
 def s7_render(spark, sf):
     """The text lines of all reports, with their place."""

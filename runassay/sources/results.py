@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runassay import schema as S
 from runassay.functions.text import clean_text
-from runassay.scale import pin
+from runassay.scale import line_of, pin
+from runassay.sources.records import cells, read_records, widest
 
 # Columns a sheet may lack, with what then stands in for them.
 OPTIONAL = {"timeout_states": "No", "crash": "No", "evaluation": ""}
 ABSENT_AS_NULL = ["reference_link", "document_contain"]
+#: Labels of a run that lie in one folder of a merged table.
+SLICE_LABELS = 100_000
 REQUIRED = [
     "language_status", "tester_expectation", "completion_time",
     "input_language", "output_language", "answer",
@@ -52,27 +56,18 @@ def read_results(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFr
 def _read_sheets(spark: SparkSession, path: str) -> DataFrame:
     """Rows of all CSV sheets by heading, whatever the order and number of their columns.
 
-    One pass over the lines finds each file's heading line and the greatest width. Rows then
-    meet their file's headings (one short row per file) and pick their cells by name. A
-    column that a sheet lacks gets its stand-in; a sheet without a required one is an error.
+    Records are read once, by many tasks. A file's first record is its heading (one short row
+    per file); rows meet it and pick their cells by name. A column that a sheet lacks gets its
+    stand-in; a sheet without a required one is an error.
     """
-    lines = spark.read.option("basePath", path).text(path).select(
-        F.col("_metadata.file_path").alias("_file"),
-        F.struct(
-            F.col("_metadata.file_block_start"), F.monotonically_increasing_id().alias("at")
-        ).alias("_at"),
-        "value",
-    )
+    records = read_records(spark, path, folders=True)
+    width = widest(records)
+    rows = pin(records.withColumn("_cells", cells(F.col("text"), width)).drop("text"), "records")
+    runs = [c for c in rows.columns if c not in ("file", "block", "at", "_cells")]
+    place = F.struct("block", "at")
     heads = pin(
-        lines.groupBy("_file").agg(F.min_by("value", "_at").alias("_line")), "sheet-headings"
-    )
-    width = heads.agg(F.max(F.size(F.split("_line", ",")))).first()[0] or 1
-    names = [f"_c{i}" for i in range(width)]
-    cells = ", ".join(f"{c} string" for c in names)
-    clean = lambda c: F.translate(c, "\ufeff", "")
-    parsed = F.from_csv(clean(F.col("_line")), cells, {"escape": '"'})
-    heads = heads.select(
-        "_file", F.array(*[F.coalesce(parsed[c], F.lit("")) for c in names]).alias("_head")
+        rows.groupBy(F.col("file").alias("_file")).agg(F.min_by("_cells", place).alias("_head"), F.min(place).alias("_first")),
+        "sheet-headings",
     )
     wanted = S.RESULT_HEADINGS
     lacking = heads.select(
@@ -80,20 +75,12 @@ def _read_sheets(spark: SparkSession, path: str) -> DataFrame:
     ).distinct().collect()  # at most as many as there are required headings
     if lacking:
         raise ValueError(f"result table lacks columns: {', '.join(sorted(r[0] for r in lacking))}")
-    rows = (
-        spark.read.schema(cells).option("basePath", path).option("multiLine", True)
-        .option("escape", '"').option("maxColumns", max(20_480, width + 1)).csv(path)
-        .withColumn("_file", F.col("_metadata.file_path"))
-    )
-    runs = [c for c in rows.columns if c not in (*names, "_file")]
-    own = F.array(*[F.coalesce(clean(F.col(c)), F.lit("")) for c in names])
-    joined = rows.join(heads, "_file").where(own != F.col("_head"))
-    row = F.array(*[F.col(c) for c in names])
+    joined = rows.join(heads, F.col("file") == F.col("_file")).where(place != F.col("_first"))
 
     def by_name(heading: str, name: str):
         at = F.array_position("_head", heading)
         absent = F.lit(OPTIONAL.get(name)).cast("string")
-        return F.when(at > 0, F.get(row, (at - 1).cast("int"))).otherwise(absent).alias(heading)
+        return F.when(at > 0, F.get("_cells", (at - 1).cast("int"))).otherwise(absent).alias(heading)
 
     return joined.select(*runs, *[by_name(h, c) for h, c in wanted.items()])
 
@@ -138,6 +125,52 @@ def stored_results(spark: SparkSession, table: str, order: list[str]) -> DataFra
     return latest_results(landed, [*order, "batch"]).drop("batch")
 
 
+def merge_results(batch: DataFrame, table: str, batch_id: int, order: list[str], width: int = SLICE_LABELS) -> None:
+    """Merge one batch into a table that holds each run and label once.
+
+    Runs are cut into slices of ``width`` labels. Only the slices that the batch holds are
+    read, merged by last write and replaced, so a batch costs as much as what it touches,
+    however many came before; a replay, or an older batch that comes late, changes nothing
+    that is newer. One writer at a time; a merge that was cut off is made good by its replay.
+    """
+    spark = batch.sparkSession
+    keys = [*S.run_keys(batch), "slice"]
+    new = clean_results(batch).withColumns({"slice": line_of("label", width), "batch": F.lit(batch_id).cast("bigint")})
+    new = pin(new, "batch")
+    touched = new.select(*keys).distinct().collect()  # names of the folders to replace
+    if not touched:
+        return
+    held = merged_results(spark, table, new)
+    wanted = F.lit(False)
+    for row in touched:
+        same = F.lit(True)
+        for c in keys:
+            same = same & F.col(c).eqNullSafe(F.lit(row[c]).cast(new.schema[c].dataType))
+        wanted = wanted | same
+    both = new if held is None else held.where(wanted).unionByName(new, allowMissingColumns=True)
+    merged = pin(latest_results(both, [*order, "batch"]), "merged")
+    (
+        merged.hint("rebalance", *keys).write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(table)
+    )
+
+
+def merged_results(spark: SparkSession, table: str, like: DataFrame | None = None) -> DataFrame | None:
+    """The merged table, every run and label once; None if nothing has been merged yet.
+
+    ``like`` says how columns are typed that are folders of the table.
+    """
+    try:
+        found = spark.read.parquet(table)
+    except AnalysisException as error:
+        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+    if like is None:
+        return _typed_runs(found)
+    return found.withColumns({f.name: F.col(f.name).cast(f.dataType) for f in like.schema if f.name in found.columns})
+
+
 def _typed_runs(df: DataFrame) -> DataFrame:
     """Folder names back as what they were: a date, and texts."""
     kinds = {"run_date": "date", "env": "string", "run_id": "string", "task_set": "string"}

@@ -9,33 +9,19 @@ from runassay import schema as S
 from runassay.functions.language import language_headings
 from runassay.functions.text import cell, stripped
 from runassay.scale import number_rows, pin
+from runassay.sources.records import cells, read_records, widest
 
 
 def read_grid(spark, path: str) -> DataFrame:
     """CSV sheets of any width as ``grid(path, row_no, col_no, value)``.
 
-    A first pass over the lines finds the greatest width (quoted commas only make it
-    larger). Rows are located by their byte order in the file, so a sheet is read by one
-    task, as cells may hold line ends; very large input should come as a grid table.
+    Records are read by as many tasks as the sheets have blocks, and numbered in file order.
     """
-    width = spark.read.text(path).agg(F.max(F.size(F.split("value", ",")))).first()[0] or 1
-    columns = [f"c{i}" for i in range(1, width + 1)]
-    sheet = (
-        spark.read.schema(", ".join(f"{c} string" for c in columns))
-        .option("multiLine", True)
-        .option("escape", '"')
-        .option("maxColumns", max(20_480, width + 1))
-        .csv(path)
-        .select(
-            F.col("_metadata.file_path").alias("path"),
-            F.monotonically_increasing_id().alias("_at"),
-            *columns,
-        )
-    )
-    numbered = number_rows(sheet, ["path"], ["_at"], name="row_no")
-    return numbered.select(
-        "path", "row_no", F.posexplode(F.array(*columns)).alias("_pos", "value")
-    ).select(
+    records = read_records(spark, path)
+    width = widest(records)
+    rows = records.select(F.col("file").alias("path"), "block", "at", cells(F.col("text"), width).alias("cells"))
+    numbered = number_rows(rows, ["path"], ["block", "at"], name="row_no")
+    return numbered.select("path", "row_no", F.posexplode("cells").alias("_pos", "value")).select(
         "path", "row_no", (F.col("_pos") + 1).cast("bigint").alias("col_no"), "value"
     ).where(F.col("value").isNotNull())
 

@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from runassay import schema as S
 from runassay.functions import flags
 from runassay.functions.text import seconds
-from runassay.sources.results import upsert_results
+from runassay.sources.results import merge_results, upsert_results
 
 
 def ingest_results(stream: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
@@ -26,6 +26,20 @@ def ingest_results(stream: DataFrame, table: str, checkpoint: str) -> StreamingQ
     )
 
 
+def merge_stream(stream: DataFrame, table: str, checkpoint: str, order: list[str]) -> StreamingQuery:
+    """Merges every micro-batch into the slices of the table that it holds."""
+
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        merge_results(batch, table, batch_id, order)
+
+    return (
+        stream.writeStream.foreachBatch(merge)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
 def drain(query: StreamingQuery) -> None:
     """Waits until everything that had arrived is written; raises what the query raised."""
     query.awaitTermination()

@@ -109,6 +109,15 @@ def t1_ingest(spark, sf):
     return stored.select(*RUN, "label", "event_id", "evaluation")
 
 
+@query
+def t1_merge(spark, sf):
+    """Results merged as they arrive, every slice delivered twice."""
+    table = scratch_dir(spark, "merged")
+    rows = _result_rows(spark, sf).select(*RUN, "label", "ts", "event_id", "evaluation")
+    _feed(rows, lambda s, c: ingest.merge_stream(s, table, c, ["ts", "event_id"]), repeat=2)
+    return RS.merged_results(spark, table).select(*RUN, "label", "event_id", "evaluation")
+
+
 @query
 def t2_drain(spark, sf):
     """The report once everything that arrived is drained."""

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from runassay.scale import scratch_dir
-from runassay.sources import corpus, results, sheets
+from runassay.sources import corpus, records, results, sheets
 
 
 def grid(spark, *cells):
@@ -165,3 +165,65 @@ def test_scratch_needs_a_shared_folder_on_a_cluster():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         scratch_dir(Session(), "x")
+
+
+def test_merged_batches_touch_only_their_slices(spark, tmp_path):
+    """Many batches, replays and late ones: rows as by last write, untouched files as they were."""
+    import os
+    import random
+
+    rng = random.Random(3)
+    table, want, batches = str(tmp_path / "merged"), {}, []
+    for i in range(14):
+        labels = rng.sample(range(40 * (i % 4), 40 * (i % 4) + 40), 12)
+        batches.append([result(n, rng.randrange(24), f"b{i}", rng.choice("ab")) for n in labels])
+    batches += [batches[3], batches[0]]
+
+    def files():
+        return {os.path.join(d, f): os.stat(os.path.join(d, f)).st_mtime_ns for d, _, names in os.walk(table) for f in names if f.endswith(".parquet")}
+
+    for i, rows in enumerate(batches):
+        before = files()
+        results.merge_results(spark.createDataFrame(rows, RESULT), table, i, ["ts"], width=10)
+        touched = {f"env={r[1]}/slice={r[2] // 10}/" for r in rows}
+        assert all(any(t in path for t in touched) for path in set(before.items()) ^ set(files().items()) for path in [path[0]])
+        for day, env, label, ts, text in rows:
+            if (env, label) not in want or want[env, label][0] <= ts:
+                want[env, label] = (ts, text)
+    got = results.merged_results(spark, table)
+    assert {(r.env, r.label): (r.ts, r.evaluation) for r in got.collect()} == want and got.count() == len(want)
+    assert len(files()) <= 2 * 16  # live slices, however many batches
+    results.merge_results(got.limit(0).drop("slice", "batch"), table, 99, ["ts"], width=10)
+    assert results.merged_results(spark, str(tmp_path / "none")) is None
+
+
+def test_records_split_over_many_tasks(spark, tmp_path):
+    """Quoted line ends, commas and quotes in blocks of a few bytes, against the csv module."""
+    import csv
+    import io
+    import random
+
+    rng = random.Random(7)
+    pieces = ["a", "b,c", 'say ""x""', "two\nlines", "\n\n", "", "é", "wide " * 20, '""', "\r\nend", " , "]
+    for name in ("one.csv", "two.csv"):
+        rows = []
+        for _ in range(400):
+            cells = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 3))) for _ in range(rng.randint(1, 4))]
+            rows.append(",".join(f'"{c}"' if any(x in c for x in '",\n\r') else c for c in cells))
+        (tmp_path / name).write_bytes(("\ufeff" + "\r\n".join(rows) + "\n\n").encode())
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for k in old:
+            spark.conf.set(k, 700)
+        got = records.read_records(spark, str(tmp_path))
+        assert got.select("block").distinct().count() > 10
+        width = records.widest(got)
+        got = got.withColumn("cells", records.cells(F.col("text"), width)).collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    for name in ("one.csv", "two.csv"):
+        want = [r for r in csv.reader(io.StringIO((tmp_path / name).read_bytes().decode("utf-8-sig"), newline="")) if r]
+        mine = sorted((r for r in got if r.file.endswith(name)), key=lambda r: (r.block, r.at))
+        mine = [[c or "" for c in r.cells] for r in mine]
+        assert [r + [""] * (width - len(r)) for r in want] == mine
