@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runassay.llm.common import crc_fold, mapped, slices
+from runassay.llm.common import crc_fold, mapped, pin, slices
 
 #: Bounds of the labelled sample that a model is fitted on: about this many distinct texts
 #: per language (all, if there are fewer) and about this many characters, to which each text
@@ -19,10 +19,14 @@ from runassay.llm.common import crc_fold, mapped, slices
 TEXTS_PER_LANGUAGE = 150
 CHARS_PER_LANGUAGE = 40_000
 EXCERPTS = 4
+#: Languages that are learnt at most, those with the most texts first.
+MOST_LANGUAGES = 512
 UNKNOWN = "und"
-#: Texts are parsed in blocks of this many characters side by side; a phrase ends at a
-#: block's end for every language alike.
+#: Texts are parsed in blocks of this many characters side by side. A block is first parsed as
+#: if it began a phrase and then put right from the state that the block before it leaves.
 BLOCK = 1024
+#: Moves of an automaton are a table of state by symbol up to this size, else a sorted list.
+MOST_CELLS = 1 << 24
 
 
 def _folded(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -87,71 +91,114 @@ def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
     return moves
 
 
+class Automaton:
+    """Moves of one language over its own symbols; a missing move ends the phrase.
+
+    The next phrase then starts with the same symbol. A step is twice the next state, plus 1
+    where a phrase ended. States by symbols are a table while that is small; an alphabet of
+    thousands has few moves a state, which are found in a sorted list.
+    """
+
+    def __init__(self, symbols: np.ndarray, width: int, most_cells: int | None = None):
+        moves = suffix_automaton(symbols.tolist())
+        used = np.unique(symbols)
+        self.own = np.zeros(width, np.int32)  # 0 for symbols that the language lacks
+        self.own[used] = np.arange(1, len(used) + 1)
+        self.width = len(used) + 1
+        begin = np.zeros(self.width, np.int64)
+        begin[self.own[list(moves[0])]] = list(moves[0].values())
+        self.begin = begin << 1 | 1
+        state = np.repeat(np.arange(len(moves)), [len(m) for m in moves])
+        symbol = np.array([c for m in moves for c in m], np.int64)
+        key = state * self.width + self.own[symbol]
+        to = np.array([t for m in moves for t in m.values()], np.int64) << 1
+        self.table = None
+        if len(moves) * self.width <= (MOST_CELLS if most_cells is None else most_cells):
+            self.table = np.tile(self.begin, len(moves))
+            self.table[key] = to
+            if self.table.max() < 1 << 31:
+                self.table = self.table.astype(np.int32)
+        else:
+            order = np.argsort(key)
+            self.keys, self.to = np.append(key[order], -1), np.append(to[order], 0)
+
+    def step(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """Next step of each state for a symbol of ``own`` numbers."""
+        if self.table is not None:
+            return self.table[state * self.width + symbol]
+        key = state.astype(np.int64) * self.width + symbol
+        at = np.searchsorted(self.keys[:-1], key)
+        return np.where(self.keys[at] == key, self.to[at], self.begin[symbol])
+
+    def phrases(self, symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Phrases of each text between its start and end: whole texts, cut nowhere."""
+        symbols = self.own[symbols]
+        blocks = -(-(ends - starts) // BLOCK)
+        doc = np.repeat(np.arange(len(starts)), blocks)
+        nth = np.arange(len(doc)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+        begin = starts[doc] + nth * BLOCK
+        size = np.minimum(BLOCK, ends[doc] - begin)
+        count = np.zeros(len(doc), np.int64)
+        last = np.zeros(len(doc), np.int64)
+        order = np.argsort(-size, kind="stable")
+        live = np.searchsorted(-size[order], -np.arange(1, BLOCK + 1), side="right")
+        kind = np.int64 if self.table is None else self.table.dtype
+        state, ended, at = np.zeros(len(doc), kind), np.zeros(len(doc), kind), begin[order]
+        for k in range(int(size.max()) if len(size) else 0):
+            n = live[k]
+            step = self.step(state[:n], symbols[at[:n] + k])
+            ended[:n] += step & 1
+            state[:n] = step >> 1
+        count[order], last[order] = ended, state
+        # From block to block: both parses go on until they are in one state.
+        lane = np.flatnonzero(nth > 0)
+        old, new = np.zeros(len(lane), np.int64), last[lane - 1]  # states before a block
+        while len(lane := lane[(apart := old != new)]):
+            old, new = old[apart], new[apart]
+            before, lanes, at = last[lane], lane, 0
+            while len(lanes):
+                symbol = symbols[begin[lanes] + at]
+                a, b = self.step(old, symbol), self.step(new, symbol)
+                count[lanes] += (b & 1).astype(np.int64) - (a & 1)
+                old, new, at = (a >> 1).astype(np.int64), (b >> 1).astype(np.int64), at + 1
+                over = (size[lanes] == at) & (old != new)
+                last[lanes[over]] = new[over]
+                go = (old != new) & ~over
+                lanes, old, new = lanes[go], old[go], new[go]
+            # A block that ends in another state than before gives the next one a new start.
+            turned = (last[lane] != before) & np.isin(lane + 1, np.flatnonzero(nth > 0))
+            old, new, lane = before[turned], last[lane[turned]], lane[turned] + 1
+        total = np.zeros(len(starts), np.int64)
+        np.add.at(total, doc, count)
+        return total + (blocks > 0)
+
+
 @dataclass
 class LanguageModel:
-    """``steps`` of all automata: twice the next state's first place, plus 1 where a phrase ends."""
-
     languages: list[str]
     table: np.ndarray
-    width: int
-    steps: np.ndarray
-    roots: np.ndarray
+    automata: list[Automaton]
     bits: np.ndarray
 
     @classmethod
-    def of(cls, samples: dict[str, list[str]], equal: bool = True) -> LanguageModel:
-        """Fit on texts by language, all cut to the least amount if ``equal``.
-
-        Otherwise all is learnt, and ``bits`` make up for unequal amounts: a phrase costs the
-        choice of a place in the model, and a spelt-out symbol at least.
-        """
+    def of(cls, samples: dict[str, list[str]], most_cells: int | None = None) -> LanguageModel:
+        """Fit on all texts by language; ``bits`` make up for unequal amounts: a phrase costs
+        the choice of a place in the model, and a spelt-out symbol at least."""
         table, width = symbol_table([t for ts in samples.values() for t in ts])
         names = sorted(samples)
-        least = min([sum(map(len, samples[n])) for n in names], default=0)
-        rows, roots, bits = [], [], []
+        automata, bits = [], []
         for name in names:
             symbols, _ = _folded([t + " " for t in samples[name]], table)
-            if equal:
-                symbols = symbols[: min(least, CHARS_PER_LANGUAGE)]
-            moves = suffix_automaton(symbols.tolist())
-            base = sum(len(r) for r in rows)
-            own = np.full((len(moves), width), -1, np.int64)
-            for state, to in enumerate(moves):
-                own[state, list(to)] = list(to.values())
-            # A missing move ends the phrase; the next one starts with the same symbol.
-            start = np.where(own[0] >= 0, own[0], 0)
-            ended = own < 0
-            own = np.where(ended, start[None, :], own)
-            rows.append((((own + base) * width) << 1) | ended)
-            roots.append(base * width)
+            automata.append(Automaton(symbols, width, most_cells))
             bits.append(math.log2(max(len(symbols) + 1, 2 * width)))
-        steps = np.concatenate(rows).ravel().astype(np.int32) if rows else np.zeros(0, np.int32)
-        return cls(names, table, width, steps, np.array(roots, np.int64), np.array(bits))
+        return cls(names, table, automata, np.array(bits))
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Phrases that each language needs for each text, and the texts' folded lengths."""
         symbols, ends = _folded(texts, self.table)
         starts = np.concatenate([[0], ends[:-1]])
-        sizes = ends - starts
-        blocks = -(-sizes // BLOCK)
-        doc = np.repeat(np.arange(len(texts)), blocks)
-        nth = np.arange(len(doc)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-        begin = starts[doc] + nth * BLOCK
-        size = np.minimum(BLOCK, ends[doc] - begin)
-        order = np.argsort(-size, kind="stable")
-        begin, size = begin[order], size[order]
-        state = np.repeat(self.roots[:, None], len(order), axis=1).astype(np.int32)
-        count = np.zeros(state.shape, np.int32)
-        live = np.searchsorted(-size, -np.arange(1, BLOCK + 1), side="right")
-        for k in range(int(size[0]) if len(size) else 0):
-            n = live[k]
-            symbol = symbols[begin[:n] + k].astype(np.int32)
-            step = self.steps[state[:, :n] + symbol]
-            count[:, :n] += step & 1
-            state[:, :n] = step >> 1
-        total = np.zeros((len(texts), len(self.languages)), np.int64)
-        np.add.at(total, doc[order], (count + 1).T)
-        return total, sizes
+        total = [a.phrases(symbols, starts, ends) for a in self.automata]
+        return np.stack(total, axis=1) if total else np.zeros((len(texts), 0), np.int64), ends - starts
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """Language of the fewest normalised phrases (ties: first name) and its share of belief."""
@@ -175,27 +222,25 @@ def fit_languages(documents: DataFrame, learn: Column) -> LanguageModel:
     ones; they are chosen by a hash, and a language of few gives all.
     """
     rows = documents.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    # Languages are few; their distinct texts are counted by sketches, within about 2 percent.
+    # Distinct texts are counted by sketches, within about 2 percent.
     distinct = F.approx_count_distinct(F.xxhash64("text"), 0.02)
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(distinct.alias("n")).collect()}
+    sizes = rows.groupBy(F.col("lang").alias("name")).agg(distinct.alias("n")).orderBy(F.desc("n"), "name").limit(MOST_LANGUAGES)
     scale = 1 << 40
-    share, size = F.lit(0), F.lit(1)
-    for lang, n in sizes.items():
-        want = min(scale, scale * TEXTS_PER_LANGUAGE // max(n, 1))
-        part = CHARS_PER_LANGUAGE // max(1, min(n, TEXTS_PER_LANGUAGE)) // EXCERPTS
-        share = F.when(F.col("lang") == lang, F.lit(want)).otherwise(share)
-        size = F.when(F.col("lang") == lang, F.lit(part)).otherwise(size)
+    want = F.least(F.lit(scale), F.floor(F.lit(scale * TEXTS_PER_LANGUAGE) / F.greatest("n", F.lit(1))))
+    part = F.floor(F.lit(CHARS_PER_LANGUAGE // EXCERPTS) / F.greatest(F.least("n", F.lit(TEXTS_PER_LANGUAGE)), F.lit(1)))
+    # At most MOST_LANGUAGES rows, so every task may have them all.
+    shares = F.broadcast(pin(sizes.select("name", want.alias("want"), part.cast("int").alias("part")), "languages"))
     hashed = F.pmod(F.xxhash64("text"), F.lit(scale))
     chosen = (
-        rows.where(hashed < share)
-        .select("lang", F.xxhash64("text").alias("h"), excerpts(F.col("text"), size).alias("text"))
+        rows.join(shares, F.col("lang") == F.col("name")).where(hashed < F.col("want"))
+        .select("lang", F.xxhash64("text").alias("h"), excerpts(F.col("text"), F.col("part")).alias("text"))
         .dropDuplicates(["lang", "h"])
-    )
+    )
     samples: dict[str, list[str]] = {}
     for row in sorted(chosen.collect()):
         samples.setdefault(row["lang"], []).append(row["text"])
     samples = {k: v for k, v in samples.items() if any(map(str.isalpha, "".join(v)))}
-    return LanguageModel.of(samples, equal=False)
+    return LanguageModel.of(samples)
 
 
 def excerpts(text: Column, size: Column) -> Column:

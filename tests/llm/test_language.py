@@ -37,26 +37,28 @@ def folded(text):
 
 
 def plain_phrases(sample, text):
-    """Greedy longest matches; an unseen letter is in no phrase's middle. Blocks start anew."""
-    count = 0
-    for k in range(0, len(text), language.BLOCK):
-        block, phrase = text[k : k + language.BLOCK], ""
-        for c in block:
-            if phrase + c in sample:
-                phrase += c
-            else:
-                count += 1
-                phrase = c if c in sample else ""
-        count += 1
-    return count
-
-
-def test_phrases_equal_brute_force():
-    samples = {"aa": ["the cat sat on the mat", "a dog and a log"], "bb": ["der hund und die katze", "ein baum"]}
-    model = language.LanguageModel.of(samples)
-    least = min(sum(map(len, v)) for v in samples.values())
-    own = {k: folded("".join(t + " " for t in v))[:least] for k, v in samples.items()}
-    texts = ["The cat, und der Hund!", "", "xyz zyx", "1234", "a" * 3000, "Ünd die katze -- the mat " * 99]
+    """Greedy longest matches over the whole text; an unseen letter is in no phrase's middle."""
+    count, phrase = 0, ""
+    for c in text:
+        if phrase + c in sample:
+            phrase += c
+        else:
+            count += 1
+            phrase = c if c in sample else ""
+    return count + bool(text)
+
+
+@pytest.mark.parametrize("cells", [None, 0])
+@pytest.mark.parametrize("block", [1, 2, 7, 1024])
+def test_phrases_equal_brute_force(monkeypatch, block, cells):
+    """As a table and as a sorted list, with blocks that cut every phrase."""
+    monkeypatch.setattr(language, "BLOCK", block)
+    rng = random.Random(block)
+    samples = {"aa": ["the cat sat on the mat", "a dog and a log" * 40], "bb": ["der hund und die katze", "ein baum"], "cc": ["ab" * 300]}
+    model = language.LanguageModel.of(samples, cells)
+    own = {k: folded("".join(t + " " for t in v)) for k, v in samples.items()}
+    texts = ["The cat, und der Hund!", "", "xyz zyx", "1234", "a" * 3000, "Ünd die katze -- the mat " * 99, "ab" * 1500, "ba" * 2100 + "x" + "ab" * 900]
+    texts += ["".join(rng.choice(["ab", "ba", "the ", "log", "a dog ", "z"]) for _ in range(rng.randint(1, 400))) for _ in range(30)]
     total, sizes = model.phrases(texts)
     for i, text in enumerate(texts):
         plain = folded(text)
@@ -66,6 +68,14 @@ def test_phrases_equal_brute_force():
         assert total[i].tolist() == [plain_phrases(own[k], plain) for k in sorted(own)], text[:40]
 
 
+def test_large_alphabets_stay_small():
+    rng = random.Random(2)
+    text = "".join(chr(0x4E00 + rng.randrange(8000)) for _ in range(12_000))
+    model = language.LanguageModel.of({"zz": [text], "en": ["the cat sat on the mat"]})
+    assert model.automata[1].table is None and len(model.automata[1].keys) < 80_000
+    assert model.predict([text[500:560], "the mat"])[0] == ["zz", "en"]
+
+
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
     got = {r["doc_id"]: r for r in language.identify(docs).collect()}
@@ -122,3 +132,10 @@ def test_excerpts_reach_the_end(spark):
     table = spark.createDataFrame([("a" * 5000 + "b" * 4000 + "the end",), ("short",)], "text string")
     got = [r[0] for r in table.select(language.excerpts(F.col("text"), F.lit(100))).collect()]
     assert len(got[0]) == 403 and got[0].startswith("a" * 100) and got[0].endswith("the end") and got[1] == "short"
+
+
+def test_languages_of_the_most_texts_are_learnt(spark, monkeypatch):
+    monkeypatch.setattr(language, "MOST_LANGUAGES", 2)
+    rows = [(i, f"wort {i} der", "de") for i in range(9)] + [(20 + i, f"word {i} the", "en") for i in range(8)] + [(50, "mot", "fr")]
+    model = language.fit_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
+    assert model.languages == ["de", "en"]
