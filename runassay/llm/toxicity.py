@@ -16,10 +16,8 @@ from pyspark.sql import functions as F
 
 from runassay.llm.common import crc_fold, mapped, pin, slices
 
-#: Bounds of the fit: about this many labelled documents are learnt from, and a lexicon
-#: holds at most so many patterns and learnt exception phrases.
+#: Bound of the fit: about this many labelled documents are learnt from.
 TRAIN_ROWS = 20_000
-LEXICON_SIZE = 5_000
 LEAST_WEIGHT = 2.0
 #: Chance of one wrong pattern among all that are tried.
 FALSE_PATTERN = 0.01
@@ -137,6 +135,7 @@ def learn_lexicon(train: DataFrame, exceptions: Sequence[str] = ()) -> Lexicon:
     Patterns are whole words and word starts. One is taken if the likelihood ratio test is
     significant for all patterns tried together; its weight is the smoothed log odds ratio.
     Two-word phrases around a hit that only texts without the label hold become exceptions.
+    All that are significant are kept: their number is bounded by the training sample alone.
     """
     contexts = pin(
         mapped(train, _contexts, "word string, before string, toxic int").distinct(), "contexts"
@@ -174,7 +173,6 @@ def learn_lexicon(train: DataFrame, exceptions: Sequence[str] = ()) -> Lexicon:
         patterns.select("pattern", weight.alias("weight"), surprise.alias("surprise"))
         .where((F.col("weight") >= LEAST_WEIGHT) & (F.col("surprise") >= 2 * math.log(tried / FALSE_PATTERN)))
         .orderBy(F.desc("surprise"), "pattern")
-        .limit(LEXICON_SIZE)
         .collect()
     )
     lexicon = Lexicon(tuple((r["pattern"], r["weight"]) for r in taken))
@@ -183,8 +181,7 @@ def learn_lexicon(train: DataFrame, exceptions: Sequence[str] = ()) -> Lexicon:
         .groupBy("before", "word")
         .agg(F.max("toxic").alias("toxic"))
         .where((F.col("toxic") == 0) & (F.col("before") != ""))
-        .orderBy("before", "word")
-        .limit(LEXICON_SIZE)
+        .select("before", "word")
         .collect()
     )
     phrases = [f" {r['before']} {r['word']} " for r in innocent]
