@@ -1,14 +1,14 @@
 """Approximate nearest neighbours by cosine over balanced posting lists.
 
-Equal vectors are one entry with its least ids. A bounded sample gives centroids, which a
-neighbour graph held in each task searches. Entries near a border go to several lists,
-lists of any length are cut into chunks, and a query reads the lists whose centroids are
-not much farther than the nearest one.
+Equal vectors are one entry with its least ids. A bounded sample gives centroids, whose number
+grows with the entries; a neighbour graph held in each task searches them, for entries and for
+queries. Entries near a border go to several lists, and lists of any length are cut into chunks.
+A query reads the lists whose centroids are not farther than a ratio of the nearest one's
+distance. The ratio is what some queries need whose neighbours are known from a scan.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,16 +22,15 @@ from runassay.llm.common import mapped, pin
 
 TOP = 5
 QUERY_STEP = 50
-#: Bounds of the fit: vectors that centroids are fitted on, and centroids.
-SAMPLE = 20_000
-MOST_CENTROIDS = 512
+#: A list for so many entries; bounds of the fit: centroids, and vectors they are fitted on.
 LIST_TARGET = 256
+MOST_CENTROIDS = 16_384
+SAMPLE, SAMPLE_PER_CENTROID = 20_000, 8
 #: A vector goes to up to REPLICAS lists within this ratio of its least distance.
 REPLICAS, REPLICA_RATIO = 4, 1.15
-#: A query reads lists within this ratio, and at least PROBE_ROWS entries; of many lists up to
-#: this share, and PROBES if that is more. Vectors without clusters lie within the ratio of
-#: nearly all lists, so a number that did not grow with the lists would lose recall.
-PROBES, PROBE_SHARE, PROBE_RATIO, PROBE_ROWS = 48, 1 / 4, 1.3, 512
+#: The ratio of a query is fitted on so many queries, for this share of their neighbours; a query
+#: reads on until it has met PROBE_ROWS entries.
+FIT_QUERIES, FIT_SHARE, PROBE_ROWS = 256, 0.97, 512
 CHUNK, QUERY_CHUNK = 4096, 1024
 LINKS, FAR_LINKS, BEAM = 16, 4, 64
 
@@ -136,15 +135,31 @@ class CentroidGraph:
         return found[rows, order], sims[rows, order]
 
     def scan(self, x: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
-        """The same without the graph and exact, for a share of all centroids."""
+        """The same without the graph and exact, for most of the centroids."""
         sims = x @ self.centroids.T
         order = np.argsort(-sims, axis=1, kind="stable")[:, :top]
         return order, np.take_along_axis(sims, order, axis=1)
 
-
-def most_probes(lists: int) -> int:
-    """Lists that a query may read."""
-    return max(PROBES, math.ceil(PROBE_SHARE * lists))
+    def within(self, x: np.ndarray, ratio: float, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Row and list of all centroids within ``ratio`` of each row's nearest one.
+
+        The beam of a row widens until it holds a centroid that is too far, so the ratio
+        decides and no number. Lists go on until they hold ``PROBE_ROWS`` entries in all.
+        """
+        rows, lists = [], []
+        live, beam, c = np.arange(len(x)), BEAM, len(self.centroids)
+        while len(live):
+            beam = min(beam, c)
+            found, sims = (self.scan if 2 * beam >= c else self.search)(x[live], beam)
+            far = _distance(sims)
+            met = np.cumsum(sizes[found], axis=1) - sizes[found]
+            take = (far <= ratio * far[:, :1] + 1e-12) | (met < PROBE_ROWS)
+            done = ~take[:, -1] | (beam >= c)
+            row, col = np.nonzero(take & done[:, None])
+            rows.append(live[row])
+            lists.append(found[row, col])
+            live, beam = live[~done], beam * 4
+        return np.concatenate(rows or [live]), np.concatenate(lists or [live])
 
 
 def _distance(sims: np.ndarray) -> np.ndarray:
@@ -193,19 +208,57 @@ def _assign(batches, shared, kind: str) -> Iterator[pa.RecordBatch]:
             yield out.append_column("list", pa.array(found[row, col].astype(np.int32)))
 
 
-def _probe(batches, shared, kind: str, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Lists of each query: by distance ratio, and on until enough entries are met."""
+def _probe(batches, shared, kind: str, sizes: np.ndarray, ratio: float) -> Iterator[pa.RecordBatch]:
+    """Lists of each query."""
     graph: CentroidGraph = shared.value
-    most = most_probes(len(sizes))
     for batch in batches:
         for k in range(0, batch.num_rows, 1024):
             part = batch.slice(k, 1024)
-            found, sims = graph.scan(unit_rows(_matrix(part.column("vector"), kind)), most)
-            far = _distance(sims)
-            met = np.cumsum(sizes[found], axis=1) - sizes[found]
-            row, col = np.nonzero((far <= PROBE_RATIO * far[:, :1] + 1e-12) | (met < PROBE_ROWS))
+            row, lists = graph.within(unit_rows(_matrix(part.column("vector"), kind)), ratio, sizes)
             out = part.take(pa.array(row))
-            yield out.append_column("list", pa.array(found[row, col].astype(np.int32)))
+            yield out.append_column("list", pa.array(lists.astype(np.int32)))
+
+
+def _best_of(batches, queries: np.ndarray, kind: str, top: int) -> Iterator[pa.RecordBatch]:
+    """The nearest entries of a task for each of a few queries, themselves left out."""
+    best = np.full((len(queries), top), -np.inf)
+    names = np.full((len(queries), top), b"", object)
+    for batch in batches:
+        for k in range(0, batch.num_rows, 4096):
+            part = batch.slice(k, 4096)
+            sims = queries @ unit_rows(_matrix(part.column("vector"), kind)).T
+            digests = np.array(part.column("digest").to_pylist(), object)
+            sims[sims > 1 - 1e-12] = -np.inf
+            both = np.concatenate([best, sims], axis=1)
+            at = np.argpartition(-both, min(top, both.shape[1]) - 1, axis=1)[:, :top]
+            own = np.where(at < top, np.take_along_axis(names, np.minimum(at, top - 1), axis=1), digests[np.maximum(at - top, 0)])
+            best, names = np.take_along_axis(both, at, axis=1), own
+    row, col = np.nonzero(np.isfinite(best))
+    yield pa.RecordBatch.from_pydict(
+        {"query": pa.array(row, pa.int32()), "digest": pa.array(names[row, col].tolist(), pa.binary()), "sim": pa.array(best[row, col])}
+    )
+
+
+def fitted_ratio(vectors: DataFrame, lists: DataFrame, queries: DataFrame, graph: CentroidGraph, kind: str, top: int) -> float:
+    """The ratio within which the wanted share of some queries' true neighbours have a list.
+
+    ``FIT_QUERIES`` queries, chosen by a hash, meet all entries in one scan.
+    """
+    chosen = queries.select("digest", "vector").distinct().orderBy(F.xxhash64("digest"), "digest").limit(FIT_QUERIES).collect()
+    if not chosen:
+        return 1.0
+    x = unit_rows(np.frombuffer(b"".join([r["vector"] for r in chosen]), kind).reshape(len(chosen), -1).astype(float))
+    found = mapped(vectors.select("digest", "vector"), _best_of, "query int, digest binary, sim double", x, kind, top)
+    place = Window.partitionBy("query").orderBy(F.desc("sim"), "digest")
+    near = found.withColumn("place", F.row_number().over(place)).where(F.col("place") <= top)
+    rows = near.join(lists.select("digest", "list"), "digest").select("query", "digest", "list").collect()
+    own = _distance((x @ graph.centroids.T).max(axis=1))
+    need: dict[tuple, float] = {}
+    for r in rows:
+        k = (r["query"], bytes(r["digest"]))
+        far = float(_distance(x[r["query"]] @ graph.centroids[r["list"]])) / max(float(own[r["query"]]), 1e-12)
+        need[k] = min(far, need.get(k, np.inf))
+    return float(np.quantile(sorted(need.values()), FIT_SHARE, method="higher")) if need else 1.0
 
 
 def _scored(batches, kind: str, keep: int) -> Iterator[pa.RecordBatch]:
@@ -293,27 +346,30 @@ def nearest(embeddings: DataFrame, top: int = TOP, step: int = QUERY_STEP) -> Da
     n = vectors.count()
     scale = 1 << 40
     hashed = F.pmod(F.xxhash64("digest"), F.lit(scale))
-    chosen = vectors.where(hashed < min(scale, scale * SAMPLE // max(n, 1))).select("digest", "vector").orderBy("digest")
+    wanted = max(1, min(MOST_CENTROIDS, n // LIST_TARGET))
+    size = max(SAMPLE, SAMPLE_PER_CENTROID * wanted)
+    chosen = vectors.where(hashed < min(scale, scale * size // max(n, 1))).select("digest", "vector").orderBy("digest")
     sample = [r["vector"] for r in chosen.collect()]
     if not sample and n:
         sample = [vectors.first()["vector"]]
     if not sample:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     x = unit_rows(np.frombuffer(b"".join(sample), kind).reshape(len(sample), -1).astype(float))
-    graph = CentroidGraph.of(balanced_centroids(x, min(MOST_CENTROIDS, max(1, n // LIST_TARGET))))
+    graph = CentroidGraph.of(balanced_centroids(x, wanted))
     shared = spark.sparkContext.broadcast(graph)
     lists = pin(
         mapped(vectors, _assign, "digest binary, vector binary, ids array<long>, list int", shared, kind), "lists"
     )
-    # A number per list; there are MOST_CENTROIDS lists at most, or twice that after splits.
+    # A number per list; there are MOST_CENTROIDS lists at most, or some times that after splits.
     sizes = np.zeros(len(graph.centroids), np.int64)
     for r in lists.groupBy("list").count().collect():
         sizes[r["list"]] = r["count"]
     queries = pin(entries.where(F.col("vec_id") % step == 0).select("vec_id", "digest", "vector").distinct(), "queries")
+    ratio = fitted_ratio(vectors, lists, queries, graph, kind, top)
     probes = pin(
         mapped(
             queries.dropDuplicates(["digest"]).select("digest", "vector"),
-            _probe, "digest binary, vector binary, list int", shared, kind, sizes,
+            _probe, "digest binary, vector binary, list int", shared, kind, sizes, ratio,
         ),
         "probes",
     )
