@@ -3,8 +3,8 @@
 Equal vectors are one entry with its least ids. A bounded sample gives centroids, whose number
 grows with the entries; a neighbour graph held in each task searches them, for entries and for
 queries. Entries near a border go to several lists, and lists of any length are cut into chunks.
-A query reads the lists whose centroids are not farther than a ratio of the nearest one's
-distance. The ratio is what some queries need whose neighbours are known from a scan.
+A query reads the lists whose centroids are not farther than a ratio of the mean distance of its
+nearest ones. The ratio is what some queries need whose neighbours are known from a scan.
 """
 
 from __future__ import annotations
@@ -30,7 +30,10 @@ SAMPLE, SAMPLE_PER_CENTROID = 20_000, 8
 REPLICAS, REPLICA_RATIO = 4, 1.15
 #: The ratio of a query is fitted on so many queries, for this share of their neighbours; a query
 #: reads on until it has met PROBE_ROWS entries.
-FIT_QUERIES, FIT_SHARE, PROBE_ROWS = 256, 0.97, 512
+FIT_QUERIES, FIT_SHARE, PROBE_ROWS = 256, 0.94, 512
+#: Distances to so many nearest centroids are what the ratio refers to. With one alone, vectors
+#: without clusters need half as many lists more, as the least of many like distances is chance.
+REFERENCE = 16
 CHUNK, QUERY_CHUNK = 4096, 1024
 LINKS, FAR_LINKS, BEAM = 16, 4, 64
 
@@ -141,7 +144,7 @@ class CentroidGraph:
         return order, np.take_along_axis(sims, order, axis=1)
 
     def within(self, x: np.ndarray, ratio: float, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Row and list of all centroids within ``ratio`` of each row's nearest one.
+        """Row and list of all centroids within ``ratio`` of each row's nearest ones.
 
         The beam of a row widens until it holds a centroid that is too far, so the ratio
         decides and no number. Lists go on until they hold ``PROBE_ROWS`` entries in all.
@@ -153,7 +156,7 @@ class CentroidGraph:
             found, sims = (self.scan if 2 * beam >= c else self.search)(x[live], beam)
             far = _distance(sims)
             met = np.cumsum(sizes[found], axis=1) - sizes[found]
-            take = (far <= ratio * far[:, :1] + 1e-12) | (met < PROBE_ROWS)
+            take = (far <= ratio * far[:, :REFERENCE].mean(axis=1, keepdims=True) + 1e-12) | (met < PROBE_ROWS)
             done = ~take[:, -1] | (beam >= c)
             row, col = np.nonzero(take & done[:, None])
             rows.append(live[row])
@@ -252,7 +255,7 @@ def fitted_ratio(vectors: DataFrame, lists: DataFrame, queries: DataFrame, graph
     place = Window.partitionBy("query").orderBy(F.desc("sim"), "digest")
     near = found.withColumn("place", F.row_number().over(place)).where(F.col("place") <= top)
     rows = near.join(lists.select("digest", "list"), "digest").select("query", "digest", "list").collect()
-    own = _distance((x @ graph.centroids.T).max(axis=1))
+    own = np.sort(_distance(x @ graph.centroids.T), axis=1)[:, :REFERENCE].mean(axis=1)
     need: dict[tuple, float] = {}
     for r in rows:
         k = (r["query"], bytes(r["digest"]))
