@@ -21,9 +21,11 @@ from runassay.functions.text import (
     stripped,
 )
 from runassay.operators.judge import ATTEMPTS, attempt
-from runassay.scale import first_rows, ship_package, spread
+from runassay.scale import first_rows, number_rows, pin, ship_package, spread
 
 LINES_PER_CALL = 200
+#: Calls one upon another that make one list of many parts' lists.
+MERGE_ROUNDS = 6
 
 # Headings and stand-ins of the three reply blocks.
 ID_HEADING = "Matching Test IDs"
@@ -94,7 +96,7 @@ def ask_for_blocks(
 
     The backend gets the topic (evaluations, languages or observations) and the lines; a
     task opens one. Parts follow the label, so a run of any size becomes many small groups;
-    the issues of all parts merge when the ids are counted. A call that fails is tried
+    equal names of several parts are one issue, others are merged by :func:`merge_issues`. A call that fails is tried
     again like a judge's; one that fails for good yields a null reply.
     """
     ship_package(lines.sparkSession)
@@ -220,3 +222,62 @@ def cluster_ids(rows: DataFrame) -> DataFrame:
         *S.run_keys(rows), F.col("first").alias("issue"), F.explode("ids").alias("id"),
         F.array_join("texts", ",").alias("example"),
     )
+
+
+def issue_line() -> Column:
+    """What a model is told of an issue when lists are merged."""
+    return F.concat(
+        F.lit("[Issue: "), F.col("label").cast("string"), F.lit("] "), F.col("issue"), F.lit(" | Tests: "),
+        F.col("n").cast("string"), F.lit(" | Example: "), F.coalesce("example", F.lit("")),
+    )
+
+
+def merge_issues(
+    rows: DataFrame,
+    open_backend: Callable[[], Callable[[str, list[str]], str]],
+    lines_per_call: int = LINES_PER_CALL,
+    rounds: int = MERGE_ROUNDS,
+) -> DataFrame:
+    """One list of issues for each run whose lines went out in several parts.
+
+    In: parsed rows with ``part``. Out: (run, issue, id, example) clusters as of
+    :func:`cluster_ids`. The names of all parts are numbered and sent, ``lines_per_call`` at
+    a time, with the topic ``merge``; the reply is a table of merged names and the numbers they
+    stand for. Rounds go on until a run's names fit one call or no round makes them fewer.
+    Only names pass through the model: every id is kept, and a name that a reply leaves out
+    stays as it is. Names that differ from each other meet at last because the names of a
+    round are sorted anew. Runs of one part are left as they are.
+    """
+    runs = S.run_keys(rows)
+    hits = pin(
+        rows.where(F.col("kind") == "ids").select(
+            *runs, "part", F.col("first").alias("issue"), F.explode("ids").alias("id"), F.array_join("texts", ",").alias("example")
+        ),
+        "issue-ids",
+    )
+    several = hits.groupBy(*runs).agg(F.min("part").alias("_a"), F.max("part").alias("_b")).where("_a < _b").select(*runs)
+    names = (
+        hits.join(pin(several, "parted-runs"), runs, "left_semi").groupBy(*runs, F.col("issue").alias("_was"))
+        .agg(F.count(F.lit(1)).alias("n"), F.min_by("example", "id").alias("example"))
+        .withColumn("issue", F.col("_was"))
+    )
+    names = pin(names, "issues")
+    before = None
+    for _ in range(rounds):
+        now = names.groupBy(*runs, "issue").agg(F.sum("n").alias("n"), F.min("example").alias("example"))
+        numbered = pin(number_rows(now, runs, ["issue"], name="label"), "numbered-issues")
+        sizes = numbered.groupBy(*runs).agg(F.max("label").alias("most")).agg(F.max("most"), F.sum("most")).first()
+        if sizes[0] is None or sizes[0] < 2 or before is not None and sizes[1] >= before:
+            break
+        replies = ask_for_blocks(numbered.withColumn("text", issue_line()), open_backend, "merge", lines_per_call)
+        said = block_rows(blocks_of(pin(replies, "merges")).where(F.col("block") == 1))
+        said = said.where(F.col("kind") == "ids").select(*runs, F.col("first").alias("_to"), F.explode("ids").alias("label"))
+        said = said.groupBy(*runs, "label").agg(F.min("_to").alias("_to"))
+        changed = numbered.select(*runs, "issue", "label").join(said, [*runs, "label"]).drop("label")
+        names = names.join(changed, [*runs, "issue"], "left").withColumn("issue", F.coalesce("_to", "issue")).drop("_to")
+        names, before = pin(names, "issues"), sizes[1]
+        if sizes[0] < lines_per_call:
+            break
+    known = names.select(*runs, "_was", F.col("issue").alias("_now"))
+    merged = hits.withColumnRenamed("issue", "_was").join(known, [*runs, "_was"], "left")
+    return merged.select(*runs, F.coalesce("_now", "_was").alias("issue"), "id", "example").dropDuplicates([*runs, "issue", "id"])

@@ -412,8 +412,15 @@ concat_ws(',', coalesce(item, ''), coalesce(value, ''), coalesce(pct, ''),
 CASE WHEN ids IS NULL THEN '' ELSE concat('"', ids, '"') END,
 CASE WHEN example IS NOT NULL THEN concat('"', replace(example, '"', '""'), '"') END)) AS text FROM report"""
 CHECKS["s7_written"] = f"SELECT run_date, env, replace(text, chr(65279), '') AS text FROM ({CHECKS['s7_render']})"
-CHECKS["a14_env_report"] = _report_sql() + """SELECT * FROM report WHERE (env, run_date) IN (
-SELECT env, max(run_date) FROM f GROUP BY env)"""
+CHECKS["a14_env_report"] = CHECKS["a13_report"]
+CHECKS["a13_rollup"] = RESULTS + """SELECT concat_ws('+', CASE WHEN grouping(run_date) = 0 THEN 'run_date' END,
+  CASE WHEN grouping(env) = 0 THEN 'env' END, CASE WHEN grouping(agent_used) = 0 THEN 'agent_used' END) AS "by",
+  run_date, env, agent_used, count(*) AS total, count(*) FILTER (is_timeout) AS timeouts, count(*) FILTER (is_crash) AS crashes,
+  count(*) FILTER (is_timeout AND is_crash) AS overlap, count(*) FILTER (is_lang_failed) AS lang_failed,
+  count(*) FILTER (is_ref) AS ref_passed, count(*) FILTER (is_doc) AS doc_passed, count(secs) AS timed, min(secs) AS fastest,
+  max(secs) AS slowest, round(avg(secs), 4) AS mean
+FROM f GROUP BY GROUPING SETS ((), (run_date), (env), (agent_used), (run_date, env), (run_date, agent_used), (env, agent_used),
+  (run_date, env, agent_used))"""
 
 # ---- windows ----
 CHECKS["w3_first_match"] = f"""SELECT lang, source, file_name, doc_id FROM (SELECT lang, source, doc_id,
@@ -512,6 +519,7 @@ CHECKS["x6_examples"] = RESULTS + f""", hits AS ({RULE_HITS}) SELECT run_date, e
 FROM hits GROUP BY run_date, env, issue"""
 CHECKS["x7_blocks"] = RESULTS + """SELECT run_date, env, concat('Score ', substring(evaluation, 7)) AS issue, count(*) AS n
 FROM f WHERE is_evaluable GROUP BY ALL"""
+CHECKS["x6_merged"] = CHECKS["x7_blocks"].replace("count(*) AS n", "count(*) AS n, 1 AS lists")
 INSIGHT_HITS = """SELECT run_date, env, 3 AS section_ord, concat('Score ', substring(evaluation, 7)) AS issue, label AS id,
   concat('seen Score ', substring(evaluation, 7)) AS evaluation FROM f WHERE is_evaluable
 UNION ALL SELECT run_date, env, 5, concat(input_language, ' to ', output_language), label,

@@ -15,7 +15,7 @@ from runassay.operators import outcomes, windows
 from runassay.plans import evaluate as EV
 from runassay.plans import report as R
 from runassay.plans import views as V
-from runassay.plans.stand_ins import failing_backend, grouping_backend, marks_backend
+from runassay.plans.stand_ins import failing_backend, grouping_backend, marks_backend, part_names_backend
 from runassay.scale import first_rows, latest_row, scratch_dir
 from runassay.sources import corpus as C
 from runassay.sources import reports, sheets
@@ -538,9 +538,15 @@ def a13_report(spark, sf):
     return _report(spark, sf)
 
 
+@query
+def a13_rollup(spark, sf):
+    """Counters and times per run and agent, per run, day, environment and agent, and in all."""
+    return metrics.rollup_metrics(V.results(spark, sf)).drop("times", *metrics.QUANTILES).withColumn("mean", F.round("mean", 4))
+
+
 @query
 def a14_env_report(spark, sf):
-    """The newest run of each environment in full."""
+    """The full report of every run of every environment."""
     rows = V.results(spark, sf, ratings=True, labels=True)
     return R.environment_report(rows, website=R_SITE, generated=R_TIME)
 
@@ -810,6 +816,19 @@ def x7_blocks(spark, sf):
     return _n(insight.cluster_ids(rows).select(*RUN, "issue", "id").distinct(), *RUN, "issue")
 
 
+@query
+def x6_merged(spark, sf):
+    """Issues that the parts of a run name differently, merged: names and tests of each score."""
+    lines = insight.evaluable(V.results(spark, sf, labels=True, texts=True))
+    replies = insight.ask_for_blocks(lines, part_names_backend, lines_per_call=20)
+    rows = insight.block_rows(insight.blocks_of(replies).where("block = 1"))
+    merged = insight.merge_issues(rows, part_names_backend)
+    score = F.regexp_extract("issue", "^Score \\d+", 0)
+    return merged.groupBy(*RUN, score.alias("issue")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("issue").alias("lists")
+    )
+
+
 @query
 def x8_fallback(spark, sf):
     """Blocks the replies lack, and replies that never came."""

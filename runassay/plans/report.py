@@ -282,20 +282,21 @@ def insight_report(
 ) -> DataFrame:
     """The report with issues, language problems and observations from a model.
 
-    Evaluations and language failures all go out, in parts of bounded size; the
-    observations are asked for once the issues are counted. Replies are written
+    Evaluations and language failures all go out, in parts of bounded size, and the lists of a
+    run's parts are merged into one. The observations are asked for once the issues are
+    counted, and asked for again of themselves until they are one set. Replies are written
     before they are read, so no step calls the model again.
     """
     evaluations = _replies(insight.evaluable(results), open_backend, "evaluations", 1)
     languages = _replies(
         insight.language_samples(results, n=None, chars=None), open_backend, "languages", 2
     )
-    clusters, problems = insight.cluster_ids(evaluations), insight.cluster_ids(languages)
+    clusters, problems = (pin(insight.merge_issues(x, open_backend), "merged") for x in (evaluations, languages))
     counts = labels.cluster_counts(clusters, run_metrics(results))
     text = F.concat_ws(" ", "issue", F.concat(F.col("n").cast("string"), F.lit(" of"),
                                              F.lit(" "), F.col("total").cast("string")))
     lines = number_rows(counts, S.run_keys(results), ["n", "issue"], name="label")
-    observed = _replies(lines.withColumn("text", text), open_backend, "observations", 3)
+    observed = _one_set(lines.withColumn("text", text), open_backend)
     return summary_report(
         results, clusters, problems, _notes(observed), website, generated,
         notes={3: _notes(evaluations), 5: _notes(languages)},
@@ -308,6 +309,24 @@ def _replies(lines: DataFrame, open_backend, topic: str, block: int) -> DataFram
     return insight.block_rows(wanted)
 
 
+def _one_set(lines: DataFrame, open_backend) -> DataFrame:
+    """Observations of each run; those of several parts are observed anew, as long as they get fewer."""
+    rows, before = _replies(lines, open_backend, "observations", 3), None
+    runs = S.run_keys(lines)
+    for _ in range(insight.MERGE_ROUNDS):
+        several = pin(rows.groupBy(*runs).agg(F.max("part").alias("_parts")).where("_parts > 0").select(*runs), "parted-runs")
+        notes = _notes(rows.join(several, runs, "left_semi"))
+        left = notes.count()
+        if not left or before is not None and left >= before:
+            break
+        before = left
+        again = notes.withColumn("text", F.concat_ws(" ", "item", "value"))
+        numbered = number_rows(again.select(*runs, "part", "line", "text"), runs, ["part", "line"], name="label").drop("part")
+        newer = _replies(numbered, open_backend, "observations", 3)
+        rows = rows.join(several, runs, "left_anti").select(newer.columns).unionByName(newer)
+    return rows
+
+
 def _notes(rows: DataFrame) -> DataFrame:
     """Rows of a block that list no tests, without the block's own title."""
     said = rows.where((F.col("kind") == "text") & (F.col("first") != F.col("name")))
@@ -326,8 +345,10 @@ def concat_sections(*parts: DataFrame) -> DataFrame:
     return _finish(out)
 
 
-def environment_report(results: DataFrame, **options) -> DataFrame:
-    """The full report of the newest run of each environment."""
-    newest = results.groupBy(F.col("env").alias("_env")).agg(F.max("run_date").alias("_date"))
-    last = (F.col("env") == F.col("_env")) & (F.col("run_date") == F.col("_date"))
-    return summary_report(results.join(newest, last, "left_semi"), **options)
+def environment_report(results: DataFrame, newest: bool = False, **options) -> DataFrame:
+    """The full report of every run of every environment in one job, or of the ``newest`` ones."""
+    if newest:
+        last = results.groupBy(F.col("env").alias("_env")).agg(F.max("run_date").alias("_date"))
+        same = (F.col("env") == F.col("_env")) & (F.col("run_date") == F.col("_date"))
+        results = results.join(last, same, "left_semi")
+    return summary_report(results, **options)

@@ -55,6 +55,8 @@ def grouping_backend():
         if topic == "observations":
             rows = "\n".join(f"Observed,{line.replace(',', ';')}" for line in lines)
             return f"---BLOCK3_START---\nKey Observations,,,\n{rows}\n---BLOCK3_END---"
+        if topic == "merge":  # its names are the same in every part
+            return ""
         groups: dict[str, list[str]] = {}
         for line in lines:
             if topic == "evaluations":
@@ -68,3 +70,21 @@ def grouping_backend():
         return table(2, "Language Issue Breakdown", "Language Problem Type", groups)
 
     return reply
+
+
+def part_names_backend():
+    """The grouping stand-in with names of its own in every call, and one that merges them."""
+    group = grouping_backend()
+
+    def reply(topic: str, lines: list[str]) -> str:
+        if topic != "merge":
+            named = group(topic, lines)
+            return re.sub(r"(?m)^(Score \d+),", lambda m: f"{m[1]} as of {len(lines)} lines,", named)
+        groups: dict[str, list[str]] = {}
+        for line in lines:
+            found = re.match(r"\[Issue: (\d+)\] (Score \d+)", line)
+            groups.setdefault(found[2], []).append(found[1])
+        rows = "\n".join(f"{name},{', '.join(ids)},{len(ids)} names" for name, ids in sorted(groups.items()))
+        return f"---BLOCK1_START---\nMerged,,,\nIssue,Matching Test IDs,Example\n{rows}\n---BLOCK1_END---"
+
+    return reply

@@ -1,5 +1,6 @@
 import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from runassay import schema as S
@@ -205,3 +206,38 @@ def test_block_cells(spark):
         ("ids", "long", [7], []),
         ("text", "x", None, ["1"]),
     ]
+
+
+@pytest.mark.parametrize("per_call", [40, 1000])
+def test_one_list_of_issues_per_run(spark, per_call):
+    """Parts name one issue in many ways; the lists become one and no id is lost."""
+    lines = spark.range(1, 6001).select(
+        F.lit(DAY).alias("run_date"), F.when(F.col("id") <= 5900, "a").otherwise("b").alias("env"),
+        F.col("id").alias("label"),
+    )
+
+    def backend():
+        def reply(topic, part):
+            assert topic == "merge" and len(part) <= per_call
+            groups = {}
+            for line in part:
+                number, name = line[len("[Issue: "):].split("] ", 1)
+                groups.setdefault(f"Kind {name.split()[1]}", []).append(number)
+            rows = "\n".join(f'{name},"{", ".join(ids)}",x' for name, ids in groups.items())
+            return f"---BLOCK1_START---\nIssue,Matching Test IDs,Example\n{rows}\n---BLOCK1_END---"
+        return reply
+
+    def first(topic, part):
+        raise AssertionError
+
+    parts = lines.withColumn("part", F.floor(F.col("label") / 100)).select("run_date", "env", "part", F.lit("ids").alias("kind"),
+        F.concat(F.lit("Kind "), (F.col("label") % 7).cast("string"), F.lit(" of part "), F.floor(F.col("label") / 100).cast("string")).alias("first"),
+        F.array("label").alias("ids"), F.array(F.lit("x")).alias("texts"))
+    merged = insight.merge_issues(parts, backend, lines_per_call=per_call)
+    got = merged.groupBy("env", "issue").agg(F.count("*").alias("n")).collect()
+    assert {(r.env, r.issue): r.n for r in got if r.env == "a"} == {("a", f"Kind {k}"): sum(i % 7 == k for i in range(1, 5901)) for k in range(7)}
+    assert merged.count() == 6000 == merged.select("id").distinct().count()
+    silent = insight.merge_issues(parts, lambda: (lambda topic, part: "nothing"), lines_per_call=per_call)
+    assert silent.count() == 6000 and silent.select("env", "issue").distinct().count() == parts.select("env", "first").distinct().count()
+    one = parts.where("part = 3")
+    assert {r.issue for r in insight.merge_issues(one, first).collect()} == {f"Kind {k} of part 3" for k in range(7)}

@@ -153,3 +153,52 @@ def test_cluster_counts(spark):
 
 def test_crashed_and_skipped_texts_are_the_fixed_ones():
     assert S.RESULT_DEFAULTS["agent_used"] == "未指定" and len(S.RESULT_HEADINGS) == 18
+
+
+def test_rollup_of_every_level(spark):
+    """Counters of all grains against plain sums, quantiles against the sorted times."""
+    import random
+
+    rng = random.Random(3)
+    made = []
+    for i in range(3000):
+        made.append((rng.choice("ab"), rng.choice(["x", "y", None]), rng.expovariate(0.1) if i % 10 else None))
+    df = rows(spark, {}).drop("env", "agent_used", "completion_time").crossJoin(
+        spark.createDataFrame([(e, a, "N/A" if t is None else f"{t}s") for e, a, t in made], "env string, agent_used string, completion_time string"))
+    got = metrics.rollup_metrics(df).collect()
+    assert len(got) == 2 * (1 + 2 + 3 + 6)
+    for r in got:
+        by = r.by.split("+") if r.by else []
+        mine = [t for e, a, t in made if ("env" not in by or e == r.env) and ("agent_used" not in by or a == r.agent_used)]
+        times = sorted(t for t in mine if t is not None)
+        assert (r.total, r.timed) == (len(mine), len(times))
+        assert r["mean"] == pytest.approx(sum(times) / len(times)) and (r.fastest, r.slowest) == (times[0], times[-1])
+        for value, q in ((r.p50, 0.5), (r.p95, 0.95)):
+            assert abs(sum(t <= value for t in times) / len(times) - q) < 0.03
+
+
+def test_environment_report_of_all_runs_or_the_newest(spark):
+    import datetime
+
+    both = rows(spark, {}).unionByName(rows(spark, {}).withColumn("run_date", F.lit(DAY - datetime.timedelta(days=1))))
+    assert {r.run_date for r in R.environment_report(both).select("run_date").distinct().collect()} == {DAY, DAY - datetime.timedelta(days=1)}
+    assert {r.run_date for r in R.environment_report(both, newest=True).select("run_date").distinct().collect()} == {DAY}
+
+
+def test_observations_of_many_issues_are_one_set(spark):
+    """Over 200 issues go out in parts; their observations are observed once more."""
+    def backend():
+        def reply(topic, lines):
+            if topic == "observations":
+                return f"---BLOCK3_START---\nKey Observations,,,\nSeen,{len(lines)} lines\n---BLOCK3_END---"
+            if topic == "languages":
+                return "no blocks here"
+            if topic == "merge":
+                return ""
+            table = "\n".join(f"Issue {x.split('Test ID: ')[1].split(']')[0]},{x.split('Test ID: ')[1].split(']')[0]},e" for x in lines)
+            return f"---BLOCK1_START---\nIssue,Matching Test IDs,Example\n{table}\n---BLOCK1_END---"
+        return reply
+
+    df = rows(spark, {}).drop("label").crossJoin(spark.range(1, 451).withColumnRenamed("id", "label"))
+    got = R.insight_report(df, backend).where("section_ord = 10 AND item = 'Seen'").collect()
+    assert [r.value for r in got] == ["3 lines"]
