@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
 import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from runassay import schema as S
 from runassay.functions import flags
@@ -149,6 +151,10 @@ def blocks_of(replies: DataFrame) -> DataFrame:
 
 # One cell with the comma or line end behind it; line ends and commas may be quoted.
 _CELL = r'(?:"[^"]*(?:""[^"]*)*"|[^,\n"]*)[^,\n]*[,\n]'
+_ONE_CELL = re.compile(_CELL)
+_CLOSED = re.compile(r'"[^"]*(?:""[^"]*)*"(?!")')
+_OPENED = re.compile(r'"([^"]*(?:""[^"]*)*)"')
+LINE_COLUMNS = ("line_no", "line")
 # Stand-ins for quoted line ends and commas while a text is cut into rows and cells.
 _HELD = "\ue000\ue001"
 
@@ -195,25 +201,86 @@ def block_rows(blocks: DataFrame) -> DataFrame:
         .withColumn("_r", F.explode("_rows"))
         .where(~F.col("_r.blank"))
     )
-    no, cells = F.col("_r.no"), F.col("_r.cells")
+    no = F.col("_r.no")
     last = lambda c: F.coalesce(F.array_max(F.filter(c, lambda i: i < no)), F.lit(-1))
+    return marked.select(
+        *blocks.columns, no.alias("row_no"), *_told(F.col("_r.cells"), F.col("_r.heading"), last("_heads") > last("_gaps"))
+    )
+
+
+def _told(cells: Column, heading: Column, in_table: Column) -> list[Column]:
+    """``kind, first, ids, texts`` of one row."""
     rest = F.slice(cells, 2, F.greatest(F.size(cells) - 1, F.lit(0)))
     is_ids = lambda c: is_id_cell(c) & (stripped(c) != "")
     ids = F.array_sort(F.array_distinct(F.flatten(F.transform(F.filter(rest, is_ids), numbers))))
-    kind = (
-        F.when(F.col("_r.heading"), "heading")
-        .when((last("_heads") > last("_gaps")) & (F.size(ids) > 0), "ids")
-        .otherwise("text")
-    )
-    texts = F.when(F.col("kind") == "ids", F.filter(rest, lambda c: ~is_ids(c))).otherwise(rest)
-    return marked.withColumn("kind", kind).select(
-        *blocks.columns,
-        no.alias("row_no"),
-        "kind",
-        cells[0].alias("first"),
-        F.when(F.col("kind") == "ids", ids).alias("ids"),
-        texts.alias("texts"),
-    )
+    listed = ~heading & in_table & (F.size(ids) > 0)
+    kind = F.when(heading, "heading").when(listed, "ids").otherwise("text")
+    return [
+        kind.alias("kind"), cells[0].alias("first"), F.when(listed, ids).alias("ids"),
+        F.when(listed, F.filter(rest, lambda c: ~is_ids(c))).otherwise(rest).alias("texts"),
+    ]
+
+
+@F.udtf
+class BlockTable:
+    """Rows of cells out of the lines of a block, in order; a quoted cell may go on over lines.
+
+    Only the lines of the row at hand are kept, and whether an id heading is open.
+    """
+
+    @staticmethod
+    def analyze(lines: AnalyzeArgument) -> AnalyzeResult:
+        keys = [f for f in lines.dataType.fields if f.name not in LINE_COLUMNS]
+        return AnalyzeResult(
+            T.StructType(
+                [*keys, T.StructField("row_no", T.IntegerType()), T.StructField("cells", T.ArrayType(T.StringType())),
+                 T.StructField("heading", T.BooleanType()), T.StructField("in_table", T.BooleanType())]
+            )
+        )
+
+    def __init__(self):
+        self.keys, self.held, self.row_no, self.open = None, "", 0, False
+
+    def eval(self, row: Row):
+        self.keys = tuple(row[c] for c in row.__fields__ if c not in LINE_COLUMNS)
+        self.held += row["line"] + "\n"
+        yield from self._rows(final=False)
+
+    def terminate(self):
+        yield from self._rows(final=True)
+
+    def _rows(self, final: bool):
+        while self.held:
+            cells, at = [], 0
+            while not cells or self.held[at - 1] != "\n":
+                quoted = self.held[at] == '"'
+                if quoted and not final and not _CLOSED.match(self.held, at):
+                    return  # its end may be in a line to come
+                cell = _ONE_CELL.match(self.held, at)
+                if cell is None:
+                    return
+                text, at = cell[0][:-1], cell.end()
+                cells.append(_OPENED.sub(r"\1", text, count=1).replace('""', '"') if quoted and _OPENED.match(text) else
+                             text.replace('""', '"') if quoted else text)
+            self.held = self.held[at:]
+            blank, heading = not "".join(cells).strip(), ID_HEADING in cells
+            if not blank:
+                yield (*self.keys, self.row_no, cells, heading, self.open)
+            self.open = not blank and (heading or self.open)
+            self.row_no += 1
+
+
+def block_rows_by_line(blocks: DataFrame) -> DataFrame:
+    """The same as :func:`block_rows`, by a table function over the ordered lines of each block.
+
+    No reply is held as an array of rows: its lines are a partition that is read in order.
+    """
+    ship_package(blocks.sparkSession)
+    keys = [c for c in blocks.columns if c != "text"]
+    plain = F.replace(stripped(F.coalesce("text", F.lit(""))), F.lit("\r\n"), F.lit("\n"))
+    lines = blocks.select(*keys, F.posexplode(F.split(plain, "\n")).alias(*LINE_COLUMNS))
+    rows = BlockTable(lines.asTable().partitionBy(*keys).orderBy(LINE_COLUMNS[0]))
+    return rows.select(*keys, "row_no", *_told(F.col("cells"), F.col("heading"), F.col("in_table")))
 
 
 def cluster_ids(rows: DataFrame) -> DataFrame:

@@ -179,6 +179,29 @@ def ask(
     return placed.mapInPandas(score, schema)
 
 
+def settled(calls: DataFrame, keys: list[str], attempts: int = ATTEMPTS) -> DataFrame:
+    """What a log of calls comes to: keys, reply, attempts, error, as :func:`ask` gives them.
+
+    In: keys, ``attempt`` from 1, ``reply`` (null: none came) and ``error`` (null: none). The first
+    reply with one JSON object counts. Where none has one, the last reply and the last error
+    of the first ``attempts`` calls stand; later calls were never due.
+    """
+    good = json_body("reply").isNotNull()
+    due = calls.where(F.col("attempt") <= attempts)
+    last = F.max_by(F.coalesce("error", F.lit("no JSON object in reply")), "attempt")
+    summed = due.groupBy(*keys).agg(
+        F.min(F.when(good, F.col("attempt"))).alias("_at"),
+        F.min_by(F.when(good, F.col("reply")), F.when(good, F.col("attempt"))).alias("_good"),
+        F.max_by("reply", F.when(F.col("reply").isNotNull(), F.col("attempt"))).alias("_last"),
+        F.max("attempt").alias("_made"),
+        last.alias("_error"),
+    )
+    return summed.select(
+        *keys, F.coalesce("_good", "_last").alias("reply"), F.coalesce("_at", "_made").cast("int").alias("attempts"),
+        F.when(F.col("_at").isNull(), F.col("_error")).alias("error"),
+    )
+
+
 def parse_verdict(replies: DataFrame, reply: str = "reply") -> DataFrame:
     """Verdict fields out of noisy replies; anything but one JSON object is a parse error."""
     body = json_body(reply)

@@ -499,17 +499,17 @@ CASE WHEN refers THEN 'Pass' ELSE 'N/A' END AS reference_link,
 CASE WHEN cites THEN 'Pass' ELSE 'None' END AS document_contain_citations FROM st"""
 CHECKS["x5_languages"] = ANSWERS + """SELECT input_language AS asked, output_language AS given, count(*) AS n
 FROM an GROUP BY 1, 2"""
-CHECKS["x1_judge"] = ANSWERS + """SELECT doc_id, CASE WHEN cites THEN 'Good' ELSE 'Pass' END AS tester_expectation,
-'Unknown' AS input_language, 'Unknown' AS output_language, 'Unknown' AS language_status,
-concat(CAST(length(answer) AS STRING), ' characters') AS evaluation, 'N/A' AS reference_link,
-CASE WHEN cites THEN 'Pass' ELSE 'None' END AS document_contain_citations FROM an WHERE doc_id % 9 <> 0"""
-CHECKS["x2_retry"] = ANSWERS + f""", sz AS (SELECT *, length(document) % 5 AS k FROM an)
-SELECT doc_id, CASE k WHEN 0 THEN 3 WHEN 1 THEN 2 WHEN 2 THEN 3 ELSE 1 END::BIGINT AS attempts,
-CASE WHEN k IN (0, 2) THEN 'no answer from judge' END AS error,
-CASE WHEN k IN (0, 2) THEN 'Parse Error(Failed)' WHEN cites THEN 'Good' ELSE 'Pass' END AS tester_expectation,
-CASE WHEN k = 0 THEN '{judge.FAILURE_TEXT}no answer from judge{judge.FAILURE_REPLY}{judge.FAILURE_NO_REPLY}'
-WHEN k = 2 THEN '{judge.FAILURE_TEXT}no answer from judge{judge.FAILURE_REPLY}busy 2'
-ELSE concat(CAST(length(answer) AS STRING), ' characters') END AS evaluation FROM sz"""
+CHECKS["x1_judge"] = CHECKS["x5_rules"] + " WHERE doc_id % 9 <> 0"
+CHECKS["x2_retry"] = f"""WITH l AS (SELECT user_id, CAST(ts AS DATE) AS run_date, event_id, {_cols(V.CALL_RULES)},
+  event_type NOT IN ('error', 'view') AND event_id % 10 <> 0 AS good,
+  row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) AS k FROM events),
+s AS (SELECT user_id, run_date, min(k) FILTER (good) AS at, max(k) AS made, arg_min(event_id, k) FILTER (good) AS id,
+  arg_max(reply, k) FILTER (reply IS NOT NULL) AS last, arg_max(coalesce(error, 'no JSON object in reply'), k) AS error
+  FROM l WHERE k <= 3 GROUP BY user_id, run_date)
+SELECT user_id, run_date, coalesce(at, made) AS attempts, CASE WHEN at IS NULL THEN error END AS error,
+  CASE WHEN at IS NULL THEN 'Parse Error(Failed)' WHEN id % 6 = 0 THEN 'Great' WHEN id % 2 = 0 THEN 'Good' ELSE 'Poor' END AS tester_expectation,
+  CASE WHEN at IS NULL THEN concat('{judge.FAILURE_TEXT}', error, '{judge.FAILURE_REPLY}', coalesce(last, '{judge.FAILURE_NO_REPLY}'))
+    ELSE '{S.VERDICT_FIELDS["evaluation"]}' END AS evaluation FROM s"""
 _HEAD = judge.PROMPT_HEAD.replace("\n", "' || chr(10) || '")
 CHECKS["x9_prompt"] = ANSWERS + f"""SELECT doc_id, length(p) AS chars, md5(p) AS digest FROM (SELECT doc_id, '{_HEAD}' || request
 || chr(10) || 'Target language:' || chr(10) || chr(10) || 'Document:' || chr(10) || document
@@ -519,6 +519,7 @@ CHECKS["x6_examples"] = RESULTS + f""", hits AS ({RULE_HITS}) SELECT run_date, e
 FROM hits GROUP BY run_date, env, issue"""
 CHECKS["x7_blocks"] = RESULTS + """SELECT run_date, env, concat('Score ', substring(evaluation, 7)) AS issue, count(*) AS n
 FROM f WHERE is_evaluable GROUP BY ALL"""
+CHECKS["x7_table"] = CHECKS["x7_blocks"]
 CHECKS["x6_merged"] = CHECKS["x7_blocks"].replace("count(*) AS n", "count(*) AS n, 1 AS lists")
 INSIGHT_HITS = """SELECT run_date, env, 3 AS section_ord, concat('Score ', substring(evaluation, 7)) AS issue, label AS id,
   concat('seen Score ', substring(evaluation, 7)) AS evaluation FROM f WHERE is_evaluable

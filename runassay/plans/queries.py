@@ -15,7 +15,7 @@ from runassay.operators import outcomes, windows
 from runassay.plans import evaluate as EV
 from runassay.plans import report as R
 from runassay.plans import views as V
-from runassay.plans.stand_ins import failing_backend, grouping_backend, marks_backend, part_names_backend
+from runassay.plans.rule_model import grouping_backend, part_names_backend
 from runassay.scale import first_rows, latest_row, scratch_dir
 from runassay.sources import corpus as C
 from runassay.sources import reports, sheets
@@ -762,18 +762,16 @@ def _judge_rows(spark, sf) -> DataFrame:
 
 @query
 def x1_judge(spark, sf):
-    return judge.judge(_judge_rows(spark, sf), ["doc_id"], marks_backend)
+    """Verdicts of the default judge, the rules; late rows are not sent."""
+    return judge.judge(_judge_rows(spark, sf), ["doc_id"])
 
 
 @query
 def x2_retry(spark, sf):
-    # The backend counts its calls, so they come one at a time.
-    replies = judge.ask(
-        _judge_rows(spark, sf), failing_backend, ["doc_id"], wait=lambda s: None, in_flight=1
-    )
-    return judge.parse_verdict(replies).select(
-        "doc_id", F.col("attempts").cast("bigint").alias("attempts"), "error",
-        "tester_expectation", "evaluation",
+    """What logged calls come to: tries, error and verdict."""
+    settled = judge.settled(V.calls(spark, sf), ["user_id", "run_date"])
+    return judge.parse_verdict(settled).select(
+        "user_id", "run_date", F.col("attempts").cast("bigint").alias("attempts"), "error", "tester_expectation", "evaluation"
     )
 
 
@@ -829,6 +827,13 @@ def x6_merged(spark, sf):
     )
 
 
+@query
+def x7_table(spark, sf):
+    """The same replies by the table function over their lines."""
+    rows = insight.block_rows_by_line(insight.blocks_of(_replies(spark, sf)))
+    return _n(insight.cluster_ids(rows).select(*RUN, "issue", "id").distinct(), *RUN, "issue")
+
+
 @query
 def x8_fallback(spark, sf):
     """Blocks the replies lack, and replies that never came."""

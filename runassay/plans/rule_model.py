@@ -1,50 +1,12 @@
-"""Stand-ins for a judge and a model, for the queries that need one."""
+"""A model by rules, for reports without a service: it groups lines by what they say."""
 
 from __future__ import annotations
 
-import json
 import re
 
 
-def marks_backend():
-    """A judge that needs no service: it reports the marks it sees in the answer."""
-
-    def reply(row: dict) -> str:
-        cites = bool(re.search(r"\[\d+\]", row["answer"]))
-        verdict = {
-            "tester_expectation": "Good" if cites else "Pass",
-            "document_contain_citations": "Pass" if cites else "None",
-            "evaluation": f"{len(row['answer'])} characters",
-        }
-        return f"verdict: {json.dumps(verdict)}"
-
-    return reply
-
-
-def failing_backend():
-    """The same judge behind a service that fails: now and then, late, or for good."""
-    good = marks_backend()
-    tries: dict[str, int] = {}
-
-    def reply(row: dict) -> str:
-        key = row["document"]
-        tries[key] = tries.get(key, 0) + 1
-        size = len(key)
-        if size % 5 == 0:
-            raise TimeoutError("no answer from judge")
-        if size % 5 == 1 and tries[key] % 2 == 1:
-            return "busy, try later"
-        if size % 5 == 2:  # replies that are no verdict, and none at last
-            if tries[key] % 3 == 0:
-                raise TimeoutError("no answer from judge")
-            return f"busy {tries[key] % 3}"
-        return good(row)
-
-    return reply
-
-
 def grouping_backend():
-    """A model stand-in: groups labelled lines by what they say and replies in blocks."""
+    """Groups labelled lines by what they say and replies in blocks."""
 
     def table(number: int, title: str, heading: str, groups: dict[str, list[str]]) -> str:
         rows = [f"{name},{', '.join(ids)},seen {name}" for name, ids in sorted(groups.items())]
@@ -73,7 +35,7 @@ def grouping_backend():
 
 
 def part_names_backend():
-    """The grouping stand-in with names of its own in every call, and one that merges them."""
+    """The same with names of its own in every call, and merging of such names."""
     group = grouping_backend()
 
     def reply(topic: str, lines: list[str]) -> str:

@@ -260,6 +260,19 @@ def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+CALL_RULES = {
+    "reply": f"CASE event_type WHEN 'error' THEN NULL WHEN 'view' THEN 'busy, try later' ELSE {VERDICT_RULE} END",
+    "error": "CASE WHEN event_type = 'error' THEN concat('no answer: ', CAST(event_id % 5 AS STRING)) END",
+}
+
+
+def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log of calls: what a user's events of a day are, one after another, to a judge."""
+    events = _rules(_rules(table(spark, sf_dir, "events"), {"run_date": RUN_RULES["run_date"]}), CALL_RULES)
+    keys = ["user_id", "run_date"]
+    return number_rows(events.select(*keys, "ts", "event_id", "reply", "error"), keys, ["ts", "event_id"], name="attempt")
+
+
 def clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Issue ids with repeats, for events that ran long."""
     out = _rules(table(spark, sf_dir, "events").where("value > 150"), RUN_RULES)

@@ -1,4 +1,7 @@
 import datetime
+import json
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -241,3 +244,86 @@ def test_one_list_of_issues_per_run(spark, per_call):
     assert silent.count() == 6000 and silent.select("env", "issue").distinct().count() == parts.select("env", "first").distinct().count()
     one = parts.where("part = 3")
     assert {r.issue for r in insight.merge_issues(one, first).collect()} == {f"Kind {k} of part 3" for k in range(7)}
+
+
+def marks_backend():
+    """A judge that needs no service: it reports the marks it sees in the answer."""
+
+    def reply(row: dict) -> str:
+        cites = bool(re.search(r"\[\d+\]", row["answer"]))
+        verdict = {
+            "tester_expectation": "Good" if cites else "Pass",
+            "document_contain_citations": "Pass" if cites else "None",
+            "evaluation": f"{len(row['answer'])} characters",
+        }
+        return f"verdict: {json.dumps(verdict)}"
+
+    return reply
+
+
+def failing_backend():
+    """The same judge behind a service that fails: now and then, late, or for good."""
+    good = marks_backend()
+    tries: dict[str, int] = {}
+
+    def reply(row: dict) -> str:
+        key = row["document"]
+        tries[key] = tries.get(key, 0) + 1
+        size = len(key)
+        if size % 5 == 0:
+            raise TimeoutError("no answer from judge")
+        if size % 5 == 1 and tries[key] % 2 == 1:
+            return "busy, try later"
+        if size % 5 == 2:  # replies that are no verdict, and none at last
+            if tries[key] % 3 == 0:
+                raise TimeoutError("no answer from judge")
+            return f"busy {tries[key] % 3}"
+        return good(row)
+
+    return reply
+
+
+def test_retries_against_a_failing_service(spark):
+    """A service that fails now and then, late or for good; calls come one at a time."""
+    texts = {i: "x" * (5 + i) for i in range(10)}
+    rows = spark.createDataFrame([(i, "q", t + " [1]", t, "") for i, t in texts.items()], "doc_id long, request string, answer string, document string, target_language string")
+    replies = judge.ask(rows, failing_backend, ["doc_id"], wait=lambda s: None, in_flight=1)
+    got = {r.doc_id: r for r in judge.parse_verdict(replies).collect()}
+    for i, text in texts.items():
+        k = len(text) % 5
+        assert got[i].attempts == {0: 3, 1: 2, 2: 3}.get(k, 1)
+        assert got[i].tester_expectation == ("Parse Error(Failed)" if k in (0, 2) else "Good")
+        reply = {0: judge.FAILURE_NO_REPLY, 2: "busy 2"}.get(k)
+        want = f"{judge.FAILURE_TEXT}no answer from judge{judge.FAILURE_REPLY}{reply}" if reply else f"{len(text) + 4} characters"
+        assert got[i].evaluation == want
+
+
+def test_logged_calls_are_settled_as_live_ones(spark):
+    good = '{"tester_expectation": "Good"}'
+    logs = {
+        1: [("busy", None), (good, None), ("later", None)], 2: [(None, "down")] * 3 + [(good, None)],
+        3: [("a", None), (None, "late"), ("{}}", None)], 4: [(None, "down")], 5: [(good, None)],
+    }
+    calls = [(k, n, *c) for k, log in logs.items() for n, c in enumerate(log, start=1)]
+    df = spark.createDataFrame(calls, "doc_id long, attempt long, reply string, error string").repartition(3)
+    got = {r.doc_id: (r.reply, r.attempts, r.error) for r in judge.settled(df, ["doc_id"]).collect()}
+    assert got == {
+        1: (good, 2, None), 2: (None, 3, "down"), 3: ("{}}", 3, "no JSON object in reply"), 4: (None, 1, "down"), 5: (good, 1, None),
+    }
+    assert judge.settled(df.limit(0), ["doc_id"]).count() == 0
+
+
+def test_table_function_equals_the_arrays(spark):
+    """Random blocks with quoted commas and line ends, quotes that never close, blank rows and tables."""
+    rng = random.Random(12)
+    pieces = ["a", "1", "2, 3", '"4,5"', '"x ""y"" z"', '"two\nlines, one"', '"open', "Matching Test IDs", "", " ", ",", "\n", "\n", "\r\n", '""', '"a""', "b\"c", "\t"]
+    texts = ["".join(rng.choice(pieces) + rng.choice([",", ",", "\n", ""]) for _ in range(rng.randint(0, 25))) for _ in range(400)]
+    texts += [BLOCK, "", "\n\n", None, '"never closed, 1\nMatching Test IDs\n2,3']
+    df = spark.createDataFrame([(DAY, "a", i, t) for i, t in enumerate(texts)], "run_date date, env string, part long, text string")
+    key = lambda r: (r.part, r.row_no)
+    arrays = insight.block_rows(df).drop("text")
+    want = sorted(arrays.collect(), key=key)
+    got = sorted(insight.block_rows_by_line(df).select(arrays.columns).collect(), key=key)
+    for a, b in zip(want, got):
+        assert a == b, (texts[a.part], a, b)
+    assert len(got) == len(want) > 500
