@@ -503,12 +503,12 @@ CHECKS["x1_judge"] = CHECKS["x5_rules"] + " WHERE doc_id % 9 <> 0"
 CHECKS["x2_retry"] = f"""WITH l AS (SELECT user_id, CAST(ts AS DATE) AS run_date, event_id, {_cols(V.CALL_RULES)},
   event_type NOT IN ('error', 'view') AND event_id % 10 <> 0 AS good,
   row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) AS k FROM events),
-s AS (SELECT user_id, run_date, min(k) FILTER (good) AS at, max(k) AS made, arg_min(event_id, k) FILTER (good) AS id,
-  arg_max(reply, k) FILTER (reply IS NOT NULL) AS last, arg_max(coalesce(error, 'no JSON object in reply'), k) AS error
+s AS (SELECT user_id, run_date, min(k) FILTER (good) AS first_good, max(k) AS made, arg_min(event_id, k) FILTER (good) AS id,
+  arg_max(reply, k) FILTER (reply IS NOT NULL) AS last_reply, arg_max(coalesce(error, 'no JSON object in reply'), k) AS last_error
   FROM l WHERE k <= 3 GROUP BY user_id, run_date)
-SELECT user_id, run_date, coalesce(at, made) AS attempts, CASE WHEN at IS NULL THEN error END AS error,
-  CASE WHEN at IS NULL THEN 'Parse Error(Failed)' WHEN id % 6 = 0 THEN 'Great' WHEN id % 2 = 0 THEN 'Good' ELSE 'Poor' END AS tester_expectation,
-  CASE WHEN at IS NULL THEN concat('{judge.FAILURE_TEXT}', error, '{judge.FAILURE_REPLY}', coalesce(last, '{judge.FAILURE_NO_REPLY}'))
+SELECT user_id, run_date, coalesce(first_good, made) AS attempts, CASE WHEN first_good IS NULL THEN last_error END AS error,
+  CASE WHEN first_good IS NULL THEN 'Parse Error(Failed)' WHEN id % 6 = 0 THEN 'Great' WHEN id % 2 = 0 THEN 'Good' ELSE 'Poor' END AS tester_expectation,
+  CASE WHEN first_good IS NULL THEN concat('{judge.FAILURE_TEXT}', last_error, '{judge.FAILURE_REPLY}', coalesce(last_reply, '{judge.FAILURE_NO_REPLY}'))
     ELSE '{S.VERDICT_FIELDS["evaluation"]}' END AS evaluation FROM s"""
 _HEAD = judge.PROMPT_HEAD.replace("\n", "' || chr(10) || '")
 CHECKS["x9_prompt"] = ANSWERS + f"""SELECT doc_id, length(p) AS chars, md5(p) AS digest FROM (SELECT doc_id, '{_HEAD}' || request
