@@ -541,7 +541,8 @@ def a13_report(spark, sf):
 @query
 def a13_rollup(spark, sf):
     """Counters and times per run and agent, per run, day, environment and agent, and in all."""
-    return metrics.rollup_metrics(V.results(spark, sf)).drop("times", *metrics.QUANTILES).withColumn("mean", F.round("mean", 4))
+    rolled = metrics.rollup_metrics(V.results(spark, sf)).drop("times", *metrics.QUANTILES)
+    return rolled.withColumn("seconds", F.round(F.col("mean") * F.col("timed"), 2)).drop("mean")
 
 
 @query
