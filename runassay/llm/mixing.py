@@ -15,9 +15,9 @@ TEMPER = {"source": 0.5, "lang": 0.7, "topic": 0.7}
 SWEEPS = 6
 #: Expected tokens of the mixture, as a share of all tokens.
 BUDGET = 1.0
-#: A sample takes no document twice: sweeps, largest relative gap of a margin, and by how much
-#: and how often the budget is lowered until the gap is met.
-SAMPLE_SWEEPS, MOST_GAP, LOWERED, LOWERINGS = 10, 0.02, 0.9, 12
+#: A sample takes no document twice: sweeps, largest relative gap of a margin, and within which
+#: bounds and how often the budget is lowered until the gap is met.
+SAMPLE_SWEEPS, MOST_GAP, LOWERED, LOWERINGS = 8, 0.03, (0.5, 0.95), 8
 WORD_RE = r"[^\x20\x09-\x0D]+"
 SYMBOL_RE = r"[#*$%&|<>]"
 
@@ -91,32 +91,33 @@ def rake(
     return out
 
 
-def margin_shares(cells: DataFrame, targets: Mapping[str, DataFrame], column: str) -> DataFrame:
-    """``dimension, value, share, goal``: each value's share of ``column`` beside its target."""
-    whole = float(cells.agg(F.sum(column)).first()[0] or 0) or 1.0
+def margin_shares(cells: DataFrame, targets: Mapping[str, DataFrame], column: str, whole: float) -> DataFrame:
+    """``dimension, value, share, goal``: each value's ``column`` in parts of ``whole`` beside its target."""
     out = None
     for c, target in targets.items():
-        sums = cells.groupBy(c).agg((F.sum(column) / whole).alias("share")).join(target, c)
+        sums = cells.groupBy(c).agg((F.sum(column) / F.lit(whole or 1.0)).alias("share")).join(target, c)
         rows = sums.select(F.lit(c).alias("dimension"), F.col(c).alias("value"), "share", "goal")
         out = rows if out is None else out.unionByName(rows)
-    return out
+    return out.where("goal > 0")
 
 
 def calibrated(cells: DataFrame, targets: Mapping[str, DataFrame]) -> tuple[DataFrame, float]:
     """Weights of which none exceeds its cell's tokens, and the largest gap to a target share.
 
     The budget is the largest with which each value alone can meet its target. If the values
-    together cannot, to within ``MOST_GAP`` of a target, it is lowered step by step.
+    together cannot, to within ``MOST_GAP`` of a target, it is lowered to what the scarcest
+    value got, until they can.
     """
-    first = margin_shares(cells, targets, "n_tokens").where("goal > 0").agg(F.min(F.col("share") / F.col("goal"))).first()[0]
-    budget = min(1.0, first or 1.0)
+    total = float(cells.agg(F.sum("n_tokens")).first()[0] or 0)
+    ratio = F.col("share") / F.col("goal")
+    budget = min(1.0, margin_shares(cells, targets, "n_tokens", total).agg(F.min(ratio)).first()[0] or 1.0)
     for _ in range(LOWERINGS):
         raked = rake(cells, targets, SAMPLE_SWEEPS, budget, most=1.0)
-        off = F.abs(F.col("share") / F.col("goal") - 1)
-        gap = margin_shares(raked, targets, "weight").where("goal > 0").agg(F.max(off)).first()[0] or 0.0
+        least, most = margin_shares(raked, targets, "weight", budget * total).agg(F.min(ratio), F.max(ratio)).first()
+        gap = max(1 - (least or 1.0), (most or 1.0) - 1)
         if gap <= MOST_GAP:
             break
-        budget *= LOWERED
+        budget *= min(max(least, LOWERED[0]), LOWERED[1])
     return raked, gap
 
 

@@ -54,10 +54,10 @@ def plain_sample_rates(rows):
             weight = {
                 k: min(cells[k], w * goals[d][k[d]] * total * budget / have[k[d]]) if have[k[d]] else 0.0 for k, w in weight.items()
             }
-        whole = sum(weight.values())
-        if all(abs(w / whole / goals[d][v] - 1) <= mixing.MOST_GAP for d in range(3) for v, w in plain_margin(weight, d).items() if goals[d][v]):
+        met = [w / goals[d][v] / total / budget for d in range(3) for v, w in plain_margin(weight, d).items() if goals[d][v]]
+        if max(1 - min(met), max(met) - 1) <= mixing.MOST_GAP:
             break
-        budget *= mixing.LOWERED
+        budget *= min(max(min(met), mixing.LOWERED[0]), mixing.LOWERED[1])
     return {k: weight[k] / n if n else 1.0 for k, n in cells.items()}
 
 
