@@ -25,6 +25,8 @@ from runassay.llm.graph import components
 
 SHINGLE = 5
 PERCENT = 85
+#: Parts that the members of a bucket are dealt to when they meet its size and centre.
+KEY_SALTS = 8
 COORDINATES = 192
 #: Chance at most that a pair just at the threshold shares no band.
 MISSED = 3e-7
@@ -344,6 +346,17 @@ def _remaining_links(
     return pin(compared.distinct(), "more-links")
 
 
+def _by_key(rows: DataFrame, facts: DataFrame) -> DataFrame:
+    """Rows of ``id`` and ``key`` with the one row of facts on their key.
+
+    The members of a key are dealt to ``KEY_SALTS`` parts, each of which meets a copy of the
+    facts, so a bucket that holds a large part of all rows is no task of its own.
+    """
+    copies = facts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(KEY_SALTS - 1))))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(KEY_SALTS)).cast("int"))
+    return salted.join(copies, ["key", "salt"]).drop("salt")
+
+
 def near_duplicates(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id`` and ``kept`` of each document.
 
@@ -375,13 +388,13 @@ def near_duplicates(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     )
     keyed = nodes.select("id", F.posexplode(bands).alias("band", "key"))
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    placed = pin(keyed.join(sizes, "key"), "placed")
+    placed = pin(_by_key(keyed, sizes), "placed")
     # The text that others were made from shares most bands with most of them.
     shared = placed.groupBy("id").agg(F.sum("n").alias("shared"))
     centres = placed.join(shared, "id").groupBy("key").agg(
         F.max_by("id", F.struct("shared", -F.col("id"))).alias("centre")
     )
-    members = pin(placed.join(centres, "key").where("id <> centre"), "members")
+    members = pin(_by_key(placed, centres).where("id <> centre"), "members")
     stars = members.select(
         F.greatest("id", "centre").alias("a"), F.least("id", "centre").alias("b")
     ).distinct()
