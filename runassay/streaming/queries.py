@@ -143,7 +143,7 @@ def t3_stability(spark, sf):
 
 @query
 def t4_breaker(spark, sf):
-    """First trips of all runs; the rows of both slices arrive in one of two orders."""
+    """First trips of all runs."""
     out = scratch_dir(spark, "trips")
     statuses = _timed(V.statuses(spark, sf))
     _feed(statuses, lambda s, c: _append(breaker.first_trips(s), out, c), close="3 days")
