@@ -72,12 +72,16 @@ def _rejoined(marked: DataFrame, runs: list[str]) -> DataFrame:
 
 def widest(records: DataFrame) -> int:
     """An upper bound of the cells of a record: quoted commas only make it larger."""
-    return records.agg(F.max(F.size(F.split("text", ",")))).first()[0] or 1
+    commas = F.length("text") - F.length(F.replace("text", F.lit(","), F.lit("")))
+    return records.agg(F.max(commas + 1)).first()[0] or 1
 
 
-def cells(text: Column, width: int) -> Column:
-    """The record's cells as an array of ``width``; absent and empty ones are null."""
+def cells(text: Column, width: int, most: int = 0) -> Column:
+    """The record's first ``width`` cells as an array; absent and empty ones are null.
+
+    ``most`` is a bound of the cells of a record, if some may have more than ``width``.
+    """
     names = [f"c{i}" for i in range(width)]
-    options = {"escape": '"', "maxColumns": str(max(20_480, width + 1)), "maxCharsPerColumn": "-1"}
+    options = {"escape": '"', "maxColumns": str(max(20_480, width + 1, most + 1)), "maxCharsPerColumn": "-1"}
     parsed = F.from_csv(text, ", ".join(f"{n} string" for n in names), options)
     return F.transform(F.array(parsed), lambda p: F.array(*[p[n] for n in names]))[0]

@@ -60,15 +60,14 @@ def _read_sheets(spark: SparkSession, path: str) -> DataFrame:
     per file); rows meet it and pick their cells by name. A column that a sheet lacks gets its
     stand-in; a sheet without a required one is an error.
     """
-    records = read_records(spark, path, folders=True)
-    width = widest(records)
-    rows = pin(records.withColumn("_cells", cells(F.col("text"), width)).drop("text"), "records")
-    runs = [c for c in rows.columns if c not in ("file", "block", "at", "_cells")]
+    rows = pin(read_records(spark, path, folders=True), "records")
+    runs = [c for c in rows.columns if c not in ("file", "block", "at", "text")]
     place = F.struct("block", "at")
-    heads = pin(
-        rows.groupBy(F.col("file").alias("_file")).agg(F.min_by("_cells", place).alias("_head"), F.min(place).alias("_first")),
-        "sheet-headings",
-    )
+    first = rows.groupBy("file", "block").agg(F.min("at").alias("at")).groupBy(F.col("file").alias("_file")).agg(F.min(place).alias("_first"))
+    heads = pin(rows.join(first, (F.col("file") == F.col("_file")) & (place == F.col("_first"))).select("_file", "_first", "text"), "sheet-headings")
+    # Cells are found by their heading, so none behind the widest heading is needed, however many commas texts have.
+    width = widest(heads)
+    heads = pin(heads.select("_file", "_first", cells(F.col("text"), width).alias("_head")), "sheet-headings")
     wanted = S.RESULT_HEADINGS
     lacking = heads.select(
         F.explode(F.array_except(F.array(*[F.lit(h) for h, c in wanted.items() if c in REQUIRED]), "_head"))
@@ -76,6 +75,7 @@ def _read_sheets(spark: SparkSession, path: str) -> DataFrame:
     if lacking:
         raise ValueError(f"result table lacks columns: {', '.join(sorted(r[0] for r in lacking))}")
     joined = rows.join(heads, F.col("file") == F.col("_file")).where(place != F.col("_first"))
+    joined = joined.withColumn("_cells", cells(F.col("text"), width, widest(rows)))
 
     def by_name(heading: str, name: str):
         at = F.array_position("_head", heading)

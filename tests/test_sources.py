@@ -134,6 +134,19 @@ def test_csv_sheets_are_read_by_their_own_headings(spark, tmp_path):
         results.read_results(spark, str(tmp_path), fmt="csv")
 
 
+def test_texts_with_many_commas_do_not_widen_sheets(spark, tmp_path, monkeypatch):
+    """Cells are parsed as far as the headings go; records of more cells than any parser's default stay whole."""
+    head = ["label", "Language Overall Status", "Tester Expectation", "Completion Time", "Input Language", "Output Language", "answer"]
+    text = "a,b " * 3000
+    (tmp_path / "one.csv").write_text(
+        ",".join(head) + f'\n1,Pass,Good,3s,en,en,"{text}"\n2,Pass,Good,3s,en,en,x{",y" * 21_000}\n', encoding="utf-8"
+    )
+    widths, parse = [], results.cells
+    monkeypatch.setattr(results, "cells", lambda text, width, *more: widths.append(width) or parse(text, width, *more))
+    got = {r.label: r.answer for r in results.read_results(spark, str(tmp_path), fmt="csv").collect()}
+    assert got == {1: text, 2: "x"} and max(widths) == len(head)
+
+
 def test_runs_of_one_day_stay_apart(spark):
     """Two runs and two test sets on one day, with equal labels."""
     schema = RESULT + ", run_id string, task_set string"
