@@ -148,9 +148,9 @@ def merge_results(batch: DataFrame, table: str, batch_id: int, order: list[str],
             same = same & F.col(c).eqNullSafe(F.lit(row[c]).cast(new.schema[c].dataType))
         wanted = wanted | same
     both = new if held is None else held.where(wanted).unionByName(new, allowMissingColumns=True)
-    merged = pin(latest_results(both, [*order, "batch"]), "merged")
+    # Spark puts new folders in the place of old ones once all is written, so the old ones may be read until then.
     (
-        merged.hint("rebalance", *keys).write.mode("overwrite")
+        latest_results(both, [*order, "batch"]).hint("rebalance", *keys).write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(table)
     )
 

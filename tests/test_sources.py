@@ -210,6 +210,16 @@ def test_merged_batches_touch_only_their_slices(spark, tmp_path):
     assert results.merged_results(spark, str(tmp_path / "none")) is None
 
 
+def test_a_merge_writes_its_rows_once(spark, tmp_path, monkeypatch):
+    """Only the batch is pinned; slices that are read are replaced by what was merged from them."""
+    table, pinned, pin = str(tmp_path / "merged"), [], results.pin
+    monkeypatch.setattr(results, "pin", lambda df, name: pinned.append(name) or pin(df, name))
+    for i, rows in enumerate([[result(1, 1, "old"), result(2, 1, "kept")], [result(1, 2, "new")], [result(1, 1, "old")]]):
+        results.merge_results(spark.createDataFrame(rows, RESULT), table, i, ["ts"])
+    assert {r.label: r.evaluation for r in results.merged_results(spark, table).collect()} == {1: "new", 2: "kept"}
+    assert pinned == ["batch"] * 3
+
+
 def test_records_split_over_many_tasks(spark, tmp_path):
     """Quoted line ends, commas and quotes in blocks of a few bytes, against the csv module."""
     import csv
