@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,28 +53,33 @@ class TaskWatch(StatefulProcessor):
         self.waiting = handle.getListState("waiting", WAITING)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        task = self.task.get() if self.task.exists() else None
-        held = []
+        task, new = self.task.get(), []
         for batch in rows:
             if task is None or task[0] != OVER:
-                held += list(zip(batch["at_us"].tolist(), batch["event_id"].tolist(), batch["len"].tolist(), strict=True))
-        if held:
-            self.waiting.appendList(held)
-            yield from self._advance(key, task, timerValues.getCurrentWatermarkInMs())
+                new += list(zip(batch["at_us"].tolist(), batch["event_id"].tolist(), batch["len"].tolist(), strict=True))
+        if new:
+            yield from self._advance(key, task, new, timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        task = self.task.get() if self.task.exists() else None
+        task = self.task.get()
         if task is not None and task[0] == OVER:
             self.task.clear()  # registered only where tasks are to be forgotten
-        elif task is not None or self.waiting.exists():
-            yield from self._advance(key, task, timerValues.getCurrentWatermarkInMs())
+        else:
+            yield from self._advance(key, task, [], timerValues.getCurrentWatermarkInMs())
 
     def close(self) -> None:
         pass
 
-    def _advance(self, key, task, watermark: int) -> Iterator[pd.DataFrame]:
-        """Take all polls up to the watermark, in order, then see whether the task went silent."""
-        held = sorted(self.waiting.get()) if self.waiting.exists() else []
+    def _advance(self, key, task, new: list, watermark: int) -> Iterator[pd.DataFrame]:
+        """Take all polls up to the watermark, in order, then see whether the task went silent.
+
+        Every call of the store is a message, so polls that need not wait are never put there, and
+        what did not change is not written again.
+        """
+        before, waited = task, list(self.waiting.get())
+        if task is None and not waited and not new:
+            return
+        held = sorted(waited + new)
         due = 0
         out = []
         for at_us, _, size in held:
@@ -87,11 +93,16 @@ class TaskWatch(StatefulProcessor):
             task = self._poll(key, task, at_us, size, out)
         if task is not None and task[0] != OVER and due == len(held) and task[2] // 1000 + self.idle < watermark:
             task = self._end(key, task, task[2] + 1000 * self.idle, out, silent=True)
-        if task is not None:
+        if task is not None and task != before:
             self.task.update(task)
         rest = [] if task is not None and task[0] == OVER else held[due:]
-        if due or len(rest) < len(held):
-            self.waiting.put(rest) if rest else self.waiting.clear()
+        if not due and len(rest) == len(held):
+            if new:
+                self.waiting.appendList(new)
+        elif rest:
+            self.waiting.put(rest)
+        elif waited:
+            self.waiting.clear()
         if task is None or task[0] != OVER:
             wake = [rest[0][0] // 1000] if rest else []
             if task is not None:
@@ -100,7 +111,7 @@ class TaskWatch(StatefulProcessor):
         elif self.forget is not None:
             self.handle.registerTimer(watermark + self.forget)
         if out:
-            yield pd.concat(out)
+            yield _rows(out)
 
     def _poll(self, key, task, at_us: int, size: int, out: list) -> tuple:
         """The task after one poll; times are in microseconds."""
@@ -135,17 +146,21 @@ class TaskWatch(StatefulProcessor):
         return (OVER, *task[1:])
 
 
-def _row(key, step: str, state: str, task: tuple, at_us: int) -> pd.DataFrame:
-    def instant(us):
-        return pd.NaT if us is None else pd.Timestamp(us, unit="us")
+def _row(key, step: str, state: str, task: tuple, at_us: int) -> tuple:
+    return int(key[0]), step, state, task[7], task[8], task[5], task[6], at_us
+
+
+def _rows(rows: list[tuple]) -> pd.DataFrame:
+    """What a task wrote; times are microseconds or None."""
+    task_key, step, state, stable_poll, stable_us, polls, reads, ended_us = map(list, zip(*rows, strict=True))
+
+    def instants(times: list) -> np.ndarray:
+        return np.array([None if t is None else 1000 * t for t in times], dtype="datetime64[ns]")
 
     return pd.DataFrame(
         {
-            "task_key": [int(key[0])], "step": [step], "state": [state],
-            "stable_poll": pd.array([task[7]], dtype="Int64"),
-            "stable_ts": pd.Series([instant(task[8])], dtype="datetime64[ns]"),
-            "polls": [task[5]], "reads": [task[6]],
-            "ended_ts": pd.Series([instant(at_us)], dtype="datetime64[ns]"),
+            "task_key": task_key, "step": step, "state": state, "stable_poll": pd.array(stable_poll, dtype="Int64"),
+            "stable_ts": instants(stable_us), "polls": polls, "reads": reads, "ended_ts": instants(ended_us),
         }
     )
 

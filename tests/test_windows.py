@@ -1,6 +1,7 @@
 import datetime
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -120,6 +121,55 @@ def test_silent_task_times_out_and_may_be_forgotten(spark):
     assert sum(r.task_key == 1 and r.step == "ended" for r in got) == 2
 
 
+def test_a_waking_task_calls_the_store_few_times():
+    """Each call is a message: a first look, polls that wait, and a timer that finds nothing due."""
+
+    class Store:
+        def __init__(self):
+            self.calls, self.value = 0, None
+
+        def __getattr__(self, name):
+            def call(*args):
+                self.calls += 1
+                if name in ("update", "put"):
+                    self.value = args[0]
+                elif name == "appendList":
+                    self.value = (self.value or []) + args[0]
+                elif name == "clear":
+                    self.value = None
+                return self.value is not None if name == "exists" else self.value
+
+            return call
+
+    class Listed(Store):
+        def get(self):
+            self.calls += 1
+            return iter(self.value or [])
+
+    class Times:
+        at = 0
+
+        def getCurrentWatermarkInMs(self):
+            return self.at
+
+    watch, times = stability.TaskWatch(5, 0, 300, 60, 10**6, None), Times()
+    watch.task, watch.waiting, watch.handle = Store(), Listed(), Store()
+    polls = pd.DataFrame({"at_us": [10**6, 2 * 10**6, 9 * 10**6], "event_id": [1, 2, 3], "len": [4, 4, 4]})
+
+    def calls():
+        made = watch.task.calls + watch.waiting.calls
+        watch.task.calls = watch.waiting.calls = 0
+        return made
+
+    assert list(watch.handleInputRows((1,), iter([polls]), times)) == [] and len(watch.waiting.value) == 3
+    assert calls() <= 3
+    times.at = 5000
+    assert list(watch.handleExpiredTimer((1,), times, None)) == [] and len(watch.waiting.value) == 1
+    assert calls() <= 4
+    assert list(watch.handleExpiredTimer((1,), times, None)) == [] and calls() <= 2
+    assert watch.task.value[5] == 2
+
+
 @pytest.mark.parametrize("block", [4, 100_000])
 def test_breaker(spark, monkeypatch, block):
     monkeypatch.setattr(windows, "BLOCK", block)
