@@ -176,6 +176,25 @@ def test_replies_in_parts_cover_every_line(spark):
     assert "Parsing Failed" in later[3] and later[1].startswith("Issue")
 
 
+def test_lines_are_moved_once_and_read_in_order(spark):
+    """No lists of lines are built before the call; null labels and texts are told as before."""
+    rows = [(DAY, "a", 7, "b"), (DAY, "a", 3, "z"), (DAY, "a", 3, None), (DAY, "a", None, None), (None, None, 12, "c"), (DAY, "a", 11, "d")]
+    lines = spark.createDataFrame(rows, "run_date date, env string, label long, text string")
+
+    def backend():
+        return lambda topic, part: f"{topic}: {part}"
+
+    asked = insight.ask_for_blocks(lines, backend, "topic", lines_per_call=10)
+    plan = asked._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Aggregate" not in plan and "collect_list" not in plan
+    got = {(r.run_date, r.env, r.part): r.reply for r in asked.collect()}
+    assert got == {
+        (DAY, "a", None): "topic: [None]", (DAY, "a", 0): "topic: [None, 'z', 'b']",
+        (DAY, "a", 1): "topic: ['d']", (None, None, 1): "topic: ['c']",
+    }
+    assert insight.ask_for_blocks(lines.limit(0), backend).count() == 0
+
+
 def test_repeated_file_names_double_nothing(spark):
     calls = spark.sparkContext.accumulator(0)
     tasks = spark.createDataFrame([(0, "ask", "a.txt", "", ""), (1, "ask", "", "", "")],

@@ -75,3 +75,13 @@ def test_marks(spark):
     values = ["see [12]", "[a]", "at https://x.org", "References: none", "資料來源", None]
     assert column(spark, values, T.has_citation("v")) == [True, False, False, False, False, False]
     assert column(spark, values, T.has_reference("v")) == [False, False, True, True, True, False]
+
+
+def test_ends_of_long_texts(spark):
+    """The same as trimming and translating every text, without reading and rebuilding it by characters."""
+    texts = [None, "", " ", "a", "\u3000a b\n", "a\x1f", "x\ny\n", *[f"{w}a{w}b{w}" for w in T.WHITE_SPACE]]
+    assert column(spark, texts, T.stripped_text("v")) == [t and t.strip(T.WHITE_SPACE) for t in texts]
+    assert column(spark, texts, T.excerpt("v", chars=None)) == [t and t.replace("\n", " ") for t in texts]
+    lines = spark.createDataFrame([(1, "e", " a\nb ")], "label int, evaluation string, answer string").select(T.evaluation_line(chars=None))
+    assert lines.first()[0] == "[Test ID: 1] Eval: e | Ans: a b"
+    assert "translate" not in lines._jdf.queryExecution().analyzed().toString()
