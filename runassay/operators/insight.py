@@ -293,7 +293,7 @@ def block_rows_by_line(blocks: DataFrame) -> DataFrame:
     keys = [c for c in blocks.columns if c != "text"]
     plain = F.replace(stripped(F.coalesce("text", F.lit(""))), F.lit("\r\n"), F.lit("\n"))
     lines = blocks.select(*keys, F.posexplode(F.split(plain, "\n")).alias(*LINE_COLUMNS))
-    rows = BlockTable(lines.asTable().partitionBy(*keys).orderBy(LINE_COLUMNS[0]))
+    rows = BlockTable(spread(lines, *keys).asTable().partitionBy(*keys).orderBy(LINE_COLUMNS[0]))
     return rows.select(*keys, "row_no", *_told(F.col("cells"), F.col("heading"), F.col("in_table")))
 
 

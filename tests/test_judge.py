@@ -195,6 +195,14 @@ def test_lines_are_moved_once_and_read_in_order(spark):
     assert insight.ask_for_blocks(lines.limit(0), backend).count() == 0
 
 
+def test_line_tables_keep_their_tasks(spark):
+    """Few bytes of lines are much work for the table function; they are not merged into a few tasks."""
+    blocks = spark.range(40).select(F.lit(DAY).alias("run_date"), F.lit("a").alias("env"), F.col("id").alias("part"), F.lit(BLOCK).alias("text"))
+    rows = insight.block_rows_by_line(blocks)
+    assert rows.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert rows.count() == 40 * insight.block_rows(blocks.limit(1)).count()
+
+
 def test_repeated_file_names_double_nothing(spark):
     calls = spark.sparkContext.accumulator(0)
     tasks = spark.createDataFrame([(0, "ask", "a.txt", "", ""), (1, "ask", "", "", "")],
