@@ -186,11 +186,29 @@ def summary_report(
     Label lists come in lines of bounded length: a list's first line carries
     item, count and share, further lines only labels.
     """
-    line_no = lambda c: F.floor(F.col(c) / IDS_PER_LINE).cast("bigint")
+    results, metrics = _read_once(results)
+    return _sections(results, metrics, clusters, language_clusters, observations, website, generated, notes)
+
+
+def _read_once(results: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The narrow copy of the results that numbers, lists, crashes and rules read, and its numbers."""
     runs = S.run_keys(results)
-    # One pass over the results: numbers, lists, crashes and rules read the narrow copy.
     results = pin(results.select(*runs, *READ), "report-input")
-    metrics = pin(run_metrics(results, runs, *_first_labels()), "run-metrics")
+    return results, pin(run_metrics(results, runs, *_first_labels()), "run-metrics")
+
+
+def _sections(
+    results: DataFrame,
+    metrics: DataFrame,
+    clusters: DataFrame | None,
+    language_clusters: DataFrame | None,
+    observations: DataFrame | None,
+    website: str,
+    generated: str,
+    notes: dict[int, DataFrame] | None,
+) -> DataFrame:
+    line_no = lambda c: F.floor(F.col(c) / IDS_PER_LINE).cast("bigint")
+    runs = S.run_keys(results)
     items = _items(metrics, website, generated).withColumn("sort_key", F.lit(""))
     listed = F.col("kind").isNotNull() & F.col("first_label").isNotNull()
     plain = items.where(~listed).withColumns(
@@ -292,13 +310,14 @@ def insight_report(
         insight.language_samples(results, n=None, chars=None), open_backend, "languages", 2
     )
     clusters, problems = (pin(insight.merge_issues(x, open_backend), "merged") for x in (evaluations, languages))
-    counts = labels.cluster_counts(clusters, run_metrics(results))
+    narrow, metrics = _read_once(results)
+    counts = labels.cluster_counts(clusters, metrics)
     text = F.concat_ws(" ", "issue", F.concat(F.col("n").cast("string"), F.lit(" of"),
                                              F.lit(" "), F.col("total").cast("string")))
     lines = number_rows(counts, S.run_keys(results), ["n", "issue"], name="label")
     observed = _one_set(lines.withColumn("text", text), open_backend)
-    return summary_report(
-        results, clusters, problems, _notes(observed), website, generated,
+    return _sections(
+        narrow, metrics, clusters, problems, _notes(observed), website, generated,
         notes={3: _notes(evaluations), 5: _notes(languages)},
     )
 

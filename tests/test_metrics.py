@@ -185,6 +185,20 @@ def test_environment_report_of_all_runs_or_the_newest(spark):
     assert {r.run_date for r in R.environment_report(both, newest=True).select("run_date").distinct().collect()} == {DAY}
 
 
+def test_results_are_read_once_for_all_numbers(spark):
+    """Evaluations, languages and the narrow copy read the results, nothing else does."""
+    read = spark.sparkContext.accumulator(0)
+    plain = rows(spark, {}, dict(language_status="Failed"))
+
+    def counting(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    R.insight_report(plain.mapInArrow(counting, plain.schema), lambda: (lambda topic, lines: "no blocks")).collect()
+    assert read.value == 3 * 2
+
+
 def test_observations_of_many_issues_are_one_set(spark):
     """Over 200 issues go out in parts; their observations are observed once more."""
     def backend():
