@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runassay.llm.common import pin
@@ -69,26 +69,26 @@ def rake(
 
     Each step multiplies the weights of a value by target over present sum, and holds a cell
     to ``most`` times its tokens, if that is given. The weights add up to ``budget`` times all
-    tokens. A value without a target gets none. Sums are aggregated before they are shuffled,
-    and each sweep is written, so that a lost executor repeats one sweep at most.
+    tokens. A value without a target gets none. The targets are joined once and a step sums the
+    cells of a value in a window, so that plans stay short (a join a step made the plan of a
+    sweep double with each step). Each sweep is written, so that a lost executor repeats one
+    sweep at most.
     """
     total = budget * float(cells.agg(F.sum("n_tokens")).first()[0] or 0)
     out = cells.withColumn("weight", F.col("n_tokens").cast("double"))
+    goals = {c: f"_goal_of_{c}" for c in targets}
+    for c, target in targets.items():
+        out = out.join(target.select(c, F.col("goal").alias(goals[c])), c, "left")
     for _ in range(sweeps):
-        for c, target in targets.items():
-            sums = out.groupBy(c).agg(F.sum("weight").alias("now"))
-            factor = sums.join(target, c, "left").select(
-                c,
-                F.when(F.col("now") > 0, F.coalesce("goal", F.lit(0.0)) * total / F.col("now"))
-                .otherwise(0.0)
-                .alias("factor"),
-            )
-            weight = F.col("weight") * F.col("factor")
+        for c, goal in goals.items():
+            rows = out.where(F.col(c).isNotNull()).withColumn("_now", F.sum("weight").over(Window.partitionBy(c)))
+            factor = F.when(F.col("_now") > 0, F.coalesce(goal, F.lit(0.0)) * total / F.col("_now")).otherwise(0.0)
+            weight = F.col("weight") * factor
             if most is not None:
                 weight = F.least(weight, F.col("n_tokens") * F.lit(float(most)))
-            out = out.join(factor, c).withColumn("weight", weight).drop("factor")
+            out = rows.withColumn("weight", weight).drop("_now")
         out = pin(out, "raked")
-    return out
+    return out.drop(*goals.values())
 
 
 def margin_shares(cells: DataFrame, targets: Mapping[str, DataFrame], column: str, whole: float) -> DataFrame:

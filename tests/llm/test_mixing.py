@@ -140,3 +140,21 @@ def test_kept_tokens_have_the_target_shares(spark):
         for v, goal in goals[d].items():
             assert now[v] / whole == pytest.approx(goal, rel=0.1), (v, was[v] / total)
     assert whole > 0.3 * total
+
+
+def test_plan_of_a_sweep_is_short(spark, monkeypatch):
+    """Each step adds one sum to the plan; a join a step doubled it and filled the driver's memory."""
+    _, docs = table(spark)
+    cells = docs.select(*mixing.with_margins(docs)).groupBy(*mixing.DIMENSIONS).agg(mixing.F.sum("n_tokens").alias("n_tokens"))
+    targets = mixing.tempered_targets(cells, mixing.TEMPER)
+    plans, pin = [], mixing.pin
+
+    def seen(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return pin(df, name)
+
+    monkeypatch.setattr(mixing, "pin", seen)
+    mixing.rake(mixing.pin(cells, "cells"), targets, 2, most=1.0)
+    first, second = plans[-2:]
+    assert first.count("Join") == 3 and second.count("Join") == 0
+    assert second.count("Exchange") == 3 == second.count("Window [")
