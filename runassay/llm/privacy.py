@@ -175,7 +175,7 @@ def scanned(documents: DataFrame) -> DataFrame:
 
 
 def revealing_terms(documents: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Terms that reveal entities, and the candidate terms' places ``(text_key, term)``.
+    """Terms that reveal entities, and every term's places ``(text_key, term)``, not computed yet.
 
     ``chance`` is the share of the documents with the term that hold the entity anywhere, and
     ``bits`` the gain over the entity's share of all documents, both over the whole corpus.
@@ -183,6 +183,8 @@ def revealing_terms(documents: DataFrame, found: DataFrame) -> tuple[DataFrame,
     is counted on: an entity in too few texts, or in so many documents that no term can add
     ``LEAST_BITS``, has no pair; documents with a term and such an entity are a lower bound of
     all with the term, and an entity's documents an upper bound of those of its pairs.
+    The terms left may be common words, so their places are summed in the tasks that read the
+    texts and never written: a term has one row per task in the shuffle.
     """
     n_docs = found.count()
     texts = found.where(F.size("entities") > 0).groupBy("text_key").agg(
@@ -223,12 +225,8 @@ def revealing_terms(documents: DataFrame, found: DataFrame) -> tuple[DataFrame,
     )
     likely = pin(likely, "likely")
     terms = pin(likely.select("term").distinct(), "terms")
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    places = pin(
-        documents.select(F.xxhash64(text).alias("text_key"), F.explode(terms_of(text)).alias("term")).join(terms, "term"),
-        "places",
-    )
-    counts = places.groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    places = documents.select(F.xxhash64(plain).alias("text_key"), F.explode(terms_of(plain)).alias("term"))
+    counts = places.join(terms, "term").groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
     chance = F.col("n_both") / F.col("n_term")
     bits = F.log2(chance * F.lit(float(max(n_docs, 1))) / F.col("n_entity"))
     revealing = (
@@ -243,8 +241,7 @@ def term_places(revealing: DataFrame, places: DataFrame) -> DataFrame:
     """Revealing terms of each text that has some, as two lists by what is done with them."""
     action = revealing.groupBy("term").agg((F.max("chance") >= REMOVE).alias("remove"))
     return pin(
-        places.distinct()
-        .join(action, "term")
+        places.join(action, "term")
         .groupBy("text_key")
         .agg(
             F.collect_set(F.when(F.col("remove"), F.col("term"))).alias("removed"),

@@ -143,3 +143,24 @@ def test_whole_documents_count(spark):
     assert got == {t: 1.0 for t in ("\u6797\u8587", "met", "marigold", "write", "to")}
     clean = {r["doc_id"]: r["text"] for r in privacy.sanitise(table).collect()}
     assert "Marigold" not in clean[0] and "\u6797\u8587" not in clean[0] and far in clean[0]
+
+
+def test_common_words_are_counted_and_not_written(spark, monkeypatch):
+    """A common word of an entity's documents is a candidate, but its places in all others are only summed."""
+    rows = [(i, f"Marigold alpha wrote to ann@acme.org n{i}") for i in range(30)]
+    rows += [(100 + i, f"alpha plain text {i}") for i in range(300)]
+    rows += [(500 + i, "alpha copied") for i in range(20)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    written, pin = {}, privacy.pin
+
+    def counted(df, name):
+        out = pin(df, name)
+        written[name] = out.count()
+        return out
+
+    monkeypatch.setattr(privacy, "pin", counted)
+    got = {r["doc_id"]: r["spans"] for r in privacy.find_personal(table).collect()}
+    assert written["terms"] == 4  # alpha, marigold, wrote, to
+    assert max(n for name, n in written.items() if name != "personal") <= 30 * 5
+    assert len(got) == 350 and not any(got[i] for i in got if i >= 100)
+    assert all(got[i].split(",")[1:] == ["term:0:8", "term:15:20", "term:21:23"] for i in range(30))
