@@ -16,7 +16,7 @@ from runassay.plans import evaluate as EV
 from runassay.plans import report as R
 from runassay.plans import views as V
 from runassay.plans.rule_model import grouping_backend, part_names_backend
-from runassay.scale import first_rows, latest_row, scratch_dir
+from runassay.scale import first_rows, latest_row, open_files, scratch_dir
 from runassay.sources import corpus as C
 from runassay.sources import reports, sheets
 from runassay.sources import results as RS
@@ -60,19 +60,25 @@ def w1_label(spark, sf):
 
 @query
 def s3_results(spark, sf):
-    """Results written as headed CSV sheets per run, read back and normalised."""
+    """Results written as headed CSV sheets per run, read back and normalised.
+
+    The sheets hold whole texts for each result, so they are packed as they are written;
+    as a packed sheet is read by one task, a long run has several.
+    """
     path = scratch_dir(spark, "sheets")
     sheet = V.sheet_results(spark, sf).select(
         "env", "run_date", *[F.col(c).alias(h) for h, c in S.RESULT_HEADINGS.items()]
     )
     # Sheets of the second environment have their columns in another order, and one less.
     turned = [c for c in reversed(sheet.columns) if c != "Reference Link"]
-    for part in (sheet.where("env = 'env_a'"), sheet.where("env = 'env_b'").select(*turned)):
-        (
-            part.write.mode("append").partitionBy("env", "run_date").option("header", True)
-            .option("escape", '"').option("ignoreLeadingWhiteSpace", False)
-            .option("ignoreTrailingWhiteSpace", False).csv(path)
-        )
+    with open_files(spark):
+        for part in (sheet.where("env = 'env_a'"), sheet.where("env = 'env_b'").select(*turned)):
+            (
+                part.write.mode("append").partitionBy("env", "run_date").option("header", True)
+                .option("escape", '"').option("ignoreLeadingWhiteSpace", False)
+                .option("ignoreTrailingWhiteSpace", False).option("maxRecordsPerFile", 50_000)
+                .option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").csv(path)
+            )
     read = RS.read_results(spark, path, fmt="csv")
     return read.groupBy("env", "run_date").agg(
         F.count(F.lit(1)).alias("n"),

@@ -6,7 +6,8 @@ import os
 import shutil
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -70,6 +71,21 @@ def pin(df: DataFrame, name: str = "pinned") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def open_files(spark: SparkSession, most: int = 200) -> Iterator[None]:
+    """Writes into folders keep up to ``most`` files open a task instead of sorting rows by folder.
+
+    A sort of whole rows spills about as much as is written. Rows of further folders are still sorted.
+    """
+    key = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, most)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def number_rows(
     df: DataFrame,
     by: Sequence[str],

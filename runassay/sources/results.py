@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from runassay import schema as S
 from runassay.functions.text import clean_text
 from runassay.scale import line_of, pin
-from runassay.sources.records import cells, read_records, widest
+from runassay.sources.records import cells, scan_records, widest
 
 # Columns a sheet may lack, with what then stands in for them.
 OPTIONAL = {"timeout_states": "No", "crash": "No", "evaluation": ""}
@@ -56,15 +56,15 @@ def read_results(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFr
 def _read_sheets(spark: SparkSession, path: str) -> DataFrame:
     """Rows of all CSV sheets by heading, whatever the order and number of their columns.
 
-    Records are read once, by many tasks. A file's first record is its heading (one short row
-    per file); rows meet it and pick their cells by name. A column that a sheet lacks gets its
-    stand-in; a sheet without a required one is an error.
+    Records are read by many tasks. A file's first record is its heading (one short row per
+    file), found first; rows then meet it as they are read and pick their cells by name. A
+    column that a sheet lacks gets its stand-in; a sheet without a required one is an error.
     """
-    rows = pin(read_records(spark, path, folders=True), "records")
+    rows, leading, most = scan_records(spark, path, folders=True)
     runs = [c for c in rows.columns if c not in ("file", "block", "at", "text")]
     place = F.struct("block", "at")
-    first = rows.groupBy("file", "block").agg(F.min("at").alias("at")).groupBy(F.col("file").alias("_file")).agg(F.min(place).alias("_first"))
-    heads = pin(rows.join(first, (F.col("file") == F.col("_file")) & (place == F.col("_first"))).select("_file", "_first", "text"), "sheet-headings")
+    first = leading.groupBy("file", "block").agg(F.min("at").alias("at")).groupBy(F.col("file").alias("_file")).agg(F.min(place).alias("_first"))
+    heads = pin(leading.join(first, (F.col("file") == F.col("_file")) & (place == F.col("_first"))).select("_file", "_first", "text"), "sheet-headings")
     # Cells are found by their heading, so none behind the widest heading is needed, however many commas texts have.
     width = widest(heads)
     heads = pin(heads.select("_file", "_first", cells(F.col("text"), width).alias("_head")), "sheet-headings")
@@ -75,7 +75,7 @@ def _read_sheets(spark: SparkSession, path: str) -> DataFrame:
     if lacking:
         raise ValueError(f"result table lacks columns: {', '.join(sorted(r[0] for r in lacking))}")
     joined = rows.join(heads, F.col("file") == F.col("_file")).where(place != F.col("_first"))
-    joined = joined.withColumn("_cells", cells(F.col("text"), width, widest(rows)))
+    joined = joined.withColumn("_cells", cells(F.col("text"), width, most))
 
     def by_name(heading: str, name: str):
         at = F.array_position("_head", heading)

@@ -9,7 +9,7 @@ from runassay import schema as S
 from runassay.functions.language import language_headings
 from runassay.functions.text import cell, stripped
 from runassay.scale import number_rows, pin
-from runassay.sources.records import cells, read_records, widest
+from runassay.sources.records import cells, scan_records
 
 
 def read_grid(spark, path: str) -> DataFrame:
@@ -17,8 +17,7 @@ def read_grid(spark, path: str) -> DataFrame:
 
     Records are read by as many tasks as the sheets have blocks, and numbered in file order.
     """
-    records = read_records(spark, path)
-    width = widest(records)
+    records, _, width = scan_records(spark, path)
     rows = records.select(F.col("file").alias("path"), "block", "at", cells(F.col("text"), width).alias("cells"))
     numbered = number_rows(rows, ["path"], ["block", "at"], name="row_no")
     return numbered.select("path", "row_no", F.posexplode("cells").alias("_pos", "value")).select(

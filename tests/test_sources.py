@@ -250,3 +250,88 @@ def test_records_split_over_many_tasks(spark, tmp_path):
         mine = sorted((r for r in got if r.file.endswith(name)), key=lambda r: (r.block, r.at))
         mine = [[c or "" for c in r.cells] for r in mine]
         assert [r + [""] * (width - len(r)) for r in want] == mine
+
+
+HEAD = ["label", "Language Overall Status", "Tester Expectation", "Completion Time", "Input Language", "Output Language", "answer"]
+
+
+@pytest.fixture
+def split(spark):
+    """Sets how sheets are split, and how many lines come to Python at once."""
+    names = {"bytes": "spark.sql.files.maxPartitionBytes", "cost": "spark.sql.files.openCostInBytes", "lines": "spark.sql.execution.arrow.maxRecordsPerBatch"}
+    old = {k: spark.conf.get(k) for k in names.values()}
+
+    def by(size, lines=10_000):
+        for name, value in {"bytes": size, "cost": size, "lines": lines}.items():
+            spark.conf.set(names[name], value)
+
+    yield by
+    for k, v in old.items():
+        spark.conf.set(k, v)
+
+
+def test_sheets_are_read_without_a_copy(spark, tmp_path, split):
+    """Neither whole texts nor lines are written or shuffled, however the sheets are split."""
+    import os
+    import random
+
+    rng, kept = random.Random(5), spark.conf.get("spark.checkpoint.dir")
+
+    def held():
+        return sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(kept) for f in names if f.startswith("part-"))
+
+    texts = ["\n".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=200)) for _ in range(20)) for _ in range(500)]
+    rows = [f'{i},Pass,Good,3s,en,en,"{t}"' for i, t in enumerate(texts)]
+    (tmp_path / "one.csv").write_text("\n".join([",".join(HEAD), *rows]) + "\n", encoding="utf-8")
+    for size in (128 << 20, 400_000):
+        split(size)
+        before = held()
+        got = results.read_results(spark, str(tmp_path), fmt="csv")
+        assert {r.label: r.answer for r in got.collect()} == dict(enumerate(texts))
+        assert held() - before < 0.1 * os.path.getsize(tmp_path / "one.csv")
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and ("Exchange hashpartitioning" not in plan or size == 400_000)  # only records of two blocks
+
+
+def test_records_of_many_blocks(spark, tmp_path, split):
+    """A heading of two lines, a record over whole blocks, bytes that are no UTF-8, a quote that stays open; split, packed, and in small batches."""
+    import gzip
+
+    long = "\n".join(f"line {i}, of many" for i in range(300))
+    want = {1: 'a "b"', 2: long, 3: "gr\ufffd\ufffdn", 4: "open\n\nto the end,\nx"}
+    head = ",".join(f'"{h}"' for h in ["label", "Notes\nof two lines", *HEAD[1:]])
+    text = f'\ufeff{head}\n1,,Pass,Good,3s,en,en,"a ""b"""\r\n\r\n2,,Pass,Good,3s,en,en,"{long}"\n\n'.encode()
+    text += b'3,,Pass,Good,3s,en,en,gr\xfc\xdfn\n4,,Pass,Good,3s,en,en,"open\n\nto the end,\nx'
+    (tmp_path / "plain").mkdir()
+    (tmp_path / "packed").mkdir()
+    (tmp_path / "plain" / "one.csv").write_bytes(text)
+    (tmp_path / "packed" / "one.csv.gz").write_bytes(gzip.compress(text))
+    for kind, size, lines in (("plain", 900, 10_000), ("plain", 900, 2), ("packed", 900, 3)):
+        split(size, lines)
+        got = results.read_results(spark, str(tmp_path / kind), fmt="csv").collect()
+        assert {r.label: r.answer for r in got} == want and len(got) == 4
+
+
+def test_other_blocks_than_before_are_an_error(spark, tmp_path, split):
+    """Records are read anew each time, so blocks of another size must not pass as those looked at."""
+    (tmp_path / "one.csv").write_text("\n".join(f'{i},"a\nb"' for i in range(400)), encoding="utf-8")
+    for first, then in ((900, 700), (900, 128 << 20), (128 << 20, 900)):
+        split(first)
+        got = records.read_records(spark, str(tmp_path))
+        assert got.count() == 400
+        split(then)
+        with pytest.raises(Exception, match="split other blocks"):
+            got.select("text").collect()
+
+
+def test_many_files_may_stay_open(spark, tmp_path):
+    """Rows are written to their folders without a sort of whole rows, also if they are more than files that may be open."""
+    from runassay.scale import open_files
+
+    key, rows = "spark.sql.maxConcurrentOutputFileWriters", spark.range(1000, numPartitions=2).withColumn("part", F.col("id") % 7)
+    before = spark.conf.get(key)
+    for most in (3, 200):
+        with open_files(spark, most):
+            rows.write.partitionBy("part").parquet(str(tmp_path / str(most)))
+        assert spark.conf.get(key) == before
+        assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / str(most))).collect()) == [(i, i % 7) for i in range(1000)]
